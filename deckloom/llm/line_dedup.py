@@ -17,7 +17,7 @@ below ``min_words`` that are no power of two take two overlapping windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,18 +26,23 @@ from .common import cut, table
 KEY = ["d", "t"]
 
 
+def _flat(line: Column) -> Column:
+    """The line with each run of white space as one blank, and none at its ends."""
+    return F.trim(F.regexp_replace(line, r"[ \t\f\r\x0B]+", " "))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, t, i, at, w, line): non-blank lines with their place among those (i), among all (at), and their words."""
     parts = F.filter(
         F.transform(F.split(F.col(text_col), "\n", -1), lambda x, k: F.struct(k.alias("at"), x.alias("line"))),
-        lambda x: F.trim(F.regexp_replace(x["line"], r"\s+", " ")) != "",
+        lambda x: _flat(x["line"]) != "",
     )
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("d"),
         F.xxhash64(F.col(text_col)).alias("t"),
         F.posexplode(parts).alias("i", "x"),
     )
-    n = F.size(F.split(F.trim(F.regexp_replace(F.col("x.line"), r"\s+", " ")), " "))
+    n = F.size(F.split(_flat(F.col("x.line")), " "))
     return keyed.select("d", "t", "i", F.col("x.at").alias("at"), n.alias("w"), F.unhex(F.md5("x.line")).alias("line"))
 
 
@@ -140,4 +145,40 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
-SQL: dict[str, str] = {}
+#: Every line of a run of five words or more lies in a run of at most five lines that has five words.
+SQL = {
+    "op2_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM l WHERE text IS NOT NULL),
+f AS (SELECT doc_id, pos, line, trim(regexp_replace(line, '[ \t\f\r\x0B]+', ' ', 'g'), ' ') AS flat FROM x),
+o AS (SELECT doc_id, pos, md5(line) AS line, len(string_split(flat, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+      FROM f WHERE flat <> ''),
+w AS (
+  SELECT doc_id, i, k, c, d FROM (
+    SELECT doc_id, i, k, count(*) OVER g AS n, sum(w) OVER g AS c, md5(string_agg(line, ',') OVER g) AS d
+    FROM o, (SELECT 1 AS k) WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND CURRENT ROW)) WHERE n = k
+  UNION ALL SELECT doc_id, i, k, c, d FROM (
+    SELECT doc_id, i, k, count(*) OVER g AS n, sum(w) OVER g AS c, md5(string_agg(line, ',') OVER g) AS d
+    FROM o, (SELECT 2 AS k) WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) WHERE n = k
+  UNION ALL SELECT doc_id, i, k, c, d FROM (
+    SELECT doc_id, i, k, count(*) OVER g AS n, sum(w) OVER g AS c, md5(string_agg(line, ',') OVER g) AS d
+    FROM o, (SELECT 3 AS k) WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = k
+  UNION ALL SELECT doc_id, i, k, c, d FROM (
+    SELECT doc_id, i, k, count(*) OVER g AS n, sum(w) OVER g AS c, md5(string_agg(line, ',') OVER g) AS d
+    FROM o, (SELECT 4 AS k) WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = k
+  UNION ALL SELECT doc_id, i, k, c, d FROM (
+    SELECT doc_id, i, k, count(*) OVER g AS n, sum(w) OVER g AS c, md5(string_agg(line, ',') OVER g) AS d
+    FROM o, (SELECT 5 AS k) WINDOW g AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = k),
+later AS (SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY k, d ORDER BY doc_id, i) AS r FROM w WHERE c >= 5) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM later),
+runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before <> i - 1) AS runs
+         FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+stay AS (SELECT x.doc_id, string_agg(x.line, chr(10) ORDER BY x.pos) AS text
+         FROM x LEFT JOIN (SELECT o.doc_id, o.pos FROM o JOIN gone USING (doc_id, i)) g ON x.doc_id = g.doc_id AND x.pos = g.pos
+         WHERE g.pos IS NULL GROUP BY x.doc_id)
+SELECT l.doc_id, CASE WHEN l.text IS NULL THEN NULL ELSE coalesce(stay.text, '') END AS text,
+       CAST(CASE WHEN l.text IS NULL THEN 0 ELSE len(l.ls) END AS INTEGER) AS n_lines,
+       CAST(coalesce(runs.n, 0) AS INTEGER) AS n_deleted, CAST(coalesce(runs.runs, 0) AS INTEGER) AS n_runs
+FROM l LEFT JOIN runs USING (doc_id) LEFT JOIN stay USING (doc_id)
+"""
+}

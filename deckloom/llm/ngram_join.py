@@ -250,7 +250,7 @@ def similar_documents(
     text_col: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """(id, text_hash, class_id, n_links, component_id, kept) for every row.
+    """(id, text_hash, class_id, n_links, component_id, kept, has_words) for every row.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower
     case. Documents of five words or more are the set of their 5-grams; those of
@@ -305,16 +305,25 @@ def similar_documents(
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         component.alias("component_id"),
         (F.col("id") == component).alias("kept"),
+        F.col("digest").isNotNull().alias("has_words"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that ``similar_documents`` keeps: one of each group. Of rows equal in id and text one stays."""
+    """The documents that ``similar_documents`` keeps: one of each group. Of rows equal in id and text one stays.
+
+    Texts without a word have no n-grams; of those that are equal, that with the
+    smallest id stays. A missing text equals no other and stays.
+    """
     th = F.xxhash64(F.col(text_col))
-    judged = similar_documents(docs, id_col=id_col, text_col=text_col, **options)
-    keep = judged.where("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    judged = similar_documents(docs, id_col=id_col, text_col=text_col, **options).select(
+        F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), "kept", "has_words"
+    )
+    with_words = judged.where("kept and has_words").select("_id", "_th")
+    wordless = judged.where("not has_words").groupBy("_th").agg(F.min("_id").alias("_id")).select("_id", "_th")
     keyed = docs.withColumn("_id", node_id(id_col, th)).withColumn("_th", th)
-    return keyed.join(keep, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    chosen = keyed.join(with_words.unionByName(wordless).distinct(), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
+    return chosen.where(F.col(text_col).isNotNull()).unionByName(keyed.where(F.col(text_col).isNull())).select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

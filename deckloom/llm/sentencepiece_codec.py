@@ -1,17 +1,24 @@
 """Operator 4: SentencePiece ids by a streaming Viterbi search, and texts from ids.
 
-The best path over a model's pieces and scores is found from left to right. Only
-the scores of the last ``max_len`` boundaries are needed to go on; backpointers
-are kept until the paths from all of those boundaries meet in one boundary, up to
-which the ids are then final and leave the window. Two places where that always
-happens are known beforehand: before a space mark that follows another character,
-as no piece has one inside, and around a character of no piece. The stretches
-between such places are searched once and remembered, up to a bounded number.
+The best path over a model's pieces is found from left to right. Only the last
+``max_len`` boundaries are needed to go on; backpointers are kept until the paths
+from all of those boundaries meet in one boundary, up to which the ids are then
+final and leave the window. Two places where that always happens are known
+beforehand: before a space mark that follows another character, as no piece has
+one inside, and around a character of no piece. The short ones of the stretches
+between such places are searched once and remembered, up to a bounded number; those
+that a batch of texts brings anew are searched side by side, boundary by boundary.
+
+What makes a path best depends on the model's type. In a unigram model it is the
+sum of the piece scores. In a BPE model a step from one piece to the next costs
+nothing if merging their joined characters gives just these two pieces again, and
+is barred otherwise; then one path alone reaches each boundary, and it is what
+merging the whole text up to there gives. So the ids are those that merging the
+whole text would give.
 
 Spaces become the mark U+2581 and one is put before the text. Characters without
 a piece are written as byte pieces. A U+2581 of the text itself is written as
-bytes too, so that decoding gives every text back exactly. The search maximizes
-the sum of the piece scores, whatever type the model says it is of.
+bytes too, so that decoding gives every text back exactly.
 """
 
 from __future__ import annotations
@@ -31,8 +38,40 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker remembers, and the longest that it does.
-MEMO, MEMO_CHARS = 400_000, 64
+#: Stretches that a worker remembers, and the longest that it does; pairs of pieces that it remembers.
+MEMO, MEMO_CHARS, PAIRS = 600_000, 48, 2_000_000
+#: Stretches that are searched side by side.
+ABREAST = 20_000
+
+
+@dataclass
+class Tree:
+    """The beginnings of all pieces: edges as node x 2^21 + character (sorted), where they lead, and the piece that ends at a node (-1: none)."""
+
+    edges: np.ndarray
+    to: np.ndarray
+    piece: np.ndarray
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, score: dict[str, tuple[float, int]]) -> Tree:
+        nodes, edges, piece, value = {"": 0}, {}, [-1], [0.0]
+        for name, (points, k) in score.items():
+            for size in range(1, len(name) + 1):
+                if name[:size] not in nodes:
+                    nodes[name[:size]] = len(piece)
+                    edges[(nodes[name[: size - 1]] << 21) + ord(name[size - 1])] = len(piece)
+                    piece.append(-1)
+                    value.append(0.0)
+            piece[nodes[name]], value[nodes[name]] = k, points
+        keys = np.array(sorted(edges), dtype=np.int64)
+        return cls(keys, np.array([edges[int(e)] for e in keys], dtype=np.int64), np.array(piece, dtype=np.int32), np.array(value))
+
+    def down(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next nodes; 0 where there is none."""
+        asked = (node << 21) + char
+        at = np.minimum(np.searchsorted(self.edges, asked), len(self.edges) - 1)
+        return np.where(self.edges[at] == asked, self.to[at], 0)
 
 
 @dataclass
@@ -43,18 +82,35 @@ class Pieces:
     byte_ids: list[int]
     unknown: float
     text: list[bytes]
+    name: list[str]
     max_len: int
-    #: The longest piece that starts with two given characters.
-    reach: dict[str, int]
     stretch: re.Pattern | None
+    #: Whether pieces are merged pairs (BPE), whose steps are judged by ``follows``.
+    merged: bool = False
     memo: dict[str, array] = field(default_factory=dict)
+    #: Steps from piece to piece that were judged, as before x 2^20 + next (sorted), and whether they are allowed.
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    allowed: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    tree: Tree | None = None
 
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        score, text, reach = {}, [b""] * model.get_piece_size(), {}
+        with open(path, "rb") as f:
+            return cls.of(sentencepiece_model_pb2.ModelProto.FromString(f.read()))
+
+    @classmethod
+    def of(cls, proto) -> Pieces:
+        import sentencepiece
+
+        kinds = {1: "unigram", 2: "bpe"}
+        kind = kinds.get(proto.trainer_spec.model_type)
+        if kind is None:
+            raise ValueError("only unigram and BPE models are known here")
+        model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        score, text = {}, [b""] * model.get_piece_size()
         byte_ids = [-1] * 256
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
@@ -64,101 +120,187 @@ class Pieces:
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 score[piece] = (model.get_score(k), k)
                 text[k] = piece.replace(MARK, " ").encode()
-                reach[piece[:2]] = max(reach.get(piece[:2], 1), len(piece))
         if min(byte_ids) < 0:
             raise ValueError("the model has no byte pieces, so texts could not be given back")
         apart = all(MARK not in p.lstrip(MARK) for p in score)
         own_line = not any("\n" in p for p in score)
         stretch = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if own_line else rf"{MARK}*[^{MARK}]+|{MARK}+") if apart else None
         lowest = min(s for s, _ in score.values())
-        return cls(score, byte_ids, lowest - 10.0, text, max(map(len, score)), reach, stretch)
+        return cls(score, byte_ids, lowest - 10.0, text, [model.id_to_piece(k) for k in range(len(text))], max(map(len, score)), stretch, kind == "bpe", tree=Tree.of(score))
+
+    def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """In a BPE model: whether merging the characters of both pieces leaves just these two. -1: no piece before."""
+        asked = (before.astype(np.int64) + 1 << 20) + piece
+        at = np.minimum(np.searchsorted(self.steps, asked), max(0, len(self.steps) - 1))
+        unseen = np.unique(asked[self.steps[at] != asked]) if len(self.steps) else np.unique(asked)
+        if len(unseen):
+            if len(self.steps) + len(unseen) > PAIRS:
+                self.steps, self.allowed, unseen = self.steps[:0], self.allowed[:0], np.unique(asked)
+            answers = np.array([self._follows(int(x >> 20) - 1, int(x & 0xFFFFF)) for x in unseen])
+            place = np.searchsorted(self.steps, unseen)
+            self.steps, self.allowed = np.insert(self.steps, place, unseen), np.insert(self.allowed, place, answers)
+            at = np.searchsorted(self.steps, asked)
+        return self.allowed[at]
+
+    def _follows(self, before: int, piece: int) -> bool:
+        parts = [self.name[k] for k in (before, piece) if k >= 0]
+        return self.merge("".join(parts)) == parts
+
+    def merge(self, s: str) -> list[str]:
+        """The pieces that are left when the best pair, of equals the first, is merged again and again. For short strings."""
+        parts, get = list(s), self.score.get
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = get(parts[i] + parts[i + 1])
+                if found is not None and (best is None or found[0] > best):
+                    best, at = found[0], i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+@dataclass
+class Window:
+    """Backpointers of stretches side by side: best score (-inf: no path comes here), length and id of the last piece (-1: unknown character)."""
+
+    best: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def start(cls, rows: int, width: int) -> Window:
+        out = cls(np.full((rows, width), -np.inf), np.zeros((rows, width), np.int64), np.full((rows, width), -1, np.int64))
+        out.best[:, 0] = 0.0
+        return out
+
+    def slide(self, by: int) -> Window:
+        """The boundaries from ``by`` on, with room for as many new ones behind."""
+        fresh = Window.start(len(self.best), self.best.shape[1])
+        for mine, theirs in zip((self.best, self.size, self.ids), (fresh.best, fresh.size, fresh.ids)):
+            theirs[:, : mine.shape[1] - by] = mine[:, by:]
+        fresh.best -= self.best[:, by : by + 1]
+        return fresh
+
+
+def extend(pieces: Pieces, window: Window, i: int, chars: np.ndarray, left: np.ndarray) -> None:
+    """Takes the paths at boundary i on by all pieces. chars: what follows (rows x max_len or fewer), left: how many characters do."""
+    rows = np.flatnonzero((left > 0) & (window.best[:, i] > -np.inf))
+    known = np.zeros(len(left), dtype=bool)
+    at, node = rows, np.zeros(len(rows), dtype=np.int64)
+    for size in range(1, chars.shape[1] + 1):
+        node = pieces.tree.down(node, chars[at, size - 1])
+        at, node = at[node > 0], node[node > 0]
+        if not len(at):
+            break
+        ends = pieces.tree.piece[node] >= 0
+        r, k, value = at[ends], pieces.tree.piece[node[ends]], pieces.tree.score[node[ends]]
+        if size == 1:
+            known[r] = True
+        if pieces.merged:
+            free = window.best[r, i + size] == -np.inf
+            r, k = r[free], k[free]
+            ok = pieces.follows(window.ids[r, i], k)
+            r, k, value = r[ok], k[ok], np.zeros(ok.sum())
+        else:
+            value = window.best[r, i] + value
+            ok = value > window.best[r, i + size]
+            r, k, value = r[ok], k[ok], value[ok]
+        window.best[r, i + size], window.size[r, i + size], window.ids[r, i + size] = value, size, k
+        more = left[at] > size
+        at, node = at[more], node[more]
+    lost = rows[~known[rows]]
+    value = window.best[lost, i] + pieces.unknown
+    ok = np.isneginf(window.best[lost, i + 1]) if pieces.merged else value > window.best[lost, i + 1]
+    window.best[lost[ok], i + 1], window.size[lost[ok], i + 1], window.ids[lost[ok], i + 1] = value[ok], 1, -1
+
+
+def _chars(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+
+
+def abreast(pieces: Pieces, stretches: list[str]) -> list[array]:
+    """The ids of the best paths over short stretches."""
+    m = max(map(len, stretches))
+    chars = _chars("".join(s.ljust(m, "\0") for s in stretches)).reshape(len(stretches), m)
+    n = np.array([len(s) for s in stretches])
+    window = Window.start(len(stretches), m + 1)
+    for i in range(m):
+        extend(pieces, window, i, chars[:, i : min(m, i + pieces.max_len)], n - i)
+    size, ids, out = window.size, window.ids, []
+    for row, (s, end) in enumerate(zip(stretches, n.tolist())):
+        out.append(_path(pieces, s, size[row], ids[row], end))
+    return out
 
 
 def viterbi(pieces: Pieces, s: str) -> Iterator[int]:
     """The ids of the best path over s, each as soon as it is final. Of equal paths that with the longest last piece wins."""
-    score, unknown, reach, get = pieces.score, pieces.unknown, pieces.reach, pieces.score.get
-    n, width = len(s), pieces.max_len
-    # For boundary base + k: best score, length and id of the last piece (-1: unknown character).
-    base, best, last = 0, [0.0], [(0, 0)]
-    for i in range(n):
-        k = i - base
-        here = best[k]
-        longest = reach.get(s[i : i + 2], 1)
-        while len(best) <= k + max(longest, 1):
-            best.append(float("-inf"))
-            last.append((0, 0))
-        single = False
-        for size in range(1, min(longest, n - i) + 1):
-            found = get(s[i : i + size])
-            if found is not None:
-                single = single or size == 1
-                value = here + found[0]
-                if value > best[k + size]:
-                    best[k + size] = value
-                    last[k + size] = (size, found[1])
-        if not single and here + unknown > best[k + 1]:
-            best[k + 1] = here + unknown
-            last[k + 1] = (1, -1)
-        if k >= 2 * width:
-            meet = _meeting(last, k + 1, min(len(best) - 1, k + width, n - base), best)
-            if meet > 0:
-                yield from _ids(pieces, s, base, last, meet)
-                low = best[meet]
-                best = [b - low for b in best[meet:]]
-                last = [(0, 0), *last[meet + 1 :]]
-                base += meet
-    yield from _ids(pieces, s, base, last, n - base)
-
-
-def _meeting(last: list[tuple[int, int]], first: int, final: int, best: list[float]) -> int:
+    width, chars, base = pieces.max_len, _chars(s), 0
+    window = Window.start(1, 6 * width)
+    for i in range(len(s)):
+        left = np.array([len(s) - i])
+        extend(pieces, window, i - base, chars[None, i : i + width], left)
+        if i - base + 1 + width >= window.best.shape[1] - width:
+            meet = _meeting(window, i - base + 1, min(i - base + width, len(s) - base))
+            if meet:
+                yield from _path(pieces, s[base : base + meet], window.size[0], window.ids[0], meet)
+                window, base = window.slide(meet), base + meet
+            else:
+                window = Window(*(np.pad(x, ((0, 0), (0, width)), constant_values=v) for x, v in ((window.best, -np.inf), (window.size, 0), (window.ids, -1))))
+    yield from _path(pieces, s[base:], window.size[0], window.ids[0], len(s) - base)
+
+
+def _meeting(window: Window, first: int, final: int) -> int:
     """The last boundary that the paths to all boundaries of a window share."""
-    open_ends = {b for b in range(first, final + 1) if best[b] > float("-inf")}
+    open_ends = {b for b in range(first, final + 1) if window.best[0, b] > -np.inf}
     while len(open_ends) > 1:
         b = max(open_ends)
         open_ends.discard(b)
-        open_ends.add(b - last[b][0])
+        open_ends.add(b - int(window.size[0, b]))
     return open_ends.pop()
 
 
-def _ids(pieces: Pieces, s: str, base: int, last: list[tuple[int, int]], end: int) -> list[int]:
-    path = []
+def _path(pieces: Pieces, s: str, size: np.ndarray, ids: np.ndarray, end: int) -> array:
+    """The ids of the path to boundary ``end``."""
+    out = []
     while end > 0:
-        size, k = last[end]
-        path.append((base + end, size, k))
-        end -= size
+        k, n = int(ids[end]), int(size[end])
+        out += [k] if k >= 0 else [pieces.byte_ids[b] for b in reversed(s[end - n : end].encode())]
+        end -= n
+    out.reverse()
+    return array("i", out)
+
+
+def encode_texts(pieces: Pieces, texts: list[str | None]) -> list[array]:
+    """Ids of texts; none for an empty or missing one."""
+    mark = array("i", [pieces.byte_ids[b] for b in MARK.encode()])
+    cut_up = [list(_stretches(pieces, text)) if text else [] for text in texts]
+    memo, short = pieces.memo, MEMO_CHARS
+    new = {x for parts in cut_up for x in parts if x not in memo and len(x) <= short}
+    if len(memo) + len(new) > MEMO:
+        memo.clear()
+        new = {x for parts in cut_up for x in parts if len(x) <= short}
+    new.discard("")
+    todo = sorted(new, key=len)
+    for a in range(0, len(todo), ABREAST):
+        memo.update(zip(todo[a : a + ABREAST], abreast(pieces, todo[a : a + ABREAST])))
+    memo[""] = mark
     out = []
-    for stop, size, k in reversed(path):
-        if k >= 0:
-            out.append(k)
-        else:
-            out += [pieces.byte_ids[b] for b in s[stop - size : stop].encode()]
+    for parts in cut_up:
+        ids = array("i")
+        for x in parts:
+            ids.extend(memo[x] if len(x) <= short else viterbi(pieces, x))
+        out.append(ids)
     return out
 
 
-def encode(pieces: Pieces, text: str) -> array:
-    """Ids of a text; none for an empty one."""
-    out = array("i")
-    if not text:
-        return out
-    mark = [pieces.byte_ids[b] for b in MARK.encode()]
-    memo, extend = pieces.memo, out.extend
+def _stretches(pieces: Pieces, text: str) -> Iterator[str]:
+    """The stretches of a text with its spaces as marks; an empty one stands for a mark of the text itself."""
     for n, part in enumerate(text.split(MARK)):
         if n:
-            out.extend(mark)
+            yield ""
         s = part.replace(" ", MARK) if n else MARK + part.replace(" ", MARK)
-        if pieces.stretch is None:
-            extend(viterbi(pieces, s))
-            continue
-        for x in pieces.stretch.findall(s):
-            ids = memo.get(x)
-            if ids is None:
-                ids = array("i", viterbi(pieces, x))
-                if len(x) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[x] = ids
-            extend(ids)
-    return out
+        yield from pieces.stretch.findall(s) if pieces.stretch else [s] if s else []
 
 
 def decode(pieces: Pieces, ids: array) -> bytes:
@@ -189,14 +331,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text_col: str = "text"
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                flat, ends, missing = array("i"), [0], []
-                for text in batch.column(batch.schema.names.index("_text")):
-                    text = text.as_py()
-                    missing.append(text is None)
-                    if text:
-                        flat.extend(encode(pieces, text))
+                texts = batch.column(batch.schema.names.index("_text")).to_pylist()
+                flat, ends = array("i"), [0]
+                for ids in encode_texts(pieces, texts):
+                    flat.extend(ids)
                     ends.append(len(flat))
-                offsets = pa.array(np.array(ends, dtype=np.int32), mask=np.array([*missing, False]))
+                offsets = pa.array(np.array(ends, dtype=np.int32), mask=np.array([*(t is None for t in texts), False]))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)))
                 cols = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != "_text"]
                 yield pa.RecordBatch.from_arrays([*cols, ids], [*own, "_ids"])

@@ -1,6 +1,6 @@
 """Operator 1: shards of equal row counts in which every source has its share.
 
-Rows of a source are shuffled by a seeded hash and ranked; the rank divided by
+Rows of a source are shuffled by a seeded hash (MD5 of seed and id) and ranked; the rank divided by
 the source's row count is a place between 0 and 1. All rows sorted by that place
 interleave the sources in proportion, and a cut into equal pieces gives every
 shard the mixture of the whole. No sort or window spans a source or the table:
@@ -52,7 +52,10 @@ def interleave(
     """
     kept = rows.drop(*OUT)
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    mark = {"_k": key, "_h": F.xxhash64(F.lit(seed), F.col(id_col)), "_b": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets))}
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    # The bucket is the leading part of the hash, so buckets in order hold the hashes in order.
+    bucket = F.floor(F.conv(F.substring(hashed, 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")
+    mark = {"_k": key, "_h": hashed, "_b": bucket}
     ties = [c for c, kind in kept.dtypes if not kind.startswith(("map", "variant"))]
     piece = F.floor((2 * F.col("_r") - 1) * F.lit(buckets) / (2 * F.col("_n"))).cast("int")
 
@@ -104,4 +107,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_sharding": """
+WITH t AS (
+  SELECT list(c ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS text,
+         CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS r, count(*) OVER (PARTITION BY k) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n), k) - 1 AS pos, count(*) OVER () AS al FROM r),
+s AS (SELECT *, (pos * 8) // al AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size,
+       xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                       lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+       CAST(pos - (shard * al + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM s, t
+"""
+}

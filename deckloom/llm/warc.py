@@ -260,4 +260,22 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL: dict[str, str] = {}
+#: Base 32 of a SHA-1 digest: five hex digits at a time are one number below 2^20, which has four digits.
+SQL = {
+    "op9_warc": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+q AS (SELECT *, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(8), lambda k:
+        list_reduce(list_transform([15, 10, 5, 0], lambda sh: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> sh) & 31) + 1, 1)), lambda a, b: a || b)), '') AS digest FROM q),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
+       lower(array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.')), ',') || ')' ||
+             CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END ||
+             regexp_extract(url, '[?][^#]+')) AS url_key,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * (page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM f
+"""
+}
