@@ -1,11 +1,594 @@
-"""All queries by name, and the SQL that gives the same rows."""
+"""All queries by name, each over whole tables of the star schema, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import clusters, evaluate, importer, quality, resolve, rules, trends, vectors
+from ..sources import tables as changes
+from . import star
 
 FLAGSHIP = "q_size_histogram"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Fixed day for what would else depend on the clock.
+TODAY = "1999-06-30"
+
+
+def query(sql: str | None = None, star_sql: bool = True) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (star.SQL if star_sql else "") + sql
+        return f
+
+    return add
+
+
+# Quality
+
+
+@query(
+    "SELECT * FROM (SELECT 'games' AS table_name, count(*) AS n FROM games UNION ALL SELECT 'formats', count(*) FROM formats "
+    "UNION ALL SELECT 'cards', count(*) FROM cards UNION ALL SELECT 'events', count(*) FROM ev "
+    "UNION ALL SELECT 'decks', count(*) FROM decks UNION ALL SELECT 'deck_cards', count(*) FROM deck_cards) ORDER BY 1"
+)
+def q_row_counts(s, d):
+    return quality.row_counts(star.tables(s, d))
+
+
+@query(
+    "SELECT CAST(extract(year FROM e.date) AS INTEGER) AS year, source, count(DISTINCT e.id) AS events, count(d.id) AS decks "
+    "FROM ev e LEFT JOIN decks d ON d.event_id = e.id GROUP BY 1, 2"
+)
+def q_year_source(s, d):
+    return quality.by_year_and_source(star.events(s, d), star.decks(s, d))
+
+
+@query(
+    "SELECT coalesce(event_type, '(null)') AS event_type, count(DISTINCT e.id) AS events, count(d.id) AS decks "
+    "FROM ev e LEFT JOIN decks d ON d.event_id = e.id GROUP BY 1"
+)
+def q_event_type(s, d):
+    return quality.by_event_type(star.events(s, d), star.decks(s, d))
+
+
+@query(
+    "SELECT count(*) AS names, CAST(coalesce(sum(occurrences), 0) AS BIGINT) AS occurrences, "
+    "CAST(coalesce(sum(decks_affected), 0) AS BIGINT) AS decks_affected FROM unresolved"
+)
+def q_unresolved_totals(s, d):
+    return quality.unresolved_totals(star.unresolved(s, d))
+
+
+@query("SELECT card_name, occurrences, decks_affected FROM unresolved ORDER BY occurrences DESC, card_name LIMIT 50")
+def q_topk_unresolved(s, d):
+    return quality.top_unresolved(star.unresolved(s, d))
+
+
+def _gappy(s, d):
+    """The tables with some events and cards taken away, so that there are orphans."""
+    t = star.tables(s, d)
+    return t | {"events": t["events"].where("id % 11 <> 3"), "cards": t["cards"].where("id % 13 <> 5"), "decks": t["decks"].where("id % 17 <> 2"), "formats": t["formats"].where("id <> 7")}
+
+
+_GAPPY = """, e2 AS (SELECT * FROM ev WHERE id % 11 <> 3), c2 AS (SELECT * FROM cards WHERE id % 13 <> 5), d2 AS (SELECT * FROM decks WHERE id % 17 <> 2),
+f2 AS (SELECT * FROM formats WHERE id <> 7) """
+
+
+@query(
+    _GAPPY
+    + "SELECT 'decks -> events' AS check_name, count(*) AS n FROM d2 d LEFT JOIN e2 e ON e.id = d.event_id WHERE e.id IS NULL "
+    "UNION ALL SELECT 'deck_cards -> decks', count(*) FROM deck_cards c LEFT JOIN d2 d ON d.id = c.deck_id WHERE d.id IS NULL "
+    "UNION ALL SELECT 'deck_cards -> cards', count(*) FROM deck_cards c LEFT JOIN c2 k ON k.id = c.card_id WHERE k.id IS NULL "
+    "UNION ALL SELECT 'events -> formats', count(*) FROM e2 e LEFT JOIN f2 f ON f.id = e.format_id WHERE f.id IS NULL "
+    "UNION ALL SELECT 'events -> games', count(*) FROM e2 e LEFT JOIN games g ON g.id = e.game_id WHERE g.id IS NULL"
+)
+def q_orphans(s, d):
+    return quality.orphans(_gappy(s, d))
+
+
+@query(
+    "SELECT 'duplicate (source, source_event_id)' AS check_name, count(*) AS n FROM "
+    "(SELECT source, right(source_event_id, 2) FROM ev GROUP BY 1, 2 HAVING count(*) > 1)"
+)
+def q_duplicates(s, d):
+    return quality.duplicates(star.events(s, d).withColumn("source_event_id", F.right("source_event_id", F.lit(2))))
+
+
+@query(
+    f"SELECT 'events dated in the future' AS check_name, count(*) FILTER (date > DATE '{TODAY}') AS n FROM ev "
+    "UNION ALL SELECT 'deck_cards with count < 1', count(*) FILTER (count - 10 < 1) FROM deck_cards"
+)
+def q_violations(s, d):
+    t = star.tables(s, d)
+    return quality.violations(t | {"deck_cards": t["deck_cards"].withColumn("count", F.col("count") - 10)}, F.lit(TODAY).cast("date"))
+
+
+@query(
+    "SELECT CASE WHEN main = 0 THEN '0' WHEN main < 60 THEN '1-59' WHEN main = 60 THEN '60' WHEN main <= 69 THEN '61-69' "
+    "WHEN main <= 79 THEN '70-79' WHEN main <= 89 THEN '80-89' ELSE '90+' END AS bucket, count(*) AS decks FROM sizes GROUP BY 1 ORDER BY min(main)"
+)
+def q_size_histogram(s, d):
+    return quality.size_histogram(star.decks(s, d), star.deck_cards(s, d))
+
+
+@query(
+    "SELECT f.name AS format, count(*) AS decks, count(*) FILTER (main = 0) AS empty_main, "
+    "count(*) FILTER (main > 0 AND main < 60) AS undersized_main, count(*) FILTER (side > 15) AS oversized_side "
+    "FROM sizes z JOIN ev e ON e.id = z.event_id JOIN formats f ON f.id = e.format_id GROUP BY 1"
+)
+def q_size_anomalies(s, d):
+    return quality.size_anomalies(star.events(s, d), star.decks(s, d), star.deck_cards(s, d), star.formats(s, d))
+
+
+@query(
+    "SELECT source, event_type, count(*) FILTER (wins IS NOT NULL) AS decks_with_record, count(*) AS decks "
+    "FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2"
+)
+def q_coverage(s, d):
+    return quality.record_coverage(star.events(s, d), star.decks(s, d))
+
+
+# Loading
+
+
+@query("SELECT deck_id, card_id, board, count FROM deck_cards")
+def q_deck_cards_agg(s, d):
+    return star.deck_cards(s, d)
+
+
+@query(
+    "SELECT c.deck_id, e.date, c.card_id, c.count, c.board FROM deck_cards c JOIN decks d ON d.id = c.deck_id JOIN ev e ON e.id = d.event_id "
+    "JOIN formats f ON f.id = e.format_id WHERE e.date BETWEEN DATE '1995-03-01' AND DATE '1995-04-30' AND f.name = 'NATION_3'"
+)
+def q_window_load(s, d):
+    return importer.load_window(star.tables(s, d), "1995-03-01", "1995-04-30", "NATION_3")
+
+
+@query("SELECT id AS card_id FROM cards WHERE type_line LIKE 'SMALL%' OR type_line LIKE 'STAND%'")
+def q_prefix_filter(s, d):
+    return vectors.excluded_cards(star.cards(s, d), ["SMALL", "STAND"])
+
+
+@query(
+    "SELECT source, slug, date, event_id FROM (SELECT source, slug, date, event_id, row_number() OVER (PARTITION BY source, slug ORDER BY date, event_id) AS r "
+    "FROM (SELECT source, event_type || '-' || format_id AS slug, date, id AS event_id FROM ev WHERE event_type IS NOT NULL AND date IS NOT NULL)) WHERE r = 1"
+)
+def q_dedup_first_wins(s, d):
+    slug = F.concat_ws("-", "event_type", "format_id")
+    rows = star.events(s, d).where("event_type is not null and date is not null").select("source", slug.alias("slug"), "date", F.col("id").alias("event_id"))
+    first = F.min(F.struct("date", "event_id")).alias("x")
+    return rows.groupBy("source", "slug").agg(first).select("source", "slug", "x.*")
+
+
+@query(
+    "SELECT event_id, player, deck_id, wins FROM (SELECT event_id, player, id AS deck_id, wins, row_number() OVER (PARTITION BY event_id, player ORDER BY id DESC) AS r FROM decks) WHERE r = 1"
+)
+def q_last_wins(s, d):
+    rows = star.decks(s, d).groupBy("event_id", "player").agg(F.max_by(F.struct("id", "wins"), "id").alias("x"))
+    return rows.select("event_id", "player", F.col("x.id").alias("deck_id"), "x.wins")
+
+
+@query(
+    "SELECT o.event_id, o.event_no, o.id AS deck_id, o.before + row_number() OVER (PARTITION BY o.event_id ORDER BY o.id) AS deck_no FROM ("
+    "SELECT d.event_id, d.id, e.event_no, e.before FROM decks d JOIN (SELECT id, row_number() OVER (ORDER BY source, id) AS event_no, "
+    "CAST(coalesce(sum(n) OVER (ORDER BY source, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before "
+    "FROM ev LEFT JOIN (SELECT event_id, count(*) AS n FROM decks GROUP BY 1) k ON k.event_id = ev.id) e ON e.id = d.event_id) o"
+)
+def q_surrogate_ids(s, d):
+    """Numbers without gaps: windows over events count, the decks only find their place within their event."""
+    counts = star.decks(s, d).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n"))
+    order = W.orderBy("source", "id")
+    ev = star.events(s, d).select("id", "source").join(counts, "id", "left").select(
+        F.col("id").alias("event_id"), F.row_number().over(order).cast("long").alias("event_no"),
+        (F.sum(F.coalesce("n", F.lit(0))).over(order) - F.coalesce("n", F.lit(0))).alias("before"),
+    )
+    place = F.row_number().over(W.partitionBy("event_id").orderBy("id"))
+    return star.decks(s, d).select("id", "event_id", place.alias("p")).join(ev, "event_id").select(
+        "event_id", "event_no", F.col("id").alias("deck_id"), (F.col("before") + F.col("p")).alias("deck_no")
+    )
+
+
+@query(
+    ", old AS (SELECT card_name, occurrences, decks_affected FROM unresolved WHERE occurrences % 2 = 0), "
+    "new AS (SELECT card_name, occurrences, decks_affected FROM unresolved WHERE occurrences % 3 = 0) "
+    "SELECT card_name, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(decks_affected) AS BIGINT) AS decks_affected "
+    "FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY 1"
+)
+def q_upsert_additive(s, d):
+    u = star.unresolved(s, d)
+    return changes.upsert_additive(u.where("occurrences % 2 = 0"), u.where("occurrences % 3 = 0"), ["card_name"], ["occurrences", "decks_affected"])
+
+
+@query(
+    ", old AS (SELECT id, name FROM formats WHERE id % 3 <> 0), new AS (SELECT id, lower(name) AS name FROM formats WHERE id % 2 = 0) "
+    "SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name FROM old o FULL JOIN new n ON n.id = o.id"
+)
+def q_upsert_replace(s, d):
+    f = star.formats(s, d).select("id", "name")
+    return changes.upsert(f.where("id % 3 <> 0"), f.where("id % 2 = 0").withColumn("name", F.lower("name")), ["id"], ["name"])
+
+
+# Names
+
+
+def _asked(s, d) -> DataFrame:
+    """Card names as line items write them: exact, in capitals, with another separator, and unknown ones."""
+    lines = star.read(s, d, "lineitem").select(F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("id"), "l_linenumber")
+    rows = lines.join(star.cards(s, d).select("id", "name"), "id")
+    k = F.col("l_linenumber") % 4
+    written = (
+        F.when(k == 0, F.col("name")).when(k == 1, F.upper("name")).when(k == 2, F.replace("name", F.lit(" // "), F.lit(" && "))).otherwise(F.concat(F.lit("No "), "name"))
+    )
+    return rows.select("deck_id", written.alias("name"))
+
+
+_ASKED = """, asked AS (SELECT l_orderkey AS deck_id, CASE l_linenumber % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN replace(name, ' // ', ' && ')
+ELSE 'No ' || name END AS name FROM lineitem JOIN cards ON l_partkey = id),
+idx AS (SELECT name, card_id, kind, place FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind, card_id, pos) AS r, ROW(kind, card_id, pos) AS place FROM (
+  SELECT name, id AS card_id, 0 AS kind, 0 AS pos FROM cards
+  UNION ALL SELECT face_names[p], id, 1, p FROM cards, (VALUES (1), (2)) t(p) WHERE face_names IS NOT NULL)) WHERE r = 1),
+cased AS (SELECT key, card_id FROM (SELECT lower(name) AS key, card_id, row_number() OVER (PARTITION BY lower(name) ORDER BY place) AS r FROM idx) WHERE r = 1),
+resolved AS (SELECT a.name, coalesce(i.card_id, c.card_id, j.card_id, k.card_id) AS card_id FROM (SELECT DISTINCT name FROM asked) a
+  LEFT JOIN idx i ON i.name = a.name LEFT JOIN cased c ON c.key = lower(a.name)
+  LEFT JOIN idx j ON j.name = replace(a.name, ' && ', ' // ') LEFT JOIN cased k ON k.key = lower(replace(a.name, ' && ', ' // ')))
+"""
+
+
+@query(_ASKED + "SELECT name, card_id FROM resolved")
+def q_name_resolve(s, d):
+    return resolve.resolve_names(_asked(s, d), star.cards(s, d))
+
+
+@query(
+    _ASKED + "SELECT name AS card_name, count(*) AS occurrences, count(DISTINCT deck_id) AS decks_affected FROM asked JOIN resolved USING (name) WHERE card_id IS NULL GROUP BY 1"
+)
+def q_unresolved_report(s, d):
+    asked = _asked(s, d)
+    missed = asked.join(resolve.resolve_names(asked, star.cards(s, d)).where("card_id is null"), "name")
+    return missed.groupBy(F.col("name").alias("card_name")).agg(F.count("*").alias("occurrences"), F.count_distinct("deck_id").alias("decks_affected"))
+
+
+@query(
+    "WITH t AS (SELECT DISTINCT doc_id % 500 AS card, unnest(string_split_regex(text, '[^\\p{L}]+')) AS name FROM documents WHERE text IS NOT NULL), "
+    "f AS (SELECT replace(lower(strip_accents(trim(name))), 'ß', 'ss') AS key, card FROM t WHERE name <> '') "
+    "SELECT key, min(card) AS card_id FROM f GROUP BY 1 HAVING count(DISTINCT card) = 1",
+    star_sql=False,
+)
+def q_fold_unique(s, d):
+    """Words of the documents stand for names with accents, their document modulo 500 for the card."""
+    docs = star.read(s, d, "documents")
+    names = docs.select((F.col("doc_id") % 500).alias("id"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("name"))
+    return resolve.fold_index(names.where("name <> ''").distinct())
+
+
+# Scalar functions over the columns of the star
+
+
+@query(
+    "SELECT id, result, CAST(nullif(regexp_extract(result, '^(\\d+)(?:st|nd|rd|th) Place$', 1), '') AS INTEGER) AS finish_rank, "
+    "CAST(nullif(regexp_extract(result, '^(\\d+)-(\\d+)(?:-(\\d+))?$', 1), '') AS INTEGER) AS wins, "
+    "CAST(nullif(regexp_extract(result, '^(\\d+)-(\\d+)(?:-(\\d+))?$', 2), '') AS INTEGER) AS losses, "
+    "CAST(nullif(regexp_extract(result, '^(\\d+)-(\\d+)(?:-(\\d+))?$', 3), '') AS INTEGER) AS draws FROM ("
+    "SELECT id, CASE id % 5 WHEN 0 THEN (id % 9) || '-' || (id % 4) WHEN 1 THEN (id % 9) || '-' || (id % 4) || '-' || (id % 2) "
+    "WHEN 2 THEN (id % 32) || 'th Place' WHEN 3 THEN '' ELSE 'left early' END AS result FROM decks)"
+)
+def q_parse_result(s, d):
+    i = F.col("id")
+    k = i % 5
+    result = (
+        F.when(k == 0, F.concat_ws("-", i % 9, i % 4)).when(k == 1, F.concat_ws("-", i % 9, i % 4, i % 2)).when(k == 2, F.concat(i % 32, F.lit("th Place")))
+        .when(k == 3, "").otherwise("left early")
+    )
+    rows = star.decks(s, d).select("id", result.alias("result"))
+    return rows.select("id", "result", text.parse_result(F.col("result")).alias("r")).select("id", "result", "r.*")
+
+
+@query(
+    "SELECT id, CASE WHEN source LIKE 'mtgo.com%' THEN nullif(regexp_extract(lower(slug), '^[a-z0-9]+-(.+?)-\\d{4}-\\d{2}-\\d{2}', 1), '') ELSE 'tournament' END AS event_type, "
+    "CASE WHEN id % 4 = 3 THEN NULL WHEN id % 2 = 0 THEN 'modern' ELSE 'legacy' END AS format "
+    "FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'mtgo.com' ELSE lower(source) END AS source, CASE id % 4 WHEN 3 THEN 'modern-legacy-' WHEN 1 THEN 'Legacy-' ELSE 'modern-' END || "
+    "(CASE WHEN id % 5 = 0 THEN 'league' ELSE 'challenge-' || (id % 64) END) || '-' || strftime(date, '%Y-%m-%d') AS slug FROM ev WHERE date IS NOT NULL)"
+)
+def q_event_type_slug(s, d):
+    i = F.col("id")
+    head = F.when(i % 4 == 3, "modern-legacy-").when(i % 4 == 1, "Legacy-").otherwise("modern-")
+    kind = F.when(i % 5 == 0, F.lit("league")).otherwise(F.concat(F.lit("challenge-"), i % 64))
+    slug = F.concat(head, kind, F.lit("-"), F.date_format("date", "yyyy-MM-dd"))
+    rows = star.events(s, d).where("date is not null").select("id", F.when(i % 3 == 0, "mtgo.com").otherwise(F.lower("source")).alias("source"), slug.alias("slug"))
+    formats = text.detect_format(F.col("slug"), {"modern": ["modern"], "legacy": ["legacy"]})
+    return rows.select("id", text.event_type(F.col("source"), F.col("slug")).alias("event_type"), formats.alias("format"))
+
+
+@query(
+    "SELECT id, CASE id % 4 WHEN 0 THEN date WHEN 1 THEN date ELSE DATE '2001-02-03' END AS date FROM decks"
+)
+def q_date_fallback(s, d):
+    """Days as written (with an offset, or plain), and broken ones that leave the path's day."""
+    i, day = F.col("id"), F.date_format("date", "yyyy-MM-dd")
+    written = F.when(i % 4 == 0, F.concat(day, F.lit("T23:30:00-08:00"))).when(i % 4 == 1, day).when(i % 4 == 2, "1999-02-30T00:00:00Z")
+    return star.decks(s, d).select("id", text.event_date(written, F.lit("2001/02/03")).alias("date"))
+
+
+@query(
+    "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total, CAST(max(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS most FROM events GROUP BY 1",
+    star_sql=False,
+)
+def q_json_props(s, d):
+    rows = star.read(s, d, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"))
+
+
+@query(
+    "SELECT id, CASE WHEN id % 3 = 0 THEN wins WHEN id % 3 = 1 THEN NULL ELSE CAST(id % 20 AS INTEGER) END AS wins FROM decks"
+)
+def q_standings_override(s, d):
+    """A standing without the field leaves the parsed value, a null field takes it away, another replaces it."""
+    from ..operators.normalize import override
+
+    i = F.col("id")
+    doc = F.when(i % 3 == 0, "{}").when(i % 3 == 1, '{"Wins": null}').otherwise(F.concat(F.lit('{"Wins": '), (i % 20).cast("string"), F.lit("}")))
+    return star.decks(s, d).select("id", override(F.parse_json(doc), "$.Wins", F.col("wins")).alias("wins"))
+
+
+@query(
+    ", m AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'main' AND count > 30), s AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'side' AND count > 30) "
+    "SELECT 'both' AS part, card_id FROM (SELECT * FROM m INTERSECT SELECT * FROM s) UNION ALL SELECT 'main only', card_id FROM (SELECT * FROM m EXCEPT SELECT * FROM s) "
+    "UNION ALL SELECT 'any', card_id FROM (SELECT * FROM m UNION SELECT * FROM s)"
+)
+def q_set_ops(s, d):
+    rows = star.deck_cards(s, d).where("count > 30")
+    per = rows.groupBy("card_id").agg(F.bool_or(F.col("board") == "main").alias("m"), F.bool_or(F.col("board") == "side").alias("s"))
+    parts = F.array_compact(F.array(F.when(F.col("m") & F.col("s"), "both"), F.when(F.col("m") & ~F.col("s"), "main only"), F.lit("any")))
+    return per.select(F.explode(parts).alias("part"), "card_id")
+
+
+# Rules
+
+
+def _compiled(s):
+    return rules.compile_rules(s, star.definitions())
+
+
+@query(star.rules_sql() + "SELECT deck_id, CAST(cond_id AS INTEGER) AS cond_no FROM cond JOIN conds USING (cond_id) WHERE m + s > 0 AND lo < hi AND (CASE WHEN kind LIKE 'DoesNot%' THEN NOT ok ELSE ok END)")
+def q_conditions(s, d):
+    """Conditions that a deck's cards fulfil, or violate in the case of those that forbid cards."""
+    return rules.condition_hits(star.deck_cards(s, d), _compiled(s)).where("hit").select("deck_id", F.col("cond_id").alias("cond_no"))
+
+
+@query(star.rules_sql() + "SELECT deck_id, CAST(count(*) AS INTEGER) AS n_results, string_agg(name, ';' ORDER BY file_order, variant_order) AS names FROM res GROUP BY 1")
+def q_rule_match(s, d):
+    found = rules.resolved_matches(star.deck_cards(s, d), _compiled(s))
+    return found.select("deck_id", F.size("results").alias("n_results"), F.array_join(F.transform("results", lambda m: m["name"]), ";").alias("names"))
+
+
+@query(star.rules_sql() + "SELECT deck_id, name, with_color, similarity FROM fbest")
+def q_fallback(s, d):
+    return rules.best_fallbacks(star.deck_cards(s, d), _compiled(s))
+
+
+@query(star.rules_sql() + "SELECT deck_id, color FROM color")
+def q_color_identity(s, d):
+    return rules.deck_colors(star.deck_cards(s, d), _compiled(s))
+
+
+@query(star.rules_sql() + "SELECT * FROM cls")
+def q_classify(s, d):
+    found = rules.classify(star.deck_cards(s, d), _compiled(s))
+    return found.withColumn("conflict", F.array_join("conflict", ";"))
+
+
+@query(
+    star.rules_sql()
+    + """, names(name) AS (SELECT DISTINCT name FROM rules), cs(color) AS (SELECT k FROM guild UNION ALL VALUES ('C'))
+SELECT name, color, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(n, '') || replace(name, 'Generic', ''),
+ '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([^A-Z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([^A-Za-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g')) AS label
+FROM names CROSS JOIN cs LEFT JOIN guild ON k = color"""
+)
+def q_display_label(s, d):
+    """Labels of every rule in every colour."""
+    colors = F.explode(F.array(*[F.lit(c) for c in [*text.COLOR_NAMES, "C"]])).alias("color")
+    rows = _compiled(s).rules.select("name").distinct().select("name", colors)
+    return rows.select("name", "color", text.display_label(F.col("name"), F.lit(True), F.col("color")).alias("label"))
+
+
+# Vectors and clusters: decks by TF-IDF; embeddings as clustered vectors, label 9 as noise
+
+
+_TFIDF = """, e AS (SELECT deck_id, card_id, CAST(sum(count) AS BIGINT) AS tf FROM deck_cards JOIN cards ON id = card_id WHERE board = 'main' AND count > 0 AND type_line NOT LIKE 'SMALL%' GROUP BY 1, 2),
+idf AS (SELECT card_id, ln((1.0 + (SELECT CAST(count(*) AS DOUBLE) FROM decks)) / (1.0 + count(*))) + 1.0 AS idf FROM e GROUP BY 1),
+w AS (SELECT deck_id, card_id, tf * idf AS raw FROM e JOIN idf USING (card_id)),
+t AS (SELECT deck_id, card_id, raw / sqrt(sum(raw * raw) OVER (PARTITION BY deck_id)) AS weight FROM w) """
+
+
+def _weights(s, d):
+    excluded = vectors.excluded_cards(star.cards(s, d), ["SMALL"])
+    return vectors.tf_idf(star.deck_cards(s, d), star.decks(s, d).select(F.col("id").alias("deck_id")), excluded)
+
+
+@query(_TFIDF + "SELECT deck_id, card_id, round(weight, 9) AS weight FROM t")
+def q_tfidf(s, d):
+    return _weights(s, d).withColumn("weight", F.round("weight", 9))
+
+
+def _members(s, d):
+    """Embeddings of unit length in long form, and their given clusters."""
+    rows = star.read(s, d, "embeddings")
+    flat = rows.select((F.col("vec_id") % 4).alias("slice"), F.col("vec_id").alias("deck_id"), F.posexplode("embedding").alias("card_id", "x"))
+    flat = flat.withColumn("x", F.col("x").cast("double")).where("x is not null")
+    norm = flat.groupBy("deck_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    unit = flat.join(norm.where("n > 0"), "deck_id").select("slice", "deck_id", "card_id", (F.col("x") / F.col("n")).alias("weight"))
+    cluster = F.when(F.col("label") == 9, clusters.NOISE).otherwise(F.col("label")).cast("int")
+    return unit, rows.select((F.col("vec_id") % 4).alias("slice"), F.col("vec_id").alias("deck_id"), cluster.alias("cluster"))
+
+
+_UNIT = """WITH f AS (SELECT vec_id % 4 AS slice, vec_id AS deck_id, CASE WHEN label = 9 THEN -1 ELSE label END AS cluster, unnest(embedding)::DOUBLE AS x,
+  unnest(range(len(embedding))) AS card_id FROM embeddings),
+v AS (SELECT slice, deck_id, cluster, card_id, x / sqrt(sum(x * x) OVER (PARTITION BY deck_id)) AS weight FROM f),
+nc AS (SELECT vec_id % 4 AS slice, label AS cluster, count(*) AS n FROM embeddings WHERE label <> 9 GROUP BY 1, 2),
+cm AS (SELECT slice, cluster, card_id, sum(weight) / any_value(n) AS m FROM v JOIN nc USING (slice, cluster) GROUP BY 1, 2, 3),
+c AS (SELECT slice, cluster, card_id, m / sqrt(sum(m * m) OVER (PARTITION BY slice, cluster)) AS weight FROM cm) """
+
+
+@query(_UNIT + "SELECT slice, CAST(cluster AS INTEGER) AS cluster, CAST(card_id AS INTEGER) AS card_id, round(weight, 9) + 0.0 AS weight FROM c", star_sql=False)
+def q_centroids(s, d):
+    return clusters.centroids(*_members(s, d)).withColumn("weight", F.round("weight", 9) + F.lit(0.0))
+
+
+@query(
+    _UNIT
+    + """, sim AS (SELECT v.slice, v.deck_id, c.cluster, round(sum(v.weight * c.weight), 12) AS sim FROM v JOIN c ON c.slice = v.slice AND c.card_id = v.card_id WHERE v.cluster = -1 GROUP BY 1, 2, 3),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY sim DESC, cluster) AS r FROM sim) WHERE r = 1)
+SELECT vec_id % 4 AS slice, vec_id AS deck_id, CAST(CASE WHEN label <> 9 THEN label WHEN sim >= 0.3 THEN b.cluster ELSE -1 END AS INTEGER) AS cluster
+FROM embeddings LEFT JOIN b ON b.deck_id = vec_id""",
+    star_sql=False,
+)
+def q_attach_noise(s, d):
+    return clusters.attach_noise(*_members(s, d))
+
+
+@query()
+def q_cluster(s, d):
+    """Density clusters of each event's decks by month, and the attachment of noise; SQL has no words for it."""
+    decks = star.decks(s, d).select(F.date_format("date", "yyyy-MM").alias("slice"), F.col("id").alias("deck_id"))
+    vecs = _weights(s, d).join(decks, "deck_id")
+    return clusters.cluster_and_attach(vecs, decks)
+
+
+# Evaluation: types of parts as truth, their sizes as clusters
+
+
+def _judged_sql(s: str) -> str:
+    return (
+        """WITH cl AS (SELECT p_partkey AS deck_id, p_size % 6 - 1 AS cluster FROM part), tr AS (SELECT p_partkey AS deck_id, p_type AS truth FROM part WHERE p_partkey % 10 <> 0),
+votes AS (SELECT cluster, truth, count(*) AS n FROM cl JOIN tr USING (deck_id) WHERE cluster <> -1 GROUP BY 1, 2),
+maj AS (SELECT cluster, truth AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, truth) AS r FROM votes) WHERE r = 1),
+pr AS (SELECT deck_id, truth, label AS predicted, cluster FROM tr JOIN cl USING (deck_id) LEFT JOIN maj USING (cluster)),
+est AS (SELECT truth FROM pr GROUP BY 1 HAVING count(*) >= 50) """
+        + s
+    )
+
+
+def _judged(s, d):
+    rows = star.read(s, d, "part").withColumnRenamed("p_partkey", "deck_id")
+    clustered = rows.select("deck_id", (F.col("p_size") % 6 - 1).cast("int").alias("cluster"))
+    return clustered, rows.where("deck_id % 10 <> 0").select("deck_id", F.col("p_type").alias("truth"))
+
+
+@query(_judged_sql("SELECT CAST(cluster AS INTEGER) AS cluster, label FROM maj"), star_sql=False)
+def q_majority_label(s, d):
+    return evaluate.majority_labels(*_judged(s, d))
+
+
+@query(
+    _judged_sql(
+        "SELECT e.truth AS label, count(*) FILTER (p.truth = e.truth) AS n, "
+        "coalesce(count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / nullif(count(*) FILTER (predicted = e.truth), 0), 0.0) AS precision, "
+        "count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / count(*) FILTER (p.truth = e.truth) AS recall, "
+        "coalesce(2 * (count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / nullif(count(*) FILTER (predicted = e.truth), 0)) * "
+        "(count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / count(*) FILTER (p.truth = e.truth)) / "
+        "nullif((count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / nullif(count(*) FILTER (predicted = e.truth), 0)) + "
+        "(count(*) FILTER (p.truth = e.truth AND predicted = e.truth) / count(*) FILTER (p.truth = e.truth)), 0), 0.0) AS f1 FROM est e, pr p GROUP BY 1"
+    ),
+    star_sql=False,
+)
+def q_prf1(s, d):
+    return evaluate.per_label(evaluate.predictions(*_judged(s, d)))
+
+
+@query(
+    _judged_sql(
+        "SELECT count(*) AS decks, count(*) FILTER (truth = predicted) AS agreeing, count(*) FILTER (truth = predicted) / count(*) AS agreement FROM pr JOIN est USING (truth)"
+    ),
+    star_sql=False,
+)
+def q_agreement(s, d):
+    return evaluate.agreement(evaluate.predictions(*_judged(s, d)))
+
+
+@query(
+    _judged_sql(
+        ", k AS (SELECT truth, cluster, count(*) AS n FROM pr GROUP BY 1, 2), a AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM k GROUP BY truth)), "
+        "b AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM k GROUP BY cluster)), c AS (SELECT sum(n * (n - 1) / 2.0) AS v, sum(n) AS t FROM k) "
+        "SELECT CAST(t AS BIGINT) AS n, round((c.v - a.v * b.v / (t * (t - 1) / 2.0)) / ((a.v + b.v) / 2.0 - a.v * b.v / (t * (t - 1) / 2.0)), 9) AS ari FROM a, b, c"
+    ),
+    star_sql=False,
+)
+def q_ari(s, d):
+    return evaluate.adjusted_rand(evaluate.predictions(*_judged(s, d)), "truth", "cluster").withColumn("ari", F.round("ari", 9))
+
+
+@query(
+    "SELECT event_id, date AS fifth FROM (SELECT event_id, date, row_number() OVER (PARTITION BY event_id ORDER BY date, id) AS r FROM decks) WHERE r = 5"
+)
+def q_nth_appearance(s, d):
+    rows = star.decks(s, d).select("event_id", "date", F.col("id").alias("deck_id"))
+    return evaluate.appearances(rows, "event_id").where("nth = 5").select("event_id", F.col("date").alias("fifth"))
+
+
+@query(
+    """, t AS (SELECT id, date FROM decks JOIN (SELECT DISTINCT deck_id FROM deck_cards WHERE card_id < 20 AND board = 'main') k ON k.deck_id = id),
+f AS (SELECT max(date) AS first FROM (SELECT date FROM t ORDER BY date, id LIMIT 5)),
+days AS (SELECT CAST(first + INTERVAL 1 DAY * k AS DATE) AS slice FROM f, range(8) r(k)),
+m AS (SELECT slice, id % 400 AS cluster, count(*) AS size, count(*) FILTER (id IN (SELECT id FROM t)) AS hits FROM decks d JOIN days ON d.date <= slice GROUP BY 1, 2)
+SELECT slice, cluster, size, hits / size AS purity FROM m WHERE size >= 1 AND hits / size > 0.5"""
+)
+def q_emergence(s, d):
+    """Clusters, here given ones, of the decks up to each day of the horizon in which a new card's decks prevail."""
+    key = star.deck_cards(s, d).where("card_id < 20 and board = 'main'").select("deck_id").distinct()
+    rows = star.decks(s, d).select(F.col("id").alias("deck_id"), "date")
+    targets = rows.join(key, "deck_id", "left_semi")
+    days = evaluate.nth_date(targets).select(evaluate.expanding_days(F.col("first")).alias("slice"))
+    clustered = rows.join(F.broadcast(days), F.col("date") <= F.col("slice")).select("slice", "deck_id", (F.col("deck_id") % 400).alias("cluster"))
+    return evaluate.qualifying(clustered, targets, least=1)
+
+
+# Trends
+
+
+@query("SELECT d.date, source AS label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2")
+def q_daily_share(s, d):
+    return trends.daily_share(_labelled(s, d))
+
+
+def _labelled(s, d):
+    ev = star.events(s, d).select(F.col("id").alias("event_id"), F.col("source").alias("label"))
+    return star.decks(s, d).join(ev, "event_id")
+
+
+@query(
+    "SELECT source AS label, round(sum(pow(0.5, date_diff('day', d.date, DATE '2001-08-01') / 14.0) * (wins + losses)), 6) AS games, "
+    "round((sum(pow(0.5, date_diff('day', d.date, DATE '2001-08-01') / 14.0) * wins) + 1) / (sum(pow(0.5, date_diff('day', d.date, DATE '2001-08-01') / 14.0) * (wins + losses)) + 2), 6) AS rate "
+    "FROM decks d JOIN ev e ON e.id = d.event_id WHERE wins IS NOT NULL GROUP BY 1"
+)
+def q_win_rates(s, d):
+    return trends.win_rates(_labelled(s, d), F.lit("2001-08-01").cast("date")).select("label", F.round("games", 6).alias("games"), F.round("rate", 6).alias("rate"))
+
+
+@query(
+    ", sh AS (SELECT d.date, source AS label, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2) "
+    "SELECT a.label, count(*) AS n, round(avg(abs(a.share - b.share)), 9) AS mae FROM sh a JOIN sh b ON b.label = a.label AND a.date = b.date + 7 GROUP BY 1"
+)
+def q_persistence(s, d):
+    return trends.persistence_error(trends.daily_share(_labelled(s, d))).withColumn("mae", F.round("mae", 9))
+
+
+@query(
+    ", p AS (SELECT a.id AS x, b.id AS y, e1.source AS la, e2.source AS lb, a.wins > coalesce(b.wins, -1) AS won FROM decks a JOIN decks b ON b.id = a.id + 1 "
+    "JOIN ev e1 ON e1.id = a.event_id JOIN ev e2 ON e2.id = b.event_id WHERE a.wins IS NOT NULL) "
+    "SELECT label, against, count(*) AS games, CAST(sum(won) AS BIGINT) AS wins FROM (SELECT la AS label, lb AS against, CAST(won AS INTEGER) AS won FROM p "
+    "UNION ALL SELECT lb, la, CAST(NOT won AS INTEGER) FROM p) GROUP BY 1, 2"
+)
+def q_matchups(s, d):
+    rows = star.decks(s, d).select("id", "wins")
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("id").alias("deck_id_b"), F.col("wins").alias("other"))
+    played = rows.join(other, "id").where("wins is not null").select(
+        F.col("id").alias("deck_id_a"), "deck_id_b", (F.col("wins") > F.coalesce("other", F.lit(-1))).alias("a_won")
+    )
+    return trends.matchups(played, _labelled(s, d).select(F.col("id").alias("deck_id"), "label"))
