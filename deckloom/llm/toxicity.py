@@ -26,8 +26,8 @@ from .common import table
 
 LEAST, MOST, BITS, DIM = 3, 5, 16, 8
 #: Labelled rows of each class that are learned from, about.
-SAMPLE = {1: 1500, 0: 2500}
-EPOCHS, BATCH, RATE = 12, 32, 0.5
+SAMPLE = {1: 1500, 0: 6000}
+EPOCHS, BATCH, RATE = 6, 32, 0.5
 THRESHOLD = 0.3
 
 
