@@ -157,7 +157,8 @@ def centroids(vectors: DataFrame, clustered: DataFrame) -> DataFrame:
 def attach_noise(vectors: DataFrame, clustered: DataFrame, tau: float = TAU) -> DataFrame:
     """(slice, deck_id, cluster): noise goes to the nearest centroid if its cosine is ``tau`` or more.
 
-    Of equally near clusters the smallest wins. Clustered decks stay. With tau at 0 or
+    Of equally near clusters the smallest wins. Clustered decks stay. Weights are not
+    negative, as those of TF-IDF are, or all cards of all centroids are in each deck. With tau at 0 or
     below, decks that share no card with any centroid go to the smallest cluster.
     """
     noise = clustered.where(F.col("cluster") == NOISE).select("slice", "deck_id")

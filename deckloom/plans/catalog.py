@@ -504,7 +504,7 @@ def q_prf1(s, d):
 
 @query(
     _judged_sql(
-        "SELECT count(*) AS decks, count(*) FILTER (truth = predicted) AS agreeing, count(*) FILTER (truth = predicted) / count(*) AS agreement FROM pr JOIN est USING (truth)"
+        "SELECT count(*) AS decks, count(*) FILTER (truth = predicted) AS agreeing, coalesce(count(*) FILTER (truth = predicted) / nullif(count(*), 0), 0.0) AS agreement FROM pr JOIN est USING (truth)"
     ),
     star_sql=False,
 )
