@@ -51,9 +51,13 @@ def _pos():
 
 
 def _classes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose ``by`` also occurs elsewhere, with the first such place as ``name``."""
+    """The rows whose ``by`` also occurs elsewhere, with the first such place as ``name``.
+
+    The names are written before the join, so that both its sides are plain shuffles
+    and Spark can split the partition of a very frequent class.
+    """
     found = rows.groupBy(*by).agg(F.min(_pos()).alias("name"), F.max(_pos()).alias("_last"))
-    return rows.join(found.where("name <> _last").drop("_last"), by)
+    return rows.join(cut(found.where("name <> _last").drop("_last")), by)
 
 
 def _step(rows: DataFrame, ahead: int) -> DataFrame:
