@@ -2,8 +2,9 @@
 
 Pages become WARC/1.1 records: the first page of a payload a ``response``, later
 ones a ``revisit`` without the payload. Spark's text writer puts them into files,
-its line separator being the blank lines that end a record, so files are
-committed as those of any other table. Reading follows the records' own lengths.
+its line separator being the blank lines that end a record, so files are gzipped
+and committed as those of any other table. Reading follows the records' own lengths;
+an offset is a place in the unpacked archive.
 
 The index of captures is an external merge sort: each archive's captures, sorted
 by URL key and time, are a run on disk; the key space is cut into ranges, and in
@@ -14,6 +15,7 @@ capture histories of all URLs.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -93,7 +95,7 @@ def write_archives(
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
         (F.octet_length(http) + F.when(again, 0).otherwise(F.col("n"))).cast("string"), F.lit(END), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_PAGES).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_PAGES).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -180,7 +182,7 @@ def write_runs(spark: SparkSession, archives: str, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
-                rows = captures(name.as_py().rpartition("/")[2], data.as_py())
+                rows = captures(name.as_py().rpartition("/")[2], gzip.decompress(data.as_py()))
                 if rows:
                     yield _batch(rows)
 
