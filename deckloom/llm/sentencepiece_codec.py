@@ -87,7 +87,8 @@ class Pieces:
     stretch: re.Pattern | None
     #: Whether pieces are merged pairs (BPE), whose steps are judged by ``follows``.
     merged: bool = False
-    memo: dict[str, array] = field(default_factory=dict)
+    #: Ids of stretches, as the bytes of 32-bit integers.
+    memo: dict[str, bytes] = field(default_factory=dict)
     #: Steps from piece to piece that were judged, as before x 2^20 + next (sorted), and whether they are allowed.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     allowed: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
@@ -219,17 +220,26 @@ def _chars(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
 
 
-def abreast(pieces: Pieces, stretches: list[str]) -> list[array]:
+def abreast(pieces: Pieces, stretches: list[str]) -> list[bytes]:
     """The ids of the best paths over short stretches."""
     m = max(map(len, stretches))
-    chars = _chars("".join(s.ljust(m, "\0") for s in stretches)).reshape(len(stretches), m)
+    chars = _chars("".join([s.ljust(m, "\0") for s in stretches])).reshape(len(stretches), m)
     n = np.array([len(s) for s in stretches])
     window = Window.start(len(stretches), m + 1)
     for i in range(m):
         extend(pieces, window, i, chars[:, i : min(m, i + pieces.max_len)], n - i)
-    size, ids, out = window.size, window.ids, []
-    for row, (s, end) in enumerate(zip(stretches, n.tolist())):
-        out.append(_path(pieces, s, size[row], ids[row], end))
+    # The boundaries on the best paths, all stretches going back one piece at a time.
+    on_path = np.zeros(window.ids.shape, dtype=bool)
+    rows, at = np.arange(len(n)), n.copy()
+    while len(rows):
+        on_path[rows, at] = True
+        at = at - window.size[rows, at]
+        rows, at = rows[at > 0], at[at > 0]
+    ends = np.cumsum(on_path.sum(axis=1)) * 4
+    flat = window.ids[on_path].astype(np.int32).tobytes()
+    out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    for row in np.flatnonzero((on_path & (window.ids < 0)).any(axis=1)).tolist():
+        out[row] = _path(pieces, stretches[row], window.size[row], window.ids[row], len(stretches[row])).tobytes()
     return out
 
 
@@ -271,39 +281,40 @@ def _path(pieces: Pieces, s: str, size: np.ndarray, ids: np.ndarray, end: int) -
     return array("i", out)
 
 
-def encode_texts(pieces: Pieces, texts: list[str | None]) -> list[array]:
-    """Ids of texts; none for an empty or missing one."""
-    mark = array("i", [pieces.byte_ids[b] for b in MARK.encode()])
-    cut_up = [list(_stretches(pieces, text)) if text else [] for text in texts]
-    memo, short = pieces.memo, MEMO_CHARS
-    new = {x for parts in cut_up for x in parts if x not in memo and len(x) <= short}
-    if len(memo) + len(new) > MEMO:
+def encode_texts(pieces: Pieces, texts: list[str | None]) -> list[bytes]:
+    """Ids of texts, as the bytes of 32-bit integers; none for an empty or missing one."""
+    memo = pieces.memo
+    cut_up = [_stretches(pieces, text) if text else [] for text in texts]
+    seen = set().union(*cut_up)
+    if len(memo) + len(seen) > MEMO:
         memo.clear()
-        new = {x for parts in cut_up for x in parts if len(x) <= short}
-    new.discard("")
-    todo = sorted(new, key=len)
-    for a in range(0, len(todo), ABREAST):
-        memo.update(zip(todo[a : a + ABREAST], abreast(pieces, todo[a : a + ABREAST])))
-    memo[""] = mark
-    out = []
-    for parts in cut_up:
-        ids = array("i")
-        for x in parts:
-            ids.extend(memo[x] if len(x) <= short else viterbi(pieces, x))
-        out.append(ids)
+    new = sorted(seen.difference(memo), key=len)
+    memo[""] = array("i", [pieces.byte_ids[b] for b in MARK.encode()]).tobytes()
+    long = [x for x in new if len(x) > MEMO_CHARS]
+    short = [x for x in new if 0 < len(x) <= MEMO_CHARS]
+    for a in range(0, len(short), ABREAST):
+        memo.update(zip(short[a : a + ABREAST], abreast(pieces, short[a : a + ABREAST])))
+    memo.update((x, array("i", viterbi(pieces, x)).tobytes()) for x in long)
+    out = [b"".join(map(memo.__getitem__, parts)) for parts in cut_up]
+    for x in long:
+        del memo[x]
     return out
 
 
-def _stretches(pieces: Pieces, text: str) -> Iterator[str]:
+def _stretches(pieces: Pieces, text: str) -> list[str]:
     """The stretches of a text with its spaces as marks; an empty one stands for a mark of the text itself."""
+    out: list[str] = []
     for n, part in enumerate(text.split(MARK)):
+        s = part.replace(" ", MARK)
         if n:
-            yield ""
-        s = part.replace(" ", MARK) if n else MARK + part.replace(" ", MARK)
-        yield from pieces.stretch.findall(s) if pieces.stretch else [s] if s else []
+            out.append("")
+        else:
+            s = MARK + s
+        out += pieces.stretch.findall(s) if pieces.stretch else [s] if s else []
+    return out
 
 
-def decode(pieces: Pieces, ids: array) -> bytes:
+def decode(pieces: Pieces, ids: list[int]) -> bytes:
     """UTF-8 of the text of ids. Ids without a text of their own (unknown, control) give nothing."""
     table = pieces.text
     joined = b"".join([table[k] for k in ids])
@@ -332,12 +343,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, text_col: str = "text"
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(batch.schema.names.index("_text")).to_pylist()
-                flat, ends = array("i"), [0]
-                for ids in encode_texts(pieces, texts):
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                offsets = pa.array(np.array(ends, dtype=np.int32), mask=np.array([*(t is None for t in texts), False]))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)))
+                found = encode_texts(pieces, texts)
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                offsets = pa.array(ends, mask=np.array([*(t is None for t in texts), False]))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
                 cols = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != "_text"]
                 yield pa.RecordBatch.from_arrays([*cols, ids], [*own, "_ids"])
 
