@@ -1,13 +1,18 @@
 """Density clusters of deck vectors, and the attachment of what is left to the nearest centroid.
 
 Clusters are made for each slice (a format and month, say) by itself, many slices
-at a time. A slice is what the clustering is defined over; ``most`` bounds the
-decks of one, and a larger slice raises rather than being cut. Attaching is plain
-joins over all slices.
+at a time. The decks of a slice are dealt into chunks; each two chunks are a cell,
+whose task keeps a spanning forest of its own pairs. An edge that is the longest of
+a cycle in its cell is the longest of one in the slice, so the slice's tree is among
+the edges kept. Those are merged in buckets of bounded size until a slice has one,
+and only that list of edges, never vectors, goes to the step that condenses the
+tree. Attaching is plain joins over all slices.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +21,10 @@ from pyspark.sql import functions as F
 NOISE = -1
 #: Least decks of a cluster, and least cosine for attaching.
 LEAST_SIZE, TAU = 5, 0.3
+#: Decks of a chunk, about; edges of a slice that one task merges at least, and for each deck of the slice.
+BLOCK, EDGES, PER_DECK = 512, 1 << 17, 4
+#: Cards in more decks of a cell than this are multiplied as a matrix, so many at a time; others pair by pair.
+RARE, COLUMNS = 32, 4096
 
 
 def spanning_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
@@ -39,12 +48,65 @@ def spanning_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
 
 
 def density_clusters(x: np.ndarray, least: int = LEAST_SIZE) -> np.ndarray:
-    """Labels from 0 in order of each cluster's first row; -1 for noise.
+    """Labels of unit rows from 0 in order of each cluster's first row; -1 for noise."""
+    return condense(len(x), spanning_tree(x), least)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges between n points, shortest first, make the minimum spanning forest.
+
+    In each round every part takes its first edge. No two edges are equal, as
+    their places differ, so the forest is the only one.
+    """
+    label, alive, kept = np.arange(n), np.arange(len(a)), [np.zeros(0, dtype=int)]
+    while True:
+        alive = alive[label[a[alive]] != label[b[alive]]]
+        if not len(alive):
+            return np.sort(np.concatenate(kept))
+        first = np.full(n, len(a))
+        np.minimum.at(first, label[a[alive]], alive)
+        np.minimum.at(first, label[b[alive]], alive)
+        taken = np.unique(first[first < len(a)])
+        kept.append(taken)
+        left, right = label[a[taken]], label[b[taken]]
+        while (label[left] != label[right]).any():
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, label[left], low)
+            np.minimum.at(label, label[right], low)
+            while (label != label[label]).any():
+                label = label[label]
+
+
+def near_pairs(n: int, row: np.ndarray, card: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, a, b), a < b, of the pairs of rows at a distance below 1; distances as in ``spanning_tree``."""
+    order = np.lexsort((row, card))
+    row, card, weight = row[order], card[order], weight[order]
+    counts = np.unique(card, return_counts=True)[1]
+    often = np.repeat(counts, counts)
+    sim = np.zeros(n * n)
+    r, c, w = (v[often <= RARE] for v in (row, card, weight))
+    for step in range(1, int(min(RARE, counts.max(initial=0)))):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if len(same):
+            np.add.at(sim, r[same] * n + r[same + step], w[same] * w[same + step])
+    sim = sim.reshape(n, n)
+    r, w = row[often > RARE], weight[often > RARE]
+    column = np.repeat(np.arange((counts > RARE).sum()), counts[counts > RARE])
+    for start in range(0, int((counts > RARE).sum()), COLUMNS):
+        i, j = np.searchsorted(column, [start, start + COLUMNS])
+        m = np.zeros((n, int(column[j - 1]) - start + 1))
+        m[r[i:j], column[i:j] - start] = w[i:j]
+        sim += m @ m.T
+    a, b = np.nonzero(np.triu(np.round(1.0 - sim, 12) < 1.0, 1))
+    return np.maximum(0.0, np.round(1.0 - sim[a, b], 12)), a, b
+
+
+def condense(n: int, tree: list[tuple[float, int, int]], least: int = LEAST_SIZE) -> np.ndarray:
+    """Labels from 0 in order of each cluster's first row; -1 for noise. tree: n - 1 edges, shortest first.
 
     The single-linkage tree is condensed to parts of ``least`` rows or more, and
     those of the greatest excess of mass are the clusters; the whole is none.
     """
-    n = len(x)
     labels = np.full(n, NOISE)
     if n < max(least, 2):
         return labels
@@ -58,7 +120,7 @@ def density_clusters(x: np.ndarray, least: int = LEAST_SIZE) -> np.ndarray:
             i = parent[i]
         return i
 
-    for k, (d, a, b) in enumerate(spanning_tree(x)):
+    for k, (d, a, b) in enumerate(tree):
         a, b = top(a), top(b)
         new = n + k
         parent[a] = parent[b] = new
@@ -114,32 +176,97 @@ def density_clusters(x: np.ndarray, least: int = LEAST_SIZE) -> np.ndarray:
     return labels
 
 
-def cluster_slices(vectors: DataFrame, decks: DataFrame, least: int = LEAST_SIZE, most: int = 20_000) -> DataFrame:
-    """(slice, deck_id, cluster) of every deck.
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint; a temporary folder only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="deckloom-"))
+    return df.checkpoint(eager=True)
+
+
+def _first_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The spanning forest of the pairs that a cell compares: between its two chunks, or within the one."""
+    pdf = pdf.sort_values("deck_id").reset_index(drop=True)
+    row = np.repeat(np.arange(len(pdf)), pdf["cards"].map(len))
+    card, weight = np.concatenate(pdf["cards"].tolist()), np.concatenate(pdf["weights"].tolist()).astype(float)
+    last = np.append((row[1:] != row[:-1]) | (card[1:] != card[:-1]), True)  # a card counts once in a deck
+    d, a, b = near_pairs(len(pdf), row[last], np.unique(card[last], return_inverse=True)[1], weight[last])
+    if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
+        chunk = pdf["chunk"].to_numpy()
+        across = chunk[a] != chunk[b]
+        d, a, b = d[across], a[across], b[across]
+    return _kept(pdf["slice"].iloc[0], pdf["deck_id"].to_numpy(), d, a, b)
+
 
-    vectors: slice, deck_id, card_id, weight; decks: slice, deck_id. Clusters are
-    numbered within a slice. A deck without a card is noise. Raises if a slice has
-    more than ``most`` decks.
+def _kept(part: object, ids: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((b, a, d))
+    keep = order[forest(len(ids), a[order], b[order])]
+    return pd.DataFrame({"slice": pd.Series([part] * len(keep), dtype=object), "d": d[keep], "a": ids[a[keep]], "b": ids[b[keep]]})
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, ends = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+    return _kept(pdf["slice"].iloc[0], ids, pdf["d"].to_numpy(), ends[: len(pdf)], ends[len(pdf) :])
+
+
+def tree_edges(vectors: DataFrame, decks: DataFrame, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
+    """(slice, d, a, b): edges below distance 1 that hold the minimum spanning forest of each slice.
+
+    At most ``PER_DECK`` for each deck of a slice, or ``edges``.
     """
-    packed = vectors.groupBy("slice", "deck_id").agg(
-        F.array_sort(F.collect_list(F.struct("card_id", "weight"))).alias("v")
+    packed = vectors.groupBy("slice", "deck_id").agg(F.array_sort(F.collect_list(F.struct("card_id", "weight"))).alias("v"))
+    packed = packed.join(decks.select("slice", "deck_id").distinct(), ["slice", "deck_id"], "left_semi")
+    rows = _cut(packed.select("slice", "deck_id", F.col("v.card_id").alias("cards"), F.col("v.weight").alias("weights")))
+    sizes = _cut(rows.groupBy("slice").agg(F.count("*").alias("n")))
+    dealt = rows.join(F.broadcast(sizes.withColumn("m", F.ceil(F.col("n") / block))), "slice")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "deck_id"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
+    celled = dealt.select(
+        "slice", "deck_id", "cards", "weights", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q")
     )
-    rows = decks.select("slice", "deck_id").join(packed, ["slice", "deck_id"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"slice {pdf['slice'].iloc[0]!r} has {len(pdf)} decks, more than {most}; cut finer slices")
-        pdf = pdf.sort_values("deck_id").reset_index(drop=True)
-        cards = sorted({c["card_id"] for v in pdf["v"] if v is not None for c in v})
-        place = {c: k for k, c in enumerate(cards)}
-        x = np.zeros((len(pdf), max(1, len(cards))))
-        for row, v in enumerate(pdf["v"]):
-            for c in v if v is not None else ():
-                x[row, place[c["card_id"]]] = c["weight"]
-        return pd.DataFrame({"slice": pdf["slice"], "deck_id": pdf["deck_id"], "cluster": density_clusters(x, least)})
-
     kinds = dict(rows.dtypes)
-    return rows.groupBy("slice").applyInPandas(run, f"slice {kinds['slice']}, deck_id {kinds['deck_id']}, cluster int")
+    kind = f"slice {kinds['slice']}, d double, a {kinds['deck_id']}, b {kinds['deck_id']}"
+    found = _cut(celled.groupBy("slice", "p", "q").applyInPandas(_first_edges, kind))
+    while True:
+        size = found.groupBy("slice").agg(F.count("*").alias("e")).join(F.broadcast(sizes), "slice")
+        size = size.select("slice", F.ceil(F.col("e") / F.greatest(F.lit(edges), F.col("n") * PER_DECK)).alias("m"))
+        size = _cut(size.where("m > 1"))
+        if size.isEmpty():
+            return found
+        large = found.join(F.broadcast(size), "slice").withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.col("m")))
+        merged = large.groupBy("slice", "bucket").applyInPandas(_merged, kind)
+        found = _cut(merged.unionByName(found.join(F.broadcast(size), "slice", "left_anti")))
+
+
+def cluster_slices(
+    vectors: DataFrame, decks: DataFrame, least: int = LEAST_SIZE, most: int | None = None, block: int = BLOCK, edges: int = EDGES
+) -> DataFrame:
+    """(slice, deck_id, cluster) of every deck.
+
+    vectors: slice, deck_id, card_id, weight; decks: slice, deck_id. Weights are
+    of decks of length one. Clusters are numbered within a slice. A deck without a
+    card is noise; a repeated one counts once. Slices may be of any size, unless
+    ``most`` is given: then one of more decks raises.
+    """
+    found = tree_edges(vectors, decks, block, edges)
+
+    def run(members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if most is not None and len(members) > most:
+            raise ValueError(f"slice {members['slice'].iloc[0]!r} has {len(members)} decks, more than {most}; cut finer slices")
+        ids, place = np.unique(members["deck_id"].to_numpy(), return_inverse=True)
+        d, a, b = pdf["d"].to_numpy(), np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
+        order = np.lexsort((b, a, d))
+        order = order[forest(len(ids), a[order], b[order])]
+        d, a, b = d[order], a[order], b[order]
+        # Parts that share nothing are at distance 1, and joined in the order of their first decks.
+        far = np.arange(1, len(ids))
+        far = far[forest(len(ids), np.append(a, far * 0), np.append(b, far))[len(a) :] - len(a)]
+        tree = list(zip(np.append(d, far * 0 + 1.0).tolist(), np.append(a, far * 0).tolist(), np.append(b, far).tolist()))
+        return pd.DataFrame({"slice": members["slice"], "deck_id": members["deck_id"], "cluster": condense(len(ids), tree, least)[place]})
+
+    kinds = dict(decks.dtypes)
+    both = decks.select("slice", "deck_id").groupBy("slice").cogroup(found.groupBy("slice"))
+    return both.applyInPandas(run, f"slice {kinds['slice']}, deck_id {kinds['deck_id']}, cluster int")
 
 
 def centroids(vectors: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -78,6 +78,27 @@ def test_slices(spark, long_form):
         clusters.cluster_slices(vecs, decks, most=5).count()
 
 
+def test_cells_and_buckets_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((90, 30)) * (rng.random((90, 30)) < 0.08) + np.repeat(np.eye(30)[:3], 30, axis=0) * rng.random((90, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [("s", i, c, float(x[i, c])) for i in range(90) for c in range(30) if x[i, c]]
+    vecs = spark.createDataFrame(rows, "slice string, deck_id long, card_id long, weight double")
+    decks = spark.createDataFrame([("s", i) for i in range(90)], "slice string, deck_id long")
+    want = clusters.density_clusters(x).tolist()
+    assert max(want) > 0
+    for block, edges in ((512, 1 << 17), (8, 20)):
+        got = clusters.cluster_slices(vecs, decks, block=block, edges=edges).orderBy("deck_id").collect()
+        assert [r["cluster"] for r in got] == want
+
+
+def test_large_slice(spark, long_form):
+    vecs, decks = long_form
+    more = decks.unionByName(spark.range(100, 20_200).select(F.lit("s").alias("slice"), F.col("id").alias("deck_id")))
+    got = clusters.cluster_slices(vecs, more)
+    assert got.count() == 20_128 and got.where("cluster = -1").count() == 20_128 - 24
+
+
 @pytest.mark.parametrize("tau, noise", [(1.01, 4), (0.3, 4), (0.0, 0)])
 def test_attach(long_form, tau, noise):
     vecs, decks = long_form
