@@ -30,8 +30,8 @@ from .common import WORD_BYTES, by_cell, cells, components, cut, groups, node_id
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 SIZE, SMALL, DEPTH, BLOCK = 64, 256, 4, 512
-#: Sets go on to the exact comparison if their tokens agree this much less than the threshold (four deviations).
-SLACK = 0.2
+#: Of what may be missed, the share that the comparison of tokens may miss; the rest is left to the paths.
+BY_TOKENS = 0.25
 _U = np.uint64
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -103,9 +103,45 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _agreeing(threshold: float) -> list[float]:
+    """Chances that 0, 1, ... SIZE tokens of a pair at the threshold agree."""
+    return [math.comb(SIZE, k) * threshold**k * (1 - threshold) ** (SIZE - k) for k in range(SIZE + 1)]
+
+
+def least_agreeing(recall: float, threshold: float) -> int:
+    """Agreeing tokens from which a pair goes on to the exact comparison."""
+    below, k = 0.0, 0
+    for k, chance in enumerate(_agreeing(threshold)):
+        below += chance
+        if below > BY_TOKENS * (1 - recall):
+            break
+    return k
+
+
+def missed(runs: int, least: int, threshold: float) -> float:
+    """The chance that a pair at the threshold is not found.
+
+    In a run a pair is lost if its shared paths die out on the way down to DEPTH:
+    a node draws one place, or two with a chance of a quarter.
+    """
+    total = 0.0
+    for k, chance in enumerate(_agreeing(threshold)):
+        lost = 0.0
+        for _ in range(DEPTH):
+            gone = 1 - k / SIZE * (1 - lost)
+            lost = 0.75 * gone + 0.25 * gone**2
+        total += chance * (1.0 if k < least else lost**runs)
+    return total
+
+
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs that find a pair at the threshold with the recall, if its path ends at depth one or two as nearly all do."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**2)) if recall < 1 else 64
+    """Runs that find a pair at the threshold with the recall, even where its nodes are large down to DEPTH."""
+    least, runs = least_agreeing(recall, threshold), 1
+    if recall >= 1:
+        return 64
+    while missed(runs, least, threshold) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _children(parent: Column, tok: Column) -> Column:
@@ -167,7 +203,7 @@ def _own_pairs(g: pa.Table, keep: np.ndarray, hit: np.ndarray) -> tuple[np.ndarr
     return np.nonzero(hit)
 
 
-def _may_reach(threshold: float):
+def _may_reach(threshold: float, least: int):
     """Members of a cell that have a partner by their tokens and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +216,7 @@ def _may_reach(threshold: float):
             agree = np.zeros((len(ids), len(ids)), dtype=np.int16)
             for c in range(SIZE):
                 agree += tok[:, c : c + 1] == tok[None, :, c]
-            hit = agree >= SIZE * (threshold - SLACK)
+            hit = agree >= least
             hit &= np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n)
             a, b = _own_pairs(g, keep, hit)
             some = np.unique(np.concatenate([a, b]))
@@ -277,7 +313,7 @@ def similar_documents(
     per_set = found_in.groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("leaves"))
     placed = cells(found_in, "k", "id", block)
     probes = placed.join(per_set, "id").join(sets.select("id", "n", "tok"), "id")
-    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold), "k long, p int, q int, chunk int, id long"))
+    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold, least_agreeing(recall, threshold)), "k long, p int, q int, chunk int, id long"))
     wanted = near.select("id").distinct().join(sets.select("id", "th", "copies"), "id").join(per_set, "id")
     texts = rows.join(wanted.select("id", "th"), ["id", "th"], "left_semi")
     full = wanted.join(texts.select("id", "text").mapInArrow(_shingle_sets, "id long, s binary"), "id")

@@ -151,3 +151,19 @@ def test_vectors(spark):
     got = sorted((r["vec_id"] or -1, r["n_links"], r["kept"]) for r in found.collect())
     assert got == [(-1, 0, True), (1, 2, True), (1, 2, True), (2, 2, False), (3, 0, True), (4, 0, True), (5, 0, True), (6, 0, True), (7, 0, True), (8, 0, True)]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_near_copies_are_missed_as_seldom_as_stated():
+    # Pairs at the threshold, agreeing in a random number of tokens, all of whose nodes are large down to DEPTH.
+    import numpy as np
+
+    share = np.random.default_rng(1).binomial(ngram_join.SIZE, 0.8, 400_000) / ngram_join.SIZE
+    lost = np.zeros_like(share)
+    for _ in range(ngram_join.DEPTH):
+        gone = 1 - share * (1 - lost)
+        lost = 0.75 * gone + 0.25 * gone * gone
+    miss = (lost ** ngram_join.runs_for(ngram_join.RECALL, 0.8)).mean()
+    assert miss < 1 - ngram_join.RECALL
+    least = ngram_join.least_agreeing(ngram_join.RECALL, 0.8)
+    assert (share * ngram_join.SIZE < least).mean() < 1 - ngram_join.RECALL
+    assert ngram_join.missed(ngram_join.runs_for(ngram_join.RECALL, 0.8), least, 0.8) <= 1 - ngram_join.RECALL
