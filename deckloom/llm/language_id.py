@@ -2,8 +2,9 @@
 
 A text is the square roots of the counts of its hashed character 1- to 3-grams,
 scaled to length one. Machines for each two language families vote for the
-family; machines for each two of its languages then vote for the language. All are
-learned in numpy (squared hinge loss) from a bounded sample of labelled rows.
+family; machines for each two of its languages then vote for the language. More
+than FAN families, or languages of one, are voted for in groups first. Each vote is
+learned in a task (numpy, squared hinge loss) from a bounded sample of each language.
 Predicting is one pass over the texts, no shuffle.
 """
 
@@ -14,16 +15,18 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import ngrams
 from .common import table
 
 LEAST, MOST, BITS = 1, 3, 12
-#: Labelled rows that are learned from in all, about, and those of a language at most; languages at most, the most frequent ones.
-SAMPLE, PER_LANGUAGE, LANGUAGES = 2000, 1000, 100
+#: Labelled rows of a language that are learned from at most; classes of a vote at most, and its rows, about.
+PER_LANGUAGE, FAN, VOTE_ROWS = 1000, 16, 16_000
 PENALTY, STEPS = 1e-4, 300
 #: A text whose score is below this is in none of the learned languages clearly.
 CLEAR = 0.3
@@ -68,7 +71,7 @@ class Vote:
         w, b = [], []
         for one, other in combinations(classes, 2):
             rows = (y == one) | (y == other)
-            found = machine(x[rows], np.where(y[rows] == one, 1.0, -1.0).astype(np.float32))
+            found = machine(x[rows].astype(np.float32), np.where(y[rows] == one, 1.0, -1.0).astype(np.float32))
             w.append(found[0])
             b.append(found[1])
         return cls(classes, np.array(w, dtype=np.float32).reshape(len(w), x.shape[1]), np.array(b, dtype=np.float32))
@@ -103,62 +106,107 @@ def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, b
 
 
+def _deal(node: str, names: list[str], leaf: str, out: dict[str, list[tuple[str, str]]]) -> None:
+    """Adds each name's way from the node: (node, child), the last child being ``leaf`` and the name."""
+    if len(names) <= FAN:
+        for v in names:
+            out[v].append((node, leaf + v))
+        return
+    for k in range(FAN):
+        part, child = names[k * len(names) // FAN : (k + 1) * len(names) // FAN], f"{node}/{k}"
+        for v in part:
+            out[v].append((node, child))
+        _deal(child, part, leaf, out)
+
+
+def routes(langs: list[str]) -> list[tuple[str, str, str, int]]:
+    """(language, node, child, rows) of all votes on the way to each language; those of a node have FAN children at most."""
+    members: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        members.setdefault(family(lang), []).append(lang)
+    to_family: dict[str, list] = {f: [] for f in members}
+    to_lang: dict[str, list] = {v: [] for v in langs}
+    _deal(ROOT, sorted(members), ROOT, to_family)
+    for f, inside in members.items():
+        _deal(ROOT + f, inside, "=", to_lang)
+    steps = [(v, *step) for f, inside in members.items() for v in inside for step in (*to_family[f], *to_lang[v])]
+    children: dict[str, dict[str, int]] = {}
+    for _, node, child in steps:
+        below = children.setdefault(node, {})
+        below[child] = below.get(child, 0) + 1
+    return [(v, n, c, min(PER_LANGUAGE, -(-VOTE_ROWS // (len(children[n]) * children[n][c])))) for v, n, c in steps]
+
+
+#: The first vote. Names of nodes begin like it, those of languages with "=".
+ROOT = ">"
+
+
 @dataclass
 class Model:
-    families: Vote | None
-    languages: dict[str, Vote]
-
-    @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> Model:
-        langs = sorted(set(y.tolist()))
-        if not langs:
-            return cls(None, {})
-        of = {lang: family(lang) for lang in langs}
-        fam = np.array([of[v] for v in y])
-        names = sorted(set(of.values()))
-        return cls(Vote.fit(x, fam, names), {f: Vote.fit(x, y, [v for v in langs if of[v] == f]) for f in names})
+    votes: dict[str, Vote]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages (``und`` without a letter) and scores, the product of the probabilities of both levels."""
+        """Languages (``und`` without a letter) and scores, the product of the probabilities of all votes."""
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        if self.families is None:
+        if not self.votes:
             return langs, scores
         rows = [k for k, t in enumerate(texts) if ngrams.has_letter(t)]
         for a in range(0, len(rows), 256):
             at = np.array(rows[a : a + 256])
             x = np.stack([features(texts[k]) for k in at])
-            fams, p = self.families.winners(x)
-            for f in np.unique(fams):
-                inside = np.flatnonzero(fams == f)
-                vote = self.languages[self.families.classes[f]]
-                best, q = vote.winners(x[inside])
-                for k, i, s in zip(at[inside], best, p[inside] * q):
-                    langs[k], scores[k] = vote.classes[i], s
+            todo = [(ROOT, np.arange(len(at)), np.ones(len(at)))]
+            while todo:
+                node, inside, p = todo.pop()
+                best, q = self.votes[node].winners(x[inside])
+                for k in np.unique(best):
+                    child, some = self.votes[node].classes[k], best == k
+                    if child in self.votes:
+                        todo.append((child, inside[some], p[some] * q[some]))
+                        continue
+                    scores[at[inside[some]]] = p[some] * q[some]
+                    for row in at[inside[some]]:
+                        langs[row] = child[1:]
         return langs, scores
 
 
+def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The machines of one node."""
+    pdf = pdf.sort_values(["child", "y", "x"])  # one order, however the rows came
+    x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float16).reshape(len(pdf), -1)
+    y = pdf["child"].to_numpy(dtype=object)
+    vote = Vote.fit(x, y, sorted(set(y.tolist())))
+    return pd.DataFrame({"node": [pdf["node"].iloc[0]], "classes": [vote.classes], "weight": [vote.weight.tobytes()], "bias": [vote.bias.tobytes()]})
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a sample of the rows with a language; rows without a letter are left out."""
-    rows = docs.where(F.col(lang_col).isNotNull())
-    top = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    if not top:
-        return Model(None, {})
-    each = min(PER_LANGUAGE, SAMPLE // len(top))
-    chosen = ngrams.bounded_sample(rows, id_col, lang_col, {r[0]: each for r in top})
+    """A model of every language, from a sample of its rows; rows without a letter are left out."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("y"), F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)).alias("place"))
+    total = rows.groupBy("y").count().collect()
+    if not total:
+        return Model({})
+    spark = docs.sparkSession
+    # Half as many again, of which the first are taken.
+    least = spark.createDataFrame([(r[0], int(min(1.0, 1.5 * PER_LANGUAGE / r[1]) * (1 << 30))) for r in total], "y string, below long")
+    chosen = rows.join(F.broadcast(least), "y").where("place < below").select("text", "y", "place")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = [k for k, t in enumerate(batch.column(0)) if ngrams.has_letter(t.as_py())]
             x = [features(batch.column(0)[k].as_py()).astype(np.float16).tobytes() for k in some]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some, pa.int64())), pa.array(x, pa.binary())], ["y", "x"])
+            at = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(x, pa.binary())], ["y", "place", "x"])
 
-    # The driver gets at most SAMPLE rows, about, of two bytes for each of 2^BITS features.
-    rows = chosen.select(F.col(text_col).alias("text"), F.col(lang_col).alias("y")).mapInArrow(extract, "y string, x binary")
-    found = sorted((r["y"], bytes(r["x"])) for r in rows.toLocalIterator())  # one order, however the rows came
-    if not found:
-        return Model(None, {})
-    x = np.frombuffer(b"".join(x for _, x in found), dtype=np.float16).reshape(len(found), -1).astype(np.float32)
-    return Model.fit(x, np.array([y for y, _ in found], dtype=object))
+    place = W.partitionBy("y").orderBy("place", F.xxhash64("x"))
+    found = chosen.mapInArrow(extract, "y string, place long, x binary").withColumn("r", F.row_number().over(place)).where(F.col("r") <= PER_LANGUAGE)
+    steps = spark.createDataFrame(routes([r[0] for r in total]), "y string, node string, child string, rows int")
+    dealt = found.join(F.broadcast(steps), "y").where("r <= rows").select("node", "child", "y", "x")
+    learned = dealt.groupBy("node").applyInPandas(_learn, "node string, classes array<string>, weight binary, bias binary")
+    votes = {}
+    for r in learned.toLocalIterator():
+        bias = np.frombuffer(bytes(r["bias"]), dtype=np.float32)
+        votes[r["node"]] = Vote(list(r["classes"]), np.frombuffer(bytes(r["weight"]), dtype=np.float32).reshape(len(bias), 1 << BITS), bias)
+    return Model(votes)
 
 
 def predict_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -188,7 +236,7 @@ def predict_languages(docs: DataFrame, model: Model, text_col: str = "text") ->
 def keep_languages(docs: DataFrame, clear: float = CLEAR) -> DataFrame:
     """The documents in one of the learned languages: with a letter, and a score that is clear. Columns stay as they are."""
     model = train(docs.where(~ngrams.held("doc_id", 5, 0)))
-    if model.families is None:
+    if not model.votes:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     marked = predict_languages(docs, model)
     return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= clear)).select(*docs.columns)

@@ -167,3 +167,12 @@ def test_near_copies_are_missed_as_seldom_as_stated():
     least = ngram_join.least_agreeing(ngram_join.RECALL, 0.8)
     assert (share * ngram_join.SIZE < least).mean() < 1 - ngram_join.RECALL
     assert ngram_join.missed(ngram_join.runs_for(ngram_join.RECALL, 0.8), least, 0.8) <= 1 - ngram_join.RECALL
+
+
+def test_every_label_is_learned(spark):
+    # The 101st label and those after it, by frequency, were left out.
+    rows = [(200 * n + k, f"{chr(0x4E00 + 7 * n)}{chr(0x5E00 + 11 * n)} " * 5, f"x{n:03d}") for n in range(105) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict_languages(docs, language_id.train(docs))
+    assert found.select("lang_pred").distinct().count() > 100
+    assert {v for v, *_ in language_id.routes([f"x{n}" for n in range(400)])} == {f"x{n}" for n in range(400)}
