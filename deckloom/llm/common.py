@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,39 +32,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in local tests, a temporary folder is made.
+    Where it is unset a local session, as in tests, gets a temporary folder; on a
+    cluster, whose executors could not see it, that raises RuntimeError.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="deckloom-"))
     return context.getCheckpointDir()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def portions(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows whose texts have ``size`` bytes together; a longer text comes alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, min(a + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def sent(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """The rows marked for broadcast if their number was counted and they are ``most`` bytes or less; else as they are."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so that their lineage ends here."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def cells(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def cells(members: DataFrame, key: str, member: str, block: int, weight: str | None = None, heavy: int = 1, alike: str | None = None) -> DataFrame:
     """Blocks of pairs: every two members of a key meet in just one cell.
 
     A key of m members is dealt into about m / block chunks by a hash of the
-    member, and each two chunks are a cell, so no task sees a whole large key.
+    member, or into more, so that the column ``weight`` adds up to about ``heavy``
+    in each; each two chunks are a cell, so no task sees a whole large key.
     Keys of a single member go. Adds ``cell`` (key and the two chunks) and
     ``chunk`` (the member's own).
+
+    alike: a column; two members with one value there that is not null need not meet.
+    The largest group of such members in a key of more than ``block`` is dealt into
+    chunks of its own, which meet those of all others but not each other. So members
+    of which all but a few are alike are written a few times each, however many.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1")
-    b = F.ceil(F.col("_m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_b")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    mass = F.sum(weight) if weight else F.lit(0)
+    sizes = members.groupBy(key).agg(F.count("*").alias("_m"), mass.alias("_w"))
+    chunks = lambda m, w: F.greatest(F.ceil(m / F.lit(block)), F.ceil(w / F.lit(heavy))).cast("int")
+    if alike:
+        # Two steps, so that no task counts a large key row by row.
+        groups_ = members.where(F.col(alike).isNotNull()).groupBy(key, alike).agg(F.count("*").alias("_c"), mass.alias("_cw"))
+        top = groups_.groupBy(key).agg(F.max(F.struct("_c", "_cw", F.col(alike).alias("_of"))).alias("_top"))
+        sizes = sizes.join(top, key, "left").where("_m > 1 and (_top is null or _m > _top._c)")
+        apart = (F.col("_m") > block) & F.col("_top").isNotNull()
+        less = lambda whole, part: F.col(whole) - F.when(apart, F.col(part)).otherwise(0)
+        sizes = sizes.select(
+            key,
+            chunks(less("_m", "_top._c"), less("_w", "_top._cw")).alias("_b"),
+            F.when(apart, chunks(F.col("_top._c"), F.col("_top._cw"))).otherwise(0).alias("_bt"),
+            F.when(apart, F.col("_top._of")).alias("_of"),
+        )
+    else:
+        sizes = sizes.where("_m > 1").select(key, chunks(F.col("_m"), F.col("_w")).alias("_b"), F.lit(0).alias("_bt"))
+    # Written before the join, so that both its sides are plain shuffles and Spark can split a large key.
+    dealt = members.join(cut(sizes), key)
+    inside = F.coalesce(F.col(alike) == F.col("_of"), F.lit(False)) if alike else F.lit(False)
+    place = lambda n: F.pmod(F.xxhash64(F.lit(7), F.col(member)), n).cast("int")
+    own = F.when(inside, F.col("_b") + place(F.greatest("_bt", F.lit(1)))).otherwise(place(F.col("_b")))
+    meets = F.sequence(F.lit(0), F.col("_b") - 1 + F.when(inside, 0).otherwise(F.col("_bt")))
     return (
-        members.join(sizes.select(key, b.alias("_b")), key)
-        .withColumn("chunk", own)
-        .withColumn("_o", other)
+        dealt.withColumn("chunk", own)
+        .withColumn("_o", F.explode(meets))
         .withColumn(
             "cell",
             F.struct(
@@ -72,7 +126,7 @@ def cells(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
                 F.greatest("chunk", "_o").alias("q"),
             ),
         )
-        .drop("_b", "_o")
+        .drop("_b", "_bt", "_of", "_o")
     )
 
 

@@ -6,8 +6,10 @@ from all of those boundaries meet in one boundary, up to which the ids are then
 final and leave the window. Two places where that always happens are known
 beforehand: before a space mark that follows another character, as no piece has
 one inside, and around a character of no piece. The short ones of the stretches
-between such places are searched once and remembered, up to a bounded number; those
-that a batch of texts brings anew are searched side by side, boundary by boundary.
+between such places are searched once and remembered, up to a bounded number, the
+longest unused ones going first; those that are new are searched side by side,
+boundary by boundary. A text is taken in portions, so memory does not follow its
+length.
 
 What makes a path best depends on the model's type. In a unigram model it is the
 sum of the piece scores. In a BPE model a step from one piece to the next costs
@@ -24,6 +26,7 @@ bytes too, so that decoding gives every text back exactly.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,22 +37,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, portions, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker remembers, and the longest that it does; pairs of pieces that it remembers.
-MEMO, MEMO_CHARS, PAIRS = 600_000, 48, 2_000_000
-#: Stretches that are searched side by side.
-ABREAST = 20_000
+#: Stretches that a worker remembers in each of two generations, and the longest that it does; places for pairs of pieces, as bits.
+MEMO, MEMO_CHARS, PAIR_BITS = 100_000, 48, 20
+#: Stretches that are searched side by side, those looked up at a time, and characters of a text that are cut up at a time.
+ABREAST, LOOKED_UP, PORTION = 8192, 65_536, 1 << 20
+
+
+class Lookup:
+    """A table from numbers of 0 or more to small numbers, asked and filled by arrays. It is made for half as many as it has places."""
+
+    def __init__(self, bits: int):
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.size = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each number, or the empty one where it would go; whether it is there."""
+        at = ((asked.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        held = self.keys[at]
+        todo = np.flatnonzero((held != asked) & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.last
+            held[todo] = self.keys[at[todo]]
+            todo = todo[(held[todo] != asked[todo]) & (held[todo] >= 0)]
+        return at, held == asked
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Numbers that are not there yet, each once."""
+        self.size += len(keys)
+        while len(keys):
+            at = self.find(keys)[0]
+            self.keys[at] = keys  # of several for one place the last stays
+            lost = self.keys[at] != keys
+            self.values[at[~lost]] = values[~lost]
+            keys, values = keys[lost], values[lost]
 
 
 @dataclass
 class Tree:
-    """The beginnings of all pieces: edges as node x 2^21 + character (sorted), where they lead, and the piece that ends at a node (-1: none)."""
+    """The beginnings of all pieces: edges (node x 2^21 + character) with the nodes that they lead to, and the piece that ends at a node (-1: none)."""
 
-    edges: np.ndarray
-    to: np.ndarray
+    edges: Lookup
     piece: np.ndarray
     score: np.ndarray
 
@@ -64,14 +95,14 @@ class Tree:
                     piece.append(-1)
                     value.append(0.0)
             piece[nodes[name]], value[nodes[name]] = k, points
-        keys = np.array(sorted(edges), dtype=np.int64)
-        return cls(keys, np.array([edges[int(e)] for e in keys], dtype=np.int64), np.array(piece, dtype=np.int32), np.array(value))
+        found = Lookup(max(4, len(edges).bit_length() + 2))
+        found.add(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)))
+        return cls(found, np.array(piece, dtype=np.int32), np.array(value))
 
     def down(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next nodes; 0 where there is none."""
-        asked = (node << 21) + char
-        at = np.minimum(np.searchsorted(self.edges, asked), len(self.edges) - 1)
-        return np.where(self.edges[at] == asked, self.to[at], 0)
+        at, known = self.edges.find((node << 21) + char)
+        return np.where(known, self.edges.values[at], 0).astype(np.int64)
 
 
 @dataclass
@@ -87,11 +118,11 @@ class Pieces:
     stretch: re.Pattern | None
     #: Whether pieces are merged pairs (BPE), whose steps are judged by ``follows``.
     merged: bool = False
-    #: Ids of stretches, as the bytes of 32-bit integers.
+    #: Ids of stretches, as the bytes of 32-bit integers; those of the generation before.
     memo: dict[str, bytes] = field(default_factory=dict)
-    #: Steps from piece to piece that were judged, as before x 2^20 + next (sorted), and whether they are allowed.
-    steps: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    allowed: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    older: dict[str, bytes] = field(default_factory=dict)
+    #: Whether steps from piece to piece, as before x 2^20 + next, are allowed, of those that were judged.
+    steps: Lookup | None = None
     tree: Tree | None = None
 
     @classmethod
@@ -132,16 +163,16 @@ class Pieces:
     def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """In a BPE model: whether merging the characters of both pieces leaves just these two. -1: no piece before."""
         asked = (before.astype(np.int64) + 1 << 20) + piece
-        at = np.minimum(np.searchsorted(self.steps, asked), max(0, len(self.steps) - 1))
-        unseen = np.unique(asked[self.steps[at] != asked]) if len(self.steps) else np.unique(asked)
-        if len(unseen):
-            if len(self.steps) + len(unseen) > PAIRS:
-                self.steps, self.allowed, unseen = self.steps[:0], self.allowed[:0], np.unique(asked)
-            answers = np.array([self._follows(int(x >> 20) - 1, int(x & 0xFFFFF)) for x in unseen])
-            place = np.searchsorted(self.steps, unseen)
-            self.steps, self.allowed = np.insert(self.steps, place, unseen), np.insert(self.allowed, place, answers)
-            at = np.searchsorted(self.steps, asked)
-        return self.allowed[at]
+        self.steps = self.steps or Lookup(PAIR_BITS)
+        at, known = self.steps.find(asked)
+        if not known.all():
+            unseen = np.unique(asked[~known])
+            if self.steps.size + len(unseen) > 1 << PAIR_BITS - 1:
+                self.steps = Lookup(max(PAIR_BITS, len(asked).bit_length() + 1))
+                unseen = np.unique(asked)
+            self.steps.add(unseen, np.array([self._follows(int(x >> 20) - 1, int(x & 0xFFFFF)) for x in unseen], dtype=np.int32))
+            at = self.steps.find(asked)[0]
+        return self.steps.values[at] > 0
 
     def _follows(self, before: int, piece: int) -> bool:
         parts = [self.name[k] for k in (before, piece) if k >= 0]
@@ -216,6 +247,10 @@ def extend(pieces: Pieces, window: Window, i: int, chars: np.ndarray, left: np.n
     window.best[lost[ok], i + 1], window.size[lost[ok], i + 1], window.ids[lost[ok], i + 1] = value[ok], 1, -1
 
 
+#: A character after which a stretch ends.
+WORD_END = re.compile(rf"[^{MARK}](?={MARK})")
+
+
 def _chars(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
 
@@ -283,104 +318,166 @@ def _path(pieces: Pieces, s: str, size: np.ndarray, ids: np.ndarray, end: int) -
 
 def encode_texts(pieces: Pieces, texts: list[str | None]) -> list[bytes]:
     """Ids of texts, as the bytes of 32-bit integers; none for an empty or missing one."""
-    memo = pieces.memo
-    cut_up = [_stretches(pieces, text) if text else [] for text in texts]
-    seen = set().union(*cut_up)
-    if len(memo) + len(seen) > MEMO:
-        memo.clear()
-    new = sorted(seen.difference(memo), key=len)
+    out: list[list[bytes]] = [[] for _ in texts]
+    parts: list[str] = []
+    runs: list[tuple[int, int]] = []  # rows and how many stretches of theirs wait
+
+    def look_up() -> None:
+        ids, at = _ids(pieces, parts), 0
+        for row, n in runs:
+            out[row].append(b"".join(ids[at : at + n]))
+            at += n
+        parts.clear()
+        runs.clear()
+
+    for row, text in enumerate(texts):
+        for some in _stretches(pieces, text) if text else ():
+            parts += some
+            runs.append((row, len(some)))
+            if len(parts) >= LOOKED_UP:
+                look_up()
+    look_up()
+    return [b"".join(x) for x in out]
+
+
+def _ids(pieces: Pieces, parts: list[str]) -> list[bytes]:
+    """The ids of each stretch; what is not remembered is searched."""
+    if len(pieces.memo) > MEMO:
+        pieces.older, pieces.memo = pieces.memo, {}
+    memo, older = pieces.memo, pieces.older
     memo[""] = array("i", [pieces.byte_ids[b] for b in MARK.encode()]).tobytes()
+    new = []
+    for x in set(parts).difference(memo):
+        if x in older:
+            memo[x] = older[x]
+        else:
+            new.append(x)
+    new.sort(key=len)
     long = [x for x in new if len(x) > MEMO_CHARS]
-    short = [x for x in new if 0 < len(x) <= MEMO_CHARS]
+    short = new[: len(new) - len(long)]
     for a in range(0, len(short), ABREAST):
         memo.update(zip(short[a : a + ABREAST], abreast(pieces, short[a : a + ABREAST])))
     memo.update((x, array("i", viterbi(pieces, x)).tobytes()) for x in long)
-    out = [b"".join(map(memo.__getitem__, parts)) for parts in cut_up]
+    out = list(map(memo.__getitem__, parts))
     for x in long:
         del memo[x]
     return out
 
 
-def _stretches(pieces: Pieces, text: str) -> list[str]:
-    """The stretches of a text with its spaces as marks; an empty one stands for a mark of the text itself."""
-    out: list[str] = []
+def _stretches(pieces: Pieces, text: str) -> Iterator[list[str]]:
+    """The stretches of a text with its spaces as marks, a portion at a time; an empty one stands for a mark of the text itself."""
     for n, part in enumerate(text.split(MARK)):
-        s = part.replace(" ", MARK)
         if n:
-            out.append("")
-        else:
-            s = MARK + s
-        out += pieces.stretch.findall(s) if pieces.stretch else [s] if s else []
-    return out
-
-
-def decode(pieces: Pieces, ids: list[int]) -> bytes:
-    """UTF-8 of the text of ids. Ids without a text of their own (unknown, control) give nothing."""
-    table = pieces.text
-    joined = b"".join([table[k] for k in ids])
-    return joined[1:] if joined[:1] == b" " else joined
+            yield [""]
+        s = part.replace(" ", MARK) if n else MARK + part.replace(" ", MARK)
+        if not pieces.stretch:
+            yield [s] if s else []
+            continue
+        while len(s) > PORTION:
+            found = WORD_END.search(s, PORTION)
+            end = found.end() if found else len(s)
+            yield pieces.stretch.findall(s[:end])
+            s = s[end:]
+        yield pieces.stretch.findall(s)
+
+
+def decode(pieces: Pieces, ids: pa.Array) -> list[bytes | None]:
+    """UTF-8 of the texts of id lists, None for a missing one. Ids without a text of their own (unknown, control) give nothing."""
+    texts = pa.array(pieces.text, pa.large_binary()).take(ids.values)
+    if not len(texts):
+        return [b"" if x.is_valid else None for x in ids]
+    # The texts of a row's ids lie next to each other, so joining them is a matter of offsets.
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[ids.offsets.to_numpy()]
+    data = memoryview(texts.buffers()[2])
+    return [
+        None if missing else bytes(data[a + (data[a : a + 1] == b" ") : b]) if a < b else b""
+        for missing, a, b in zip(ids.is_null().to_pylist(), ends[:-1].tolist(), ends[1:].tolist())
+    ]
+
+
+def _rows_with(docs: DataFrame, text_col: str, added: list[str]) -> tuple[DataFrame, list[str], int]:
+    """The columns that stay and, if it is not among them, the text; their names; the text's place."""
+    own = [c for c in docs.columns if c not in added]
+    if text_col in own:
+        return docs.select(*own), own, own.index(text_col)
+    return docs.select(*own, F.col(text_col)), own, len(own)
+
+
+def _encode_with(docs: DataFrame, model: str, text_col: str, checked: bool) -> DataFrame:
+    """One pass and no shuffle: ids and n_ids, and if ``checked`` also round_trip and decoded_crc32."""
+    held = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+    added = ["ids", "n_ids", *(["round_trip", "decoded_crc32"] if checked else [])]
+    rows, own, at = _rows_with(docs, text_col, added)
+    types = [*(T.StructField(f.name, f.dataType, True) for f in docs.select(*own).schema), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.IntegerType())]
+    if checked:
+        types += [T.StructField("round_trip", T.BooleanType()), T.StructField("decoded_crc32", T.LongType())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = held.value
+        for whole in batches:
+            for batch in portions(whole, at):
+                texts = batch.column(at)
+                found = encode_texts(pieces, texts.to_pylist())
+                n = np.array([len(x) // 4 for x in found], dtype=np.int32)
+                offsets = pa.array(np.cumsum([0, *n]).astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+                cols = [*batch.columns[: len(own)], ids, pa.array(n)]
+                if checked:
+                    back = decode(pieces, ids)
+                    same = [x == y for x, y in zip(back, texts.cast(pa.binary()).to_pylist())]
+                    cols += [pa.array(same, pa.bool_()), pa.array([None if x is None else zlib.crc32(x) for x in back], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, [*own, *added])
 
-def _outside(columns: list[str], taken: tuple[str, ...]) -> list[str]:
-    return [c for c in columns if c not in taken]
+    return rows.mapInArrow(run, T.StructType(types))
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array<int>) and n_ids, one pass and no shuffle.
 
     A missing text has missing ids and n_ids 0; an empty one has no ids. Texts
-    of any length are encoded whole. Input columns named ids or n_ids are
+    of any length are encoded whole. A stretch without a place where all paths meet
+    keeps its whole window until its end; such are those of more characters than
+    ``MEMO_CHARS`` without a space. Input columns named ids or n_ids are
     replaced, all others pass, so repeated rows stay and an empty table is empty.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
-    own = _outside(docs.columns, ("ids", "n_ids"))
-    kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in own])
-    schema = T.StructType([*kept.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    return _encode_with(docs, model, text_col, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = held.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(batch.schema.names.index("_text")).to_pylist()
-                found = encode_texts(pieces, texts)
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                offsets = pa.array(ends, mask=np.array([*(t is None for t in texts), False]))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
-                cols = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*cols, ids], [*own, "_ids"])
 
-    out = docs.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, schema)
-    return out.select(*own, F.col("_ids").alias("ids"), F.coalesce(F.size("_ids"), F.lit(0)).alias("n_ids"))
+def round_trip_documents(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """``encode_documents`` with round_trip, whether the ids decode to the text, and decoded_crc32 of what they decode to.
+
+    Both in one pass. A missing text gives missing ids, round_trip true and a missing
+    checksum. Input columns of these four names are replaced.
+    """
+    return _encode_with(docs, model, text_col, True)
 
 
 def decode_documents(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids; missing ids give a missing text, none an empty one."""
+    """``rows`` with the text of their ids; missing ids give a missing text, none an empty one.
+
+    Bytes that are no UTF-8 become U+FFFD. A column named like the new one is replaced.
+    """
     held = rows.sparkSession.sparkContext.broadcast(Pieces.load(model))
-    own = _outside(rows.columns, (out_col,))
-    kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema if f.name in own])
-    schema = T.StructType([*kept.fields, T.StructField("_decoded", T.BinaryType())])
+    own = [c for c in rows.columns if c != out_col]
+    made = fresh("decoded", rows.columns)
+    asked = rows.select(*own, F.col(ids_col).cast("array<int>").alias(fresh("ids_of", own)))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.select(*own).schema), T.StructField(made, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = held.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                lists = batch.column(batch.schema.names.index("_ids_of"))
-                texts = [decode(pieces, x.values.to_pylist()) if x.is_valid else None for x in lists]
-                cols = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != "_ids_of"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], [*own, "_decoded"])
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                lists = batch.column(len(own))
+                texts = decode(pieces, pa.array(lists.to_pylist(), pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.binary())], [*own, made])
 
-    out = rows.select(*own, F.col(ids_col).alias("_ids_of")).mapInArrow(run, schema)
-    return out.select(*own, F.decode("_decoded", "UTF-8").alias(out_col))
+    return asked.mapInArrow(run, schema).select(*own, F.decode(made, "UTF-8").alias(out_col))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode_documents(encode_documents(docs))
-    return both.select(
-        "doc_id", "n_ids", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32")
-    )
+    return round_trip_documents(docs).select("doc_id", "n_ids", "ids", "round_trip", "decoded_crc32")
 
 
 SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ from .decontamination import find_contamination
 from .language_id import keep_languages
 from .line_dedup import dedup_lines
 from .ngram_join import drop_near_copies
-from .sentencepiece_codec import decode_documents, encode_documents
+from .sentencepiece_codec import round_trip_documents
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +42,4 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids, n_ids, and round_trip: whether the ids decode to the text."""
-    both = decode_documents(encode_documents(docs))
-    return both.withColumn("round_trip", F.col("text").eqNullSafe(F.col("decoded"))).drop("decoded")
+    return round_trip_documents(docs).drop("decoded_crc32")
