@@ -13,25 +13,38 @@ Sets that are equal are collapsed first. In a leaf, sets are first compared by
 their tokens; where a pair may reach the threshold, its sets are fetched and
 compared exactly. A pair counts in the first leaf that it shares. A leaf returns sums
 and a spanning forest for its members, never its pairs.
+
+Jaccard distance is a metric, so sets within half the threshold's distance of one
+set are linked with each other for certain. Where a leaf is too large for one cell,
+its most usual n-grams are taken for such a set; those in that ball are counted as
+a group and need not meet anywhere, so a large group of close copies is never
+compared pair by pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, by_cell, cells, components, cut, groups, node_id, roots, table
+from .common import WORD_BYTES, by_cell, cells, components, cut, groups, node_id, portions, roots, sent, table
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
-SIZE, SMALL, DEPTH, BLOCK = 64, 256, 4, 512
+#: Tokens of a set; sets of a node that is compared at once; levels; members of a cell's chunk, by tokens and by sets; hashes of a chunk.
+SIZE, SMALL, DEPTH, BLOCK, JUDGED, HASHES = 64, 2048, 4, 2048, 1024, 1 << 21
 #: Of what may be missed, the share that the comparison of tokens may miss; the rest is left to the paths.
 BY_TOKENS = 0.25
+#: Members of a large leaf, about, from which the middle of a ball is made.
+SAMPLE = 64
+#: Bytes of a text that are hashed at a time; n-grams in more sets of a cell than this are compared as a matrix, so many at a time.
+PART, RARE, COLUMNS = 1 << 20, 16, 4096
 _U = np.uint64
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -52,19 +65,41 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 _INVERSE = _U(pow(int(_BASE), -1, 2**64))
+_MIXED = mixed(np.arange(256, dtype=np.uint64) + _U(1))
+
+
+@cache
+def _power_table(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << bits, _BASE), _powers(1 << bits, _INVERSE)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words in order, the text taken in parts that end between words."""
+    found, a = [], 0
+    whole = _TABLE[np.frombuffer(text, dtype=np.uint8)]
+    while a < len(whole):
+        e = a + PART
+        while e < len(whole) and whole[e] != 32:
+            gap = np.flatnonzero(whole[e : e + PART] == 32)
+            e += int(gap[0]) if len(gap) else PART
+        b = whole[a:e]
+        a = e
+        edge = np.flatnonzero(np.diff((b != 32).astype(np.int8), prepend=0, append=0))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            continue
+        power, inverse = _power_table(max(10, len(b).bit_length()))
+        total = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(_MIXED[b] * power[: len(b)], out=total[1:])
+        found.append(mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(text: bytes | None, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; with fewer words, of all of them; none without words."""
-    b = _TABLE[np.frombuffer(text or b"", dtype=np.uint8)]
-    letter = b != 32
-    edge = np.flatnonzero(np.diff(letter.astype(np.int8), prepend=0, append=0))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((mixed(b.astype(np.uint64) + _U(1))) * _powers(len(b), _BASE), out=total[1:])
-    hashes = mixed((total[ends] - total[starts]) * _powers(len(b) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    hashes = _word_hashes(text or b"")
+    if not len(hashes):
+        return hashes
     k = min(n, len(hashes))
     s = np.full(len(hashes) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -87,19 +122,19 @@ def tokens(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, th, text) to (id, th, digest of the set, its size, tokens)."""
+    """(id, th, text) to (id, th, digest of the set, its size, tokens, their last bytes)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for batch in portions(whole, 2):
             digests, sizes, tok = [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py())
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 tok.append(tokens(s) if len(s) else None)
+            low = [None if t is None else (t & 255).astype(np.uint8).tobytes() for t in tok]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tok, pa.list_(pa.int32()))],
-                ["id", "th", "digest", "n", "tok"],
+                [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(tok, pa.list_(pa.int32())), pa.array(low, pa.binary())],
+                ["id", "th", "digest", "n", "tok", "low"],
             )
 
 
@@ -156,93 +191,153 @@ def _children(parent: Column, tok: Column) -> Column:
 
 
 def leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(k, id): the leaf nodes of more than one set."""
+    """(k, node, m): the leaves of more than one set, and their sizes."""
     roots_ = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit("run"), r))
-    level = sets.select("id", F.explode(F.array_distinct(F.flatten(F.transform(roots_, lambda r: _children(r, F.col("tok")))))).alias("k"))
+    level = sets.select("node", F.explode(F.array_distinct(F.flatten(F.transform(roots_, lambda r: _children(r, F.col("tok")))))).alias("k"))
     out = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+        # Written before the join, so that both its sides are plain shuffles and Spark can split a large key.
+        sizes = cut(level.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
         sized = cut(level.join(sizes, "k"))
         leaf = sized if depth == DEPTH else sized.where(F.col("m") <= SMALL)
-        out = leaf.select("k", "id") if out is None else out.unionByName(leaf.select("k", "id"))
+        out = leaf.select("k", "node", "m") if out is None else out.unionByName(leaf.select("k", "node", "m"))
         if depth == DEPTH:
             break
         large = sized.where(F.col("m") > SMALL)
         if large.isEmpty():
             break
-        level = large.join(sets.select("id", "tok"), "id").select("id", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
+        level = large.join(sets.select("node", "tok"), "node").select("node", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
     return out
 
 
+def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The n-grams that more than half of some sets have: a set that is near all of them if any is."""
+    found, counts = np.unique(np.concatenate([np.frombuffer(s, dtype=np.uint64) for s in pdf["s"]]), return_counts=True)
+    s = found[counts > len(pdf) / 2].tobytes()
+    return pd.DataFrame({"home": pdf["home"].iloc[:1], "ball": [hashlib.blake2b(s, digest_size=16).digest()], "middle": [s]})
+
+
+def _inside(threshold: float):
+    """Of (node, ball, middle, s) those whose set is within half the threshold's distance of the middle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (middle, s) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (middle, s))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and both >= (1 + threshold) / 2 * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield batch.select(["node", "ball"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def balls(found_in: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, block: int) -> DataFrame | None:
+    """(node, ball) of sets that are all linked with those of the same ball; None if no leaf is large.
+
+    Each set is tried with the middle of its largest leaf; leaves with equal middles
+    have one ball. ``texts`` fetches (node, s) of some nodes.
+    """
+    large = found_in.where(F.col("m") > block)
+    if large.isEmpty():
+        return None
+    home = cut(large.groupBy("node").agg(F.max(F.struct("m", "k")).alias("h")).select("node", F.col("h.k").alias("home")))
+    sizes = cut(home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE))
+    tried = home.join(sizes, "home")
+    some = F.pmod(F.xxhash64(F.lit(11), "node"), F.ceil(F.col("n") / F.lit(SAMPLE))) == 0
+    fetched = cut(tried.join(texts(tried.select("node")), "node").dropDuplicates(["node"]))
+    middles = cut(fetched.where(some).select("home", "s").groupBy("home").applyInPandas(_middle, "home long, ball binary, middle binary"))
+    near = fetched.join(middles, "home").select("node", "ball", "middle", "s")
+    return cut(near.mapInArrow(_inside(threshold), "node long, ball binary").join(sets.select("node", "copies", "id"), "node"))
+
+
 def _members(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = g["id"].to_numpy()
+    ids = g["node"].to_numpy()
     keep = np.unique(ids, return_index=True)[1]
     return ids[keep], keep
 
 
-def _own_pairs(g: pa.Table, keep: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the matrix that this cell compares and whose first shared leaf is the cell's."""
+def _own_pairs(g: pa.Table, keep: np.ndarray) -> np.ndarray:
+    """A matrix of the pairs that this cell compares: those whose first shared leaf is the cell's and that are in no ball together."""
     k, p, q = g["k"][0].as_py(), g["p"][0].as_py(), g["q"][0].as_py()
-    chunk = g["chunk"].to_numpy()[keep]
-    hit = np.triu(hit, 1)
+    own = np.triu(np.ones((len(keep), len(keep)), dtype=bool), 1)
     if p != q:
-        hit &= chunk[:, None] != chunk[None, :]
-    if not hit.any():
-        return np.zeros(0, int), np.zeros(0, int)
-    paths = g["leaves"].to_pylist()
-    flat = [(row, x) for row, i in enumerate(keep) for x in paths[i] if x < k]
-    if flat:
-        rows, names = np.array([r for r, _ in flat]), np.array([x for _, x in flat], dtype=np.int64)
-        _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-        shared = counts[inverse] > 1
-        if shared.any():
-            column = np.cumsum(counts > 1)[inverse[shared]] - 1
-            m = np.zeros((len(keep), column.max() + 1), dtype=np.float32)
-            m[rows[shared], column] = 1
-            hit &= (m @ m.T) == 0
-    return np.nonzero(hit)
+        chunk = g["chunk"].to_numpy()[keep]
+        own &= chunk[:, None] != chunk[None, :]
+
+    def apart(rows: np.ndarray, names: np.ndarray) -> None:
+        """Takes the pairs of rows of one name away."""
+        order = np.argsort(names, kind="stable")
+        rows, names = rows[order], names[order]
+        edges = np.flatnonzero(np.diff(names, prepend=names[:1] - 1, append=names[-1:] + 1)) if len(names) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a > 1:
+                own[np.ix_(rows[a:b], rows[a:b])] = False
+
+    lists = g["leaves"].combine_chunks().take(pa.array(keep))
+    rows, names = np.repeat(np.arange(len(keep)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    apart(rows[names < k], names[names < k])
+    ball = g["ball"].to_numpy(zero_copy_only=False)[keep]
+    inside = np.flatnonzero([x is not None for x in ball])
+    if len(inside):
+        apart(inside, np.unique(ball[inside].astype("S16"), return_inverse=True)[1])
+    return own
 
 
 def _may_reach(threshold: float, least: int):
-    """Members of a cell that have a partner by their tokens and sizes."""
+    """Members of a cell that have a partner by their tokens and sizes. Last bytes of tokens never agree less than tokens do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["k", "p", "q"]):
             ids, keep = _members(g)
             if len(ids) < 2:
                 continue
-            tok = g["tok"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)[keep]
+            own = _own_pairs(g, keep)
+            low = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in g["low"].combine_chunks().take(pa.array(keep))])
             n = g["n"].to_numpy()[keep].astype(np.float64)
-            agree = np.zeros((len(ids), len(ids)), dtype=np.int16)
-            for c in range(SIZE):
-                agree += tok[:, c : c + 1] == tok[None, :, c]
-            hit = agree >= least
-            hit &= np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n)
-            a, b = _own_pairs(g, keep, hit)
-            some = np.unique(np.concatenate([a, b]))
-            if len(some):
+            some = np.zeros(len(ids), dtype=bool)
+            for a in range(0, len(ids), 256):
+                at = a + np.flatnonzero(own[a : a + 256].any(axis=1))
+                if not len(at):
+                    continue
+                agree = np.zeros((len(at), len(ids)), dtype=np.uint8)
+                for c in range(SIZE):
+                    agree += low[at, c : c + 1] == low[None, :, c]
+                hit = own[at] & (agree >= least) & (np.minimum(n[at, None], n) >= threshold * np.maximum(n[at, None], n))
+                some[at] |= hit.any(axis=1)
+                some |= hit.any(axis=0)
+            if some.any():
                 at = pa.array(keep[some])
-                yield from g.select(["k", "p", "q", "chunk", "id"]).take(at).combine_chunks().to_batches()
+                yield from g.select(["k", "node", "n"]).take(at).combine_chunks().to_batches()
 
     return run
 
 
 def _overlap(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs. Hashes of a single set cannot add to one and are left out."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    column = np.cumsum(shared)[inverse] - 1
-    keep = shared[inverse]
-    rows, column = rows[keep], column[keep]
+    """Sizes of the intersections of all pairs: rare hashes pair by pair, frequent ones as a matrix, those of a single set not at all."""
+    m = len(sets)
+    rows = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for start in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        m = np.zeros((len(sets), 4096), dtype=np.float32)
-        m[rows[a:b], column[a:b] - start] = 1
-        out += m @ m.T
+    rows, often = rows[order], np.repeat(counts, counts)
+    out = np.zeros(m * m, dtype=np.float32)
+    few = often <= RARE
+    r, c = rows[few], column[order][few]
+    for step in range(1, RARE):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        out += np.bincount(r[same] * m + r[same + step], minlength=m * m).astype(np.float32)
+    out = out.reshape(m, m)
+    out += out.T
+    r, sizes = rows[~few], counts[counts > RARE]
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    for start in range(0, len(sizes), COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        x = np.zeros((m, min(COLUMNS, len(sizes) - start)), dtype=np.float32)
+        x[r[a:b], place[a:b] - start] = 1
+        out += x @ x.T
     return out
 
 
@@ -252,11 +347,15 @@ def _verify(threshold: float):
             ids, keep = _members(g)
             if len(ids) < 2:
                 continue
+            own = _own_pairs(g, keep)
             col = g["s"].combine_chunks()
-            sets = [np.frombuffer(col[int(i)].as_py(), dtype=np.uint64) for i in keep]
+            sets = [np.frombuffer(col[int(i)].as_buffer(), dtype=np.uint64) for i in keep]
             n = np.array([len(s) for s in sets], dtype=np.float64)
-            both = _overlap(sets).astype(np.float64)
-            a, b = _own_pairs(g, keep, both >= threshold * (n[:, None] + n - both) - 1e-9)
+            both = _overlap(sets)
+            a, b = np.nonzero(own & (both > 0))
+            both = both[a, b].astype(np.float64)
+            linked = both >= threshold * (n[a] + n[b] - both) - 1e-9
+            a, b = a[linked], b[linked]
             if not len(a):
                 continue
             copies = g["copies"].to_numpy()[keep]
@@ -264,7 +363,7 @@ def _verify(threshold: float):
             root = ids[roots(len(ids), a, b)]
             some = links > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"]
+                [pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["node", "links", "root"]
             )
 
     return run
@@ -272,10 +371,9 @@ def _verify(threshold: float):
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for batch in portions(whole, 1):
             s = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.binary())], ["node", "s"])
 
 
 def similar_documents(
@@ -285,6 +383,7 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     block: int = BLOCK,
+    judged: int = JUDGED,
 ) -> DataFrame:
     """(id, text_hash, class_id, n_links, component_id, kept, has_words) for every row.
 
@@ -295,46 +394,61 @@ def similar_documents(
     n_links the number of other documents at the threshold or above, component_id
     the smallest id that links reach, kept whether that is the document's own.
 
-    Rows that repeat an id are documents of their own for n_links, and one node
-    for components. A missing id is replaced by a negative one made from the
+    Rows that repeat an id are documents of their own, each with the links of its
+    own text. A missing id is replaced by a negative one made from the
     text. Other columns are not looked at; an empty table gives an empty result.
     """
     text = F.col(text_col)
     th = F.xxhash64(text)
     rows = docs.select(node_id(id_col, th).alias("id"), th.alias("th"), text.cast("binary").alias("text"))
-    sketched = cut(rows.mapInArrow(sketch, "id long, th long, digest binary, n int, tok array<int>"))
+    sketched = cut(rows.mapInArrow(sketch, "id long, th long, digest binary, n int, tok array<int>, low binary"))
     classes = (
         sketched.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tok").alias("tok"))
+        .agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "tok", "low")])
     )
-    sets = cut(classes.select("digest", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "copies", "n", "tok"))
+    # Numbers of rows as they are written once and for all.
+    sets = cut(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "rep.id", "rep.th", "copies", "n", "tok", "low"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """(node, s): the sets of some nodes, from the texts of their first documents."""
+        wanted = cut(sets.join(nodes.distinct(), "node").select("node", "id", "th"))
+        return rows.join(sent(wanted, 64), ["id", "th"]).select("node", "text").mapInArrow(_shingle_sets, "node long, s binary")
+
     found_in = cut(leaves(sets, runs_for(recall, threshold)))
-    per_set = found_in.groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("leaves"))
-    placed = cells(found_in, "k", "id", block)
-    probes = placed.join(per_set, "id").join(sets.select("id", "n", "tok"), "id")
-    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold, least_agreeing(recall, threshold)), "k long, p int, q int, chunk int, id long"))
-    wanted = near.select("id").distinct().join(sets.select("id", "th", "copies"), "id").join(per_set, "id")
-    texts = rows.join(wanted.select("id", "th"), ["id", "th"], "left_semi")
-    full = wanted.join(texts.select("id", "text").mapInArrow(_shingle_sets, "id long, s binary"), "id")
-    judged = near.join(full.select("id", "copies", "leaves", "s"), "id").withColumn("cell", F.struct("k", "p", "q")).drop("k", "p", "q")
-    found = cut(by_cell(judged).mapInArrow(_verify(threshold), "id long, links long, root long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    edges = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    comp = components(edges).select(F.col("node").alias("id"), "component")
+    per_set = found_in.groupBy("node").agg(F.array_sort(F.collect_set("k")).alias("leaves"))
+    ball = balls(found_in, sets, texts, threshold, block)
+    if ball is None:
+        about, alike = per_set.withColumn("ball", F.lit(None).cast("binary")), None
+    else:
+        about, alike = per_set.join(ball.select("node", "ball"), "node", "left"), "ball"
+        found_in = found_in.join(ball.select("node", "ball"), "node", "left")
+    placed = cells(found_in, "k", "node", block, alike=alike).select("cell", "chunk", "node")
+    probes = placed.join(about, "node").join(sets.select("node", "n", "low"), "node")
+    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold, least_agreeing(recall, threshold)), "k long, node long, n int").distinct())
+    full = texts(near.select("node")).join(sets.select("node", "copies"), "node").join(about, "node")
+    placed = cells(near, "k", "node", judged, "n", HASHES).select("cell", "chunk", "node")
+    found = cut(by_cell(placed.join(full, "node")).mapInArrow(_verify(threshold), "node long, links long, root long"))
+    if ball is not None:
+        whole = ball.groupBy("ball").agg(F.sum("copies").alias("all"), F.min("node").alias("root"))
+        found = found.unionByName(ball.join(cut(whole), "ball").select("node", (F.col("all") - F.col("copies")).alias("links"), "root"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    comp = components(edges)
+    first = comp.join(sets.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     per_class = (
-        sets.select("digest", "id", "copies")
-        .join(links, "id", "left")
-        .join(comp, "id", "left")
+        sets.select("node", "digest", "id", "copies")
+        .join(links, "node", "left")
+        .join(comp.join(first, "component").select("node", "component_id"), "node", "left")
         .select(
             "digest",
             F.col("id").alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
+            F.coalesce("component_id", "id").alias("component_id"),
         )
     )
     component = F.coalesce("component_id", "id")
-    return sketched.select("id", "th", "digest").join(per_class, "digest", "left").select(
+    return sketched.select("id", "th", "digest").join(cut(per_class), "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("th").alias("text_hash"),
         F.coalesce("class_id", "id").alias("class_id"),

@@ -5,14 +5,17 @@ from __future__ import annotations
 import random
 import re
 import uuid
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from deckloom.llm import (
+    common,
     decontamination,
     embedding_dedup,
     language_id,
@@ -151,10 +154,32 @@ def test_unigram_models_maximize_the_score(pieces):
             best[end] = max(ways)
         return best[len(s)]
 
-    for word in ("the", "international", "▁zzzéx", "▁▁▁the▁cat"):
+    rng = random.Random(3)
+    words_ = ["the", "international", "▁▁▁the▁cat", *("".join(rng.choices("▁aeinrst", k=rng.randint(1, 40))) for _ in range(200))]
+    for word in words_:
         ids = list(codec.viterbi(unigram, word))
-        assert sum(unigram.score[unigram.name[k]][0] for k in ids if unigram.name[k] in unigram.score) == pytest.approx(brute(word), abs=1) or "▁▁" in word
-        assert codec.decode(unigram, [0, *ids]).decode().strip() == word.replace("▁", " ").strip()
+        assert sum(unigram.score[unigram.name[k]][0] for k in ids) == pytest.approx(brute(word), abs=1e-6)
+        assert "".join(unigram.name[k] for k in ids) == word
+    # Characters without a piece, side by side and streamed.
+    for word in ("▁zzz語éx", "語" * 60):
+        want = list(codec.viterbi(unigram, word))
+        assert np.frombuffer(codec.abreast(unigram, [word])[0], dtype=np.int32).tolist() == want
+        assert b"".join(unigram.text[k] for k in want).decode() == word.replace("▁", " ")
+
+
+def test_memory_of_stretches_is_bounded(pieces, monkeypatch):
+    monkeypatch.setattr(codec, "MEMO", 50)
+    monkeypatch.setattr(codec, "LOOKED_UP", 64)
+    monkeypatch.setattr(codec, "PORTION", 100)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh  \n▁", k=rng.randint(1, 12))) for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    model = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    small = codec.Pieces.load(codec.MODEL)
+    for text, ids in zip(texts, codec.encode_texts(small, texts)):
+        found = np.frombuffer(ids, dtype=np.int32)
+        assert "▁" in text or found.tolist() == model.encode(text)
+        assert codec.decode(small, pa.array([found], pa.list_(pa.int32()))) == [text.encode()]
+    assert len(small.memo) <= 50 + 64 and len(small.older) <= 50 + 64
 
 
 def test_round_trip(spark):
@@ -163,6 +188,9 @@ def test_round_trip(spark):
     odd = spark.createDataFrame([(1, "a▁b  \u0000 é\r\n"), (2, ""), (3, None)], "doc_id long, text string")
     both = codec.decode_documents(codec.encode_documents(odd))
     assert both.where(~F.col("text").eqNullSafe(F.col("decoded"))).count() == 0
+    checked = {r["doc_id"]: (r["n_ids"], r["round_trip"], r["decoded_crc32"]) for r in codec.round_trip_documents(odd).collect()}
+    want = {r["doc_id"]: (r["n_ids"], True, None if r["text"] is None else zlib.crc32(r["text"].encode())) for r in both.collect()}
+    assert checked == want
 
 
 def test_ledger_scans_only_what_is_new(spark):
@@ -218,6 +246,93 @@ def test_ngram_join(spark, seed):
     assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == want
 
 
+def brute_links(docs):
+    """(n_links, component) of every document by comparing all pairs."""
+    sets = {}
+    for k, t in docs:
+        w = words(t)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = [k for k, _ in docs]
+    near = {(a, b) for a in ids for b in ids if a != b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    n, component = dict.fromkeys(ids, 0), {k: k for k in ids}
+    for a, _ in near:
+        n[a] += 1
+    while True:
+        old = dict(component)
+        for a, b in near:
+            component[a] = component[b] = min(component[a], component[b])
+        if component == old:
+            return {k: (n[k], component[k]) for k in ids}
+
+
+def close_copies(n, others, seed=1):
+    """n texts that differ from one text in its last words, some in more; and ``others`` that differ in half of it."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(300)]
+    out = []
+    for k in range(n + others):
+        w = list(base)
+        for at in rng.sample(range(300), rng.choice([1, 2, 3]) if k < n else rng.choice([8, 12, 60])):
+            w[at] = f"x{rng.randint(0, 10**6)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_large_groups_of_close_copies(spark):
+    docs = close_copies(220, 30) + [(1000 + k, t) for k, t in documents(7, 60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_links(docs)
+    for block in (64, 4096):  # with balls and many cells, and with one cell
+        found = ngram_join.similar_documents(frame, block=block, judged=block)
+        assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_cells_of_members_that_are_alike_stay_few(spark, n):
+    rows = spark.range(n + 100).select(F.lit(1).alias("k"), F.col("id").alias("node"), F.when(F.col("id") < n, "ball").alias("ball"))
+    written = common.cells(rows, "k", "node", 128, alike="ball")
+    assert written.count() <= n + 100 * (2 + n // 128)
+    # Every two members that are not alike meet just once.
+    small = common.cells(rows.where("node % 7 = 0"), "k", "node", 16, alike="ball").select("cell", "chunk", "node", "ball")
+    pairs = small.alias("a").join(small.alias("b"), F.expr("a.cell = b.cell and a.node < b.node and (a.chunk <> b.chunk or a.cell.p = a.cell.q)"))
+    met = pairs.where("a.ball is null or b.ball is null").groupBy("a.node", "b.node").count()
+    total = len(range(0, n + 100, 7))
+    alike = len(range(0, n, 7))
+    assert met.count() == total * (total - 1) // 2 - alike * (alike - 1) // 2 and met.where("count > 1").count() == 0
+
+
+def test_close_copies_are_one_ball(spark):
+    docs = close_copies(400, 0)
+    sets = spark.createDataFrame([(k, k, 1) for k, _ in docs], "node long, id long, copies long")
+    found_in = sets.select(F.lit(1).cast("long").alias("k"), "node", F.lit(len(docs)).cast("long").alias("m"))
+    rows = spark.createDataFrame([(k, bytearray(ngram_join.shingles(t.encode()).tobytes())) for k, t in docs], "node long, s binary")
+    found = ngram_join.balls(found_in, sets, lambda nodes: rows.join(nodes, "node"), 0.8, 100)
+    assert found.select("ball").distinct().count() == 1 and found.count() == 400
+    assert ngram_join.balls(found_in, sets, None, 0.8, 1000) is None
+
+
+def test_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("w" * rng.randint(1, 30) + str(rng.randint(0, 99)) for _ in range(500)).encode()
+    whole = ngram_join.shingles(text)
+    monkeypatch.setattr(ngram_join, "PART", 37)
+    assert np.array_equal(ngram_join.shingles(text), whole)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(0, 5000, 40)]).astype(np.uint64)) for _ in range(90)]
+    found = ngram_join._overlap(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(90) for j in range(i))
+
+
+def test_texts_that_share_an_id(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = [(1, "quite another text with words of its own"), (1, base), (2, base + " more"), (2, "a third text that nothing else is like at all")]
+    found = ngram_join.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in found.collect()) == [(1, 0, 1), (1, 1, 1), (2, 0, 2), (2, 1, 1)]
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 8):
