@@ -46,6 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """The tables below a folder, in order, whose writing was finished."""
+    files, at = _files(spark, folder)
+    if not files.exists(at):
+        return []
+    found = sorted(x.getPath().toString() for x in files.listStatus(at) if x.isDirectory())
+    return [x for x in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this library made and no longer needs."""
+    files, at = _files(spark, folder)
+    files.delete(at, True)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """The name, with as many underscores before it as no column has."""
     taken = {c.lower() for c in columns}
@@ -163,6 +184,67 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(rest)
 
 
+def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of about ``rows`` rows that part no run of equal keys, with the places where runs begin and end."""
+    rest: list[pa.RecordBatch] = []
+
+    def taken(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal rest
+        t = pa.Table.from_batches(rest).combine_chunks()
+        change = np.zeros(t.num_rows - 1, dtype=bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            change |= c[1:] != c[:-1]
+        edges = np.array([0, *(np.flatnonzero(change) + 1).tolist(), t.num_rows])
+        if not last:
+            edges = edges[:-1]
+        rest = [] if last else t.slice(int(edges[-1])).to_batches()
+        if edges[-1]:
+            yield t.slice(0, int(edges[-1])), edges
+
+    for batch in batches:
+        if batch.num_rows:
+            rest.append(batch)
+        if sum(b.num_rows for b in rest) >= rows:
+            yield from taken(False)
+    if rest:
+        yield from taken(True)
+
+
+def pairs_within(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places a < b between the same two edges."""
+    cell = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    a = [np.zeros(0, dtype=np.int64)]
+    b = [np.zeros(0, dtype=np.int64)]
+    for step in range(1, int(np.diff(edges).max(initial=1))):
+        found = np.flatnonzero(cell[step:] == cell[:-step])
+        a.append(found)
+        b.append(found + step)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def padded(lists: pa.Array, fill: int) -> np.ndarray:
+    """Lists of numbers as rows of one width, filled up."""
+    n = lists.value_lengths().to_numpy()
+    out = np.full((len(lists), int(n.max(initial=1))), fill, dtype=np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """The values as small numbers, equal ones as equal; -1 for a missing one."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each two rows of numbers the least that is in both; the largest number there is if none. Fills must differ."""
+    best = np.full(len(left), np.iinfo(np.int64).max)
+    for c in range(left.shape[1]):
+        hit = (right == left[:, c : c + 1]).any(axis=1)
+        best = np.where(hit, np.minimum(best, left[:, c]), best)
+    return best
+
+
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n points the least point that it is linked with through the pairs."""
     label = np.arange(n)

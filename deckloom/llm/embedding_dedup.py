@@ -8,8 +8,13 @@ that two vectors meet if either's probes hit. Buckets are cut into cells of
 bounded size; in a cell all pairs are compared in double precision.
 
 Equal vectors are collapsed first. A pair that meets in several buckets counts in
-the least of them. A cell returns sums and a spanning forest, a few values for
-each member, never its pairs, so large groups of near copies stay linear.
+the least of them. Cells return sums and a spanning forest, a few values for
+each member, never their pairs.
+
+The angle is a metric, so vectors within half the threshold's angle of one direction
+are linked with each other for certain. Where a bucket is too large for one cell,
+the mean of some of its vectors is taken for such a direction; those in that ball are
+counted as a group and need not meet anywhere.
 """
 
 from __future__ import annotations
@@ -17,13 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_cell, cells, components, cut, groups, roots, table
+from .common import by_cell, cells, components, cut, first_shared, numbered, padded, pairs_within, roots, table, whole_cells
 
-TABLES, PER_TABLE, BLOCK = 10, 3, 512
+TABLES, PER_TABLE, BLOCK = 10, 3, 1024
+#: Cells of fewer members are compared pair by pair, many cells at a time; pairs worked on at a time; vectors that a ball's middle is made from, about.
+SMALL, PAIRS, SAMPLE = 48, 1 << 16, 64
+#: How much closer to its middle than it needs to be a vector of a ball has to be, for the rounding of cosines.
+MARGIN = 1e-9
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -70,47 +80,109 @@ def _unit(flat: np.ndarray, d: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each row of two tables of buckets the least bucket that is in both."""
-    best = np.full(len(left), np.iinfo(np.int64).max)
-    for c in range(left.shape[1]):
-        hit = (right == left[:, c : c + 1]).any(axis=1)
-        best = np.where(hit, np.minimum(best, left[:, c]), best)
-    return best
+def _vectors(lists: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """Unit rows of vectors of one length."""
+    some = lists.combine_chunks().take(pa.array(rows))
+    return _unit(some.flatten().to_numpy(), len(some[0]))
+
+
+def _candidates(t: pa.Table, edges: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell that are near enough."""
+    lengths = t["v"].combine_chunks().value_lengths().to_numpy()
+    for d in np.unique(lengths):  # vectors of other lengths never share a bucket
+        rows = np.flatnonzero(lengths == d)
+        x = _vectors(t["v"], rows)
+        at = np.searchsorted(rows, edges)
+        sizes = np.diff(at)
+        small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+        if len(small):
+            inside = np.concatenate([np.arange(at[k], at[k + 1]) for k in small])
+            a, b = pairs_within(np.concatenate([[0], np.cumsum(sizes[small])]))
+            for i in range(0, len(a), PAIRS):
+                p, q = inside[a[i : i + PAIRS]], inside[b[i : i + PAIRS]]
+                near = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                yield rows[p[near]], rows[q[near]]
+        for k in np.flatnonzero(sizes > SMALL):
+            y = x[at[k] : at[k + 1]]
+            for i in range(0, len(y), 256):
+                p, q = np.nonzero(y[i : i + 256] @ y.T >= threshold)
+                p = p + i
+                yield rows[at[k] + p[p < q]], rows[at[k] + q[p < q]]
 
 
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["k", "p", "q"]):
-            ids = g["id"].to_numpy()
-            keep = np.unique(ids, return_index=True)[1]  # a row that came twice counts once
-            ids, chunk, copies = ids[keep], g["chunk"].to_numpy()[keep], g["copies"].to_numpy()[keep]
-            if len(ids) < 2:
-                continue
-            x = np.stack([np.asarray(v) for v in g["v"].to_pylist()]).astype(np.float64)[keep]
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            keys = np.array(g["keys"].to_pylist(), dtype=np.int64)[keep]
-            p, q = g["p"][0].as_py(), g["q"][0].as_py()
-            a, b = np.nonzero(x @ x.T >= threshold)
-            ok = (a < b) & ((chunk[a] != chunk[b]) | (p == q))
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            first = np.concatenate([_first_shared(keys[a[i : i + 65536]], keys[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
-            ok = first == g["k"][0].as_py()
-            a, b = a[ok], b[ok]
-            if not len(a):
+        for t, edges in whole_cells(batches, ["k", "p", "q"]):
+            ids, k, chunk, copies = (t[c].to_numpy() for c in ("id", "k", "chunk", "copies"))
+            across = t["p"].to_numpy() != t["q"].to_numpy()
+            keys = t["keys"].combine_chunks()
+            left, right = padded(keys, -1), padded(keys, -2)
+            ball = numbered(t["ball"])
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in _candidates(t, edges, threshold):
+                ok = (ids[a] != ids[b]) & ((chunk[a] != chunk[b]) | ~across[a]) & ((ball[a] != ball[b]) | (ball[a] < 0))
+                a, b = a[ok], b[ok]
+                for i in range(0, len(a), PAIRS):
+                    p, q = a[i : i + PAIRS], b[i : i + PAIRS]
+                    first = first_shared(left[p], right[q]) == k[p]
+                    found.append((p[first], q[first]))
+            if not found:
                 continue
-            links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-            root = ids[roots(len(ids), a, b)]
+            a, b = (np.concatenate(x) for x in zip(*found))
+            names, at = np.unique(ids, return_inverse=True)
+            links = np.bincount(at[a], copies[b], len(names)) + np.bincount(at[b], copies[a], len(names))
+            root = names[roots(len(names), at[a], at[b])]
             some = links > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"]
+                [pa.array(names[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"]
             )
 
     return run
 
 
+def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The direction of the mean of some vectors of one length."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+    mean = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).mean(axis=0)
+    return pd.DataFrame({"home": pdf["home"].iloc[:1], "middle": [mean]})
+
+
+def _inside(threshold: float):
+    """Of (id, home, v, middle) those within half the threshold's angle of the middle."""
+    least = np.sqrt((1 + threshold) / 2) + MARGIN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (v, middle) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (np.asarray(c.values.to_numpy(zero_copy_only=False), dtype=np.float64) for c in (v, middle))
+                size = np.sqrt((x @ x) * (y @ y))
+                if size and (x @ y) / size >= least:
+                    keep.append(k)
+            yield batch.select(["id", "home"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def balls(members: DataFrame, base: DataFrame, threshold: float, block: int) -> DataFrame | None:
+    """(id, ball, copies) of vectors that are all linked with those of the same ball; None if no bucket is large.
+
+    Each vector is tried with the middle of the largest bucket that it is in.
+    """
+    sizes = cut(members.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > block))
+    if sizes.isEmpty():
+        return None
+    home = members.join(sizes, "k").groupBy("id").agg(F.max(F.struct("m", "k")).alias("h")).select("id", F.col("h.k").alias("home"))
+    tried = cut(home.join(base.select("id", "v"), "id"))
+    counts = cut(tried.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE))
+    some = F.pmod(F.xxhash64(F.lit(11), "id"), F.ceil(F.col("n") / F.lit(SAMPLE))) == 0
+    sampled = tried.join(counts, "home").where(some).select("home", "v")
+    middles = cut(sampled.groupBy("home").applyInPandas(_middle, "home long, middle array<double>"))
+    near = tried.join(middles, "home").select("id", "home", "v", "middle")
+    inside = near.mapInArrow(_inside(threshold), "id long, home long")
+    return cut(inside.select("id", F.col("home").alias("ball")).join(base.select("id", "copies"), "id"))
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.95,
@@ -129,7 +201,9 @@ def near_duplicates(
     A missing id is replaced by a negative one made from the vector.
     Other columns are not looked at; an empty table gives an empty result.
     """
-    v = F.col(vector_col).cast("array<double>")
+    kind = dict(vectors.dtypes)[vector_col]
+    kind = kind if kind == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
     good = F.coalesce(
         (F.size(v) > 0)
         & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
@@ -137,7 +211,7 @@ def near_duplicates(
         F.lit(False),
     )
     # Adding zero makes -0.0 equal to 0.0.
-    clean = F.transform(v, lambda e: e + F.lit(0.0))
+    clean = F.transform(v, lambda e: e + F.lit(0.0).cast(kind[6:-1]))
     own = F.md5(F.concat_ws(",", F.transform(clean, lambda e: e.cast("string"))))
     rows = vectors.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)) - F.pmod(F.xxhash64(own), F.lit(2**61))).alias("id"),
@@ -161,11 +235,19 @@ def near_duplicates(
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["id", "copies", "v", "keys"])
 
-    schema = "id long, copies long, v array<double>, keys array<long>"
-    base = cut(classes.select("rep", "copies", "v").mapInArrow(hashed, schema))
+    base = cut(classes.select("rep", "copies", "v").mapInArrow(hashed, f"id long, copies long, v {kind}, keys array<long>"))
     members = base.select("id", F.explode(F.array_distinct("keys")).alias("k"))
-    placed = cells(members, "k", "id", block).join(base, "id")
-    found = cut(by_cell(placed).mapInArrow(_compare(threshold), "id long, links long, root long"))
+    ball = balls(members, base, threshold, block)
+    members = members.withColumn("ball", F.lit(None).cast("long")) if ball is None else members.join(ball.select("id", "ball"), "id", "left")
+    placed = cut(cells(members, "k", "id", block, alike=None if ball is None else "ball").select("cell", "chunk", "id", "ball"))
+    # Only buckets that a vector shares are asked which is the first.
+    shared = placed.groupBy("id").agg(F.array_sort(F.collect_set("cell.k")).alias("keys"))
+    found = cut(
+        by_cell(placed.join(base.select("id", "copies", "v").join(shared, "id"), "id")).mapInArrow(_compare(threshold), "id long, links long, root long")
+    )
+    if ball is not None:
+        whole = ball.groupBy("ball").agg(F.sum("copies").alias("all"), F.min("id").alias("root"))
+        found = found.unionByName(ball.join(cut(whole), "ball").select("id", (F.col("all") - F.col("copies")).alias("links"), "root"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     comp = components(edges).select(F.col("node").alias("id"), "component")
