@@ -1,10 +1,10 @@
 """Operator 5: finds secrets, scanning every distinct text once for each rule version.
 
-A ledger of (blob, rule, version, spans) remembers what was scanned. A blob is
-the SHA-256 of a text, so every version of a document has one and copies share
-it. Only blobs that the ledger lacks for a rule at its present version are
-scanned; the findings are appended and joined back to all rows that hold the
-blob. Spans are counted in code points.
+A ledger of (blob, rule, version, spans) on disk remembers what was scanned, also by
+earlier sessions. A blob is the SHA-256 of a text, so every version of a document has
+one and copies share it. Only blobs that the ledger lacks for a rule at its present
+version are scanned; the findings are appended and joined back to all rows that hold
+the blob: all paths, and all versions of each. Spans are counted in code points.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import committed, cut, fresh, shared_dir, table
 
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -88,18 +88,21 @@ def spans(text: Column, rule: Rule) -> Column:
 class SecretLedger:
     """A folder of parquet files (blob binary, rule string, version int, spans), one batch for each scan.
 
-    A batch that a failed run left unfinished is not seen, since Spark commits
-    its files at the end; a batch written twice holds equal rows and is read once.
+    The batches are found in the folder, so a ledger that is opened again, by another
+    session too, knows what was scanned before. A batch that a failed run left unfinished
+    is not seen, since Spark marks a table when all its files are there; a blob that was
+    scanned twice, say by two sessions at once, has equal rows and is read once.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.batches: list[str] = []
 
     def known(self) -> DataFrame | None:
-        if not self.batches:
+        batches = committed(self.spark, self.path)
+        if not batches:
             return None
-        return self.spark.read.parquet(*self.batches).dropDuplicates(["blob", "rule", "version"])
+        rows = self.spark.read.schema(f"blob binary, rule string, version int, spans {SPANS}").parquet(*batches)
+        return rows.dropDuplicates(["blob", "rule", "version"])
 
     def scan(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans unseen (blob, rule, version) triples of the texts; returns those findings that it added."""
@@ -122,9 +125,8 @@ class SecretLedger:
             for r in rules
         ]
         rows = blobs.select("blob", F.explode(F.array_compact(F.array(*found))).alias("f")).select("blob", "f.*")
-        path = f"{self.path}/batch-{len(self.batches):05d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/batch-{len(committed(self.spark, self.path)):05d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(path)
-        self.batches.append(path)
         return self.spark.read.parquet(path)
 
     def findings(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -132,18 +134,38 @@ class SecretLedger:
 
         A missing text counts as empty and has no spans; copies and rows that
         repeat share one scan; the length of a text is not limited. Input columns
-        named like a rule or ``_blob`` are replaced.
+        named like a rule are replaced.
         """
         self.scan(docs, text_col, rules)
         hits = self.known().where(F.size("spans") > 0)
         per_rule = [
             F.max(F.when((F.col("rule") == r.name) & (F.col("version") == r.version), F.col("spans"))).alias(r.name) for r in rules
         ]
-        per_blob = hits.groupBy(F.col("blob").alias("_blob")).agg(*per_rule)
-        own = docs.drop("_blob", *[r.name for r in rules])
-        joined = own.withColumn("_blob", blob(text_col)).join(per_blob, "_blob", "left")
+        own = docs.drop(*[r.name for r in rules])
+        key = fresh("blob", own.columns)
+        # Written before the join, so that both its sides are plain shuffles and Spark can split a very frequent text.
+        per_blob = cut(hits.groupBy(F.col("blob").alias(key)).agg(*per_rule))
+        joined = own.withColumn(key, blob(text_col)).join(per_blob, key, "left")
         return joined.select(*own.columns, *[F.coalesce(r.name, F.array().cast(SPANS)).alias(r.name) for r in rules])
 
+    def exposures(
+        self, history: DataFrame, path_col: str = "path", version_col: str = "version", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+    ) -> DataFrame:
+        """(path, rule, secret_sha256, first_version, last_version, versions): where each secret stands or stood.
+
+        history: a row for each version of each path, old ones too. A secret is known by
+        the hash of its match, which says nothing of the secret itself. A missing path or
+        version is one as any other.
+        """
+        keyed = history.select(F.col(path_col).alias("path"), F.col(version_col).alias("version"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        tagged = [F.transform(r.name, lambda s, n=r.name: F.struct(F.lit(n).alias("rule"), s.alias("s"))) for r in rules]
+        found = self.findings(keyed, "text", rules).select("path", "version", "text", F.explode(F.concat(*tagged)).alias("x"))
+        match = F.substring(F.col("text"), F.col("x.s.start") + 1, F.col("x.s.end") - F.col("x.s.start"))
+        found = found.select("path", "version", F.col("x.rule").alias("rule"), F.sha2(match, 256).alias("secret_sha256"))
+        return found.groupBy("path", "rule", "secret_sha256").agg(
+            F.min("version").alias("first_version"), F.max("version").alias("last_version"), F.count_distinct("version").alias("versions")
+        )
+
 
 def blob(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
@@ -161,7 +183,9 @@ def digest_spans(kinds: tuple[str, ...]) -> Column:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = SecretLedger(spark, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    # A folder of one's own keeps what was scanned from run to run.
+    given = spark.conf.get("deckloom.secrets.ledger", None)
+    ledger = SecretLedger(spark, given or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
     kinds = tuple(r.name for r in RULES)
     found = ledger.findings(docs).select("doc_id", *kinds, digest_spans(kinds).alias("spans"))
     return found.select(
