@@ -3,31 +3,33 @@
 Pages become WARC/1.1 records: the first page of a payload a ``response``, later
 ones a ``revisit`` without the payload. Spark's text writer puts them into files,
 its line separator being the blank lines that end a record, so files are gzipped
-and committed as those of any other table. Reading follows the records' own lengths;
-an offset is a place in the unpacked archive.
+and committed as those of any other table. Spark's text reader gives an archive back
+as a stream, of which a task holds one record at a time; reading follows the records'
+own lengths. An offset is a place in the unpacked archive.
 
 The index of captures is an external merge sort: each archive's captures, sorted
 by URL key and time, are a run on disk; the key space is cut into ranges, and in
-each range a loser tree merges the slices of all runs. The ranges in order are the
-capture histories of all URLs.
+each range a loser tree merges the slices of all runs, which come in their order and
+are kept as they come, in columns. The ranges in order are the capture histories of
+all URLs.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
-#: Pages in an archive at most, so that one fits a task's memory.
+#: Pages in an archive at most, whose captures are sorted in a task's memory.
 ARCHIVE_PAGES = 5000
 #: Captures in a range of the merge, about.
 RANGE_ROWS = 200_000
@@ -43,6 +45,13 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*quads), CONV_DIGITS, RFC_DIGITS)
 
 
+def utc(seconds: Column) -> Column:
+    """Seconds since 1970 as a time in UTC, whatever the session's time zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")
+    parts = [F.lpad(F.floor(F.pmod(seconds, F.lit(of)) / per).cast("string"), 2, "0") for of, per in ((86_400, 3600), (3600, 60), (60, 1))]
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *parts), F.lit("Z"))
+
+
 def _header(**fields: Column) -> Column:
     lines = [F.concat(F.lit(f"{k.replace('_', '-')}: "), v) for k, v in fields.items()]
     return F.concat_ws("\r\n", *lines)
@@ -67,7 +76,8 @@ def write_archives(
         F.octet_length(payload).cast("long").alias("n"),
         base32_sha1(payload.cast("binary")).alias("digest"),
     )
-    first = rows.groupBy("digest", "n").agg(F.min("id").alias("first"))
+    # Written before the join, so that both its sides are plain shuffles and Spark can split a very frequent payload.
+    first = cut(rows.groupBy("digest", "n").agg(F.min("id").alias("first")))
     rows = rows.join(first, ["digest", "n"])
     again = (F.col("n") >= least_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -80,7 +90,7 @@ def write_archives(
         WARC_Type=F.when(again, "revisit").otherwise("response"),
         WARC_Record_ID=urn(F.col("id")),
         WARC_Target_URI=F.col("url"),
-        WARC_Date=F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        WARC_Date=utc(seconds),
         WARC_Payload_Digest=F.concat(F.lit("sha1:"), F.col("digest")),
     )
     profile = F.when(
@@ -98,20 +108,47 @@ def write_archives(
     rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_PAGES).option("compression", "gzip").text(path)
 
 
+class Records:
+    """Offset, headers (names in lower case) and block of each record of an archive that comes in parts."""
+
+    def __init__(self) -> None:
+        self.held, self.at, self.wanted = bytearray(), 0, 1
+
+    def add(self, part: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+        """The records that the next part completes."""
+        self.held += part
+        while len(self.held) >= self.wanted:
+            body = self.held.find(b"\r\n\r\n") + 4
+            if not self.held.startswith(b"WARC/1."[: len(self.held)]):
+                if self.held == b"\r\n\r\n":
+                    return  # what ends an archive may be added to it by who reads it by lines
+                raise ValueError(f"no WARC record at byte {self.at}")
+            if body < 4:
+                self.wanted = len(self.held) + 1
+                return
+            lines = self.held[: body - 4].decode().split("\r\n")[1:]
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            end = body + int(head["content-length"])
+            if len(self.held) < end + 4:
+                self.wanted = end + 4
+                return
+            if self.held[end : end + 4] != b"\r\n\r\n":
+                raise ValueError(f"the record at byte {self.at} has another length than it says")
+            block, at = bytes(self.held[body:end]), self.at
+            del self.held[: end + 4]
+            self.at, self.wanted = self.at + end + 4, 1
+            yield at, head, block
+
+    def finish(self) -> None:
+        if self.held not in (b"", b"\r\n\r\n"):
+            raise ValueError(f"the record at byte {self.at} is not whole")
+
+
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        body = data.index(b"\r\n\r\n", at) + 4
-        lines = data[at : body - 4].decode().split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        end = body + int(head["content-length"])
-        yield at, head, data[body:end]
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has another length than it says")
-        at = end + 4
+    """The records of a whole archive."""
+    found = Records()
+    yield from found.add(data)
+    found.finish()
 
 
 def url_key(url: str) -> str:
@@ -147,24 +184,19 @@ def _urn_id(urn: str | None) -> int | None:
     return int(number) if number else None
 
 
-def captures(archive: str, data: bytes) -> list[tuple]:
-    """Index rows of an archive, sorted: a run."""
-    out = []
-    for at, head, block in records(data):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        n = int(http.rpartition(b"Content-Length: ")[2])
-        kind = head["warc-type"]
-        if kind == "response":
-            if len(payload) != n:
-                raise ValueError(f"the payload at byte {at} has another length than it says")
-            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        else:
-            digest = head["warc-payload-digest"].removeprefix("sha1:")
-        page = _urn_id(head["warc-record-id"])
-        refers = _urn_id(head.get("warc-refers-to"))
-        out.append((url_key(head["warc-target-uri"]), head["warc-date"], page, n, digest, kind, refers, archive, at))
-    out.sort(key=sort_key)
-    return out
+def capture(archive: str, at: int, head: dict[str, str], block: bytes) -> tuple:
+    """The index row of a record."""
+    http, _, payload = block.partition(b"\r\n\r\n")
+    n = int(http.rpartition(b"Content-Length: ")[2])
+    kind = head["warc-type"]
+    if kind == "response":
+        if len(payload) != n:
+            raise ValueError(f"the payload at byte {at} has another length than it says")
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    else:
+        digest = head["warc-payload-digest"].removeprefix("sha1:")
+    page, refers = _urn_id(head["warc-record-id"]), _urn_id(head.get("warc-refers-to"))
+    return url_key(head["warc-target-uri"]), head["warc-date"], page, n, digest, kind, refers, archive, at
 
 
 def sort_key(row: tuple) -> tuple:
@@ -177,20 +209,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_runs(spark: SparkSession, archives: str, path: str) -> None:
-    """The sorted run of every archive, as parquet."""
+    """The sorted run of every archive, as parquet. An archive is read as lines that end like records do, so never whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, found, rows = None, Records(), []
+
+        def sorted_run() -> Iterator[pa.RecordBatch]:
+            found.finish()
+            if rows:
+                yield _batch(sorted(rows, key=sort_key))
+
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
-                rows = captures(name.as_py().rpartition("/")[2], gzip.decompress(data.as_py()))
-                if rows:
-                    yield _batch(rows)
+            for file, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if file != name:
+                    yield from sorted_run()
+                    name, found, rows = file, Records(), []
+                rows += [capture(name.rpartition("/")[2], *r) for r in found.add(part.as_py() + END.encode())]
+        yield from sorted_run()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives)
-    files.select("path", "content").mapInArrow(run, DDL).write.parquet(path)
+    files = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*").text(archives)
+    files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary")).mapInArrow(run, DDL).write.parquet(path)
 
 
-def loser_tree(runs: list[list[tuple]], key: Callable[[tuple], tuple]) -> Iterator[tuple]:
+def loser_tree(runs: list[Iterator[tuple]], key: Callable[[tuple], tuple]) -> Iterator[tuple]:
     """Merges sorted runs. Every inner node holds the run that lost there; the winner's path is replayed."""
     k = len(runs)
     heads = [iter(r) for r in runs]
@@ -215,8 +256,11 @@ def loser_tree(runs: list[list[tuple]], key: Callable[[tuple], tuple]) -> Iterat
     winner = build(1) if k > 1 else 0
     while k and rows[winner] is not None:
         yield rows[winner]
+        before = keys[winner]
         rows[winner] = next(heads[winner], None)
         keys[winner] = None if rows[winner] is None else key(rows[winner])
+        if keys[winner] is not None and keys[winner] < before:
+            raise ValueError("a run is not sorted")
         node = (winner + k) // 2
         while node:
             if not beats(winner, losers[node]):
@@ -224,19 +268,25 @@ def loser_tree(runs: list[list[tuple]], key: Callable[[tuple], tuple]) -> Iterat
             node //= 2
 
 
+def _rows(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a slice, some thousand at a time as Python values."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            yield from zip(*(c.to_pylist() for c in batch.slice(a, 2000).columns))
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures in global order of URL key, time and id: partition after partition, row after row."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[str, list[tuple]] = {}
+        slices: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                by_run.setdefault(row[7], []).append(row)
-        slices = [by_run[name] for name in sorted(by_run)]
-        for s in slices:
-            s.sort(key=sort_key)  # a slice comes in order, or in a few ordered blocks
+            names = batch.column(7).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else []
+            for a, b in zip(edges, edges[1:]):
+                slices.setdefault(names[a], []).append(batch.slice(a, b - a))
         out = []
-        for row in loser_tree(slices, sort_key):
+        for row in loser_tree([_rows(slices[name]) for name in sorted(slices)], sort_key):
             out.append(row)
             if len(out) == 5000:
                 yield _batch(out)
@@ -245,7 +295,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             yield _batch(out)
 
     n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.count() // RANGE_ROWS)
-    return runs.repartitionByRange(n, *[F.col(c) for c in ORDER]).mapInArrow(merge, DDL)
+    dealt = runs.repartitionByRange(n, *[F.col(c) for c in ORDER])
+    # A shuffle brings the slices of the runs in any order, and in blocks; here each comes whole and as it was.
+    return dealt.sortWithinPartitions("archive", *ORDER, "archive_offset").mapInArrow(merge, DDL)
 
 
 def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
