@@ -34,7 +34,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, by_cell, cells, components, cut, groups, node_id, portions, roots, sent, table
+from .common import (
+    WORD_BYTES,
+    by_cell,
+    cells,
+    components,
+    cut,
+    first_shared,
+    groups,
+    node_id,
+    numbered,
+    padded,
+    pairs_within,
+    portions,
+    roots,
+    sent,
+    table,
+    whole_cells,
+)
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Tokens of a set; sets of a node that is compared at once; levels; members of a cell's chunk, by tokens and by sets; hashes of a chunk.
@@ -45,6 +62,8 @@ BY_TOKENS = 0.25
 SAMPLE = 64
 #: Bytes of a text that are hashed at a time; n-grams in more sets of a cell than this are compared as a matrix, so many at a time.
 PART, RARE, COLUMNS = 1 << 20, 16, 4096
+#: Cells of no more members are compared pair by pair, many cells and so many pairs at a time.
+FEW, PAIRS = 48, 1 << 16
 _U = np.uint64
 _TABLE = np.frombuffer(WORD_BYTES, dtype=np.uint8)
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -275,41 +294,58 @@ def _own_pairs(g: pa.Table, keep: np.ndarray) -> np.ndarray:
             if b - a > 1:
                 own[np.ix_(rows[a:b], rows[a:b])] = False
 
-    lists = g["leaves"].combine_chunks().take(pa.array(keep))
+    lists = g["leaves"].combine_chunks().take(pa.array(keep)) if len(keep) else pa.array([], pa.list_(pa.int64()))
     rows, names = np.repeat(np.arange(len(keep)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
     apart(rows[names < k], names[names < k])
-    ball = g["ball"].to_numpy(zero_copy_only=False)[keep]
-    inside = np.flatnonzero([x is not None for x in ball])
-    if len(inside):
-        apart(inside, np.unique(ball[inside].astype("S16"), return_inverse=True)[1])
+    ball = numbered(g["ball"])[keep]
+    apart(np.flatnonzero(ball >= 0), ball[ball >= 0])
     return own
 
 
 def _may_reach(threshold: float, least: int):
     """Members of a cell that have a partner by their tokens and sizes. Last bytes of tokens never agree less than tokens do."""
 
+    def sized(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.minimum(n, m) >= threshold * np.maximum(n, m)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["k", "p", "q"]):
-            ids, keep = _members(g)
-            if len(ids) < 2:
-                continue
-            own = _own_pairs(g, keep)
-            low = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in g["low"].combine_chunks().take(pa.array(keep))])
-            n = g["n"].to_numpy()[keep].astype(np.float64)
-            some = np.zeros(len(ids), dtype=bool)
-            for a in range(0, len(ids), 256):
-                at = a + np.flatnonzero(own[a : a + 256].any(axis=1))
-                if not len(at):
-                    continue
-                agree = np.zeros((len(at), len(ids)), dtype=np.uint8)
-                for c in range(SIZE):
-                    agree += low[at, c : c + 1] == low[None, :, c]
-                hit = own[at] & (agree >= least) & (np.minimum(n[at, None], n) >= threshold * np.maximum(n[at, None], n))
-                some[at] |= hit.any(axis=1)
-                some |= hit.any(axis=0)
+        for t, edges in whole_cells(batches, ["k", "p", "q"]):
+            low = np.frombuffer(b"".join(t["low"].to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
+            n = t["n"].to_numpy().astype(np.float64)
+            some = np.zeros(len(n), dtype=bool)
+            sizes = np.diff(edges)
+            few = np.flatnonzero((sizes > 1) & (sizes <= FEW))
+            if len(few):
+                node, k, chunk, ball = t["node"].to_numpy(), t["k"].to_numpy(), t["chunk"].to_numpy(), numbered(t["ball"])
+                across = t["p"].to_numpy() != t["q"].to_numpy()
+                lists = t["leaves"].combine_chunks()
+                left, right = padded(lists, -1), padded(lists, -2)
+                inside = np.concatenate([np.arange(edges[c], edges[c + 1]) for c in few])
+                p, q = pairs_within(np.concatenate([[0], np.cumsum(sizes[few])]))
+                for i in range(0, len(p), PAIRS):
+                    a, b = inside[p[i : i + PAIRS]], inside[q[i : i + PAIRS]]
+                    ok = (node[a] != node[b]) & ((chunk[a] != chunk[b]) | ~across[a]) & ((ball[a] != ball[b]) | (ball[a] < 0)) & sized(n[a], n[b])
+                    a, b = a[ok], b[ok]
+                    ok = (low[a] == low[b]).sum(axis=1) >= least
+                    a, b = a[ok], b[ok]
+                    ok = first_shared(left[a], right[b]) == k[a]
+                    some[a[ok]] = some[b[ok]] = True
+            for c in np.flatnonzero(sizes > FEW):
+                e, rows = edges[c], np.arange(sizes[c])
+                own = _own_pairs(t.slice(int(e), int(sizes[c])), rows)
+                mine, m = low[e : edges[c + 1]], n[e : edges[c + 1]]
+                for i in range(0, len(rows), 256):
+                    at = i + np.flatnonzero(own[i : i + 256].any(axis=1))
+                    if not len(at):
+                        continue
+                    agree = np.zeros((len(at), len(rows)), dtype=np.uint8)
+                    for column in range(SIZE):
+                        agree += mine[at, column : column + 1] == mine[None, :, column]
+                    hit = own[at] & (agree >= least) & sized(m[at, None], m)
+                    some[e + at] |= hit.any(axis=1)
+                    some[e : edges[c + 1]] |= hit.any(axis=0)
             if some.any():
-                at = pa.array(keep[some])
-                yield from g.select(["k", "node", "n"]).take(at).combine_chunks().to_batches()
+                yield from t.select(["k", "node", "n"]).take(pa.array(np.flatnonzero(some))).combine_chunks().to_batches()
 
     return run
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import random
 import re
 import uuid
 import zlib
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +207,23 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.scan(more, rules=newer).count() == 3
     found = {r["doc_id"]: len(r["access"]) + len(r["assign"]) for r in ledger.findings(more).collect()}
     assert found == {1: 1, 2: 0, 3: 0, 4: 1}
+    # Opened again, it knows all that; a batch without its mark counts for nothing.
+    again = secrets.SecretLedger(spark, ledger.path)
+    assert again.scan(more, rules=newer).count() == 0
+    fifth = spark.createDataFrame([(5, "AKIA" + "B" * 20)], "doc_id long, text string")
+    ledger.known().write.parquet(f"{ledger.path}/batch-unfinished")
+    common.remove(spark, f"{ledger.path}/batch-unfinished/_SUCCESS")
+    assert secrets.SecretLedger(spark, ledger.path).scan(more.unionByName(fifth)).count() == 3
+
+
+def test_secrets_of_old_versions(spark):
+    key, other = "AKIA" + "A" * 20, "AKIA" + "B" * 20
+    rows = [("a", 1, f"x {key}"), ("a", 2, f"y {key} {other}"), ("a", 3, "clean"), ("b", 1, f"x {key}"), ("c", None, None), (None, 1, other)]
+    history = spark.createDataFrame(rows, "path string, version int, text string")
+    ledger = secrets.SecretLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    found = {(r["path"], r["secret_sha256"]): (r["first_version"], r["last_version"], r["versions"]) for r in ledger.exposures(history).collect()}
+    assert found == {("a", sha(key)): (1, 2, 2), ("a", sha(other)): (2, 2, 1), ("b", sha(key)): (1, 1, 1), (None, sha(other)): (1, 1, 1)}
 
 
 def test_secret_spans(spark):
@@ -246,6 +266,45 @@ def test_ngram_join(spark, seed):
     assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == want
 
 
+def brute_cosines(x, threshold=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("d, n", [(64, 1500), (48, 300)])
+def test_embeddings_recall_at_the_threshold(spark, d, n):
+    rng = np.random.default_rng(d)
+    a = rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=(n, d))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = 0.9501
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side])
+    want = brute_cosines(x).sum(axis=1)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(rows).collect()}
+    got = np.array([found[k] for k in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() >= 2 * n
+
+
+def test_large_groups_of_close_vectors(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    close = one + rng.normal(size=(260, 16)) * 0.02
+    apart = one + rng.normal(size=(60, 16)) * 0.25
+    x = np.concatenate([close, apart, rng.normal(size=(40, 16))]).astype(np.float32)
+    near = brute_cosines(x.astype(np.float64))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (32, 4096):
+        found = embedding_dedup.near_duplicates(rows, block=block).collect()
+        got = np.array([r["n_links"] for r in sorted(found, key=lambda r: r["vec_id"])])
+        assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.99 * near.sum()
+        assert len({r["component_id"] for r in found if r["vec_id"] < 260}) == 1
+
+
 def brute_links(docs):
     """(n_links, component) of every document by comparing all pairs."""
     sets = {}
@@ -343,8 +402,42 @@ def test_loser_tree():
 def test_archives_refuse_broken_records():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [(a, b) for a, _, b in warc.records(good * 2)] == [(0, b"ab"), (len(good), b"ab")]
+    for bad in (good.replace(b"2", b"1"), good[:-1], good + b"x", good.replace(b"WARC/1.1", b"WARD/1.1")):
+        with pytest.raises(ValueError):
+            list(warc.records(bad))
+    # In parts of any size.
+    for size in (1, 3, 7):
+        found = warc.Records()
+        assert [x for a in range(0, 2 * len(good), size) for x in found.add((good * 2)[a : a + size])] == list(warc.records(good * 2))
+
+
+def test_archives_of_odd_payloads(spark):
+    rng = random.Random(9)
+    odd = ["".join(rng.choices(["\r", "\n", "\r\n", "\r\n\r\n", "a", "é", "WARC/1.1"], k=rng.randint(0, 12))) for _ in range(300)] + ["x" * 3_000_000, "\r\n\r\n" * 4]
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.example/{k % 11}", t) for k, t in enumerate(odd)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = warc.archive_pages(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r["url_key"], r["captured_at"], r["page_id"]) for r in found] == sorted((r["url_key"], r["captured_at"], r["page_id"]) for r in found)
+    first = {}
+    for k, t in enumerate(odd):
+        first.setdefault(t, k)
+    got = {r["page_id"]: (r["payload_digest"], r["payload_bytes"], r["refers_to"], r["captured_at"]) for r in found}
+    day = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert got == {
+        k: (
+            base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), len(t.encode()), None if first[t] == k else first[t],
+            (day + timedelta(seconds=k)).strftime("%Y-%m-%dT%H:%M:%SZ"),
+        )
+        for k, t in enumerate(odd)
+    }
+
+
+def test_runs_have_to_be_sorted():
     with pytest.raises(ValueError):
-        list(warc.records(good.replace(b"2", b"1")))
+        list(warc.loser_tree([[1, 3, 2], [1]], lambda r: (r,)))
 
 
 def test_language_accuracy(spark):
