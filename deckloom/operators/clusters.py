@@ -11,13 +11,13 @@ tree. Attaching is plain joins over all slices.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import cut
+
 NOISE = -1
 #: Least decks of a cluster, and least cosine for attaching.
 LEAST_SIZE, TAU = 5, 0.3
@@ -176,14 +176,6 @@ def condense(n: int, tree: list[tuple[float, int, int]], least: int = LEAST_SIZE
     return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint; a temporary folder only where the session has none."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="deckloom-"))
-    return df.checkpoint(eager=True)
-
-
 def _first_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     """The spanning forest of the pairs that a cell compares: between its two chunks, or within the one."""
     pdf = pdf.sort_values("deck_id").reset_index(drop=True)
@@ -216,8 +208,8 @@ def tree_edges(vectors: DataFrame, decks: DataFrame, block: int = BLOCK, edges:
     """
     packed = vectors.groupBy("slice", "deck_id").agg(F.array_sort(F.collect_list(F.struct("card_id", "weight"))).alias("v"))
     packed = packed.join(decks.select("slice", "deck_id").distinct(), ["slice", "deck_id"], "left_semi")
-    rows = _cut(packed.select("slice", "deck_id", F.col("v.card_id").alias("cards"), F.col("v.weight").alias("weights")))
-    sizes = _cut(rows.groupBy("slice").agg(F.count("*").alias("n")))
+    rows = cut(packed.select("slice", "deck_id", F.col("v.card_id").alias("cards"), F.col("v.weight").alias("weights")))
+    sizes = cut(rows.groupBy("slice").agg(F.count("*").alias("n")))
     dealt = rows.join(F.broadcast(sizes.withColumn("m", F.ceil(F.col("n") / block))), "slice")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "deck_id"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
@@ -226,16 +218,16 @@ def tree_edges(vectors: DataFrame, decks: DataFrame, block: int = BLOCK, edges:
     )
     kinds = dict(rows.dtypes)
     kind = f"slice {kinds['slice']}, d double, a {kinds['deck_id']}, b {kinds['deck_id']}"
-    found = _cut(celled.groupBy("slice", "p", "q").applyInPandas(_first_edges, kind))
+    found = cut(celled.groupBy("slice", "p", "q").applyInPandas(_first_edges, kind))
     while True:
         size = found.groupBy("slice").agg(F.count("*").alias("e")).join(F.broadcast(sizes), "slice")
         size = size.select("slice", F.ceil(F.col("e") / F.greatest(F.lit(edges), F.col("n") * PER_DECK)).alias("m"))
-        size = _cut(size.where("m > 1"))
+        size = cut(size.where("m > 1"))
         if size.isEmpty():
             return found
         large = found.join(F.broadcast(size), "slice").withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.col("m")))
         merged = large.groupBy("slice", "bucket").applyInPandas(_merged, kind)
-        found = _cut(merged.unionByName(found.join(F.broadcast(size), "slice", "left_anti")))
+        found = cut(merged.unionByName(found.join(F.broadcast(size), "slice", "left_anti")))
 
 
 def cluster_slices(

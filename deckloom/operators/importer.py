@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import TABLES
 from ..sources.definitions import Format
 from ..sources.events import read_events, select_events
 from ..sources.tables import Store, insert_absent, upsert, upsert_additive
 from . import normalize, quality, resolve
+from .numbering import cut
 
 
 @dataclass(frozen=True)
@@ -23,27 +25,52 @@ class ImportResult:
         return "\n".join(f"{name}: {n}" for name, n in self.counts.items())
 
 
-def format_rows(spark: SparkSession, formats: list[Format], games: dict[str, int]) -> DataFrame:
-    """The ``formats`` table; ids follow the order of the settings."""
+def with_ids(old: DataFrame, fresh: list[tuple], key: int) -> list[tuple]:
+    """Rows of a small table (id first) with ids: those of a key that ``old`` has keep its id, others follow the largest one.
+
+    old: id and, in one column ``key``, what identifies a row. Such tables are as
+    long as the settings, so the driver holds them.
+    """
+    known = {r["key"]: r["id"] for r in old.collect()}
+    free = max(known.values(), default=0)
+    out = []
+    for row in fresh:
+        if row[key] not in known:
+            free += 1
+            known[row[key]] = free
+        out.append((known[row[key]], *row[1:]))
+    return out
+
+
+def game_rows(store: Store, game: str) -> DataFrame:
+    """The ``games`` table with the game in it."""
+    old = store.read("games")
+    fresh = with_ids(old.select("id", F.col("name").alias("key")), [(None, game)], 1)
+    return insert_absent(old, store.spark.createDataFrame(fresh, TABLES["games"]), ["name"])
+
+
+def format_rows(store: Store, formats: list[Format], game_id: int) -> DataFrame:
+    """The ``formats`` table with the settings' formats of a game: new ones get new ids, others new settings."""
+    old = store.read("formats")
+    mine = old.where(F.col("game_id") == game_id).select("id", F.col("name").alias("key"))
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).select("id", F.lit(None).cast("string").alias("key"))
     rows = [
         (
-            k + 1, games[f.game], f.name,
+            None, game_id, f.name,
             (list(f.slug_tokens), list(f.board_zones), f.expected_mainboard_min, f.expected_sideboard_max, list(f.vector_exclude_type_line_prefixes)),
         )
-        for k, f in enumerate(formats)
+        for f in formats
     ]
-    from ..schemas import TABLES
-
-    return spark.createDataFrame(rows, TABLES["formats"])
+    fresh = store.spark.createDataFrame(with_ids(mine.unionByName(top), rows, 2), TABLES["formats"])
+    return upsert(old, fresh, ["game_id", "name"], ["config"])
 
 
 def normalized(docs: DataFrame, cards: DataFrame, game_id: int, format_ids: dict[str, int]) -> dict[str, DataFrame]:
     """Events, decks, deck_cards, and the lines without a card, of selected documents."""
-    numbered = normalize.number_events(docs)
-    events = normalize.events(numbered, game_id, format_ids)
-    decks = normalize.decks(numbered)
-    lines = normalize.card_lines(decks)
-    names = resolve.resolve_names(lines, cards.where(F.col("game_id") == game_id))
+    placed = cut(normalize.number_events(docs))
+    events, decks = normalize.events(placed, game_id, format_ids), cut(normalize.decks(placed))
+    lines = cut(normalize.card_lines(decks))
+    names = cut(resolve.resolve_names(lines, cards.where(F.col("game_id") == game_id)))
     deck_cards, missed = resolve.resolve_lines(lines, names)
     return {"events": events, "decks": decks, "lines": lines, "deck_cards": deck_cards, "missed": missed}
 
@@ -58,8 +85,10 @@ def run_import(
 ) -> ImportResult:
     """Reads the documents below ``root``, writes games, formats, events, decks, deck_cards and unresolved names, and checks them.
 
-    Raises RuntimeError if there are no cards yet, ValueError if a check fails. Events
-    and decks are replaced; occurrences of unresolved names add up over imports.
+    Raises RuntimeError if there are no cards yet. Events and decks are replaced;
+    occurrences of unresolved names add up over imports. The documents are parsed once.
+    New tables stand beside the old ones until they pass the checks; if one fails, a
+    ValueError is raised and the old tables stay as they were.
     """
     spark = store.spark
     cards = store.read("cards")
@@ -67,42 +96,51 @@ def run_import(
         raise RuntimeError("there are no cards; load a catalogue first")
     own = [f for f in formats if f.game == game]
     wanted = {f.name for f in own if f.imported} & (only_formats if only_formats is not None else {f.name for f in own})
-    games = insert_absent(store.read("games"), spark.createDataFrame([(1, game)], "id int, name string"), ["name"])
-    store.swap("games", games)
+    store.swap("games", game_rows(store, game))
     game_id = store.read("games").where(F.col("name") == game).first()["id"]
-    fresh = format_rows(spark, own, {game: game_id})
-    store.swap("formats", upsert(store.read("formats"), fresh, ["game_id", "name"], ["config"]))
+    store.swap("formats", format_rows(store, own, game_id))
     ids = {r["name"]: r["id"] for r in store.read("formats").where(F.col("game_id") == game_id).collect()}
 
-    docs, skipped = select_events(read_events(spark, root), {f.name: list(f.slug_tokens) for f in own}, wanted)
+    docs, skipped = select_events(cut(read_events(spark, root)), {f.name: list(f.slug_tokens) for f in own}, wanted)
     made = normalized(docs, cards, game_id, ids)
-    for name in ("events", "decks", "deck_cards"):
-        store.write(name, made[name], "overwrite")
-    report = resolve.unresolved_report(made["missed"], store.read("decks"), store.read("events"))
-    keys, add = ["game_id", "format_id", "card_name"], ["occurrences", "decks_affected"]
-    summed = upsert_additive(store.read("ingest_unresolved_cards"), report, keys, add)
-    store.swap("ingest_unresolved_cards", resolve.numbered_unresolved(summed))
-
+    events, decks = cut(made["events"]), made["decks"]
     counts = skipped.first().asDict()
-    counts |= made["events"].agg(
+    counts |= events.agg(
         F.count("*").alias("events"),
         F.coalesce(F.sum("standings_only"), F.lit(0)).alias("standings_only_players"),
         F.coalesce(F.sum("decks_without_standing"), F.lit(0)).alias("decks_without_standing"),
     ).first().asDict()
-    counts["decks"] = store.read("decks").count()
-    counts["deck_cards"] = store.read("deck_cards").count()
+    beside = {"events": store.stage("events", events), "decks": store.stage("decks", decks), "deck_cards": store.stage("deck_cards", made["deck_cards"])}
+    staged = {name: store.staged(name, path) for name, path in beside.items()}
+    try:
+        quality.gates({n: store.read(n) for n in ("games", "formats", "cards")} | staged, today)
+    except ValueError:
+        for path in beside.values():
+            store.drop(path)
+        raise
+    counts["decks"], counts["deck_cards"] = staged["decks"].count(), staged["deck_cards"].count()
     counts["zero_count_lines"] = made["lines"].where("count < 1").count()
-    counts |= made["missed"].agg(F.count_distinct("name").alias("unresolved_names"), F.count_distinct("deck_id").alias("decks_with_unresolved")).first().asDict()
-    quality.gates({n: store.read(n) for n in ("games", "formats", "cards", "events", "decks", "deck_cards")}, today)
+    missed = made["missed"]
+    counts |= missed.agg(F.count_distinct("name").alias("unresolved_names"), F.count_distinct("deck_id").alias("decks_with_unresolved")).first().asDict()
+    report = resolve.unresolved_report(missed, staged["decks"], staged["events"])
+    keys, add = ["game_id", "format_id", "card_name"], ["occurrences", "decks_affected"]
+    summed = resolve.numbered_unresolved(upsert_additive(store.read("ingest_unresolved_cards"), report, keys, add))
+    beside["ingest_unresolved_cards"] = store.stage("ingest_unresolved_cards", summed)
+    for name, path in beside.items():
+        store.put(name, path)
     return ImportResult(counts)
 
 
-def load_window(store_or_tables, start, end, format_name: str, game: str | None = None) -> DataFrame:
-    """(deck_id, date, card_id, count, board) of a format's decks between two days, both included.
+def _tables(given: Store | dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return given if isinstance(given, dict) else {n: given.read(n) for n in ("games", "formats", "events", "decks", "deck_cards")}
+
+
+def window_decks(given: Store | dict[str, DataFrame], start, end, format_name: str, game: str | None = None) -> DataFrame:
+    """(deck_id, date) of a format's decks between two days, both included, also those without a card.
 
     The date filter reaches the event scan, and events are laid out by format.
     """
-    tables = store_or_tables if isinstance(store_or_tables, dict) else {n: store_or_tables.read(n) for n in ("games", "formats", "events", "decks", "deck_cards")}
+    tables = _tables(given)
     chosen = tables["formats"].where(F.col("name") == format_name)
     if game is not None:
         chosen = chosen.join(F.broadcast(tables["games"].where(F.col("name") == game).select(F.col("id").alias("game_id"))), "game_id", "left_semi")
@@ -110,5 +148,11 @@ def load_window(store_or_tables, start, end, format_name: str, game: str | None
     events = tables["events"].where(F.col("date").between(F.lit(start), F.lit(end))).join(
         F.broadcast(chosen.select(F.col("id").alias("format_id"))), "format_id", "left_semi"
     )
-    decks = tables["decks"].select(F.col("id").alias("deck_id"), "event_id").join(events.select(F.col("id").alias("event_id"), "date"), "event_id")
-    return tables["deck_cards"].join(decks.select("deck_id", "date"), "deck_id").select("deck_id", "date", "card_id", "count", "board")
+    decks = tables["decks"].select(F.col("id").alias("deck_id"), "event_id")
+    return decks.join(events.select(F.col("id").alias("event_id"), "date"), "event_id").select("deck_id", "date")
+
+
+def load_window(given: Store | dict[str, DataFrame], start, end, format_name: str, game: str | None = None) -> DataFrame:
+    """(deck_id, date, card_id, count, board) of the cards of ``window_decks``."""
+    decks = window_decks(given, start, end, format_name, game)
+    return _tables(given)["deck_cards"].join(decks, "deck_id").select("deck_id", "date", "card_id", "count", "board")

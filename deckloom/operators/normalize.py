@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .numbering import numbered
 
 RECORD = {"finish_rank": "$.Rank", "wins": "$.Wins", "losses": "$.Losses", "draws": "$.Draws"}
 
@@ -15,18 +15,20 @@ def _decks() -> Column:
     return F.coalesce(F.size("Decks"), F.lit(0))
 
 
-def last_standings(standings: Column) -> Column:
-    """Map from player to that player's last standing; those without a player are left out."""
-    named = F.filter(standings, lambda s: F.variant_get(s, "$.Player", "string").isNotNull())
-    n = F.size(named)
-    kept = F.filter(
-        F.transform(named, lambda s, k: F.struct(F.variant_get(s, "$.Player", "string").alias("p"), s.alias("s"), k.alias("k"))),
-        lambda x: ~F.exists(
-            F.slice(named, x["k"] + 2, F.greatest(n - x["k"] - 1, F.lit(0))),
-            lambda later: F.variant_get(later, "$.Player", "string") == x["p"],
-        ),
-    )
-    return F.transform(kept, lambda x: F.struct(x["p"].alias("player"), x["s"].alias("standing")))
+def with_standings(docs: DataFrame) -> DataFrame:
+    """Adds _standings: a map from player to that player's last standing; those without a player are left out.
+
+    Players are sorted with their places, so the last one of each is that before another player.
+    """
+    player = lambda s: F.variant_get(s, "$.Player", "string")
+    all_ = F.coalesce("Standings", F.expr("array()").cast("array<variant>"))
+    named = docs.withColumn("_named", F.filter(all_, lambda s: player(s).isNotNull()))
+    placed = F.transform("_named", lambda s, k: F.struct(player(s).alias("p"), k.alias("k")))
+    ordered = named.withColumn("_ordered", F.array_sort(placed))
+    last = F.filter("_ordered", lambda x, k: (k == F.size("_ordered") - 1) | (F.get("_ordered", k + 1)["p"] != x["p"]))
+    pairs = ordered.withColumn("_last", last)
+    found = F.map_from_entries(F.transform("_last", lambda x: F.struct(x["p"], F.get("_named", x["k"]))))
+    return pairs.withColumn("_standings", found).drop("_named", "_ordered", "_last")
 
 
 def override(standing: Column, path: str, parsed: Column) -> Column:
@@ -39,27 +41,23 @@ def override(standing: Column, path: str, parsed: Column) -> Column:
 def number_events(docs: DataFrame, first_id: int = 1, first_deck_id: int = 1) -> DataFrame:
     """Adds id and first_deck (the id of the event's first deck), both without gaps in path order.
 
-    The windows run over events alone, one small row each, never over decks.
+    Only events are counted, one small row each, never decks, and those in ranges.
     """
     small = docs.select("raw_ref", "path", _decks().alias("n"))
-    order = W.orderBy("path")
-    numbered = small.select(
-        "raw_ref",
-        (F.row_number().over(order) + first_id - 1).cast("long").alias("id"),
-        (F.sum("n").over(order) - F.col("n") + first_deck_id).cast("long").alias("first_deck"),
+    placed = numbered(small, ["path"], "id", {"first_deck": "n"}).select(
+        "raw_ref", (F.col("id") + (first_id - 1)).alias("id"), (F.col("first_deck") + first_deck_id).alias("first_deck")
     )
-    return docs.join(numbered, "raw_ref")
+    return docs.join(placed, "raw_ref")
 
 
-def events(numbered: DataFrame, game_id: int, format_ids: dict[str, int]) -> DataFrame:
+def events(placed: DataFrame, game_id: int, format_ids: dict[str, int]) -> DataFrame:
     """The ``events`` table, with counters: standings_only, decks_without_standing."""
     pairs = [F.lit(x) for kv in sorted(format_ids.items()) for x in kv]
-    standings = last_standings(F.coalesce("Standings", F.expr("array()").cast("array<variant>")))
-    players = F.transform(standings, lambda s: s["player"])
-    deck_players = F.transform(F.coalesce("Decks", F.array().cast(numbered.schema["Decks"].dataType)), lambda d: d["Player"])
+    deck_players = F.transform(F.coalesce("Decks", F.array().cast(placed.schema["Decks"].dataType)), lambda d: d["Player"])
     n = F.size("_players")
     return (
-        numbered.withColumn("_players", players)
+        with_standings(placed)
+        .withColumn("_players", F.map_keys("_standings"))
         .withColumn("_deck_players", deck_players)
         .select(
             "id",
@@ -83,13 +81,15 @@ def events(numbered: DataFrame, game_id: int, format_ids: dict[str, int]) -> Dat
     )
 
 
-def decks(numbered: DataFrame) -> DataFrame:
-    """The ``decks`` table, and the documents' card lines as ``lines``. One pass, no shuffle."""
-    standings = last_standings(F.coalesce("Standings", F.expr("array()").cast("array<variant>")))
-    rows = numbered.withColumn("_standings", standings).select("id", "first_deck", "_standings", F.posexplode("Decks").alias("pos", "deck"))
-    own = F.element_at(F.filter("_standings", lambda s: s["player"] == F.col("deck.Player")), 1)["standing"]
-    own = F.when(F.size(F.filter("_standings", lambda s: s["player"] == F.col("deck.Player"))) > 0, own)
-    rows = rows.withColumn("_own", own).withColumn("_parsed", text.parse_result(F.nullif(F.col("deck.Result"), F.lit(""))))
+def decks(placed: DataFrame) -> DataFrame:
+    """The ``decks`` table, and the documents' card lines as ``lines``. One pass, no shuffle.
+
+    Each deck takes its own standing out of the map, so an event's standings are never copied.
+    """
+    own = F.transform("Decks", lambda d: F.struct(d.alias("deck"), F.when(d["Player"].isNotNull(), F.element_at("_standings", d["Player"])).alias("own")))
+    rows = with_standings(placed).select("id", "first_deck", F.posexplode(own).alias("pos", "x"))
+    rows = rows.select("id", "first_deck", "pos", F.col("x.deck").alias("deck"), F.col("x.own").alias("_own"))
+    rows = rows.withColumn("_parsed", text.parse_result(F.nullif(F.col("deck.Result"), F.lit(""))))
 
     def zone(lines: str, board: str) -> Column:
         return F.transform(

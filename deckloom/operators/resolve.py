@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .numbering import numbered
 
 #: How some sources join the halves of a name, and how the catalogue does.
 WRITTEN, CANONICAL = " && ", " // "
@@ -59,11 +59,12 @@ def resolve_names(names: DataFrame, cards: DataFrame, fold: Callable = text.case
 
 
 def fold_index(cards: DataFrame, key=text.fold_name) -> DataFrame:
-    """(key, card_id): folded full names that belong to one card only."""
+    """(key, card_id): folded full names that belong to one card only. Distinct names are folded, not all rows."""
+    names = cards.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     return (
-        cards.select(key("name").alias("key"), "id")
+        names.select(key("name").alias("key"), "least", "most")
         .groupBy("key")
-        .agg(F.min("id").alias("card_id"), F.max("id").alias("_other"))
+        .agg(F.min("least").alias("card_id"), F.max("most").alias("_other"))
         .where("card_id = _other and key is not null")
         .select("key", "card_id")
     )
@@ -91,5 +92,4 @@ def unresolved_report(missed: DataFrame, decks: DataFrame, events: DataFrame) ->
 
 def numbered_unresolved(report: DataFrame) -> DataFrame:
     """The report as a table with ids, in order of game, format and name; it has a row for each name, not for each line."""
-    order = W.orderBy("game_id", "format_id", "card_name")
-    return report.withColumn("id", F.row_number().over(order).cast("long"))
+    return numbered(report, ["game_id", "format_id", "card_name"])

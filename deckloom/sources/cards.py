@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..operators.numbering import numbered
 from ..schemas import CARD_DOCUMENT, struct
 
 #: Layouts that are no playable cards, and set types whose cards give way to others of their name.
@@ -36,10 +36,8 @@ def card_table(raw: DataFrame, game_id: int = 1) -> DataFrame:
     tier = F.coalesce(F.col("set_type").isin(*SECOND_TIER), F.lit(False)).cast("int")
     faces = F.when(F.size("card_faces") > 0, F.transform("card_faces", lambda f: f["name"]))
     attrs = F.struct("layout", "set_type", "type_line", tier.alias("resolution_tier"), faces.alias("face_names"))
-    order = W.orderBy(F.col("attrs.resolution_tier"), "canonical_ref")
-    return playable.select(F.lit(game_id).alias("game_id"), F.col("oracle_id").alias("canonical_ref"), "name", attrs.alias("attrs")).select(
-        F.row_number().over(order).cast("long").alias("id"), "game_id", "canonical_ref", "name", "attrs"
-    )
+    rows = playable.select(F.lit(game_id).alias("game_id"), F.col("oracle_id").alias("canonical_ref"), "name", attrs.alias("attrs"), tier.alias("_tier"))
+    return numbered(rows, ["_tier", "canonical_ref"]).select("id", "game_id", "canonical_ref", "name", "attrs")
 
 
 def left_out(raw: DataFrame) -> DataFrame:

@@ -22,30 +22,68 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _files(self):
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        return make(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), make
+
+    def _there(self, path: str) -> bool:
+        files, make = self._files()
+        return files.exists(make(path))
+
+    def _standing(self, name: str) -> str | None:
+        """Where the table is: in its place or, if a swap was broken off in the middle, beside it."""
+        return next((p for p in (self.path(name), self._before(name)) if self._there(p)), None)
+
+    def _before(self, name: str) -> str:
+        return f"{self.root}/_{name}-before"
+
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self._standing(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
+        path = self._standing(name)
+        if path is None:
             return empty(self.spark, name)
-        return self.spark.read.schema(struct(TABLES[name])).parquet(self.path(name))
+        return self.spark.read.schema(struct(TABLES[name])).parquet(path)
+
+    def _typed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f.name).cast(f.dataType) for f in struct(TABLES[name]).fields])
 
     def write(self, name: str, rows: DataFrame, mode: str = "errorifexists") -> None:
         """The table's own columns of ``rows``, cast to its types."""
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in struct(TABLES[name]).fields])
-        typed.write.mode(mode).partitionBy(*PARTITIONED.get(name, [])).parquet(self.path(name))
+        self._typed(name, rows).write.mode(mode).partitionBy(*PARTITIONED.get(name, [])).parquet(self.path(name))
 
-    def swap(self, name: str, rows: DataFrame) -> None:
-        """Replaces a table by rows that may be made from it: written beside it first, then moved."""
+    def stage(self, name: str, rows: DataFrame) -> str:
+        """Writes rows beside the table and says where; ``put`` then takes them for the table."""
         beside = f"{self.root}/_{name}-{uuid.uuid4().hex}"
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in struct(TABLES[name]).fields])
-        typed.write.partitionBy(*PARTITIONED.get(name, [])).parquet(beside)
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = make(beside).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(make(self.path(name)), True)
-        if not files.rename(make(beside), make(self.path(name))):
-            raise OSError(f"{beside} could not be moved to {self.path(name)}")
+        self._typed(name, rows).write.partitionBy(*PARTITIONED.get(name, [])).parquet(beside)
+        return beside
+
+    def staged(self, name: str, beside: str) -> DataFrame:
+        return self.spark.read.schema(struct(TABLES[name])).parquet(beside)
+
+    def put(self, name: str, beside: str) -> None:
+        """Replaces a table by what was staged. At every moment the old or the new rows are read."""
+        files, make = self._files()
+        here, before = self.path(name), self._before(name)
+        if self._there(here):
+            files.delete(make(before), True)
+            self._move(here, before)
+        self._move(beside, here)
+        files.delete(make(before), True)
+
+    def _move(self, a: str, b: str) -> None:
+        files, make = self._files()
+        if not files.rename(make(a), make(b)):
+            raise OSError(f"{a} could not be moved to {b}")
+
+    def drop(self, beside: str) -> None:
+        files, make = self._files()
+        files.delete(make(beside), True)
+
+    def swap(self, name: str, rows: DataFrame) -> None:
+        """Replaces a table by rows that may be made from it."""
+        self.put(name, self.stage(name, rows))
 
     def load_cards(self, cards: DataFrame) -> None:
         """Writes the card table. Raises RuntimeError if there are cards already, since ids may be in use."""

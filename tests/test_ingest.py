@@ -6,6 +6,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from deckloom import cli
 from deckloom.operators import importer, quality, trends
@@ -142,6 +143,48 @@ def test_unresolved_adds_up(spark, corpus, imported):
     assert before == {n: sorted(map(str, store.read(n).collect())) for n in before}
 
 
+def test_ids_do_not_collide(spark, corpus, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.load_cards(cards.card_table(cards.read_cards(spark, str(corpus / "cards.json"))))
+    importer.run_import(store, str(corpus), FORMATS, "cards")
+    ids = {r["name"]: r["id"] for r in store.read("formats").collect()}
+    # A format put first keeps the others' ids; a second game has one of its own.
+    more = [Format("cards", "vintage", False, ("vintage",)), *FORMATS, Format("dice", "modern", True, ("modern",))]
+    importer.run_import(store, str(corpus), more, "cards")
+    store.swap("games", importer.game_rows(store, "dice"))
+    game = {r["name"]: r["id"] for r in store.read("games").collect()}
+    store.swap("formats", importer.format_rows(store, [more[-1]], game["dice"]))
+    rows = [(r["game_id"], r["name"], r["id"]) for r in store.read("formats").collect()]
+    assert game == {"cards": 1, "dice": 2} and len({i for *_, i in rows}) == len(rows) == 4
+    assert {n: i for g, n, i in rows if g == 1 and n in ids} == ids and (2, "modern") in {(g, n) for g, n, _ in rows}
+
+
+def test_failed_checks_leave_the_old_tables(spark, corpus, tmp_path):
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.load_cards(cards.card_table(cards.read_cards(spark, str(corpus / "cards.json"))))
+    importer.run_import(store, str(corpus), FORMATS, "cards")
+    before = sorted(map(str, store.read("decks").collect()))
+    with pytest.raises(ValueError, match="future"):
+        importer.run_import(store, str(corpus), FORMATS, "cards", today=date(2020, 1, 1))
+    assert sorted(map(str, store.read("decks").collect())) == before
+    assert {p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")} == {"cards", "games", "formats", "events", "decks", "deck_cards", "ingest_unresolved_cards"}
+    # A swap that was broken off in the middle.
+    (tmp_path / "store/decks").rename(tmp_path / "store/_decks-before")
+    assert sorted(map(str, store.read("decks").collect())) == before
+    store.swap("decks", store.read("decks"))
+    assert sorted(map(str, store.read("decks").collect())) == before
+
+
+def test_numbers_over_ranges(spark):
+    from deckloom.operators.numbering import numbered
+
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("n")).repartition(5, "n")
+    found = numbered(rows, ["k"], "place", {"before": "n"}).orderBy("k").collect()
+    assert [r["place"] for r in found] == list(range(1, 1001))
+    assert [r["before"] for r in found] == [sum(j % 7 for j in range(k)) for k in range(1000)]
+    assert numbered(rows.where("false"), ["k"]).count() == 0
+
+
 def test_gates(imported):
     store = imported[0]
     found = {n: store.read(n) for n in TABLES}
