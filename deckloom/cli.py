@@ -1,4 +1,4 @@
-"""Command line: ``python -m deckloom.cli cards|events|report|classify``."""
+"""Command line: ``python -m deckloom.cli cards|events|report|classify|evaluate``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluate, importer, quality, resolve, rules
+from .operators import evaluate, holdout, importer, quality, resolve, rules
 from .schemas import TABLES
 from .sources.cards import card_table, read_cards
 from .sources.definitions import Audit, load_definitions, load_formats
@@ -34,9 +34,40 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--definitions", required=True)
     k.add_argument("--format", required=True)
     k.add_argument("--out", required=True)
+    v = sub.add_parser("evaluate", help="compare clusters with rules, twice; exit code 2 if the results differ")
+    v.add_argument("--definitions", required=True)
+    v.add_argument("--format", required=True)
+    v.add_argument("--game", required=True)
+    v.add_argument("--start", required=True, type=date.fromisoformat)
+    v.add_argument("--end", required=True, type=date.fromisoformat)
+    v.add_argument("--release", action="append", default=[], type=release, help="name|rule file without .json|key card|first day")
+    v.add_argument("--established", type=int, default=evaluate.ESTABLISHED, help="decks that make a label count")
+    v.add_argument("--out", required=True)
+    v.add_argument("--date", default=date.today().isoformat())
     return p
 
 
+def release(text: str) -> holdout.Release:
+    name, rule_file, key_card, day = text.split("|")
+    return holdout.Release(name, rule_file, key_card, date.fromisoformat(day))
+
+
+def evaluated(store: Store, args: argparse.Namespace) -> int:
+    known = resolver(store)(rule_names(args.definitions, args.format))
+    tables = {n: store.read(n) for n in TABLES}
+
+    def make() -> holdout.Evaluation:
+        return holdout.evaluation(
+            tables, lambda hidden: load_definitions(args.definitions, args.format, known.get, without=hidden), args.format, args.game,
+            args.start, args.end, tuple(args.release), args.established,
+        )
+
+    found, same = holdout.twice(make)
+    Path(args.out).write_text(holdout.report(found, same, args.date))
+    print(holdout.digits(found))
+    return 0 if same else 2
+
+
 def resolver(store: Store):
     """name to card id for rule files, whose names are few beside the catalogue's."""
     index = resolve.name_index(store.read("cards")).select("name", "card_id")
@@ -68,6 +99,8 @@ def main(argv: list[str] | None = None) -> int:
         print(importer.run_import(store, args.root, load_formats(args.formats), args.game, set(args.format) if args.format else None).summary())
     elif args.command == "report":
         Path(args.out).write_text(quality.report({n: store.read(n) for n in TABLES}, args.date))
+    elif args.command == "evaluate":
+        return evaluated(store, args)
     else:
         known = resolver(store)(rule_names(args.definitions, args.format))
         defs = load_definitions(args.definitions, args.format, known.get)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -99,12 +98,6 @@ def display_label(name: Column, with_color: Column, color: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(full, WORD_START, " "), r"\s+", " "))
 
 
-def label(name: str, with_color: bool, color: str) -> str:
-    """``display_label`` of one name, on the driver."""
-    full = (COLOR_NAMES.get(color, "") if with_color else "") + name.replace("Generic", "")
-    return re.sub(r"\s+", " ", re.sub(WORD_START, " ", full)).strip()
-
-
 def starts_with_any(col: Column, prefixes: list[str]) -> Column:
     found = F.lit(False)
     for p in prefixes:

@@ -236,15 +236,6 @@ def classify(deck_cards: DataFrame, compiled: Compiled, least_similarity: float
     )
 
 
-def holds(kind: str, main: set[int], side: set[int], cards: list[int], listed: int) -> bool:
-    """One condition read plainly; what the tables are tested against."""
-    if listed == 0:
-        return True
-    use_main, use_side, need, forbids = CONDITIONS[kind]
-    n = sum((c in main) * use_main + (c in side) * use_side for c in cards)
-    return n == 0 if forbids else n >= need
-
-
 def labels_of(classified: DataFrame, version: str) -> DataFrame:
     """Classified decks as rows of a label table: (deck_id, label, classifier_version, method, confidence)."""
     return classified.where("label is not null").select(

@@ -33,3 +33,23 @@ def tf_idf(deck_cards: DataFrame, decks: DataFrame, excluded: DataFrame | None =
     weighted = entries.join(idf, "card_id").select("deck_id", "card_id", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = weighted.groupBy("deck_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighted.join(norms, "deck_id").select("deck_id", "card_id", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def tf_idf_slices(deck_cards: DataFrame, decks: DataFrame, excluded: DataFrame | None = None, board: str = "main") -> DataFrame:
+    """(slice, deck_id, card_id, weight): ``tf_idf`` of each slice by itself. decks: (slice, deck_id); a deck may be in several.
+
+    Slices may overlap wholly, as windows that grow by a day do, so decks are joined to
+    their slices after their copies were summed.
+    """
+    rows = deck_cards.where((F.col("board") == board) & (F.col("count") > 0)).groupBy("deck_id", "card_id").agg(F.sum("count").alias("tf"))
+    if excluded is not None:
+        rows = rows.join(excluded.select("card_id"), "card_id", "left_anti")
+    members = decks.select("slice", "deck_id").distinct()
+    entries = rows.join(members, "deck_id")
+    n = members.groupBy("slice").agg(F.count("*").cast("double").alias("n"))
+    # A row for each slice and card, and one for each slice.
+    having = entries.groupBy("slice", "card_id").agg(F.count("*").alias("having")).join(n, "slice")
+    idf = having.select("slice", "card_id", (F.log((1.0 + F.col("n")) / (1.0 + F.col("having"))) + 1.0).alias("idf"))
+    weighted = entries.join(idf, ["slice", "card_id"]).select("slice", "deck_id", "card_id", (F.col("tf") * F.col("idf")).alias("raw"))
+    norms = weighted.groupBy("slice", "deck_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return weighted.join(norms, ["slice", "deck_id"]).select("slice", "deck_id", "card_id", (F.col("raw") / F.col("norm")).alias("weight"))

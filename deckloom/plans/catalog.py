@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clusters, evaluate, importer, quality, resolve, rules, trends, vectors
+from ..operators import clusters, evaluate, holdout, importer, normalize, quality, resolve, rules, trends, vectors
 from ..sources import tables as changes
+from ..sources.events import select_events
 from . import star
 
 FLAGSHIP = "q_size_histogram"
@@ -36,10 +37,16 @@ def query(sql: str | None = None, star_sql: bool = True) -> Callable:
 @query(
     "SELECT * FROM (SELECT 'games' AS table_name, count(*) AS n FROM games UNION ALL SELECT 'formats', count(*) FROM formats "
     "UNION ALL SELECT 'cards', count(*) FROM cards UNION ALL SELECT 'events', count(*) FROM ev "
-    "UNION ALL SELECT 'decks', count(*) FROM decks UNION ALL SELECT 'deck_cards', count(*) FROM deck_cards) ORDER BY 1"
+    "UNION ALL SELECT 'decks', count(*) FROM decks UNION ALL SELECT 'deck_cards', count(*) FROM deck_cards "
+    "UNION ALL SELECT 'ingest_unresolved_cards', count(*) FROM unresolved UNION ALL SELECT 'archetypes', count(DISTINCT p_type) FROM part "
+    "UNION ALL SELECT 'archetype_labels', count(*) FROM decks WHERE wins IS NOT NULL UNION ALL SELECT 'matches', count(*) FROM events) ORDER BY 1"
 )
 def q_row_counts(s, d):
-    return quality.row_counts(star.tables(s, d))
+    others = {
+        "ingest_unresolved_cards": star.unresolved(s, d), "archetypes": star.read(s, d, "part").select("p_type").distinct(),
+        "archetype_labels": star.decks(s, d).where("wins is not null"), "matches": star.read(s, d, "events"),
+    }
+    return quality.row_counts(star.tables(s, d) | others)
 
 
 @query(
@@ -138,9 +145,65 @@ def q_coverage(s, d):
 # Loading
 
 
-@query("SELECT deck_id, card_id, board, count FROM deck_cards")
+def _numbered(s, d):
+    """The wanted event documents with their ids."""
+    return normalize.number_events(select_events(star.documents(s, d), star.TOKENS, star.WANTED)[0])
+
+
+def _resolved(s, d):
+    """Names of documents against a catalogue of 250 cards."""
+    cards = s.range(250).select("id", F.lit(1).alias("game_id"), F.concat(F.lit("Card "), "id").alias("name"), F.struct(F.lit(None).cast("array<string>").alias("face_names")).alias("attrs"))
+    decks = normalize.decks(_numbered(s, d))
+    lines = normalize.card_lines(decks)
+    return decks, *resolve.resolve_lines(lines, resolve.resolve_names(lines, cards))
+
+
+@query(
+    star.DOCUMENTS_SQL + "SELECT count(*) AS files_seen, count(*) FILTER (k % 10 = 8) AS format_unknown, count(*) FILTER (k % 10 = 9) AS other_format, "
+    "count(*) FILTER (k % 10 < 8) - (SELECT count(*) FROM kept) AS duplicate FROM docs",
+    star_sql=False,
+)
+def q_import_counts(s, d):
+    return select_events(star.documents(s, d), star.TOKENS, star.WANTED)[1]
+
+
+@query(
+    star.DOCUMENTS_SQL + """, p AS (SELECT event_id, count(*) AS players FROM st GROUP BY 1),
+alone AS (SELECT event_id, count(*) AS alone FROM st WHERE NOT EXISTS (SELECT 1 FROM od WHERE od.event_id = st.event_id AND od.player = st.player) GROUP BY 1),
+lack AS (SELECT event_id, count(*) AS lack FROM od WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.event_id = od.event_id AND st.player = od.player) GROUP BY 1)
+SELECT id, source, slug AS source_event_id, name, CASE k % 3 WHEN 2 THEN DATE '2001-02-03' ELSE CAST(DATE '1995-01-01' + INTERVAL 1 DAY * (k % 365) AS DATE) END AS date,
+  CAST(CASE WHEN players > 0 THEN players ELSE n END AS INTEGER) AS player_count, raw_ref, CAST(coalesce(alone, 0) AS INTEGER) AS standings_only,
+  CAST(CASE WHEN players > 0 THEN coalesce(lack, 0) ELSE 0 END AS INTEGER) AS decks_without_standing
+FROM num LEFT JOIN p ON p.event_id = id LEFT JOIN alone ON alone.event_id = id LEFT JOIN lack ON lack.event_id = id""",
+    star_sql=False,
+)
+def q_document_events(s, d):
+    return normalize.events(_numbered(s, d), 1, {"modern": 1}).drop("game_id", "format_id", "event_type")
+
+
+@query(
+    star.DOCUMENTS_SQL + """SELECT od.id, od.event_id, od.player,
+  CAST(CASE WHEN st.o IS NOT NULL THEN st.o % 16 WHEN od.o % 3 = 1 THEN od.o % 9 + 1 END AS INTEGER) AS finish_rank,
+  CAST(CASE WHEN st.o IS NULL THEN CASE WHEN od.o % 3 = 0 THEN od.o % 6 END WHEN st.o % 4 <> 0 THEN st.o % 7 END AS INTEGER) AS wins,
+  CAST(CASE WHEN od.o % 3 = 0 THEN od.o % 4 END AS INTEGER) AS losses
+FROM od LEFT JOIN st ON st.event_id = od.event_id AND st.player = od.player""",
+    star_sql=False,
+)
+def q_document_decks(s, d):
+    return normalize.decks(_numbered(s, d)).select("id", "event_id", "player", "finish_rank", "wins", "losses")
+
+
+@query(star.DOCUMENTS_SQL + "SELECT deck_id, name, board, count FROM cl", star_sql=False)
 def q_deck_cards_agg(s, d):
-    return star.deck_cards(s, d)
+    return normalize.card_lines(normalize.decks(_numbered(s, d)))
+
+
+@query(
+    star.DOCUMENTS_SQL + "SELECT deck_id, CAST(card AS BIGINT) AS card_id, board, CAST(sum(count) AS INTEGER) AS count FROM cl WHERE count >= 1 AND card < 250 GROUP BY ALL",
+    star_sql=False,
+)
+def q_resolved_lines(s, d):
+    return _resolved(s, d)[1]
 
 
 @query(
@@ -156,63 +219,44 @@ def q_prefix_filter(s, d):
     return vectors.excluded_cards(star.cards(s, d), ["SMALL", "STAND"])
 
 
-@query(
-    "SELECT source, slug, date, event_id FROM (SELECT source, slug, date, event_id, row_number() OVER (PARTITION BY source, slug ORDER BY date, event_id) AS r "
-    "FROM (SELECT source, event_type || '-' || format_id AS slug, date, id AS event_id FROM ev WHERE event_type IS NOT NULL AND date IS NOT NULL)) WHERE r = 1"
-)
+@query(star.DOCUMENTS_SQL + "SELECT source, slug, raw_ref FROM num", star_sql=False)
 def q_dedup_first_wins(s, d):
-    slug = F.concat_ws("-", "event_type", "format_id")
-    rows = star.events(s, d).where("event_type is not null and date is not null").select("source", slug.alias("slug"), "date", F.col("id").alias("event_id"))
-    first = F.min(F.struct("date", "event_id")).alias("x")
-    return rows.groupBy("source", "slug").agg(first).select("source", "slug", "x.*")
+    return select_events(star.documents(s, d), star.TOKENS, star.WANTED)[0].select("source", "slug", "raw_ref")
 
 
-@query(
-    "SELECT event_id, player, deck_id, wins FROM (SELECT event_id, player, id AS deck_id, wins, row_number() OVER (PARTITION BY event_id, player ORDER BY id DESC) AS r FROM decks) WHERE r = 1"
-)
+@query(star.DOCUMENTS_SQL + "SELECT raw_ref, st.player, CAST(o % 16 AS INTEGER) AS rank FROM st JOIN num ON num.id = event_id", star_sql=False)
 def q_last_wins(s, d):
-    rows = star.decks(s, d).groupBy("event_id", "player").agg(F.max_by(F.struct("id", "wins"), "id").alias("x"))
-    return rows.select("event_id", "player", F.col("x.id").alias("deck_id"), "x.wins")
+    rows = normalize.with_standings(_numbered(s, d)).select("raw_ref", F.explode("_standings").alias("player", "standing"))
+    return rows.select("raw_ref", "player", F.variant_get("standing", "$.Rank", "int").alias("rank"))
 
 
-@query(
-    "SELECT o.event_id, o.event_no, o.id AS deck_id, o.before + row_number() OVER (PARTITION BY o.event_id ORDER BY o.id) AS deck_no FROM ("
-    "SELECT d.event_id, d.id, e.event_no, e.before FROM decks d JOIN (SELECT id, row_number() OVER (ORDER BY source, id) AS event_no, "
-    "CAST(coalesce(sum(n) OVER (ORDER BY source, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before "
-    "FROM ev LEFT JOIN (SELECT event_id, count(*) AS n FROM decks GROUP BY 1) k ON k.event_id = ev.id) e ON e.id = d.event_id) o"
-)
+@query(star.DOCUMENTS_SQL + "SELECT raw_ref, id AS event_no, first_deck FROM num", star_sql=False)
 def q_surrogate_ids(s, d):
-    """Numbers without gaps: windows over events count, the decks only find their place within their event."""
-    counts = star.decks(s, d).groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("n"))
-    order = W.orderBy("source", "id")
-    ev = star.events(s, d).select("id", "source").join(counts, "id", "left").select(
-        F.col("id").alias("event_id"), F.row_number().over(order).cast("long").alias("event_no"),
-        (F.sum(F.coalesce("n", F.lit(0))).over(order) - F.coalesce("n", F.lit(0))).alias("before"),
-    )
-    place = F.row_number().over(W.partitionBy("event_id").orderBy("id"))
-    return star.decks(s, d).select("id", "event_id", place.alias("p")).join(ev, "event_id").select(
-        "event_id", "event_no", F.col("id").alias("deck_id"), (F.col("before") + F.col("p")).alias("deck_no")
-    )
+    """Numbers without gaps of events and of the first deck of each."""
+    return _numbered(s, d).select("raw_ref", F.col("id").alias("event_no"), "first_deck")
 
 
 @query(
-    ", old AS (SELECT card_name, occurrences, decks_affected FROM unresolved WHERE occurrences % 2 = 0), "
-    "new AS (SELECT card_name, occurrences, decks_affected FROM unresolved WHERE occurrences % 3 = 0) "
+    ", new AS (SELECT CASE WHEN occurrences % 2 = 0 THEN card_name ELSE card_name || ' II' END AS card_name, occurrences + 1 AS occurrences, decks_affected FROM unresolved) "
     "SELECT card_name, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(decks_affected) AS BIGINT) AS decks_affected "
-    "FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY 1"
+    "FROM (SELECT * FROM unresolved UNION ALL SELECT * FROM new) GROUP BY 1"
 )
 def q_upsert_additive(s, d):
+    """All names, and all again, of which some are new names."""
     u = star.unresolved(s, d)
-    return changes.upsert_additive(u.where("occurrences % 2 = 0"), u.where("occurrences % 3 = 0"), ["card_name"], ["occurrences", "decks_affected"])
+    name = F.when(F.col("occurrences") % 2 == 0, F.col("card_name")).otherwise(F.concat("card_name", F.lit(" II")))
+    new = u.select(name.alias("card_name"), (F.col("occurrences") + 1).alias("occurrences"), "decks_affected")
+    return changes.upsert_additive(u, new, ["card_name"], ["occurrences", "decks_affected"])
 
 
 @query(
-    ", old AS (SELECT id, name FROM formats WHERE id % 3 <> 0), new AS (SELECT id, lower(name) AS name FROM formats WHERE id % 2 = 0) "
-    "SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name FROM old o FULL JOIN new n ON n.id = o.id"
+    ", new AS (SELECT id * 2 AS id, lower(name) AS name FROM cards) "
+    "SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name FROM cards o FULL JOIN new n ON n.id = o.id"
 )
 def q_upsert_replace(s, d):
-    f = star.formats(s, d).select("id", "name")
-    return changes.upsert(f.where("id % 3 <> 0"), f.where("id % 2 = 0").withColumn("name", F.lower("name")), ["id"], ["name"])
+    """All cards, and all again under twice their number, of which half are new."""
+    c = star.cards(s, d).select("id", "name")
+    return changes.upsert(c, c.select((F.col("id") * 2).alias("id"), F.lower("name").alias("name")), ["id"], ["name"])
 
 
 # Names
@@ -247,12 +291,13 @@ def q_name_resolve(s, d):
 
 
 @query(
-    _ASKED + "SELECT name AS card_name, count(*) AS occurrences, count(DISTINCT deck_id) AS decks_affected FROM asked JOIN resolved USING (name) WHERE card_id IS NULL GROUP BY 1"
+    star.DOCUMENTS_SQL + "SELECT 1 AS game_id, 1 AS format_id, name AS card_name, CAST(count(*) AS INTEGER) AS occurrences, CAST(count(DISTINCT deck_id) AS INTEGER) AS decks_affected "
+    "FROM cl WHERE count >= 1 AND card >= 250 GROUP BY name",
+    star_sql=False,
 )
 def q_unresolved_report(s, d):
-    asked = _asked(s, d)
-    missed = asked.join(resolve.resolve_names(asked, star.cards(s, d)).where("card_id is null"), "name")
-    return missed.groupBy(F.col("name").alias("card_name")).agg(F.count("*").alias("occurrences"), F.count_distinct("deck_id").alias("decks_affected"))
+    decks, _, missed = _resolved(s, d)
+    return resolve.unresolved_report(missed, decks, normalize.events(_numbered(s, d), 1, {"modern": 1}))
 
 
 @query(
@@ -339,14 +384,12 @@ def q_standings_override(s, d):
 
 @query(
     ", m AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'main' AND count > 30), s AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'side' AND count > 30) "
-    "SELECT 'both' AS part, card_id FROM (SELECT * FROM m INTERSECT SELECT * FROM s) UNION ALL SELECT 'main only', card_id FROM (SELECT * FROM m EXCEPT SELECT * FROM s) "
-    "UNION ALL SELECT 'any', card_id FROM (SELECT * FROM m UNION SELECT * FROM s)"
+    "SELECT 'old' AS part, card_id FROM m UNION ALL SELECT 'new', card_id FROM (SELECT * FROM s EXCEPT SELECT * FROM m)"
 )
 def q_set_ops(s, d):
-    rows = star.deck_cards(s, d).where("count > 30")
-    per = rows.groupBy("card_id").agg(F.bool_or(F.col("board") == "main").alias("m"), F.bool_or(F.col("board") == "side").alias("s"))
-    parts = F.array_compact(F.array(F.when(F.col("m") & F.col("s"), "both"), F.when(F.col("m") & ~F.col("s"), "main only"), F.lit("any")))
-    return per.select(F.explode(parts).alias("part"), "card_id")
+    """Cards of the main zone, and those that the side adds."""
+    zone = lambda board, part: star.deck_cards(s, d).where((F.col("board") == board) & (F.col("count") > 30)).select(F.lit(part).alias("part"), "card_id")
+    return changes.insert_absent(zone("main", "old").distinct(), zone("side", "new"), ["card_id"])
 
 
 # Rules
@@ -461,6 +504,34 @@ def q_cluster(s, d):
     return clusters.cluster_and_attach(vecs, decks)
 
 
+def _format_window(s, d):
+    """Cards and decks of one format, all its days."""
+    return *holdout.window(star.tables(s, d), "1900-01-01", "2100-01-01", "NATION_3"), vectors.excluded_cards(star.cards(s, d), ["SMALL"])
+
+
+@query()
+def q_holdout(s, d):
+    """Real clusters of a format's decks against its rules: (measure, value). SQL has no words for the clusters."""
+    cards, decks, excluded = _format_window(s, d)
+    h = holdout.holdout(cards, decks, star.definitions(), excluded)
+    one = [(k, float(getattr(h, k))) for k in ("decks", "labelled", "conflicts", "fallback", "clusters", "noise", "agreement", "rand_index")]
+    per = [(f"{label} {m}", float(v)) for label, *rest in h.per_label for m, v in zip(("decks", "precision", "recall", "f1"), rest)]
+    return s.createDataFrame([*one, *per], "measure string, value double")
+
+
+@query()
+def q_blind(s, d):
+    """Whether real clusters show the decks with a card of low number, a rule being hidden: one row for each card."""
+    cards, decks, excluded = _format_window(s, d)
+    full = star.definitions()
+    less = replace(full, rules=tuple(r for r in full.rules if r.name != "MidRange"))
+    rows = [(k, holdout.blind(cards, decks, k, less, excluded)) for k in (7, 11)]
+    return s.createDataFrame(
+        [(k, e.target_decks, e.first, e.deadline, e.detected_on, e.size, float(e.purity)) for k, e in rows],
+        "card_id int, target_decks int, first date, deadline date, detected_on date, size int, purity double",
+    )
+
+
 # Evaluation: types of parts as truth, their sizes as clusters
 
 

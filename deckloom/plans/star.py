@@ -74,6 +74,66 @@ def unresolved(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Formats of the documents below, and that which is wanted.
+TOKENS, WANTED = {"modern": ["modern"], "legacy": ["legacy"]}, {"modern"}
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as event documents, as ``read_events`` gives them: their orders are decks, the line items the cards.
+
+    Players repeat within an event; every second order has a standing, some for
+    players without a deck, some with a null field; names are written in two ways.
+    """
+    o, k = F.col("o_orderkey"), F.col("c_custkey")
+    name = F.concat(F.when(F.col("l_linenumber") == 3, "CARD ").otherwise("Card "), F.col("l_partkey") % 300)
+    line = F.struct("l_linenumber", F.struct(name.alias("CardName"), (F.col("l_quantity").cast("int") - 5).alias("Count")).alias("line"))
+    zone = lambda status, c: F.transform(
+        F.array_sort(F.collect_list(F.when((F.col("l_linestatus") == "F") == F.lit(status), line))), lambda x: x["line"]
+    ).alias(c)
+    zones = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(zone(True, "Mainboard"), zone(False, "Sideboard"))
+    player = F.when(o % 11 != 0, F.concat(F.lit("p"), o % 5))
+    result = F.when(o % 3 == 0, F.concat_ws("-", o % 6, o % 4)).when(o % 3 == 1, F.concat(o % 9 + 1, F.lit("th Place"))).otherwise("")
+    stands = F.when(o % 6 == 0, F.concat(F.lit("q"), o % 5)).otherwise(player)
+    wins = F.when(o % 4 == 0, "null").otherwise((o % 7).cast("string"))
+    standing = F.concat(
+        F.lit('{"Player": '), F.coalesce(F.concat(F.lit('"'), stands, F.lit('"')), F.lit("null")), F.lit(', "Rank": '), (o % 16).cast("string"),
+        F.lit(', "Wins": '), wins, F.lit("}"),
+    )
+    deck = F.struct(
+        F.lit(None).cast("string").alias("Date"), player.alias("Player"), result.alias("Result"), F.lit("").alias("AnchorUri"), "Mainboard", "Sideboard"
+    )
+    held = read(spark, d, "orders").join(zones, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", deck.alias("x")))).alias("d"),
+        F.array_sort(F.collect_list(F.when(o % 2 == 0, F.struct("o_orderkey", standing.alias("x"))))).alias("s"),
+    )
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (k % 365).cast("int")).cast("string")
+    written = F.when(k % 3 == 0, F.concat(day, F.lit("T23:30:00-08:00"))).when(k % 3 == 1, day).otherwise("junk")
+    slug = F.concat(F.when(k % 10 == 9, "legacy-").when(k % 10 == 8, "modern-legacy-").otherwise("modern-"), k % 1000)
+    path = F.array(F.lit("Tournaments"), "c_mktsegment", F.lpad(k.cast("string"), 10, "0"), F.lit("01"), F.lit("01"), F.concat(slug, F.lit(".json")))
+    return read(spark, d, "customer").join(held, "c_custkey", "left").select(
+        F.struct(written.alias("Date"), F.col("c_name").alias("Name"), F.lit("").alias("Uri")).alias("Tournament"),
+        F.transform("d", lambda x: x["x"]).alias("Decks"),
+        F.transform("s", lambda x: F.parse_json(x["x"])).alias("Standings"),
+        path.alias("path"), F.col("c_mktsegment").alias("source"), slug.alias("slug"), F.lit("2001/02/03").alias("path_date"), F.array_join(path, "/").alias("raw_ref"),
+    )
+
+
+#: The documents in SQL: docs, those kept, their decks (od), last standings (st) and card lines (cl).
+DOCUMENTS_SQL = """
+WITH docs AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS source,
+  CASE c_custkey % 10 WHEN 9 THEN 'legacy-' WHEN 8 THEN 'modern-legacy-' ELSE 'modern-' END || (c_custkey % 1000) AS slug FROM customer),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY k) AS copy FROM docs WHERE k % 10 < 8) WHERE copy = 1),
+n AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
+num AS (SELECT kept.*, coalesce(n, 0) AS n, row_number() OVER w AS id, 'Tournaments/' || source || '/' || lpad(CAST(k AS VARCHAR), 10, '0') || '/01/01/' || slug || '.json' AS raw_ref,
+  CAST(1 + coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_deck FROM kept LEFT JOIN n USING (k) WINDOW w AS (ORDER BY source, k)),
+od AS (SELECT num.k, num.id AS event_id, o_orderkey AS o, first_deck + row_number() OVER (PARTITION BY num.k ORDER BY o_orderkey) - 1 AS id,
+  CASE WHEN o_orderkey % 11 <> 0 THEN 'p' || (o_orderkey % 5) END AS player FROM num JOIN orders ON o_custkey = num.k),
+st AS (SELECT event_id, player, max(o) AS o FROM (SELECT event_id, o, CASE WHEN o % 6 = 0 THEN 'q' || (o % 5) ELSE player END AS player FROM od WHERE o % 2 = 0) WHERE player IS NOT NULL GROUP BY 1, 2),
+cl AS (SELECT od.id AS deck_id, od.event_id, CASE WHEN l_linenumber = 3 THEN 'CARD ' ELSE 'Card ' END || (l_partkey % 300) AS name, CASE WHEN l_linestatus = 'F' THEN 'main' ELSE 'side' END AS board,
+  CAST(sum(CAST(l_quantity AS INTEGER) - 5) AS INTEGER) AS count, l_partkey % 300 AS card FROM od JOIN lineitem ON l_orderkey = o GROUP BY ALL)
+"""
+
+
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "games": games(spark, d), "formats": formats(spark, d), "cards": cards(spark, d), "events": events(spark, d),
@@ -104,7 +164,7 @@ sizes AS (SELECT d.id, d.event_id, CAST(coalesce(sum(count) FILTER (board = 'mai
           FROM decks d LEFT JOIN deck_cards c ON c.deck_id = d.id GROUP BY 1, 2)
 """
 
-#: Rules over part numbers: (name, with colour, conditions (kind, first card, end), variants). A pair of equal ends lists nothing.
+#: Rules over part numbers: (name, with colour, conditions (kind, first card, end, how often each is listed), variants). A pair of equal ends lists nothing.
 RULES = [
     ("GenericAggro", True, [("OneOrMoreInMainboard", 0, 400)], [
         ("RedAggro", False, [("OneOrMoreInSideboard", 0, 1000)]), ("Blue2Aggro", True, [("TwoOrMoreInMainOrSideboard", 0, 600)]),
@@ -114,6 +174,8 @@ RULES = [
     ("BigControl", True, [("OneOrMoreInMainOrSideboard", 1200, 1700), ("DoesNotContainMainboard", 0, 700)], []),
     ("NothingLow", False, [("DoesNotContainSideboard", 0, 1990), ("DoesNotContainMainboard", 0, 1500)], []),
     ("Impossible", False, [("TwoOrMoreInMainboard", 5, 6)], []),
+    ("CertainThree", True, [("InMainboard", 0, 250), ("InMainOrSideboard", 300, 900)], [("SideTwo", False, [("TwoOrMoreInSideboard", 0, 1200)])]),
+    ("TwiceListed", False, [("TwoOrMoreInSideboard", 40, 90, 2)], []),
 ]
 FALLBACKS = [("GenericPile", True, 0, 300), ("OtherStuff", False, 200, 800), ("ThirdPile", True, 800, 1100)]
 COLORED = 2000
@@ -129,7 +191,7 @@ def nonland_color(card: int) -> str:
 
 def definitions() -> Definitions:
     def rule(name: str, with_color: bool, conditions: list, variants: list = ()) -> Rule:
-        made = tuple(Condition(k, tuple(range(a, b)), b - a) for k, a, b in conditions)
+        made = tuple(Condition(k, tuple(range(a, b)) * (more or [1])[0], (b - a) * (more or [1])[0]) for k, a, b, *more in conditions)
         return Rule(name, with_color, made, tuple(rule(*v) for v in variants))
 
     return Definitions(
@@ -155,7 +217,7 @@ def rules_sql() -> str:
         for k, (v_name, v_color, v_conditions) in enumerate(variants):
             rules.append((len(rules), parent, order, k + 1, v_name, name, v_color, len(conditions) + len(v_conditions)))
             conds += [(len(rules) - 1, *c) for c in v_conditions]
-    conds = [(k, *c) for k, c in enumerate(conds)]
+    conds = [(k, *c[:4], (c[4:] or (1,))[0]) for k, c in enumerate(conds)]
     colors = "list_transform(['W', 'U', 'B', 'R', 'G'], lambda x: CASE WHEN {} THEN x ELSE '' END)"
     from ..functions.text import COLOR_NAMES
 
@@ -164,11 +226,11 @@ def rules_sql() -> str:
         '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([^A-Z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([^A-Za-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"""
     return f"""
 , rules(rule_id, parent_id, file_order, variant_order, name, parent_name, with_color, n_conditions) AS (VALUES {_values(rules)}),
-conds(cond_id, rule_id, kind, lo, hi) AS (VALUES {_values(conds)}),
+conds(cond_id, rule_id, kind, lo, hi, times) AS (VALUES {_values(conds)}),
 guild(k, n) AS (VALUES {_values(list(COLOR_NAMES.items()))}),
 fb(fallback_id, name, with_color, lo, hi) AS (VALUES {_values([(k, *f) for k, f in enumerate(FALLBACKS)])}),
 every_deck AS (SELECT DISTINCT deck_id FROM deck_cards WHERE count > 0),
-seen AS (SELECT deck_id, cond_id, count(*) FILTER (board = 'main') AS m, count(*) FILTER (board = 'side') AS s
+seen AS (SELECT deck_id, cond_id, any_value(times) * count(*) FILTER (board = 'main') AS m, any_value(times) * count(*) FILTER (board = 'side') AS s
          FROM deck_cards JOIN conds ON card_id >= lo AND card_id < hi WHERE count > 0 GROUP BY 1, 2),
 cond AS (SELECT e.deck_id, c.cond_id, c.rule_id, coalesce(m, 0) AS m, coalesce(s, 0) AS s, CASE
            WHEN lo = hi THEN true

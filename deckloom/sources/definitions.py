@@ -72,13 +72,14 @@ class Audit:
     unresolved: list[str] = field(default_factory=list)
 
 
+#: A string of JSON, or a comma that nothing but a closing bracket follows.
+_STRING_OR_LAST_COMMA = re.compile(r'"(?:[^"\\]|\\.)*"|,(?=\s*[\]}])')
+
+
 def relaxed_json(content: str) -> dict:
-    """A JSON object; commas before a closing bracket are forgiven if it does not parse otherwise."""
-    content = content.removeprefix("﻿")
-    try:
-        found = json.loads(content)
-    except json.JSONDecodeError:
-        found = json.loads(re.sub(r",(\s*[\]}])", r"\1", content))
+    """A JSON object that may have commas before closing brackets and a byte order mark."""
+    strict = _STRING_OR_LAST_COMMA.sub(lambda m: m[0] if m[0] != "," else "", content.lstrip("\ufeff"))
+    found = json.loads(strict)
     if not isinstance(found, dict):
         raise ValueError("a rule file holds one object")
     return found
@@ -93,11 +94,10 @@ def fold_index(names: Iterable[tuple[str, int]]) -> dict[str, int | None]:
 
 
 def version_of(files: Iterable[Path], semantics: str) -> str:
-    """Names the rules by their files' names and bytes."""
-    digest = hashlib.sha256(semantics.encode())
-    for path in sorted(files):
-        digest.update(path.name.encode() + path.read_bytes())
-    return f"rules-{digest.hexdigest()[:12]}"
+    """Names a set of rules: what the files are called, what is in them, and how they are read."""
+    contents = {f"{p.parent.name}/{p.name}": hashlib.sha256(p.read_bytes()).hexdigest() for p in files}
+    manifest = json.dumps({"semantics": semantics, "files": contents}, sort_keys=True)
+    return f"rules-{hashlib.sha256(manifest.encode()).hexdigest()[:12]}"
 
 
 def load_definitions(

@@ -22,7 +22,7 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 def test_only_clusters_have_no_sql():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"q_cluster"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"q_cluster", "q_holdout", "q_blind"}
 
 
 def test_clusters_number_every_deck(spark):

@@ -3,9 +3,10 @@ from __future__ import annotations
 import json
 import random
 
+import duckdb
 import pytest
 
-from deckloom.functions.text import label
+from deckloom.functions.text import COLOR_NAMES
 from deckloom.operators import rules
 from deckloom.sources.definitions import (
     CONDITIONS,
@@ -52,35 +53,68 @@ def test_conditions(spark, kind, cards, listed, want):
     decks = {1: {"main": {1: 4, 2: 1}, "side": {3: 2}}}
     defs = Definitions("f", (Rule("R", False, (Condition(kind, tuple(cards), listed),)),))
     got = rules.rule_matches(frame(spark, decks), rules.compile_rules(spark, defs)).count() == 1
-    assert got == want == rules.holds(kind, {1, 2}, {3}, cards, listed)
-
-
-def plain(deck, defs):
-    """A deck classified as the rules read."""
-    main, side = deck.get("main", {}), deck.get("side", {})
-    entries = list(main.items()) + list(side.items())
-    land, other = dict.fromkeys("WUBRG", 0), dict.fromkeys("WUBRG", 0)
-    for c, n in entries:
-        for table, seen in ((defs.land_colors, land), (defs.nonland_colors, other)):
-            for x in table.get(c, ""):
-                seen[x] += n
-    color = "".join(x for x in "WUBRG" if land[x] and other[x]) or "C"
-    fits = lambda r: all(rules.holds(c.kind, set(main), set(side), list(c.cards), c.listed) for c in r.conditions)
-    found = []
-    for r in defs.rules:
-        if fits(r):
-            variants = [v for v in r.variants if fits(v)]
-            found += [(r, v) for v in variants] or [(r, None)]
-    if found:
-        labels = [label((v or r).name, (v or r).with_color, color) for r, v in found]
-        r, v = min(found, key=lambda x: len(x[0].conditions) + (len(x[1].conditions) if x[1] else 0))
-        return r.name, v.name if v else None, label((v or r).name, (v or r).with_color, color), "rules", 1.0, color, labels if len(labels) > 1 else []
-    weights = [sum(n for c, n in entries if c in set(f.cards)) for f in defs.fallbacks]
-    if any(weights):
-        best = min((f for f, w in zip(defs.fallbacks, weights) if w == max(weights)), key=lambda f: len(f.cards))
-        if max(weights) / len(entries) > 0.1:
-            return best.name, None, label(best.name, best.with_color, color), "fallback", max(weights) / len(entries), color, []
-    return None, None, None, None, None, color, []
+    assert got == want
+
+
+#: What a rule set says, as questions to tables of facts.
+#: zone(deck, card, n, side), rule(id, parent, place, name, outer, tinted, conds), need(cond, rule, at_least, forbids, empty, main, side),
+#: listed(cond, card) with a row for each mention, pile(id, name, tinted, size), piled(pile, card), tint(card, land, letter), guild(letters, name).
+SAYS = r"""
+WITH deck AS (SELECT deck, count(*) AS entries FROM zone GROUP BY deck),
+told AS (SELECT z.deck, l.cond, count(*) FILTER (CASE WHEN z.side THEN n.side ELSE n.main END) AS seen
+         FROM zone z JOIN listed l USING (card) JOIN need n USING (cond) GROUP BY ALL),
+broken AS (SELECT DISTINCT d.deck, n.rule FROM deck d CROSS JOIN need n LEFT JOIN told t ON t.deck = d.deck AND t.cond = n.cond
+           WHERE NOT n.empty AND CASE WHEN n.forbids THEN coalesce(t.seen, 0) > 0 ELSE coalesce(t.seen, 0) < n.at_least END),
+fits AS (SELECT d.deck, r.* FROM deck d CROSS JOIN rule r ANTI JOIN broken b ON b.deck = d.deck AND b.rule = r.id),
+hit AS (SELECT f.*, up.deck IS NOT NULL AS beneath, down.deck IS NOT NULL AS above FROM fits f
+        LEFT JOIN fits up ON up.deck = f.deck AND up.id = f.parent LEFT JOIN (SELECT DISTINCT deck, parent FROM fits) down ON down.deck = f.deck AND down.parent = f.id),
+counts AS (SELECT * FROM hit WHERE CASE WHEN parent IS NULL THEN NOT above ELSE beneath END),
+hue AS (SELECT deck, string_agg(letter, '' ORDER BY position(letter IN 'WUBRG')) AS letters FROM
+        (SELECT deck, letter FROM zone JOIN tint USING (card) GROUP BY ALL HAVING count(DISTINCT land) = 2) GROUP BY deck),
+shade AS (SELECT deck, entries, coalesce(letters, 'C') AS color FROM deck LEFT JOIN hue USING (deck)),
+calls AS (SELECT 'rules' AS method, c.deck, c.outer, CASE WHEN c.parent IS NOT NULL THEN c.name END AS variant, c.name, c.tinted, 1.0::DOUBLE AS sure,
+                 rank() OVER (PARTITION BY c.deck ORDER BY c.conds, c.place) AS rank, c.place FROM counts c
+          UNION ALL
+          SELECT 'fallback', deck, name, NULL, name, tinted, held / entries, rank() OVER (PARTITION BY deck ORDER BY held DESC, size, id), id
+          FROM (SELECT z.deck, p.id, p.name, p.tinted, p.size, sum(z.n)::DOUBLE AS held FROM zone z JOIN piled USING (card) JOIN pile p ON p.id = piled.pile GROUP BY ALL)
+          JOIN deck USING (deck) WHERE deck NOT IN (SELECT deck FROM counts)),
+worded AS (SELECT calls.*, color, trim(regexp_replace(regexp_replace(
+             CASE WHEN tinted THEN coalesce(guild.name, '') ELSE '' END || replace(calls.name, 'Generic', ''),
+             '([A-Z])(?:([A-Z][a-z]))|([^A-Z ])([A-Z])', '\1\3 \2\4', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g')) AS label
+           FROM calls JOIN shade USING (deck) LEFT JOIN guild ON guild.letters = color),
+several AS (SELECT deck, list(label ORDER BY place) AS labels FROM worded WHERE method = 'rules' GROUP BY deck HAVING count(*) > 1)
+SELECT shade.deck, w.outer, w.variant, w.label, w.method, w.sure, shade.color, coalesce(labels, []) AS labels
+FROM shade LEFT JOIN (SELECT * FROM worded WHERE rank = 1 AND (method = 'rules' OR sure > 0.1)) w USING (deck) LEFT JOIN several USING (deck)
+"""
+
+
+def said(decks, defs):
+    """Decks classified by the questions above."""
+    con = duckdb.connect()
+
+    def table(name, columns, rows):
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+
+    table("zone", "deck INT, card INT, n INT, side BOOL", [(d, c, n, z == "side") for d, zones in decks.items() for z, cards in zones.items() for c, n in cards.items()])
+    flat = [(None, None, r) for r in defs.rules]
+    flat = [x for _, _, r in flat for x in ((None, r), *((r, v) for v in r.variants))]
+    ids = {id(r): k for k, (_, r) in enumerate(flat)}
+    table("rule", "id INT, parent INT, place INT, name TEXT, \"outer\" TEXT, tinted BOOL, conds INT", [
+        (k, None if up is None else ids[id(up)], k, r.name, (up or r).name, r.with_color, len(r.conditions) + (len(up.conditions) if up else 0)) for k, (up, r) in enumerate(flat)
+    ])
+    conds = [(k, c) for k, (_, r) in enumerate(flat) for c in r.conditions]
+    wanted = {kind: (least, no, main, side) for kind, (main, side, least, no) in CONDITIONS.items()}
+    table("need", "cond INT, rule INT, at_least INT, forbids BOOL, empty BOOL, main BOOL, side BOOL", [
+        (n, k, wanted[c.kind][0], wanted[c.kind][1], c.listed == 0, *map(bool, wanted[c.kind][2:])) for n, (k, c) in enumerate(conds)
+    ])
+    table("listed", "cond INT, card INT", [(n, card) for n, (_, c) in enumerate(conds) for card in c.cards])
+    table("pile", "id INT, name TEXT, tinted BOOL, size INT", [(k, f.name, f.with_color, len(f.cards)) for k, f in enumerate(defs.fallbacks)])
+    table("piled", "pile INT, card INT", [(k, c) for k, f in enumerate(defs.fallbacks) for c in set(f.cards)])
+    table("tint", "card INT, land BOOL, letter TEXT", [(c, land, x) for land, t in ((True, defs.land_colors), (False, defs.nonland_colors)) for c, xs in t.items() for x in xs])
+    table("guild", "letters TEXT, name TEXT", list(COLOR_NAMES.items()))
+    return {row[0]: row[1:] for row in con.execute(SAYS.replace("c.outer", 'c."outer"').replace("w.outer", 'w."outer"')).fetchall()}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -108,7 +142,7 @@ def test_classify_like_the_rules_read(spark, seed):
         if zones["main"] or zones["side"]:
             decks[d] = zones
     got = {r["deck_id"]: tuple(r)[1:] for r in rules.classify(frame(spark, decks), rules.compile_rules(spark, defs)).collect()}
-    assert got == {d: plain(z, defs) for d, z in decks.items()}
+    assert got == said(decks, defs)
 
 
 def test_no_rules_and_no_decks(spark):
