@@ -36,7 +36,7 @@ def spanning_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
     n = len(x)
     near, of = np.full(n, np.inf), np.zeros(n, dtype=int)
     out, left, now = [], np.ones(n, dtype=bool), 0
-    left[0] = False
+    left[:1] = False
     for _ in range(n - 1):
         d = np.round(1.0 - x @ x[now], 12)
         closer = left & (d < near)

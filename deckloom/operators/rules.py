@@ -2,7 +2,8 @@
 
 Definitions are compiled on the driver into small tables. Their size is that of the
 rule files (hundreds of rows), so they are broadcast. What a card means to conditions,
-fallbacks and colours is one row of the table ``facts``; so the deck cards are read
+fallbacks and colours is one row of the table ``facts``, which has one for each card of
+a colour too: it is broadcast up to ``FACTS`` rows. So the deck cards are read
 once and shuffled once, by deck, and all that follows keeps that partitioning. Copies
 of a card do not matter to conditions, its presence in a zone does.
 """
@@ -19,6 +20,8 @@ from ..sources.definitions import CONDITIONS, Definitions, Rule
 
 #: Fixed value: a fallback has to be more similar than this.
 LEAST_SIMILARITY = 0.1
+#: Cards with facts up to which they are broadcast.
+FACTS = 200_000
 
 
 @dataclass
@@ -79,11 +82,12 @@ def compile_rules(spark: SparkSession, defs: Definitions) -> Compiled:
             for letter in letters:
                 facts.setdefault(card, []).append((kind, COLORS.index(letter), 0, 0))
     frame = spark.createDataFrame
+    known = frame(sorted(facts.items()), "card_id long, facts array<struct<kind:string,id:int,main:int,side:int>>")
     return Compiled(
         frame(rules, RULE),
         frame(conditions, "cond_id int, rule_id int, need int, forbids boolean"),
         frame([(k, len(f.cards), f.name, f.with_color) for k, f in enumerate(defs.fallbacks)], "fallback_id int, n_cards int, name string, with_color boolean"),
-        frame(sorted(facts.items()), "card_id long, facts array<struct<kind:string,id:int,main:int,side:int>>"),
+        F.broadcast(known) if len(facts) <= FACTS else known,
         [r for r in rules if r[8] == 0],
     )
 
@@ -102,7 +106,7 @@ def tallies(deck_cards: DataFrame, compiled: Compiled) -> DataFrame:
     )
     kinds = "array<struct<kind:string,id:int,n:bigint>>"
     itself = F.array(F.struct(F.lit("entry").alias("kind"), F.lit(0).alias("id"), F.lit(1).cast("long").alias("n"))).cast(kinds)
-    rows = entries.join(F.broadcast(compiled.facts), "card_id", "left").select(
+    rows = entries.join(compiled.facts, "card_id", "left").select(
         "deck_id", F.explode(F.concat(itself, F.coalesce(met.cast(kinds), F.array().cast(kinds)))).alias("x")
     )
     return rows.repartition("deck_id").groupBy("deck_id", "x.kind", "x.id").agg(F.sum("x.n").alias("n"))

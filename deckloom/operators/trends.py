@@ -75,6 +75,19 @@ def smoothed(shares: DataFrame, alpha: float = 0.5, beta: float = 0.1, ahead: in
     return series.select("label", F.aggregate(rest, start, step, lambda a: a["level"] + ahead * a["trend"]).alias("forecast"))
 
 
+def lagged_regression(shares: DataFrame, rates: DataFrame, days: int = 7) -> DataFrame:
+    """(label, n, slope, intercept): least squares of a label's share on its win rate ``days`` days before.
+
+    shares: date, label, share; rates: date, label, rate. Days without either are left
+    out; the slope is null where all rates are equal.
+    """
+    before = rates.select(F.date_add("date", days).alias("date"), "label", F.col("rate").alias("then"))
+    pairs = shares.join(before, ["date", "label"]).where("share is not null and then is not null")
+    return pairs.groupBy("label").agg(
+        F.count("*").alias("n"), F.regr_slope("share", "then").alias("slope"), F.regr_intercept("share", "then").alias("intercept")
+    )
+
+
 def card_drift(entries: DataFrame) -> DataFrame:
     """(label, card_id, date, copies, change): mean copies of a card in a label's decks by day, against the day before it was last seen."""
     per = entries.groupBy("label", "card_id", "date").agg(F.avg("count").alias("copies"))

@@ -650,6 +650,19 @@ def q_persistence(s, d):
     return trends.persistence_error(trends.daily_share(_labelled(s, d))).withColumn("mae", F.round("mae", 9))
 
 
+@query(
+    ", sh AS (SELECT d.date, source AS label, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2), "
+    "wr AS (SELECT d.date, source AS label, sum(wins) / nullif(sum(wins + losses), 0) AS rate FROM decks d JOIN ev e ON e.id = d.event_id WHERE wins IS NOT NULL GROUP BY 1, 2) "
+    "SELECT a.label, count(*) AS n, round(regr_slope(a.share, b.rate), 9) AS slope, round(regr_intercept(a.share, b.rate), 9) AS intercept "
+    "FROM sh a JOIN wr b ON b.label = a.label AND a.date = b.date + 7 WHERE b.rate IS NOT NULL GROUP BY 1"
+)
+def q_lagged_regression(s, d):
+    rows = _labelled(s, d)
+    played = rows.where("wins is not null").groupBy("date", "label").agg(F.try_divide(F.sum("wins"), F.sum(F.col("wins") + F.col("losses"))).alias("rate"))
+    found = trends.lagged_regression(trends.daily_share(rows), played)
+    return found.select("label", "n", F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"))
+
+
 @query(
     ", p AS (SELECT a.id AS x, b.id AS y, e1.source AS la, e2.source AS lb, a.wins > coalesce(b.wins, -1) AS won FROM decks a JOIN decks b ON b.id = a.id + 1 "
     "JOIN ev e1 ON e1.id = a.event_id JOIN ev e2 ON e2.id = b.event_id WHERE a.wins IS NOT NULL) "

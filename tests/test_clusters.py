@@ -58,6 +58,79 @@ def test_spanning_tree_is_minimal():
     assert sum(w for w, _, _ in clusters.spanning_tree(x)) == pytest.approx(total)
 
 
+def plain_clusters(x, least):
+    """The definition read plainly: parts at every distance, those that are born and die, the choice with the most mass."""
+    n = len(x)
+    d = np.maximum(0.0, np.round(1 - x @ x.T, 12))
+    # Ties are cut one edge at a time, as the tree has them.
+    tree = clusters.spanning_tree(x)
+    assert sum(w for w, *_ in tree) == pytest.approx(sum(sorted_kruskal(d)))
+
+    def parts(edges, rows):
+        """Connected parts of rows by some edges."""
+        left, out = set(rows), []
+        while left:
+            found, todo = set(), [min(left)]
+            while todo:
+                a = todo.pop()
+                if a not in found:
+                    found.add(a)
+                    todo += [q for _, p, q in edges if p == a] + [p for _, p, q in edges if q == a]
+            found &= set(rows)
+            left -= found
+            out.append(frozenset(found))
+        return out
+
+    def grow(rows, birth, edges):
+        """(mass, clusters below) of a part that begins with density ``birth``: its longest edges go one by one."""
+        mass, rows = 0.0, frozenset(rows)
+        while True:
+            inside = [e for e in edges if e[1] in rows and e[2] in rows]
+            if not inside:
+                return mass, []
+            longest = inside[-1]
+            level = 1 / max(longest[0], 1e-12)
+            big = [p for p in parts(inside[:-1], rows) if len(p) >= least]
+            if len(big) == 2:
+                return mass + len(rows) * (level - birth), [(p, level, inside[:-1]) for p in big]
+            if not big:
+                return mass + len(rows) * (level - birth), []
+            mass += (len(rows) - len(big[0])) * (level - birth)
+            rows, edges = big[0], inside[:-1]
+
+    def best(rows, birth, edges, whole):
+        """(mass, chosen sets of rows): the part itself, or what is best below it."""
+        mass, below = grow(rows, birth, edges)
+        inner = [best(*b, False) for b in below]
+        if whole or (below and sum(m for m, _ in inner) > mass):
+            return sum(m for m, _ in inner), [s for _, chosen in inner for s in chosen]
+        return mass, [frozenset(rows)]
+
+    return {s for s in best(range(n), 0.0, tree, True)[1]}
+
+
+def sorted_kruskal(d):
+    part, out = list(range(len(d))), []
+    for w, a, b in sorted((d[i, j], i, j) for i in range(len(d)) for j in range(i)):
+        if part[a] != part[b]:
+            out.append(w)
+            part = [part[a] if p == part[b] else p for p in part]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_clusters_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(3, 10, rng.integers(2, 5))
+    x = np.abs(np.concatenate([np.eye(8)[rng.integers(8)] + rng.normal(0, rng.choice([0.03, 0.2]), (n, 8)) for n in sizes] + [rng.random((4, 8))]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for least in (2, 3, 5):
+        labels = clusters.density_clusters(x, least)
+        assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist()) - {-1}} == plain_clusters(x, least)
+        firsts = [int(np.flatnonzero(labels == k)[0]) for k in range(labels.max() + 1)]
+        assert firsts == sorted(firsts)
+
+
 @pytest.fixture(scope="module")
 def long_form(spark):
     x = blobs()
