@@ -22,16 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, words
+from .common import cut, fresh, portions, table, with_text, words
 
-#: Windows in one block, the most that a task holds at a time.
-BLOCK_WINDOWS = 50_000
+#: Windows in one block, the most that a task holds at a time; items of a window that are listed together, more being listed as another one.
+BLOCK_WINDOWS, LISTED = 50_000, 256
 #: Passes that follow each other without a checkpoint; each has Python workers of its own.
 CHAIN = 2
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(window array<binary>, items array<string>): distinct windows and the items that have them."""
+    """(window array<binary>, items array<string>): windows and the items that have them.
+
+    A window that very many items have comes several times, with some of them each. One
+    of items without an id has an empty list.
+    """
     schema = "window array<binary>, item string"
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +49,10 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), pa.array(items, pa.string())], ["window", "item"])
 
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    return items.where("item is not null").mapInArrow(cut_up, schema).groupBy("window").agg(F.collect_set("item").alias("items"))
+    pairs = cut(items.mapInArrow(cut_up, schema).distinct())
+    lists = cut(pairs.groupBy("window").agg(F.ceil(F.count("*") / LISTED).alias("lists")))
+    dealt = pairs.join(lists, "window").withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists")))
+    return dealt.groupBy("window", "list").agg(F.collect_list("item").alias("items")).drop("list")
 
 
 def _block_words(windows: list[list[bytes]]) -> set[bytes]:
@@ -78,17 +85,15 @@ def _index(windows: list[tuple[list[bytes], list[str]]], seen: dict[bytes, int])
     return found
 
 
-def _probe(held) -> object:
-    """The pass over documents for one block: adds to spans, items and n_words."""
+def _probe(held, k_text: int, k_n: int, k_spans: int, k_items: int) -> object:
+    """The pass over documents for one block: adds to spans, items and n_words. The columns are given by their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         prefix = frozenset(index)
-        for batch in batches:
-            names = batch.schema.names
-            k_text, k_n, k_spans, k_items = (names.index(c) for c in ("_words_of", "_n", "_spans", "_items"))
+        for batch in (some for whole in batches for some in portions(whole, k_text)):
             n_words, all_spans, all_items = [], batch.column(k_spans).to_pylist(), batch.column(k_items).to_pylist()
-            for row, text in enumerate(batch.column(k_text).to_pylist()):
+            for row, text in enumerate(batch.column(k_text).cast(pa.binary()).to_pylist()):
                 w = words(text)
                 n_words.append(len(w))
                 if prefix.isdisjoint(w):
@@ -110,7 +115,7 @@ def _probe(held) -> object:
             cols[k_n] = pa.array(n_words, pa.int64())
             cols[k_spans] = pa.array(all_spans, batch.schema.field(k_spans).type)
             cols[k_items] = pa.array(all_items, batch.schema.field(k_items).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
     return run
 
@@ -138,19 +143,16 @@ def find_contamination(
 
     A window is ``size`` consecutive words of an item, or all its words if it has
     fewer. Spans are disjoint, in order, with an exclusive end. A missing or
-    empty text has no words, hence no hits; items without words or id have no
-    windows. With no item or no document nothing is hit. Repeated rows are each
+    empty text has no words, hence no hits; items without words have no windows,
+    those without an id have spans but are not listed. With no item or no document
+    nothing is hit. Repeated rows are each
     judged alike. Input columns named n_words, spans or items are replaced.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("n_words", "spans", "items", "_words_of", "_n", "_spans", "_items")]
-    rows = docs.select(
-        *own,
-        F.col(text_col).cast("binary").alias("_words_of"),
-        F.lit(None).cast("long").alias("_n"),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias("_spans"),
-        F.lit(None).cast("array<string>").alias("_items"),
-    )
+    rows, own, at = with_text(docs, text_col, ["n_words", "spans", "items"])
+    names = {c: fresh(c, docs.columns) for c in ("n_words", "spans", "items")}
+    kinds = {"n_words": "long", "spans": "array<struct<start:long,end:long>>", "items": "array<string>"}
+    rows = rows.select("*", *[F.lit(None).cast(kinds[c]).alias(name) for c, name in names.items()])
     windows = cut(item_windows(benchmark, item_col, item_text_col, size))
     blocks = max(1, -(-windows.count() // block_windows))
     dealt = windows.withColumn("b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
@@ -159,15 +161,12 @@ def find_contamination(
         seen = _rarity(docs, text_col, _block_words([w for w, _ in block])) if block else {}
         held = spark.sparkContext.broadcast(_index(block, seen))
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-        rows = rows.mapInArrow(_probe(held), schema)
+        rows = rows.mapInArrow(_probe(held, at, *(rows.columns.index(c) for c in names.values())), schema)
         if b % CHAIN == CHAIN - 1 and b + 1 < blocks:
             rows = cut(rows)
-    return rows.select(
-        *own,
-        F.col("_n").alias("n_words"),
-        F.coalesce("_spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
-    )
+    empty = {c: F.array().cast(kinds[c]) for c in ("spans", "items")}
+    found = [F.coalesce(names[c], empty[c]).alias(c) if c in empty else F.col(names[c]).alias(c) for c in names]
+    return rows.select(*own, *found)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +200,7 @@ iw AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT item, len(ws[s:s + 9]) AS n, array_to_string(ws[s:s + 9], ' ') AS k
   FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS s FROM iw WHERE len(ws) > 0)),
@@ -212,7 +211,7 @@ dw AS (
 hits AS (SELECT DISTINCT dw.r, dw.s, dw.n, win.item FROM dw JOIN win ON dw.n = win.n AND dw.k = win.k),
 pos AS (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hits),
 np AS (SELECT r, count(*) AS n_hit FROM pos GROUP BY r),
-it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(np.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256,
        coalesce(np.n_hit, 0) > 0 AS contaminated
