@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ngrams
-from .common import table
+from .common import aside, back, portions, table, with_text
 
 LEAST, MOST, BITS = 1, 3, 12
 #: Labelled rows of a language that are learned from at most; classes of a vote at most, and its rows, about.
@@ -188,10 +189,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = docs.sparkSession
     # Half as many again, of which the first are taken.
     least = spark.createDataFrame([(r[0], int(min(1.0, 1.5 * PER_LANGUAGE / r[1]) * (1 << 30))) for r in total], "y string, below long")
-    chosen = rows.join(F.broadcast(least), "y").where("place < below").select("text", "y", "place")
+    chosen = rows.join(F.broadcast(least), "y").where("place < below")
+    # Of rows that repeat an id one is learned from.
+    chosen = chosen.groupBy("y", "place").agg(F.min("text").alias("text")).select("text", "y", "place")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for whole in batches for some in portions(whole, 0)):
             some = [k for k, t in enumerate(batch.column(0)) if ngrams.has_letter(t.as_py())]
             x = [features(batch.column(0)[k].as_py()).astype(np.float16).tobytes() for k in some]
             at = pa.array(some, pa.int64())
@@ -217,20 +220,17 @@ def predict_languages(docs: DataFrame, model: Model, text_col: str = "text") ->
     lang_pred or score are replaced; repeated rows stay.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows, own, at = with_text(docs, text_col, ["lang_pred", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
-                at = batch.schema.names.index("_text")
+            for batch in portions(whole, at):
                 langs, scores = known.value.predict(batch.column(at).to_pylist())
-                cols = [c for k, c in enumerate(batch.columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores)], [*own, "_lang", "_score"])
+                cols = [*batch.columns[: len(own)], pa.array(langs, pa.string()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(cols, [*own, "lang_pred", "score"])
 
-    rows = docs.select(*own, F.col(text_col).alias("_text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own), "_lang string", "_score double"])
-    return rows.mapInArrow(run, fields).select(*own, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in own]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def keep_languages(docs: DataFrame, clear: float = CLEAR) -> DataFrame:
@@ -238,8 +238,9 @@ def keep_languages(docs: DataFrame, clear: float = CLEAR) -> DataFrame:
     model = train(docs.where(~ngrams.held("doc_id", 5, 0)))
     if not model.votes:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    marked = predict_languages(docs, model)
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= clear)).select(*docs.columns)
+    rows, meanwhile = aside(docs, ["lang_pred", "score"])
+    marked = predict_languages(rows, model)
+    return back(marked.where((F.col("lang_pred") != "und") & (F.col("score") >= clear)), docs, meanwhile)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
