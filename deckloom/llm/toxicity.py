@@ -13,6 +13,7 @@ the mean of its n-grams' numbers: one pass over the texts, no shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ngrams
-from .common import cut, table
+from .common import cut, portions, table, with_text
 
 LEAST, MOST, BITS, DIM = 3, 5, 16, 8
-#: Labelled rows of each class that are learned from, about.
-SAMPLE = {1: 1500, 0: 4500}
+#: Labelled documents of each class that are learned from, about; entries of their bags in all, about, of four bytes each on the driver.
+SAMPLE, ENTRIES = {1: 1500, 0: 6000}, 24_000_000
 EPOCHS, BATCH, RATE = 6, 32, 0.5
 THRESHOLD = 0.3
 #: Shares travel to the driver as halves; small ones would lose digits unscaled.
@@ -50,14 +52,17 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (some for whole in batches for some in portions(whole, 0)):
         ids, shares = [], []
         for text in batch.column(0):
             c = ngrams.counts(text.as_py(), LEAST, MOST, BITS, inside=True, digits=True)
             at = np.flatnonzero(c)
             ids.append(at.astype(np.uint16).tobytes())
             shares.append((c[at] / max(1, c.sum()) * SCALE).astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "shares"])
+        place = [zlib.crc32(str(k).encode()) >> 2 for k in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary()), pa.array(place, pa.int64())], ["label", "ids", "shares", "place"]
+        )
 
 
 def fit(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, seed: int = 1, scale: float = 1.0) -> Model:
@@ -98,7 +103,9 @@ def fit(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, see
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: dict[int, int]) -> Model:
     """A model from about ``sample[label]`` labelled documents of each label.
 
-    Labels other than 0 and 1 are left out; so are documents labelled both ways.
+    Labels other than 0 and 1 are left out; so are documents labelled both ways. Of
+    rows that repeat an id one is learned from. If the bags have more than ``ENTRIES``
+    entries, as with very long texts, a share of the documents is taken that has about as many.
     Without a row of either label every score is that of the one there is, and
     0.5 without any.
     """
@@ -106,8 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     marked = marked.where("_y = _z").select(F.col(id_col).alias("_id"), F.col("_y").cast("int").alias("_y"))
     chosen = ngrams.bounded_sample(marked, "_id", "_y", sample)  # at most 2 x sample + 1000 rows: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    # Four bytes for each n-gram of a sampled text; the driver takes one partition after the other.
-    made = cut(rows.select("text", "_y").mapInArrow(_features, "label int, ids binary, shares binary"))
+    one = rows.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select(F.col("x.text").alias("text"), "_y", "_id")
+    made = cut(one.mapInArrow(_features, "label int, ids binary, shares binary, place long"))
+    entries = made.agg(F.sum(F.octet_length("ids")) / 2).first()[0] or 0
+    if entries > ENTRIES:
+        made = made.where(F.col("place") < int(ENTRIES / entries * (1 << 30)))
     found = sorted((r["label"], bytes(r["ids"]), bytes(r["shares"])) for r in made.toLocalIterator())  # one order, however the rows came
     ids = [np.frombuffer(x, dtype=np.uint16) for _, x, _ in found]
     shares = [np.frombuffer(x, dtype=np.float16) for _, _, x in found]
@@ -122,20 +132,17 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
     replaced; repeated rows stay.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows, own, at = with_text(docs, text_col, ["score", "predicted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in batches:
-            at = batch.schema.names.index("_text")
-            scores = pa.array([m.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            cols = [c for k, c in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*cols, scores], [*own, "_score"])
-
-    rows = docs.select(*own, F.col(text_col).alias("_text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own), "_score double"])
-    scored = rows.mapInArrow(run, fields)
-    return scored.select(*own, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+            scores = np.array([m.score(t.as_py()) for t in batch.column(at)], dtype=np.float64)
+            cols = [*batch.columns[: len(own)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, [*own, "score", "predicted"])
+
+    kept = [T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in own]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
