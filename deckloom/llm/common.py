@@ -75,6 +75,28 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names under others, and what each is called meanwhile."""
+    meanwhile: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            meanwhile[c] = fresh(f"own_{c}", [*docs.columns, *names, *meanwhile.values()])
+    return docs.select(*[F.col(f"`{c}`").alias(meanwhile.get(c, c)) for c in docs.columns]), meanwhile
+
+
+def back(found: DataFrame, docs: DataFrame, meanwhile: dict[str, str], **new: Column) -> DataFrame:
+    """The columns of ``docs`` under their own names, those in ``new`` with new values."""
+    return found.select(*[(new[c] if c in new else F.col(f"`{meanwhile.get(c, c)}`")).alias(c) for c in docs.columns])
+
+
+def with_text(docs: DataFrame, text_col: str, replaced: list[str]) -> tuple[DataFrame, list[str], int]:
+    """For a pass in Python: the columns that stay and, if it is not among them, the text; their names; the text's place."""
+    own = [c for c in docs.columns if c.lower() not in {r.lower() for r in replaced}]
+    if text_col in own:
+        return docs.select(*own), own, own.index(text_col)
+    return docs.select(*own, F.col(text_col)), own, len(own)
+
+
 def portions(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most ``rows`` rows whose texts have ``size`` bytes together; a longer text comes alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -85,6 +107,7 @@ def portions(batch: pa.RecordBatch, column: int, rows: int = 512, size: int = 8
         b = max(a + 1, min(a + rows, int(np.searchsorted(ends, before + size, side="right"))))
         yield batch.slice(a, b - a)
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def sent(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:

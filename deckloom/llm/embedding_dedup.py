@@ -45,7 +45,7 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
             y = x.reshape(len(x), -1, 2, width)
             x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(len(x), -1)
             width *= 2
-        x = x / np.sqrt(x.shape[1])
+        x = x / np.sqrt(np.float32(x.shape[1]))
     return x
 
 
@@ -53,7 +53,7 @@ def buckets(x: np.ndarray, tables: int = TABLES, per_table: int = PER_TABLE, see
     """(rows, tables x (1 + per_table)) bucket numbers of unit vectors, the home bucket of a table first."""
     n, d = x.shape
     width = max(2, 1 << (d - 1).bit_length())
-    padded = np.zeros((n, width))
+    padded = np.zeros((n, width), dtype=np.float32)
     padded[:, :d] = x
     rng = np.random.default_rng([seed, d])
     out = np.empty((n, tables, 1 + per_table), dtype=np.int64)
@@ -61,7 +61,7 @@ def buckets(x: np.ndarray, tables: int = TABLES, per_table: int = PER_TABLE, see
     for t in range(tables):
         parts = []
         for _ in range(per_table):
-            r = rotate(padded, rng.choice([-1.0, 1.0], (3, width)))
+            r = rotate(padded, rng.choice([-1.0, 1.0], (3, width)).astype(np.float32))
             near = np.argpartition(-np.abs(r), 1, axis=1)[:, :2]
             order = np.argsort(-np.abs(np.take_along_axis(r, near, 1)), axis=1, kind="stable")
             near = np.take_along_axis(near, order, 1)

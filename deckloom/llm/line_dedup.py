@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import aside, cut, table
 
 KEY = ["d", "t"]
 
@@ -125,7 +125,8 @@ def dedup_lines(
         .groupBy(F.col("d").alias("_d"), F.col("t").alias("_t"))
         .agg(F.collect_set("at").alias("_gone"), F.sum("_run").cast("int").alias("_runs"))
     )
-    own = docs.drop("n_lines", "n_deleted", "n_runs")
+    given = docs.drop("n_lines", "n_deleted", "n_runs")
+    own, meanwhile = aside(given, ["_d", "_t", "_gone", "_runs", "_lines"])
     keyed = own.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("_t", F.xxhash64(F.col(text_col)))
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
@@ -136,7 +137,7 @@ def dedup_lines(
         keyed.join(per_doc, ["_d", "_t"], "left")
         .withColumn("_lines", lines)
         .select(
-            *[text.alias(c) if c == text_col else F.col(c) for c in own.columns],
+            *[text.alias(c) if c == text_col else F.col(meanwhile.get(c, c)).alias(c) for c in given.columns],
             F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
             F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"),
             F.coalesce("_runs", F.lit(0)).alias("n_runs"),

@@ -41,6 +41,7 @@ from .common import (
     components,
     cut,
     first_shared,
+    fresh,
     groups,
     node_id,
     numbered,
@@ -502,13 +503,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest id stays. A missing text equals no other and stays.
     """
     th = F.xxhash64(F.col(text_col))
+    key = [fresh("id_of", docs.columns), fresh("hash_of", docs.columns)]
     judged = similar_documents(docs, id_col=id_col, text_col=text_col, **options).select(
-        F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), "kept", "has_words"
+        F.col(id_col).alias(key[0]), F.col("text_hash").alias(key[1]), "kept", "has_words"
     )
-    with_words = judged.where("kept and has_words").select("_id", "_th")
-    wordless = judged.where("not has_words").groupBy("_th").agg(F.min("_id").alias("_id")).select("_id", "_th")
-    keyed = docs.withColumn("_id", node_id(id_col, th)).withColumn("_th", th)
-    chosen = keyed.join(with_words.unionByName(wordless).distinct(), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
+    with_words = judged.where("kept and has_words").select(*key)
+    wordless = judged.where("not has_words").groupBy(key[1]).agg(F.min(key[0]).alias(key[0])).select(*key)
+    keyed = docs.select("*", node_id(id_col, th).alias(key[0]), th.alias(key[1]))
+    chosen = keyed.join(with_words.unionByName(wordless).distinct(), key, "left_semi").dropDuplicates(key)
     return chosen.where(F.col(text_col).isNotNull()).unionByName(keyed.where(F.col(text_col).isNull())).select(*docs.columns)
 
 

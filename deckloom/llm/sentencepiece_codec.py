@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, portions, table
+from .common import fresh, portions, table, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -395,19 +395,11 @@ def decode(pieces: Pieces, ids: pa.Array) -> list[bytes | None]:
     ]
 
 
-def _rows_with(docs: DataFrame, text_col: str, added: list[str]) -> tuple[DataFrame, list[str], int]:
-    """The columns that stay and, if it is not among them, the text; their names; the text's place."""
-    own = [c for c in docs.columns if c not in added]
-    if text_col in own:
-        return docs.select(*own), own, own.index(text_col)
-    return docs.select(*own, F.col(text_col)), own, len(own)
-
-
 def _encode_with(docs: DataFrame, model: str, text_col: str, checked: bool) -> DataFrame:
     """One pass and no shuffle: ids and n_ids, and if ``checked`` also round_trip and decoded_crc32."""
     held = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     added = ["ids", "n_ids", *(["round_trip", "decoded_crc32"] if checked else [])]
-    rows, own, at = _rows_with(docs, text_col, added)
+    rows, own, at = with_text(docs, text_col, added)
     types = [*(T.StructField(f.name, f.dataType, True) for f in docs.select(*own).schema), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.IntegerType())]
     if checked:
         types += [T.StructField("round_trip", T.BooleanType()), T.StructField("decoded_crc32", T.LongType())]

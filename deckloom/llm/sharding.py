@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import aside, table
 
 OUT = ("law", "shard", "slot", "grown_shard")
+#: Rows that one task ranks, about.
+BUCKET_ROWS = 100_000
+#: Columns that the work itself adds for a while.
+INSIDE = ["_k", "_h", "_b", "_r", "_n", "_before", "_c", "_g", "_start", "_all", "_pos"]
 
 
 def _ranked(rows: DataFrame, ties: list, buckets: int) -> DataFrame:
@@ -38,19 +42,26 @@ def interleave(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
-    buckets: int = 512,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``rows`` with law ``rows``, shard (0 to n_shards - 1), slot (gapless from 0) and a null grown_shard.
 
     Shard sizes differ by one row at most; so do the shares of a source from
     what its proportion asks, give or take one row for each source.
 
+    Ranks are counted in ``buckets`` ranges of the hash, by default as many as leave
+    each about ``BUCKET_ROWS`` rows, so a task's work does not grow with the table.
+
     A missing source is a source of its own. Rows that share an id are ordered by
     their other columns; fully equal rows are interchangeable. Texts are not looked
     at. Columns that the result adds replace input columns of the same name; an
     empty table gives an empty result.
     """
-    kept = rows.drop(*OUT)
+    if buckets is None:
+        buckets = max(64, -(-rows.count() // BUCKET_ROWS))
+    given = rows.drop(*OUT)
+    kept, meanwhile = aside(given, INSIDE)
+    names = [F.col(meanwhile.get(c, c)).alias(c) for c in given.columns]
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     # The bucket is the leading part of the hash, so buckets in order hold the hashes in order.
@@ -60,7 +71,7 @@ def interleave(
     piece = F.floor((2 * F.col("_r") - 1) * F.lit(buckets) / (2 * F.col("_n"))).cast("int")
 
     # Row counts of the pieces of the interleaved order, from ids and sources alone.
-    light = _ranked(rows.select(F.col(id_col), F.col(source_col)).withColumns(mark), [], buckets)
+    light = _ranked(kept.select(F.col(id_col), F.col(source_col)).withColumns(mark), [], buckets)
     pieces = light.select(piece.alias("_g")).groupBy("_g").agg(F.count("*").alias("_c"))
     pieces = pieces.select(
         "_g",
@@ -81,7 +92,7 @@ def interleave(
         .withColumn("shard", shard.cast("int"))
         .withColumn("slot", slot.cast("long"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .select(*kept.columns, *OUT)
+        .select(*names, *OUT)
     )
 
 

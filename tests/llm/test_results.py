@@ -459,6 +459,126 @@ def test_toxicity_accuracy(spark):
     assert flagged <= 0.05 * clean and caught >= 0.65 * toxic
 
 
+def plain_grams(text, least, most, inside, digits):
+    """The n-grams of a text, one by one."""
+    letter = str.isalnum if digits else str.isalpha
+    c = [" ", *text.lower(), " "]
+    w = [letter(x) for x in c]
+    flat = [x if ok else " " for x, ok in zip(c, w)]
+    out = []
+    for n in range(least, most + 1):
+        for a in range(len(c) - n + 1):
+            if inside and not all(w[a + 1 : a + n - 1]):
+                continue
+            if not inside and not (w[a] or n > 1 and w[a + 1]):
+                continue
+            out.append("".join(flat[a : a + n]))
+    return out
+
+
+def bucket(gram, bits):
+    """The bucket of an n-gram in plain arithmetic."""
+    h = 0
+    for x in gram:
+        h = (h * 0x01000193 + ord(x)) % 2**32
+    h = ((h ^ h >> 15) * 0x9E3779B1 + len(gram)) % 2**32
+    return (h ^ h >> 16) * 0x85EBCA6B % 2**32 >> 32 - bits
+
+
+@pytest.mark.parametrize("module, inside, digits", [(toxicity, True, True), (language_id, False, False)])
+def test_ngrams_by_brute_force(module, inside, digits, monkeypatch):
+    from deckloom.llm import ngrams
+
+    for size in (ngrams.SLICE, 7):
+        monkeypatch.setattr(ngrams, "SLICE", size)
+        for text in ("", "a", "Ab c3 -- Déjà vu\n", "x" * 40, "one two  three, four!"):
+            want = np.zeros(1 << module.BITS, dtype=int)
+            for gram in plain_grams(text, module.LEAST, module.MOST, inside, digits):
+                want[bucket(gram, module.BITS)] += 1
+            assert np.array_equal(ngrams.counts(text, module.LEAST, module.MOST, module.BITS, inside=inside, digits=digits), want)
+
+
+def test_toxicity_scores_by_brute_force():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.25)
+    for text in ("such a text", "", "!!", "Zwölf Boxkämpfer jagen 3 mal"):
+        grams = plain_grams(text, toxicity.LEAST, toxicity.MOST, True, True)
+        mean = sum(float(model.weight[bucket(g, toxicity.BITS)]) for g in grams) / len(grams) if grams else 0.0
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(0.25 - mean)), abs=1e-9)
+
+
+def test_toxicity_learning_by_brute_force(monkeypatch):
+    """The same steps one document and one n-gram at a time."""
+    monkeypatch.setattr(toxicity, "BITS", 6)
+    rng = np.random.default_rng(4)
+    bags = [np.unique(rng.integers(0, 64, 9)) for _ in range(40)]
+    shares = [np.full(len(b), 1 / len(b), dtype=np.float32) for b in bags]
+    y = np.array([int(b[0] < 6) for b in bags])
+    found = toxicity.fit(bags, shares, y, seed=5)
+
+    draw = np.random.default_rng(5)
+    e = draw.uniform(-1 / toxicity.DIM, 1 / toxicity.DIM, (64, toxicity.DIM))
+    w = draw.uniform(-1 / toxicity.DIM, 1 / toxicity.DIM, (2, toxicity.DIM))
+    b, e_sum, w_sum, b_sum = np.zeros(2), np.full(64, 1e-10), np.full((2, toxicity.DIM), 1e-8), np.full(2, 1e-8)
+    for epoch in range(toxicity.EPOCHS):
+        rate, order = toxicity.RATE * (1 - epoch / toxicity.EPOCHS), draw.permutation(np.arange(40))
+        for at in range(0, 40, toxicity.BATCH):
+            rows = order[at : at + toxicity.BATCH]
+            d_e, d_w, d_b = {}, np.zeros_like(w), np.zeros(2)
+            for r in rows:
+                h = sum(s * e[g] for g, s in zip(bags[r], shares[r]))
+                p = np.exp(w @ h + b) / np.exp(w @ h + b).sum()
+                error = (p - np.eye(2)[y[r]]) / len(rows)
+                d_w += np.outer(error, h)
+                d_b += error
+                for g, s in zip(bags[r], shares[r]):
+                    d_e[g] = d_e.get(g, 0) + s * (error @ w)
+            for g, d in d_e.items():
+                e_sum[g] += (d * d).sum()
+                e[g] -= rate * d / np.sqrt(e_sum[g])
+            w_sum += d_w * d_w
+            w -= rate * d_w / np.sqrt(w_sum)
+            b_sum += d_b * d_b
+            b -= rate * 0.2 * d_b / np.sqrt(b_sum)
+    assert np.allclose(found.weight, e @ (w[1] - w[0]), rtol=2e-3, atol=2e-3) and found.bias == pytest.approx(b[1] - b[0], abs=2e-3)
+
+
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(6)
+    classes = list("abcde")
+    vote = language_id.Vote(classes, rng.normal(size=(10, 12)).astype(np.float32), rng.normal(size=10).astype(np.float32))
+    x = rng.normal(size=(50, 12)).astype(np.float32)
+    best, score = vote.winners(x)
+    for row in range(50):
+        wins, chance = dict.fromkeys(classes, 0), dict.fromkeys(classes, 0.0)
+        k = 0
+        for i in range(5):
+            for j in range(i + 1, 5):
+                margin = min(5.0, max(-5.0, float(x[row] @ vote.weight[k] + vote.bias[k])))
+                wins[classes[i] if margin >= 0 else classes[j]] += 1
+                chance[classes[i]] += 1 / (1 + np.exp(-4 * margin))
+                chance[classes[j]] += 1 / (1 + np.exp(4 * margin))
+                k += 1
+        first = max(classes, key=lambda c: (wins[c], chance[c]))
+        assert classes[best[row]] == first and score[row] == pytest.approx(chance[first] / 4, abs=1e-5)
+
+
+def test_machines_are_at_the_least_loss():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=120) > 0.4, 1.0, -1.0).astype(np.float32)
+    w, b = language_id.machine(x, y)
+
+    def loss(w, b):
+        slack = np.maximum(0, 1 - y * (x @ w + b)) ** 2
+        return slack[y > 0].mean() / 2 + slack[y < 0].mean() / 2 + language_id.PENALTY / 2 * (w @ w)
+
+    least = loss(w, b)
+    for _ in range(300):
+        step = rng.normal(size=7) * 10 ** rng.uniform(-3, 0)
+        assert loss(w + step[:6], b + step[6]) >= least - 1e-5
+
+
 def test_unseen_spellings_share_ngrams():
     bags, y = [], []
     rng = np.random.default_rng(0)

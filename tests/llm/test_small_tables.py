@@ -34,7 +34,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves.
-CLASHING = "n_lines n_deleted shard slot law ids n_ids score predicted lang_pred items spans n_words id k d t i text_hash _id _k kept assign".split()
+CLASHING = "n_lines n_deleted shard slot law ids n_ids score predicted lang_pred items spans n_words id k d t i text_hash _id _k _r _n _g _d _t _gone _lines _text kept assign".split()
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +97,9 @@ def test_every_row_has_a_result(docs, by_name, name):
 def test_clashing_columns(clashing, by_name, name):
     found = by_name[name](clashing)
     assert found.count() == len(ROWS) and len(found.columns) == len(set(found.columns))
+    made = set(by_name[name](clashing.select("doc_id", "text", "lang", "source", "n_chars")).columns)
+    rows = found.select(*[c for c in CLASHING if c in found.columns and c not in made] or [F.lit("mine")]).collect()
+    assert all(set(r) == {"mine"} for r in rows)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -121,6 +124,49 @@ def test_stages(spark, docs, benchmark, tmp_path, k):
     assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_clashing_columns(spark, clashing, benchmark, tmp_path, k):
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = ["n_runs", "round_trip", "decoded_crc32", "_row", "_words_of", "ball", "node", "own_score"]
+    docs = clashing.select("*", *[F.lit("mine").alias(c) for c in more])
+    name, stage = corpus_pipeline.STAGES[k]
+    found = stage(spark, docs, str(tmp_path))
+    last = ["ids", "n_ids", "round_trip"] if name == "tokenize" else []
+    assert [c for c in found.columns if c not in last] == [c for c in docs.columns if c not in last]
+    assert set(last) <= set(found.columns) and len(found.columns) == len(set(found.columns))
+    mine = [c for c in [*CLASHING, *more] if c not in last]
+    rows = found.select(*mine).collect()
+    assert rows and all(set(r) == {"mine"} for r in rows)
+
+
+def test_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c d"), (7, "e f")], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.find_contamination(docs, items, size=3).collect()}
+    assert [tuple(s) for s in rows[1]["spans"]] == [(1, 6)] and rows[1]["items"] == ["7"] and rows[2]["spans"] == []
+
+
+def test_windows_of_very_many_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "LISTED", 10)
+    items = spark.createDataFrame([(k, "some words here") for k in range(95)], "item_id long, text string")
+    windows = decontamination.item_windows(items, "item_id", "text", 3).collect()
+    assert len(windows) > 5 and max(len(r["items"]) for r in windows) < 40
+    docs = spark.createDataFrame([(1, "Some words, here!")], "doc_id long, text string")
+    found = decontamination.find_contamination(docs, items, size=3, block_windows=3).first()
+    assert found["items"] == sorted(str(k) for k in range(95)) and [tuple(s) for s in found["spans"]] == [(0, 3)]
+
+
+def test_ids_that_repeat_are_learned_from_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "nice words")] * 50 + [(2, "horrid words")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, shares, y, **k: seen.append((len(ids), sorted(y.tolist()))))
+    toxicity.train(docs, labels, "doc_id", "text", "toxic", toxicity.SAMPLE)
+    monkeypatch.setattr(toxicity, "ENTRIES", 1)
+    toxicity.train(docs, labels, "doc_id", "text", "toxic", toxicity.SAMPLE)
+    assert seen[0] == (2, [0, 1]) and seen[1][0] < 2
+
+
 def test_near_copies_keep_one_of_each(spark, docs):
     kept = stages.without_near_copies(spark, docs, "").collect()
     texts = [r["text"] for r in kept]
