@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clusters, evaluate, holdout, importer, normalize, quality, resolve, rules, trends, vectors
+from ..sources import cards
 from ..sources import tables as changes
 from ..sources.events import select_events
 from . import star
@@ -259,6 +260,34 @@ def q_upsert_replace(s, d):
     return changes.upsert(c, c.select((F.col("id") * 2).alias("id"), F.lower("name").alias("name")), ["id"], ["name"])
 
 
+def _raw_cards(s, d):
+    """Parts as objects of a card catalogue, some of them unplayable or of the second tier."""
+    size = F.col("p_size")
+    layout = F.when(size % 10 == 0, "token").when(size % 10 == 1, "emblem").when(size % 10 > 2, "normal")
+    faces = F.when(F.col("p_partkey") % 7 == 0, F.array(F.struct(F.col("p_name").alias("name")), F.struct(F.col("p_brand").alias("name"))))
+    return star.read(s, d, "part").select(
+        F.concat(F.lit("ref-"), F.reverse(F.col("p_partkey").cast("string"))).alias("oracle_id"), F.col("p_name").alias("name"), layout.alias("layout"),
+        F.when(size % 7 == 0, "funny").when(size % 7 > 1, "core").alias("set_type"), F.col("p_type").alias("type_line"), faces.alias("card_faces"),
+    )
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY tier, canonical_ref) AS id, * FROM (SELECT 'ref-' || reverse(CAST(p_partkey AS VARCHAR)) AS canonical_ref, p_name AS name, "
+    "CAST(p_size % 7 = 0 AS INTEGER) AS tier, CASE WHEN p_partkey % 7 = 0 THEN p_name || '/' || p_brand END AS faces FROM part WHERE p_size % 10 > 1)",
+    star_sql=False,
+)
+def q_card_table(s, d):
+    rows = cards.card_table(_raw_cards(s, d))
+    return rows.select("id", "canonical_ref", "name", F.col("attrs.resolution_tier").alias("tier"), F.array_join("attrs.face_names", "/").alias("faces"))
+
+
+@query(
+    "SELECT CASE p_size % 10 WHEN 0 THEN 'token' ELSE 'emblem' END AS layout, count(*) AS n FROM part WHERE p_size % 10 < 2 GROUP BY 1", star_sql=False
+)
+def q_left_out(s, d):
+    return cards.left_out(_raw_cards(s, d))
+
+
 # Names
 
 
@@ -427,6 +456,17 @@ def q_classify(s, d):
     return found.withColumn("conflict", F.array_join("conflict", ";"))
 
 
+@query(star.rules_sql() + "SELECT deck_id, archetype AS truth FROM cls WHERE method = 'rules' AND conflict = ''")
+def q_ground_truth(s, d):
+    return evaluate.ground_truth(rules.classify(star.deck_cards(s, d), _compiled(s)))
+
+
+@query(star.rules_sql() + "SELECT id AS deck_id, date FROM decks WHERE id NOT IN (SELECT deck_id FROM cls WHERE method = 'rules')")
+def q_remainder(s, d):
+    decks = star.decks(s, d).select(F.col("id").alias("deck_id"), "date")
+    return evaluate.remainder(decks, rules.classify(star.deck_cards(s, d), _compiled(s)))
+
+
 @query(
     star.rules_sql()
     + """, names(name) AS (SELECT DISTINCT name FROM rules), cs(color) AS (SELECT k FROM guild UNION ALL VALUES ('C'))
@@ -676,3 +716,45 @@ def q_matchups(s, d):
         F.col("id").alias("deck_id_a"), "deck_id_b", (F.col("wins") > F.coalesce("other", F.lit(-1))).alias("a_won")
     )
     return trends.matchups(played, _labelled(s, d).select(F.col("id").alias("deck_id"), "label"))
+
+
+@query(
+    ", sh AS (SELECT d.date, source AS label, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id WHERE d.date IS NOT NULL GROUP BY 1, 2), "
+    "f AS (SELECT label, list_reduce(list({'s': CAST(share AS DOUBLE), 'l': CAST(share AS DOUBLE), 't': CAST(0 AS DOUBLE)} ORDER BY date), lambda a, x: "
+    "{'s': x.s, 'l': CAST(0.5 * x.s + 0.5 * (a.l + a.t) AS DOUBLE), 't': CAST(0.1 * (0.5 * x.s + 0.5 * (a.l + a.t) - a.l) + 0.9 * a.t AS DOUBLE)}) AS f FROM sh GROUP BY 1) "
+    "SELECT label, round(f.l + 3 * f.t, 9) AS forecast FROM f"
+)
+def q_smoothed(s, d):
+    return trends.smoothed(trends.daily_share(_labelled(s, d)), ahead=3).withColumn("forecast", F.round("forecast", 9))
+
+
+@query(
+    ", a AS (SELECT source AS label, card_id, d.date, avg(count) AS copies FROM deck_cards c JOIN decks d ON d.id = c.deck_id JOIN ev e ON e.id = d.event_id GROUP BY ALL) "
+    "SELECT label, card_id, date, round(copies, 9) AS copies, round(copies - lag(copies) OVER (PARTITION BY label, card_id ORDER BY date), 9) AS change FROM a"
+)
+def q_card_drift(s, d):
+    entries = star.deck_cards(s, d).join(_labelled(s, d).withColumnRenamed("id", "deck_id"), "deck_id")
+    return trends.card_drift(entries).select("label", "card_id", "date", F.round("copies", 9).alias("copies"), F.round("change", 9).alias("change"))
+
+
+@query(
+    ", f AS (SELECT CAST(id % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS rate, wins > 3 AS won FROM decks WHERE wins IS NOT NULL) "
+    "SELECT CAST(least(floor(rate * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(rate), 9) AS mean_rate, round(avg(CAST(won AS INTEGER)), 9) AS observed, "
+    "round(avg(-ln(CASE WHEN won THEN least(greatest(rate, 1e-9), 1 - 1e-9) ELSE 1 - least(greatest(rate, 1e-9), 1 - 1e-9) END)), 6) AS log_loss FROM f GROUP BY 1"
+)
+def q_calibration(s, d):
+    forecasts = star.decks(s, d).where("wins is not null").select(((F.col("id") % 101) / F.lit(100.0)).alias("rate"), (F.col("wins") > 3).alias("won"))
+    found = trends.calibration(forecasts)
+    return found.select("bin", "n", F.round("mean_rate", 9).alias("mean_rate"), F.round("observed", 9).alias("observed"), F.round("log_loss", 6).alias("log_loss"))
+
+
+@query(
+    star.DOCUMENTS_SQL + """, own AS (SELECT event_id, player, min(id) AS id FROM od WHERE player IS NOT NULL GROUP BY 1, 2)
+SELECT m.event_id, 'R' || (m.o % 3) AS round, a.id AS deck_id_a, b.id AS deck_id_b, '2-' || (m.o % 3) AS result FROM od m
+LEFT JOIN own a ON a.event_id = m.event_id AND a.player = m.player LEFT JOIN own b ON b.event_id = m.event_id AND b.player = 'p' || ((m.o + 1) % 5)
+WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",
+    star_sql=False,
+)
+def q_round_matches(s, d):
+    docs = _numbered(s, d)
+    return trends.matches(docs, normalize.decks(docs))

@@ -102,9 +102,12 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     deck = F.struct(
         F.lit(None).cast("string").alias("Date"), player.alias("Player"), result.alias("Result"), F.lit("").alias("AnchorUri"), "Mainboard", "Sideboard"
     )
+    against = F.struct(player.alias("Player1"), F.concat(F.lit("p"), (o + 1) % 5).alias("Player2"), F.concat(F.lit("2-"), o % 3).alias("Result"))
+    match = F.struct(F.concat(F.lit("R"), o % 3).alias("RoundName"), F.array(against).alias("Matches"))
     held = read(spark, d, "orders").join(zones, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.array_sort(F.collect_list(F.struct("o_orderkey", deck.alias("x")))).alias("d"),
         F.array_sort(F.collect_list(F.when(o % 2 == 0, F.struct("o_orderkey", standing.alias("x"))))).alias("s"),
+        F.array_sort(F.collect_list(F.struct("o_orderkey", match.alias("x")))).alias("r"),
     )
     day = F.date_add(F.lit("1995-01-01").cast("date"), (k % 365).cast("int")).cast("string")
     written = F.when(k % 3 == 0, F.concat(day, F.lit("T23:30:00-08:00"))).when(k % 3 == 1, day).otherwise("junk")
@@ -114,6 +117,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         F.struct(written.alias("Date"), F.col("c_name").alias("Name"), F.lit("").alias("Uri")).alias("Tournament"),
         F.transform("d", lambda x: x["x"]).alias("Decks"),
         F.transform("s", lambda x: F.parse_json(x["x"])).alias("Standings"),
+        F.transform("r", lambda x: x["x"]).alias("Rounds"),
         path.alias("path"), F.col("c_mktsegment").alias("source"), slug.alias("slug"), F.lit("2001/02/03").alias("path_date"), F.array_join(path, "/").alias("raw_ref"),
     )
 
