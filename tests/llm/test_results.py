@@ -378,6 +378,40 @@ def test_texts_are_hashed_in_parts(monkeypatch):
     assert np.array_equal(ngram_join.shingles(text), whole)
 
 
+def test_batches_are_cut_by_rows_and_bytes():
+    texts = ["a" * 10, None, "", "b" * 100, "c", "d" * 30, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["k", "t"])
+    found = [x.column(1).to_pylist() for x in common.portions(batch, 1, rows=3, size=32)]
+    assert [t for part in found for t in part] == texts
+    assert all(len(part) <= 3 and (len(part) == 1 or sum(len(t or "") for t in part) <= 32) for part in found)
+    assert not list(common.portions(batch.slice(0, 0), 1))
+
+
+def test_cells_come_whole():
+    rng = random.Random(3)
+    keys = sorted(rng.choices(range(30), k=400))
+    table = pa.table({"k": pa.array(keys, pa.int64()), "q": pa.array([0] * 400, pa.int32())})
+    seen = []
+    for t, edges in common.whole_cells(iter(table.to_batches(max_chunksize=7)), ["k", "q"], rows=50):
+        ks = t["k"].to_pylist()
+        assert edges[0] == 0 and edges[-1] == len(ks)
+        runs = [ks[a:b] for a, b in zip(edges, edges[1:])]
+        assert all(len(set(r)) == 1 for r in runs)
+        seen += [(r[0], len(r)) for r in runs]
+        a, b = common.pairs_within(edges)
+        assert sorted(zip(a.tolist(), b.tolist())) == [(i, j) for i in range(len(ks)) for j in range(i + 1, len(ks)) if ks[i] == ks[j]]
+    assert seen == [(k, keys.count(k)) for k in sorted(set(keys))]
+
+
+def test_first_shared_numbers():
+    rng = random.Random(4)
+    lists = [sorted(rng.sample(range(12), rng.randint(0, 6))) for _ in range(60)]
+    column = pa.array(lists, pa.list_(pa.int64()))
+    a, b = np.array(range(60)), np.array([rng.randrange(60) for _ in range(60)])
+    found = common.first_shared(common.padded(column, -1)[a], common.padded(column, -2)[b])
+    assert found.tolist() == [min(set(lists[i]) & set(lists[j]), default=np.iinfo(np.int64).max) for i, j in zip(a, b)]
+
+
 def test_overlaps():
     rng = np.random.default_rng(8)
     sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(0, 5000, 40)]).astype(np.uint64)) for _ in range(90)]
