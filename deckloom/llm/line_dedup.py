@@ -72,26 +72,34 @@ def _step(rows: DataFrame, ahead: int) -> DataFrame:
     return _classes(paired, ["a", "b"]).select(*KEY, "i", "at", "name", "c", "e")
 
 
+def _levels(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[int, DataFrame]]:
+    """(h, rows) for h = 1, 2, 4 ...: (d, t, i, at, name, c, e) of all suffixes whose first h lines have a copy, until there is none.
+
+    c: words before the line, e: words up to the end of its window, both counted over the repeated lines.
+    """
+    first = _classes(_lines(docs, id_col, text_col), ["line"]).select(*KEY, "i", "at", "w", "name").distinct()
+    upto = F.sum("w").over(W.partitionBy(*KEY).orderBy("i"))
+    rows, h, out = cut(first.select(*KEY, "i", "at", "name", (upto - F.col("w")).alias("c"), upto.alias("e"))), 1, []
+    while not rows.isEmpty():
+        out.append((h, rows))
+        rows, h = cut(_step(rows, h)), 2 * h
+    return out or [(1, rows)]
+
+
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5
 ) -> DataFrame:
     """(d, t, i, at): the lines that lie in a later copy of a run of min_words words or more."""
-    first = _classes(_lines(docs, id_col, text_col), ["line"]).select(*KEY, "i", "at", "w", "name").distinct()
-    upto = F.sum("w").over(W.partitionBy(*KEY).orderBy("i"))
-    # c: words before the line, e: words up to the end of its window, both counted over the repeated lines.
-    rows = cut(first.select(*KEY, "i", "at", "name", (upto - F.col("w")).alias("c"), upto.alias("e")))
-    places, marks, h = rows.select(*KEY, "i", "at"), [], 1
+    levels, marks = _levels(docs, id_col, text_col), []
+    places = levels[0][1].select(*KEY, "i", "at")
 
     def mark(found: DataFrame, length: int) -> DataFrame:
         later = found.where((F.col("name") != _pos()) & (F.col("e") - F.col("c") >= min_words))
         return later.select(*KEY, "i", (F.col("i") + length).alias("end"))
 
-    while not rows.isEmpty():
+    for h, rows in levels:
         marks.append(mark(rows, h))
         marks += [mark(_step(rows, k - h), k) for k in range(h + 1, min(2 * h - 1, min_words) + 1)]
-        rows, h = cut(_step(rows, h)), 2 * h
-    if not marks:
-        return places
     covered = marks[0]
     for m in marks[1:]:
         covered = covered.unionByName(m)
@@ -102,6 +110,36 @@ def repeated_lines(
     )
 
 
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, t, i, lines, first, copies): the runs of lines that repeat an earlier one, and how far they agree with it.
+
+    For every suffix its deepest class is taken; ``first`` (d, t, i) is the class's first
+    place and ``copies`` its size. Their longest common prefix, ``lines``, is found from
+    the classes again, by halves: where both go on alike for half as many lines they move
+    on by those. A run that only goes on with the same run one line further up is left out.
+    d is the document's id and t its text's hash; i counts non-blank lines.
+    """
+    levels = _levels(docs, id_col, text_col)
+    deepest = None
+    for h, rows in levels:
+        sizes = cut(rows.groupBy("name").agg(F.count("*").alias("copies")))
+        later = rows.join(sizes, "name").where(F.col("name") != _pos()).select(*KEY, "i", F.struct(F.lit(h).alias("h"), "name", "copies").alias("x"))
+        deepest = later if deepest is None else deepest.unionByName(later)
+    found = deepest.groupBy(*KEY, "i").agg(F.max("x").alias("x"))
+    found = cut(found.select(*KEY, "i", F.col("x.h").alias("h"), F.col("x.h").alias("lines"), F.col("x.name").alias("first"), "x.copies"))
+    for h, rows in reversed(levels[:-1]):
+        mine = rows.select(*KEY, F.col("i").alias("_at"), F.col("name").alias("_mine"))
+        other = rows.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("i").alias("_first"), F.col("name").alias("_other"))
+        here = found.withColumn("_at", F.col("i") + F.col("lines")).withColumn("_first", F.col("first.i") + F.col("lines"))
+        both = here.withColumn("_d", F.col("first.d")).withColumn("_t", F.col("first.t")).join(mine, [*KEY, "_at"], "left").join(other, ["_d", "_t", "_first"], "left")
+        on = F.coalesce((F.col("h") > h) & (F.col("_mine") == F.col("_other")), F.lit(False))
+        found = cut(both.select(*KEY, "i", "h", (F.col("lines") + F.when(on, h).otherwise(0)).alias("lines"), "first", "copies"))
+    order = W.partitionBy(*KEY).orderBy("i")
+    above = F.struct(F.col("first.d").alias("d"), F.col("first.t").alias("t"), (F.col("first.i") - 1).alias("i"))
+    inner = (F.lag("i").over(order) == F.col("i") - 1) & (F.lag("first").over(order) == above)
+    return found.withColumn("_inner", F.coalesce(inner, F.lit(False))).where("not _inner").select(*KEY, "i", "lines", "first", "copies")
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5
 ) -> DataFrame:

@@ -95,6 +95,29 @@ def test_line_dedup(spark, seed, least):
     assert {r["doc_id"]: r["text"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_runs(spark, seed):
+    docs = documents(seed, 60)
+    lines = {k: [x for x in t.split("\n") if x.strip()] for k, t in docs}
+    places = [(k, i) for k in sorted(lines) for i in range(len(lines[k]))]
+
+    def common(p, q):
+        a, b = lines[p[0]][p[1] :], lines[q[0]][q[1] :]
+        return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = {}
+    for n, p in enumerate(places):
+        # The deepest power of two at which p has an earlier copy, the first of all copies there, how many there are.
+        most = max((common(p, q) for q in places[:n]), default=0)
+        if most:
+            depth = 1 << (most.bit_length() - 1)
+            alike = [q for q in places if common(p, q) >= depth]
+            want[p] = (common(p, alike[0]), alike[0], len(alike))
+    kept = {p: v for p, v in want.items() if want.get((p[0], p[1] - 1), (0, None))[1] != (v[1][0], v[1][1] - 1)}
+    found = line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["d"], r["i"]): (r["lines"], (r["first"]["d"], r["first"]["i"]), r["copies"]) for r in found} == kept
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     docs = [(k, " ".join(rng.choices(["a", "b", "c", "D"], k=rng.randint(0, 60)))) for k in range(80)]
