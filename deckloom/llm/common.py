@@ -89,8 +89,20 @@ def back(found: DataFrame, docs: DataFrame, meanwhile: dict[str, str], **new: Co
     return found.select(*[(new[c] if c in new else F.col(f"`{meanwhile.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_ROWS``: JVM and Python hold several batches of texts at once, which may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def with_text(docs: DataFrame, text_col: str, replaced: list[str]) -> tuple[DataFrame, list[str], int]:
     """For a pass in Python: the columns that stay and, if it is not among them, the text; their names; the text's place."""
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c.lower() not in {r.lower() for r in replaced}]
     if text_col in own:
         return docs.select(*own), own, own.index(text_col)

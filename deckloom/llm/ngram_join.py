@@ -50,6 +50,7 @@ from .common import (
     portions,
     roots,
     sent,
+    small_batches,
     table,
     whole_cells,
 )
@@ -435,6 +436,7 @@ def similar_documents(
     own text. A missing id is replaced by a negative one made from the
     text. Other columns are not looked at; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     th = F.xxhash64(text)
     rows = docs.select(node_id(id_col, th).alias("id"), th.alias("th"), text.cast("binary").alias("text"))

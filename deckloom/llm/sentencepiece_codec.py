@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, portions, table, with_text
+from .common import fresh, portions, small_batches, table, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches that a worker remembers in each of two generations, and the longest that it does; places for pairs of pieces, as bits.
-MEMO, MEMO_CHARS, PAIR_BITS = 100_000, 48, 20
+MEMO, MEMO_CHARS, PAIR_BITS = 60_000, 48, 20
 #: Stretches that are searched side by side, those looked up at a time, and characters of a text that are cut up at a time.
 ABREAST, LOOKED_UP, PORTION = 8192, 65_536, 1 << 20
 
@@ -451,6 +451,7 @@ def decode_documents(rows: DataFrame, model: str = MODEL, ids_col: str = "ids",
     """
     held = rows.sparkSession.sparkContext.broadcast(Pieces.load(model))
     own = [c for c in rows.columns if c != out_col]
+    small_batches(rows.sparkSession)
     made = fresh("decoded", rows.columns)
     asked = rows.select(*own, F.col(ids_col).cast("array<int>").alias(fresh("ids_of", own)))
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in rows.select(*own).schema), T.StructField(made, T.BinaryType())])
