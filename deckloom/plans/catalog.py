@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clusters, evaluate, holdout, importer, normalize, quality, resolve, rules, trends, vectors
+from ..operators.numbering import cut
 from ..sources import cards
 from ..sources import tables as changes
 from ..sources.events import select_events
@@ -147,16 +148,17 @@ def q_coverage(s, d):
 
 
 def _numbered(s, d):
-    """The wanted event documents with their ids."""
-    return normalize.number_events(select_events(star.documents(s, d), star.TOKENS, star.WANTED)[0])
+    """The wanted event documents with their ids. They are made once, as an import parses its files once."""
+    return cut(normalize.number_events(select_events(cut(star.documents(s, d)), star.TOKENS, star.WANTED)[0]))
 
 
 def _resolved(s, d):
     """Names of documents against a catalogue of 250 cards."""
     cards = s.range(250).select("id", F.lit(1).alias("game_id"), F.concat(F.lit("Card "), "id").alias("name"), F.struct(F.lit(None).cast("array<string>").alias("face_names")).alias("attrs"))
-    decks = normalize.decks(_numbered(s, d))
-    lines = normalize.card_lines(decks)
-    return decks, *resolve.resolve_lines(lines, resolve.resolve_names(lines, cards))
+    placed = _numbered(s, d)
+    decks = normalize.decks(placed)
+    lines = cut(normalize.card_lines(decks))
+    return placed, decks, *resolve.resolve_lines(lines, resolve.resolve_names(lines, cards))
 
 
 @query(
@@ -204,7 +206,7 @@ def q_deck_cards_agg(s, d):
     star_sql=False,
 )
 def q_resolved_lines(s, d):
-    return _resolved(s, d)[1]
+    return _resolved(s, d)[2]
 
 
 @query(
@@ -325,8 +327,8 @@ def q_name_resolve(s, d):
     star_sql=False,
 )
 def q_unresolved_report(s, d):
-    decks, _, missed = _resolved(s, d)
-    return resolve.unresolved_report(missed, decks, normalize.events(_numbered(s, d), 1, {"modern": 1}))
+    placed, decks, _, missed = _resolved(s, d)
+    return resolve.unresolved_report(missed, decks, normalize.events(placed, 1, {"modern": 1}))
 
 
 @query(
