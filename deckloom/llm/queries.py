@@ -15,6 +15,7 @@ from . import (
     secrets,
     sentencepiece_codec,
     sharding,
+    token_alignment,
     toxicity,
     warc,
 )
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_warc": warc.op9_warc,
     "op10_language_id": language_id.op10_language_id,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
 }
 
 SQL: dict[str, str] = {
@@ -43,4 +45,5 @@ SQL: dict[str, str] = {
     **ngram_join.SQL,
     **warc.SQL,
     **language_id.SQL,
+    **token_alignment.SQL,
 }
