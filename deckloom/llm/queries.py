@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     decontamination,
     embedding_dedup,
+    fingerprints,
     language_id,
     line_dedup,
     ngram_join,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_language_id": language_id.op10_language_id,
     "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
 }
 
 SQL: dict[str, str] = {
@@ -46,4 +48,5 @@ SQL: dict[str, str] = {
     **warc.SQL,
     **language_id.SQL,
     **token_alignment.SQL,
+    **fingerprints.SQL,
 }
