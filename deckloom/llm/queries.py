@@ -13,6 +13,7 @@ from . import (
     language_id,
     line_dedup,
     ngram_join,
+    prefix_trie,
     secrets,
     sentencepiece_codec,
     sharding,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language_id.op10_language_id,
     "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -49,4 +51,5 @@ SQL: dict[str, str] = {
     **language_id.SQL,
     **token_alignment.SQL,
     **fingerprints.SQL,
+    **prefix_trie.SQL,
 }
