@@ -667,10 +667,10 @@ def q_emergence(s, d):
 
 @query("SELECT d.date, source AS label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2")
 def q_daily_share(s, d):
-    return trends.daily_share(_labelled(s, d))
+    return trends.daily_share(labelled(s, d))
 
 
-def _labelled(s, d):
+def labelled(s, d):
     ev = star.events(s, d).select(F.col("id").alias("event_id"), F.col("source").alias("label"))
     return star.decks(s, d).join(ev, "event_id")
 
@@ -681,7 +681,7 @@ def _labelled(s, d):
     "FROM decks d JOIN ev e ON e.id = d.event_id WHERE wins IS NOT NULL GROUP BY 1"
 )
 def q_win_rates(s, d):
-    return trends.win_rates(_labelled(s, d), F.lit("2001-08-01").cast("date")).select("label", F.round("games", 6).alias("games"), F.round("rate", 6).alias("rate"))
+    return trends.win_rates(labelled(s, d), F.lit("2001-08-01").cast("date")).select("label", F.round("games", 6).alias("games"), F.round("rate", 6).alias("rate"))
 
 
 @query(
@@ -689,7 +689,7 @@ def q_win_rates(s, d):
     "SELECT a.label, count(*) AS n, round(avg(abs(a.share - b.share)), 9) AS mae FROM sh a JOIN sh b ON b.label = a.label AND a.date = b.date + 7 GROUP BY 1"
 )
 def q_persistence(s, d):
-    return trends.persistence_error(trends.daily_share(_labelled(s, d))).withColumn("mae", F.round("mae", 9))
+    return trends.persistence_error(trends.daily_share(labelled(s, d))).withColumn("mae", F.round("mae", 9))
 
 
 @query(
@@ -699,7 +699,7 @@ def q_persistence(s, d):
     "FROM sh a JOIN wr b ON b.label = a.label AND a.date = b.date + 7 WHERE b.rate IS NOT NULL GROUP BY 1"
 )
 def q_lagged_regression(s, d):
-    rows = _labelled(s, d)
+    rows = labelled(s, d)
     played = rows.where("wins is not null").groupBy("date", "label").agg(F.try_divide(F.sum("wins"), F.sum(F.col("wins") + F.col("losses"))).alias("rate"))
     found = trends.lagged_regression(trends.daily_share(rows), played)
     return found.select("label", "n", F.round("slope", 9).alias("slope"), F.round("intercept", 9).alias("intercept"))
@@ -717,7 +717,7 @@ def q_matchups(s, d):
     played = rows.join(other, "id").where("wins is not null").select(
         F.col("id").alias("deck_id_a"), "deck_id_b", (F.col("wins") > F.coalesce("other", F.lit(-1))).alias("a_won")
     )
-    return trends.matchups(played, _labelled(s, d).select(F.col("id").alias("deck_id"), "label"))
+    return trends.matchups(played, labelled(s, d).select(F.col("id").alias("deck_id"), "label"))
 
 
 @query(
@@ -727,7 +727,7 @@ def q_matchups(s, d):
     "SELECT label, round(f.l + 3 * f.t, 9) AS forecast FROM f"
 )
 def q_smoothed(s, d):
-    return trends.smoothed(trends.daily_share(_labelled(s, d)), ahead=3).withColumn("forecast", F.round("forecast", 9))
+    return trends.smoothed(trends.daily_share(labelled(s, d)), ahead=3).withColumn("forecast", F.round("forecast", 9))
 
 
 @query(
@@ -735,7 +735,7 @@ def q_smoothed(s, d):
     "SELECT label, card_id, date, round(copies, 9) AS copies, round(copies - lag(copies) OVER (PARTITION BY label, card_id ORDER BY date), 9) AS change FROM a"
 )
 def q_card_drift(s, d):
-    entries = star.deck_cards(s, d).join(_labelled(s, d).withColumnRenamed("id", "deck_id"), "deck_id")
+    entries = star.deck_cards(s, d).join(labelled(s, d).withColumnRenamed("id", "deck_id"), "deck_id")
     return trends.card_drift(entries).select("label", "card_id", "date", F.round("copies", 9).alias("copies"), F.round("change", 9).alias("change"))
 
 
@@ -760,3 +760,6 @@ WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",
 def q_round_matches(s, d):
     docs = _numbered(s, d)
     return trends.matches(docs, normalize.decks(docs))
+
+
+from . import forecasts  # noqa: E402,F401  (adds its queries to those above)
