@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint. Only a local session without a folder for it gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session that names none gets a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if given is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="deckloom-"))
+    return given or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import alerts, trends, winrates
+from ..operators import alerts, rollups, trends, winrates
+from ..operators.numbering import shared_dir
 from . import star
 from .catalog import labelled, query
 
@@ -205,3 +208,53 @@ def q_card_spikes(s, d):
     entries = star.deck_cards(s, d).join(labelled(s, d).withColumnRenamed("id", "deck_id"), "deck_id").where("date is not null")
     found = alerts.card_spikes(trends.card_drift(entries), 2.5, 0.5, 3)
     return found.select("label", "card_id", "date", F.round("copies", 7).alias("copies"), "alarm")
+
+
+# Rollups
+
+
+def _refreshed(s, d, rollup, by_card=False):
+    """A store after two runs, before the second of which some decks' labels had changed; and what that one did. Days are first days of months here."""
+    decks, events = star.decks(s, d), star.events(s, d).drop("date")
+    dated = events.join(decks.select(F.col("event_id").alias("id"), "date").distinct(), "id")  # an event a day, as decks have days of their own
+    rows = rollups.labelled_rows(decks, decks.select(F.col("id").alias("deck_id"), F.col("player").alias("label")), dated, star.deck_cards(s, d) if by_card else None)
+    rows = rows.join(decks.select(F.col("id").alias("deck_id"), F.col("date").alias("own")), "deck_id").where("date <=> own").drop("own").withColumn("date", F.trunc("date", "month"))
+    store = rollups.RollupStore(s, f"{shared_dir(s)}/rollups-{uuid.uuid4().hex}")
+    store.refresh(rollup, rows)
+    later = rows.withColumn("label", F.when(F.col("deck_id") < 300, "other").otherwise(F.col("label")))
+    return store, later, store.refresh(rollup, later)
+
+
+_ROLLUP_SQL = (
+    ", rw AS (SELECT CAST(date_trunc('month', d.date) AS DATE) AS date, e.format_id, CASE WHEN d.id < 300 THEN 'other' ELSE player END AS label, d.id AS deck_id, wins, losses FROM decks d JOIN ev e ON e.id = d.event_id WHERE d.date IS NOT NULL)"
+)
+
+
+@query(_ROLLUP_SQL + " SELECT CAST(count(*) FILTER (c) AS BIGINT) AS written, CAST(0 AS BIGINT) AS emptied, CAST(count(*) FILTER (NOT c) AS BIGINT) AS kept FROM (SELECT date, bool_or(deck_id < 300) AS c FROM rw GROUP BY 1)")
+def q_rollup_refresh(s, d):
+    """How many days of the share table a run wrote and kept after some labels had changed."""
+    return s.createDataFrame([_refreshed(s, d, rollups.SHARES)[2]], "written long, emptied long, kept long")
+
+
+@query(
+    _ROLLUP_SQL + " SELECT format_id, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY date, format_id), 9) AS share, date FROM rw GROUP BY date, format_id, label"
+)
+def q_rollup_shares(s, d):
+    store, rows, _ = _refreshed(s, d, rollups.SHARES)
+    return _rounded(store.read(rollups.SHARES, rows), 9)
+
+
+@query(
+    _ROLLUP_SQL + " SELECT format_id, label, count(*) AS decks, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses, date FROM rw WHERE wins IS NOT NULL GROUP BY date, format_id, label"
+)
+def q_rollup_records(s, d):
+    store, rows, _ = _refreshed(s, d, rollups.RECORDS)
+    return store.read(rollups.RECORDS, rows)
+
+
+@query(
+    _ROLLUP_SQL + " SELECT format_id, label, card_id, board, count(DISTINCT rw.deck_id) AS decks, CAST(sum(count) AS BIGINT) AS copies, date FROM rw JOIN deck_cards c ON c.deck_id = rw.deck_id GROUP BY ALL"
+)
+def q_rollup_cards(s, d):
+    store, rows, _ = _refreshed(s, d, rollups.CARDS, by_card=True)
+    return store.read(rollups.CARDS, rows)
