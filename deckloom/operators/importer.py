@@ -14,6 +14,16 @@ from ..sources.tables import Store, insert_absent, upsert, upsert_additive
 from . import normalize, quality, resolve
 from .numbering import cut
 
+#: What is counted of each table while it is written, as SQL.
+COUNTED = {
+    "events": {
+        "events": "count(1)", "standings_only_players": "coalesce(sum(standings_only), 0)",
+        "decks_without_standing": "coalesce(sum(decks_without_standing), 0)",
+    },
+    "decks": {"decks": "count(1)"},
+    "deck_cards": {"deck_cards": "count(1)"},
+}
+
 
 @dataclass(frozen=True)
 class ImportResult:
@@ -82,13 +92,15 @@ def run_import(
     game: str,
     only_formats: set[str] | None = None,
     today=None,
+    skip_broken: bool = False,
 ) -> ImportResult:
     """Reads the documents below ``root``, writes games, formats, events, decks, deck_cards and unresolved names, and checks them.
 
     Raises RuntimeError if there are no cards yet. Events and decks are replaced;
     occurrences of unresolved names add up over imports. The documents are parsed once.
     New tables stand beside the old ones until they pass the checks; if one fails, a
-    ValueError is raised and the old tables stay as they were.
+    ValueError is raised and the old tables stay as they were. So it is if a document could not be parsed,
+    unless ``skip_broken`` has such documents counted and left out. Counts are taken while tables are written.
     """
     spark = store.spark
     cards = store.read("cards")
@@ -101,31 +113,30 @@ def run_import(
     store.swap("formats", format_rows(store, own, game_id))
     ids = {r["name"]: r["id"] for r in store.read("formats").where(F.col("game_id") == game_id).collect()}
 
-    docs, skipped = select_events(cut(read_events(spark, root)), {f.name: list(f.slug_tokens) for f in own}, wanted)
-    made = normalized(docs, cards, game_id, ids)
-    events, decks = cut(made["events"]), made["decks"]
+    given = cut(read_events(spark, root))
+    docs, skipped = select_events(given, {f.name: list(f.slug_tokens) for f in own}, wanted)
     counts = skipped.first().asDict()
-    counts |= events.agg(
-        F.count("*").alias("events"),
-        F.coalesce(F.sum("standings_only"), F.lit(0)).alias("standings_only_players"),
-        F.coalesce(F.sum("decks_without_standing"), F.lit(0)).alias("decks_without_standing"),
-    ).first().asDict()
-    beside = {"events": store.stage("events", events), "decks": store.stage("decks", decks), "deck_cards": store.stage("deck_cards", made["deck_cards"])}
-    staged = {name: store.staged(name, path) for name, path in beside.items()}
+    if counts["broken"] and not skip_broken:
+        some = [r["raw_ref"] for r in given.where("broken").select("raw_ref").orderBy("raw_ref").limit(5).collect()]
+        raise ValueError(f"{counts['broken']} documents could not be parsed: {', '.join(some)}")
+    made = normalized(docs, cards, game_id, ids)
+    beside = {}
     try:
+        for name, rows in (("events", made["events"]), ("decks", made["decks"]), ("deck_cards", made["deck_cards"])):
+            beside[name], seen = store.stage(name, rows, COUNTED[name])
+            counts |= seen
+        staged = {name: store.staged(name, path) for name, path in beside.items()}
         quality.gates({n: store.read(n) for n in ("games", "formats", "cards")} | staged, today)
     except ValueError:
         for path in beside.values():
             store.drop(path)
         raise
-    counts["decks"], counts["deck_cards"] = staged["decks"].count(), staged["deck_cards"].count()
-    counts["zero_count_lines"] = made["lines"].where("count < 1").count()
-    missed = made["missed"]
+    counts["zero_count_lines"], missed = made["lines"].where("count < 1").count(), made["missed"]
     counts |= missed.agg(F.count_distinct("name").alias("unresolved_names"), F.count_distinct("deck_id").alias("decks_with_unresolved")).first().asDict()
     report = resolve.unresolved_report(missed, staged["decks"], staged["events"])
     keys, add = ["game_id", "format_id", "card_name"], ["occurrences", "decks_affected"]
     summed = resolve.numbered_unresolved(upsert_additive(store.read("ingest_unresolved_cards"), report, keys, add))
-    beside["ingest_unresolved_cards"] = store.stage("ingest_unresolved_cards", summed)
+    beside["ingest_unresolved_cards"], _ = store.stage("ingest_unresolved_cards", summed)
     for name, path in beside.items():
         store.put(name, path)
     return ImportResult(counts)

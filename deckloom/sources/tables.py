@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, empty, struct
@@ -53,11 +53,47 @@ class Store:
         """The table's own columns of ``rows``, cast to its types."""
         self._typed(name, rows).write.mode(mode).partitionBy(*PARTITIONED.get(name, [])).parquet(self.path(name))
 
-    def stage(self, name: str, rows: DataFrame) -> str:
-        """Writes rows beside the table and says where; ``put`` then takes them for the table."""
+    def stage(self, name: str, rows: DataFrame, counts: dict[str, str] | None = None) -> tuple[str, dict[str, int]]:
+        """Writes rows beside the table; says where, for ``put`` to take them for the table, and what was counted.
+
+        counts: aggregates over any columns of ``rows``, as SQL; they are taken while the rows are written, without another pass.
+        """
         beside = f"{self.root}/_{name}-{uuid.uuid4().hex}"
+        if counts:
+            seen = Observation(f"{name}-{uuid.uuid4().hex}")
+            rows = rows.observe(seen, *[F.expr(c).alias(k) for k, c in counts.items()])
         self._typed(name, rows).write.partitionBy(*PARTITIONED.get(name, [])).parquet(beside)
-        return beside
+        return beside, dict(seen.get) if counts else {}
+
+    def put_files(self, name: str, beside: str, mark: str) -> None:
+        """Moves the files of what was staged into the table, their names beginning with ``mark``; files that have it already go first."""
+        files, make = self._files()
+        self.take_out(name, mark)
+        for file in self._parts(beside):
+            inner = file[len(files.makeQualified(make(beside)).toString()) + 1 :]
+            folder, _, last = f"{self.path(name)}/{inner}".rpartition("/")
+            files.mkdirs(make(folder))
+            self._move(file, f"{folder}/{mark}{last}")
+        self.drop(beside)
+
+    def take_out(self, name: str, mark: str) -> None:
+        """Deletes the table's files whose names begin with ``mark``."""
+        files, make = self._files()
+        for file in self._parts(self.path(name)):
+            if file.rpartition("/")[2].startswith(mark):
+                files.delete(make(file), False)
+
+    def _parts(self, folder: str) -> list[str]:
+        """The Parquet files below a folder, on the driver: names only."""
+        files, make = self._files()
+        if not files.exists(make(folder)):
+            return []
+        found, out = files.listFiles(make(folder), True), []
+        while found.hasNext():
+            path = found.next().getPath().toString()
+            if path.endswith(".parquet"):
+                out.append(path)
+        return sorted(out)
 
     def staged(self, name: str, beside: str) -> DataFrame:
         return self.spark.read.schema(struct(TABLES[name])).parquet(beside)
@@ -83,7 +119,7 @@ class Store:
 
     def swap(self, name: str, rows: DataFrame) -> None:
         """Replaces a table by rows that may be made from it."""
-        self.put(name, self.stage(name, rows))
+        self.put(name, self.stage(name, rows)[0])
 
     def load_cards(self, cards: DataFrame) -> None:
         """Writes the card table. Raises RuntimeError if there are cards already, since ids may be in use."""

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
-from ..schemas import EVENT_DOCUMENT, struct
-from ..sources.events import LAYOUT, with_path
+from ..schemas import EVENT_DOCUMENT
+from ..sources.events import BROKEN, LAYOUT, marked_broken, with_path
 
 
 def read_stream(spark: SparkSession, root: str, tokens: dict[str, list[str]], files_per_trigger: int = 500) -> DataFrame:
-    """Documents as they come, with path columns and format; those of no single format are left out."""
+    """Documents as they come, with path columns and format; those of no single format, or that cannot be parsed, are left out."""
     docs = (
-        spark.readStream.schema(struct(EVENT_DOCUMENT))
+        spark.readStream.schema(f"{EVENT_DOCUMENT}, {BROKEN} string")
+        .option("columnNameOfCorruptRecord", BROKEN)
         .option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(f"{root.rstrip('/')}/{LAYOUT}")
     )
-    placed = with_path(docs.withColumn("_file", F.col("_metadata.file_path"))).drop("_file")
+    placed = with_path(marked_broken(docs).where("not broken").drop("broken")).drop("_file")
     return placed.withColumn("format", text.detect_format(F.col("slug"), tokens)).where("format is not null")
 
 

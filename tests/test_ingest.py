@@ -248,3 +248,22 @@ def test_command_line(spark, corpus, tmp_path):
     assert cli.main([*store, "classify", "--definitions", str(tmp_path / "rules"), "--format", "modern", "--out", str(tmp_path / "l")]) == 0
     labels = {r["deck_id"]: r["label"] for r in spark.read.parquet(str(tmp_path / "l")).collect()}
     assert {k for k, v in labels.items() if v == "Burn"} == {1, 5}
+
+
+def test_broken_documents_are_counted_or_refused(spark, tmp_path):
+    good = {"Tournament": {"Date": "2023-03-05", "Name": "x", "Uri": ""}, "Decks": [deck("eve", "4-1", [("Bolt", 1)])], "Rounds": None, "Standings": None}
+    write(tmp_path, "a/2023/03/06/modern-good.json", good)
+    write(tmp_path, "a/2023/03/06/modern-other-type.json", good | {"Decks": "none"})
+    (tmp_path / "Tournaments/a/2023/03/06/modern-cut.json").write_text(json.dumps(good)[:60])
+    (tmp_path / "Tournaments/a/2023/03/06/modern-empty.json").write_text("")
+    found = {r["slug"]: r["broken"] for r in events.read_events(spark, str(tmp_path)).collect()}
+    assert {"modern-good": False, "modern-other-type": True, "modern-cut": True}.items() <= found.items() and found.get("modern-empty") in (None, True)
+    catalogue = tmp_path / "cards.json"
+    catalogue.write_text("\n".join(json.dumps(c) for c in CARDS))
+    store = tables.Store(spark, str(tmp_path / "store"))
+    store.load_cards(cards.card_table(cards.read_cards(spark, str(catalogue))))
+    with pytest.raises(ValueError, match="modern-cut"):
+        importer.run_import(store, str(tmp_path), FORMATS, "cards")
+    assert not store.exists("events")
+    counts = importer.run_import(store, str(tmp_path), FORMATS, "cards", skip_broken=True).counts
+    assert (counts["broken"], counts["events"], counts["decks"]) == (len(found) - 1, 1, 1)
