@@ -10,6 +10,7 @@ the blob: all paths, and all versions of each. Spans are counted in code points.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import committed, cut, fresh, shared_dir, table
 
 SPANS = "array<struct<start:int,end:int>>"
+#: Matches whose places are summed up one after the other.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -73,16 +76,41 @@ def spans(text: Column, rule: Rule) -> Column:
         inner,
         lambda a, b: F.struct(a["gap"].alias("gap"), a["n"].alias("n"), F.length(b).alias("inner")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    found = _let(matches, lambda all_: F.filter(F.zip_with(_starts(F.transform(all_, lambda m: m["gap"] + F.coalesce(m["n"], F.lit(0)))), all_, _span), lambda m: m["inner"] >= rule.least))
+    kept = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return F.when(text.rlike(_quick(rule)), kept).otherwise(F.array().cast(SPANS))
 
-    def add(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + F.coalesce(m["n"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(m["inner"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(matches, start, add, lambda acc: acc["out"])
-    return F.when(text.rlike(_quick(rule)), found).otherwise(F.array().cast(SPANS))
+def _span(at: Column, m: Column) -> Column:
+    begin = at + m["gap"]
+    return F.struct(begin.alias("start"), (begin + F.coalesce(m["n"], F.lit(0))).alias("end"), m["inner"].alias("inner"))
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), x being worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _starts(sizes: Column, levels: int = 2) -> Column:
+    """The sum of the sizes before each one. Only arrays of up to ``RUN`` sizes grow one by one, so the work is linear in the number of sizes up to RUN ** (levels + 1)."""
+
+    def within(run: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        grown = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(run, start, grown, lambda acc: acc["out"])
+
+    if not levels:
+        return within(sizes, F.lit(0))
+
+    def over(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n))
+        return F.flatten(F.zip_with(runs, _starts(totals, levels - 1), within))
+
+    def parted(all_: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int"))
+        return _let(F.transform(places, lambda k: F.slice(all_, k * RUN + 1, F.lit(RUN))), over)
+
+    return _let(sizes, parted)
 
 
 class SecretLedger:

@@ -68,7 +68,7 @@ def documents(seed, n=120):
 @pytest.mark.parametrize("n_rows, n_shards", [(0, 3), (1, 3), (50, 4), (97, 8)])
 def test_shards(spark, n_rows, n_shards):
     rows = spark.createDataFrame([(k, "hot" if k % 3 else f"s{k % 7}") for k in range(n_rows)], "doc_id long, source string")
-    found = sharding.interleave(rows, n_shards, buckets=8).collect()
+    found = sharding.interleave(rows, n_shards).collect()
     sizes = [sorted(r["slot"] for r in found if r["shard"] == k) for k in range(n_shards)]
     assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
     sources = [r["source"] for r in found]
@@ -258,6 +258,13 @@ def test_secret_spans(spark):
     assert {n: [(s["start"], s["end"]) for s in row[n]] for n in patterns} == want and sum(map(len, want.values())) == 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 300, 129 * 128, 40_000])
+def test_texts_with_very_many_secrets(spark, n):
+    text = "\n".join(f"{k:x}".rjust(16 + k % 3, "a") + (" short abc" if k % 5 == 0 else "") for k in range(n))
+    found = spark.createDataFrame([(text,)], "text string").select(secrets.spans(F.col("text"), secrets.RULES[2]).alias("s")).first()["s"]
+    assert [(x["start"], x["end"]) for x in found] == [m.span() for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+
+
 def test_embeddings_recall(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(150, 24))
