@@ -155,7 +155,8 @@ def find_contamination(
     rows = rows.select("*", *[F.lit(None).cast(kinds[c]).alias(name) for c, name in names.items()])
     windows = cut(item_windows(benchmark, item_col, item_text_col, size))
     blocks = max(1, -(-windows.count() // block_windows))
-    dealt = windows.withColumn("b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    # A frequent window has several lists of items, each of which may come into another block.
+    dealt = windows.withColumn("b", F.pmod(F.xxhash64("window", "items"), F.lit(blocks)))
     for b in range(blocks):
         block = [([bytes(w) for w in r.window], list(r["items"])) for r in dealt.where(F.col("b") == b).toLocalIterator()]
         seen = _rarity(docs, text_col, _block_words([w for w, _ in block])) if block else {}
