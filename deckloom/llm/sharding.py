@@ -3,37 +3,21 @@
 Rows of a source are shuffled by a seeded hash (MD5 of seed and id) and ranked; the rank divided by
 the source's row count is a place between 0 and 1. All rows sorted by that place
 interleave the sources in proportion, and a cut into equal pieces gives every
-shard the mixture of the whole. No sort or window spans a source or the table:
-ranks are counted in hash buckets, and bucket offsets come from small counts.
+shard the mixture of the whole. No sort or window spans a source or the table: ranks
+and places are numbers over ranges that a sample parts evenly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import aside, table
+from ..operators.numbering import numbered
+from .common import aside, cut, table
 
 OUT = ("law", "shard", "slot", "grown_shard")
-#: Rows that one task ranks, about.
-BUCKET_ROWS = 100_000
 #: Columns that the work itself adds for a while.
-INSIDE = ["_k", "_h", "_b", "_r", "_n", "_before", "_c", "_g", "_start", "_all", "_pos"]
-
-
-def _ranked(rows: DataFrame, ties: list, buckets: int) -> DataFrame:
-    """Adds _r, the rank within the source (from 1), and _n, the source's row count."""
-    sizes = rows.groupBy("_k", "_b").agg(F.count("*").alias("_c"))
-    w = W.partitionBy("_k")
-    sizes = sizes.select(
-        "_k",
-        "_b",
-        (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(w).alias("_n"),
-    )
-    place = F.row_number().over(W.partitionBy("_k", "_b").orderBy("_h", *ties))
-    return rows.join(sizes, ["_k", "_b"]).withColumn("_r", F.col("_before") + place).drop("_before")
+INSIDE = ["_k", "_h", "_r", "_n", "_first", "_share", "_at", "_part", "_rows"]
 
 
 def interleave(
@@ -42,52 +26,37 @@ def interleave(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
-    buckets: int | None = None,
 ) -> DataFrame:
     """``rows`` with law ``rows``, shard (0 to n_shards - 1), slot (gapless from 0) and a null grown_shard.
 
     Shard sizes differ by one row at most; so do the shares of a source from
     what its proportion asks, give or take one row for each source.
 
-    Ranks are counted in ``buckets`` ranges of the hash, by default as many as leave
-    each about ``BUCKET_ROWS`` rows, so a task's work does not grow with the table.
+    Ranks and places are counted in sampled ranges of rows, so a task's work does not grow with the table,
+    whatever rows one source, one id, or one place between 0 and 1 has; only fully equal rows stay together.
 
     A missing source is a source of its own. Rows that share an id are ordered by
     their other columns; fully equal rows are interchangeable. Texts are not looked
     at. Columns that the result adds replace input columns of the same name; an
     empty table gives an empty result.
     """
-    if buckets is None:
-        buckets = max(64, -(-rows.count() // BUCKET_ROWS))
     given = rows.drop(*OUT)
     kept, meanwhile = aside(given, INSIDE)
     names = [F.col(meanwhile.get(c, c)).alias(c) for c in given.columns]
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    # The bucket is the leading part of the hash, so buckets in order hold the hashes in order.
-    bucket = F.floor(F.conv(F.substring(hashed, 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int")
-    mark = {"_k": key, "_h": hashed, "_b": bucket}
     ties = [c for c, kind in kept.dtypes if not kind.startswith(("map", "variant"))]
-    piece = F.floor((2 * F.col("_r") - 1) * F.lit(buckets) / (2 * F.col("_n"))).cast("int")
-
-    # Row counts of the pieces of the interleaved order, from ids and sources alone.
-    light = _ranked(kept.select(F.col(id_col), F.col(source_col)).withColumns(mark), [], buckets)
-    pieces = light.select(piece.alias("_g")).groupBy("_g").agg(F.count("*").alias("_c"))
-    pieces = pieces.select(
-        "_g",
-        (F.sum("_c").over(W.orderBy("_g")) - F.col("_c")).alias("_start"),
-        F.sum("_c").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"),
-    )
-
-    ranked = _ranked(kept.withColumns(mark), ties, buckets).withColumn("_g", piece)
-    share = (2 * F.col("_r") - 1) / (2 * F.col("_n"))
-    place = F.row_number().over(W.partitionBy("_g").orderBy(share, "_k"))
-    pos = F.col("_start") + place - 1
-    shard = F.expr(f"(_pos * {n_shards}) div _all")
-    slot = F.col("_pos") - F.expr(f"(shard * _all + {n_shards - 1}) div {n_shards}")
+    marks = {"_k": key, "_h": hashed}
+    ranked = numbered(kept.withColumns(marks), ["_k", "_h", *ties], "_r")
+    sources = ranked.groupBy("_k").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    # A source of very many rows is cut up by Spark, as both sides are plain shuffles.
+    shared = ranked.join(cut(sources), "_k").withColumn("_share", (2 * (F.col("_r") - F.col("_first")) + 1) / (2 * F.col("_n")))
+    total = max(1, rows.count())
+    pos = F.col("_at") - 1
+    shard = F.expr(f"((_at - 1) * {n_shards}) div {total}")
+    slot = pos - F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
     return (
-        ranked.join(pieces, "_g")
-        .withColumn("_pos", pos)
+        numbered(shared, ["_share", "_k"], "_at")
         .withColumn("law", F.lit("rows"))
         .withColumn("shard", shard.cast("int"))
         .withColumn("slot", slot.cast("long"))

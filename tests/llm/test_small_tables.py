@@ -156,6 +156,30 @@ def test_windows_of_very_many_items(spark, monkeypatch):
     assert found["items"] == sorted(str(k) for k in range(95)) and [tuple(s) for s in found["spans"]] == [(0, 3)]
 
 
+def test_a_window_of_very_many_items_fills_no_block(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "LISTED", 10)
+    sizes = []
+    real = decontamination._index
+    monkeypatch.setattr(decontamination, "_index", lambda block, seen: sizes.append(len(block)) or real(block, seen))
+    items = spark.createDataFrame([(k, "some words here") for k in range(900)], "item_id long, text string")
+    found = decontamination.find_contamination(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), items, size=3, block_windows=15).first()
+    assert found["items"] == sorted(str(k) for k in range(900))
+    assert len(sizes) >= 5 and sum(sizes) >= 80 and max(sizes) < 40
+
+
+def test_sources_of_one_row_and_rows_without_an_id_are_spread(spark):
+    from pyspark.sql import Window as W
+
+    n = 4000
+    docs = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("source"), (F.col("id") * 7).alias("size"))
+    found = sharding.interleave(docs)
+    assert [r["count"] for r in found.groupBy("shard").count().orderBy("shard").collect()] == [n // 8] * 8
+    last = found.withColumn("r", F.row_number().over(W.partitionBy("shard").orderBy("slot")) - 1)
+    assert last.where("r <> slot").count() == 0
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("size"))
+    assert sharding.interleave(same).select("shard", "slot").distinct().count() == n
+
+
 def test_ids_that_repeat_are_learned_from_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "nice words")] * 50 + [(2, "horrid words")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
