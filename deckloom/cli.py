@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluate, holdout, importer, quality, resolve, rules
+from .operators import evaluate, holdout, importer, labels, quality, resolve, rules
 from .schemas import TABLES
 from .sources.cards import card_table, read_cards
 from .sources.definitions import Audit, load_definitions, load_formats
@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     k = sub.add_parser("classify", help="label a format's decks")
     k.add_argument("--definitions", required=True)
     k.add_argument("--format", required=True)
-    k.add_argument("--out", required=True)
+    k.add_argument("--game", help="of the format; needed if several games have one of its name")
+    k.add_argument("--out", help="a folder for all columns of the classified decks, too")
     v = sub.add_parser("evaluate", help="compare clusters with rules, twice; exit code 2 if the results differ")
     v.add_argument("--definitions", required=True)
     v.add_argument("--format", required=True)
@@ -89,6 +90,17 @@ def rule_names(root: str, format_name: str) -> list[str]:
     return names
 
 
+def format_of(store: Store, name: str, game: str | None) -> int:
+    """The id of a format. Raises ValueError if there is none, or more than one."""
+    found = store.read("formats").where(F.col("name") == name)
+    if game is not None:
+        found = found.join(store.read("games").where(F.col("name") == game).select(F.col("id").alias("game_id")), "game_id", "left_semi")
+    ids = [r["id"] for r in found.select("id").collect()]
+    if len(ids) != 1:
+        raise ValueError(f"{len(ids)} formats are called {name}")
+    return ids[0]
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("deckloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -104,9 +116,15 @@ def main(argv: list[str] | None = None) -> int:
     else:
         known = resolver(store)(rule_names(args.definitions, args.format))
         defs = load_definitions(args.definitions, args.format, known.get)
-        labels = rules.classify(store.read("deck_cards"), rules.compile_rules(spark, defs))
-        labels.withColumn("classifier_version", F.lit(defs.version)).write.parquet(args.out)
-        print(f"{defs.version} {evaluate.digest(labels.groupBy('label').count())}")
+        format_id = format_of(store, args.format, args.game)
+        own = store.read("events").where(F.col("format_id") == format_id).select(F.col("id").alias("event_id"))
+        decks = store.read("decks").join(own, "event_id", "left_semi").select(F.col("id").alias("deck_id"))
+        found = rules.classify(store.read("deck_cards").join(decks, "deck_id", "left_semi"), rules.compile_rules(spark, defs))
+        if args.out:
+            found.withColumn("classifier_version", F.lit(defs.version)).write.parquet(args.out)
+        counts = labels.store_labels(store, found, format_id, defs.version)
+        stored = labels.current_labels(store.read("archetype_labels"), store.read("archetypes"), defs.version)
+        print(f"{defs.version} {counts} {evaluate.digest(stored.groupBy('label').count())}")
     return 0
 
 

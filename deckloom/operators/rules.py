@@ -238,10 +238,3 @@ def classify(deck_cards: DataFrame, compiled: Compiled, least_similarity: float
         "color",
         F.when(F.size("labels") > 1, F.col("labels")).otherwise(F.array().cast("array<string>")).alias("conflict"),
     )
-
-
-def labels_of(classified: DataFrame, version: str) -> DataFrame:
-    """Classified decks as rows of a label table: (deck_id, label, classifier_version, method, confidence)."""
-    return classified.where("label is not null").select(
-        "deck_id", "label", F.lit(version).alias("classifier_version"), "method", F.col("similarity").alias("confidence")
-    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clusters, evaluate, holdout, importer, normalize, quality, resolve, rules, trends, vectors
-from ..operators.numbering import cut
+from ..operators import clusters, evaluate, holdout, importer, labels, normalize, quality, resolve, rules, trends, vectors
+from ..operators.numbering import cut, shared_dir
 from ..sources import cards
 from ..sources import tables as changes
 from ..sources.events import select_events
+from ..sources.tables import Store
 from . import star
 
 FLAGSHIP = "q_size_histogram"
@@ -414,12 +416,12 @@ def q_standings_override(s, d):
 
 
 @query(
-    ", m AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'main' AND count > 30), s AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'side' AND count > 30) "
+    ", m AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'main'), s AS (SELECT DISTINCT card_id FROM deck_cards WHERE board = 'side') "
     "SELECT 'old' AS part, card_id FROM m UNION ALL SELECT 'new', card_id FROM (SELECT * FROM s EXCEPT SELECT * FROM m)"
 )
 def q_set_ops(s, d):
     """Cards of the main zone, and those that the side adds."""
-    zone = lambda board, part: star.deck_cards(s, d).where((F.col("board") == board) & (F.col("count") > 30)).select(F.lit(part).alias("part"), "card_id")
+    zone = lambda board, part: star.deck_cards(s, d).where(F.col("board") == board).select(F.lit(part).alias("part"), "card_id")
     return changes.insert_absent(zone("main", "old").distinct(), zone("side", "new"), ["card_id"])
 
 
@@ -469,18 +471,25 @@ def q_remainder(s, d):
     return evaluate.remainder(decks, rules.classify(star.deck_cards(s, d), _compiled(s)))
 
 
+@query(star.rules_sql() + "SELECT deck_id, name, color, label FROM lab")
+def q_display_label(s, d):
+    """The labels of all matches of every deck, in the deck's colours."""
+    cards_of, compiled = star.deck_cards(s, d), _compiled(s)
+    found = rules.resolved_matches(cards_of, compiled).select("deck_id", F.explode("results").alias("m")).join(rules.deck_colors(cards_of, compiled), "deck_id")
+    return found.select("deck_id", "m.name", "color", text.display_label(F.col("m.name"), F.col("m.with_color"), F.col("color")).alias("label"))
+
+
 @query(
-    star.rules_sql()
-    + """, names(name) AS (SELECT DISTINCT name FROM rules), cs(color) AS (SELECT k FROM guild UNION ALL VALUES ('C'))
-SELECT name, color, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(n, '') || replace(name, 'Generic', ''),
- '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([^A-Z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([^A-Za-z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g')) AS label
-FROM names CROSS JOIN cs LEFT JOIN guild ON k = color"""
+    star.rules_sql() + "SELECT deck_id, coalesce(variant, archetype) AS label, CASE WHEN variant <> archetype AND variant NOT IN (SELECT archetype FROM cls WHERE archetype IS NOT NULL) THEN archetype END AS parent, method, similarity AS confidence "
+    "FROM cls WHERE archetype IS NOT NULL"
 )
-def q_display_label(s, d):
-    """Labels of every rule in every colour."""
-    colors = F.explode(F.array(*[F.lit(c) for c in [*text.COLOR_NAMES, "C"]])).alias("color")
-    rows = _compiled(s).rules.select("name").distinct().select("name", colors)
-    return rows.select("name", "color", text.display_label(F.col("name"), F.lit(True), F.col("color")).alias("label"))
+def q_stored_labels(s, d):
+    """Labels of all decks, written into the tables of a store at two versions and read back at the second one."""
+    store = Store(s, f"{shared_dir(s)}/labels-{uuid.uuid4().hex}")
+    found = cut(rules.classify(star.deck_cards(s, d), _compiled(s)))
+    for version in ("1", "2"):
+        labels.store_labels(store, found, 1, version, F.lit("2024-01-01"))
+    return labels.current_labels(store.read("archetype_labels"), store.read("archetypes"), "2")
 
 
 # Vectors and clusters: decks by TF-IDF; embeddings as clustered vectors, label 9 as noise
