@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..operators import alerts, rollups, trends, winrates
 from ..operators.numbering import shared_dir
+from ..sources.windows import WindowLayout
 from . import star
 from .catalog import labelled, query
 
@@ -258,3 +260,18 @@ def q_rollup_records(s, d):
 def q_rollup_cards(s, d):
     store, rows, _ = _refreshed(s, d, rollups.CARDS, by_card=True)
     return store.read(rollups.CARDS, rows)
+
+
+# Windows
+
+
+@query(
+    " SELECT c.deck_id, e.date, c.card_id, c.count, c.board FROM deck_cards c JOIN decks d ON d.id = c.deck_id JOIN ev e ON e.id = d.event_id "
+    "WHERE e.date BETWEEN DATE '1995-02-15' AND DATE '1995-06-30'"
+)
+def q_window_layout(s, d):
+    """The cards of a window of all formats, by way of tables laid out for windows."""
+    layout = WindowLayout(s, f"{shared_dir(s)}/windows-{uuid.uuid4().hex}", f"windows_{uuid.uuid4().hex}", 2)
+    layout.write(star.events(s, d), star.decks(s, d), star.deck_cards(s, d))
+    formats = [r["id"] for r in star.formats(s, d).select("id").collect()]
+    return layout.load_window(date(1995, 2, 15), date(1995, 6, 30), formats)
