@@ -130,12 +130,17 @@ def emergence(decks: DataFrame, targets: DataFrame, cluster, horizon: int = HORI
     return Emergence(n, first[0], end, found["slice"], found["size"], found["purity"])
 
 
-def digest(rows: DataFrame) -> str:
-    """A hash of rows, whatever their order; equal results have equal ones. Only counts and sums of row hashes reach the driver."""
+def digest_sums(rows: DataFrame) -> DataFrame:
+    """(n, s0, s1, s2, s3): the number of rows, and sums of four parts of the SHA-256 of each row's JSON, columns in order of their names."""
     names = sorted(rows.columns)
     hashes = rows.select(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256).alias("h"))
     part = lambda k: F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")
-    sums = hashes.agg(F.count("*"), *[F.sum(part(k)) for k in range(4)]).first()
+    return hashes.agg(F.count("*").alias("n"), *[F.sum(part(k)).alias(f"s{k}") for k in range(4)])
+
+
+def digest(rows: DataFrame) -> str:
+    """A hash of rows, whatever their order; equal results have equal ones. Only counts and sums of row hashes reach the driver."""
+    names, sums = sorted(rows.columns), digest_sums(rows).first()
     return hashlib.sha256(repr([names, *map(str, sums)]).encode()).hexdigest()
 
 

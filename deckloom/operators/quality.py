@@ -137,11 +137,16 @@ def record_coverage(events: DataFrame, decks: DataFrame) -> DataFrame:
     return rows.groupBy("source", "event_type").agg(F.sum("r").alias("decks_with_record"), F.sum("d").alias("decks"))
 
 
-def gates(tables: Tables, today: Column | None = None) -> None:
-    """Raises ValueError, listing every problem, if an import left something that must not be."""
+def gate_problems(tables: Tables, today: Column | None = None) -> list[str]:
+    """What an import left that must not be: empty tables, and checks with their violations."""
     problems = [f"no {t}" for t in ("events", "decks") if tables[t].isEmpty()]
     wanted = ("events dated in the future", "decks -> events", "deck_cards with count < 1")
-    problems += [f"{r.check_name}: {r.n}" for r in integrity(tables, today).collect() if r.n and r.check_name in wanted]
+    return problems + [f"{r.check_name}: {r.n}" for r in integrity(tables, today).collect() if r.n and r.check_name in wanted]
+
+
+def gates(tables: Tables, today: Column | None = None) -> None:
+    """Raises ValueError, listing every problem, if an import left something that must not be."""
+    problems = gate_problems(tables, today)
     if problems:
         raise ValueError("; ".join(problems))
 

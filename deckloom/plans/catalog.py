@@ -772,3 +772,4 @@ def q_round_matches(s, d):
 
 
 from . import forecasts  # noqa: E402,F401  (adds its queries to those above)
+from . import stores  # noqa: E402,F401
