@@ -261,6 +261,30 @@ def cluster_slices(
     return both.applyInPandas(run, f"slice {kinds['slice']}, deck_id {kinds['deck_id']}, cluster int")
 
 
+def linked_parts(vectors: DataFrame, decks: DataFrame, most: float, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
+    """(slice, deck_id, part): single linkage at one distance below 1; decks that chains of distances up to ``most`` join have one part, its least deck.
+
+    Input as for ``cluster_slices``. A deck without a card is a part of its own.
+    """
+    if not 0 <= most < 1:
+        raise ValueError("decks that share nothing are at distance 1; give a smaller one")
+    found = tree_edges(vectors, decks, block, edges).where(F.col("d") <= most)
+
+    def run(members: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, place = np.unique(members["deck_id"].to_numpy(), return_inverse=True)
+        label, a, b = np.arange(len(ids)), np.searchsorted(ids, pdf["a"].to_numpy()), np.searchsorted(ids, pdf["b"].to_numpy())
+        while (label[a] != label[b]).any():
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+        return pd.DataFrame({"slice": members["slice"], "deck_id": members["deck_id"], "part": ids[label][place]})
+
+    kinds = dict(decks.dtypes)
+    both = decks.select("slice", "deck_id").groupBy("slice").cogroup(found.groupBy("slice"))
+    return both.applyInPandas(run, f"slice {kinds['slice']}, deck_id {kinds['deck_id']}, part {kinds['deck_id']}")
+
+
 def centroids(vectors: DataFrame, clustered: DataFrame) -> DataFrame:
     """(slice, cluster, card_id, weight): mean vectors of clusters, scaled to length one."""
     members = clustered.where(F.col("cluster") != NOISE)

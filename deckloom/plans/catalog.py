@@ -155,8 +155,9 @@ def _numbered(s, d):
 
 
 def _resolved(s, d):
-    """Names of documents against a catalogue of 250 cards."""
-    cards = s.range(250).select("id", F.lit(1).alias("game_id"), F.concat(F.lit("Card "), "id").alias("name"), F.struct(F.lit(None).cast("array<string>").alias("face_names")).alias("attrs"))
+    """Names of documents against the cards that parts stand for, of whose numbers those from 250 on have none."""
+    parts = star.read(s, d, "part").select((F.col("p_partkey") % 300).alias("id")).distinct().where("id < 250")
+    cards = parts.select("id", F.lit(1).alias("game_id"), F.concat(F.lit("Card "), "id").alias("name"), F.struct(F.lit(None).cast("array<string>").alias("face_names")).alias("attrs"))
     placed = _numbered(s, d)
     decks = normalize.decks(placed)
     lines = cut(normalize.card_lines(decks))
@@ -204,7 +205,7 @@ def q_deck_cards_agg(s, d):
 
 
 @query(
-    star.DOCUMENTS_SQL + "SELECT deck_id, CAST(card AS BIGINT) AS card_id, board, CAST(sum(count) AS INTEGER) AS count FROM cl WHERE count >= 1 AND card < 250 GROUP BY ALL",
+    star.DOCUMENTS_SQL + "SELECT deck_id, CAST(card AS BIGINT) AS card_id, board, CAST(sum(count) AS INTEGER) AS count FROM cl WHERE count >= 1 AND card IN (SELECT p_partkey % 300 FROM part WHERE p_partkey % 300 < 250) GROUP BY ALL",
     star_sql=False,
 )
 def q_resolved_lines(s, d):
@@ -325,7 +326,7 @@ def q_name_resolve(s, d):
 
 @query(
     star.DOCUMENTS_SQL + "SELECT 1 AS game_id, 1 AS format_id, name AS card_name, CAST(count(*) AS INTEGER) AS occurrences, CAST(count(DISTINCT deck_id) AS INTEGER) AS decks_affected "
-    "FROM cl WHERE count >= 1 AND card >= 250 GROUP BY name",
+    "FROM cl WHERE count >= 1 AND card NOT IN (SELECT p_partkey % 300 FROM part WHERE p_partkey % 300 < 250) GROUP BY name",
     star_sql=False,
 )
 def q_unresolved_report(s, d):
@@ -555,6 +556,21 @@ def q_cluster(s, d):
     return clusters.cluster_and_attach(vecs, decks)
 
 
+@query(
+    _TFIDF
+    + """, sl AS (SELECT strftime(date, '%Y-%m') AS slice, id AS deck_id FROM decks),
+near AS (SELECT a.deck_id AS a, b.deck_id AS b FROM t a JOIN sl ON sl.deck_id = a.deck_id JOIN t b ON b.card_id = a.card_id AND b.deck_id > a.deck_id
+         JOIN sl s2 ON s2.deck_id = b.deck_id AND s2.slice = sl.slice GROUP BY 1, 2 HAVING round(1.0 - sum(a.weight * b.weight), 12) <= 0.7),
+un AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT deck_id AS x, deck_id AS y FROM sl UNION SELECT r.x, u.b FROM reach r JOIN un u ON u.a = r.y)
+SELECT slice, deck_id, min(y) AS part FROM sl JOIN reach ON x = deck_id GROUP BY 1, 2"""
+)
+def q_linkage(s, d):
+    """Single linkage of each month's decks at a distance of 0.7, from the edges that clusters are made of."""
+    decks = star.decks(s, d).select(F.date_format("date", "yyyy-MM").alias("slice"), F.col("id").alias("deck_id"))
+    return clusters.linked_parts(_weights(s, d).join(decks, "deck_id"), decks, 0.7)
+
+
 def _format_window(s, d):
     """Cards and decks of one format, all its days."""
     return *holdout.window(star.tables(s, d), "1900-01-01", "2100-01-01", "NATION_3"), vectors.excluded_cards(star.cards(s, d), ["SMALL"])

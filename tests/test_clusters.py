@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, timedelta
 
 import numpy as np
@@ -275,3 +276,22 @@ def test_trends(spark):
     assert {r["bin"]: (r["n"], r["observed"]) for r in trends.calibration(p).collect()} == {9: (2, 0.5), 1: (1, 0.0)}
     drift = trends.card_drift(pairs(spark, [("a", 1, date(2024, 1, k), k) for k in (1, 3)], "label string, card_id long, date date, count int"))
     assert [r["change"] for r in drift.orderBy("date").collect()] == [None, 2.0]
+
+
+@pytest.mark.parametrize("most", [0.0, 0.3, 0.6, 0.99])
+def test_single_linkage_at_a_distance(spark, most):
+    rng = random.Random(7)
+    rows, decks = [], []
+    for k in range(60):
+        part = "ab"[k % 2]
+        decks.append((part, k))
+        cards = rng.sample(range(12), rng.randint(1, 4)) if k % 7 else []
+        rows += [(part, k, c, 1 / len(cards) ** 0.5) for c in cards]
+    found = clusters.linked_parts(spark.createDataFrame(rows, "slice string, deck_id long, card_id long, weight double"), spark.createDataFrame(decks, "slice string, deck_id long"), most, block=8)
+    vector = {k: {c: w for _, j, c, w in rows if j == k} for _, k in decks}
+    part = {k: k for _, k in decks}
+    near = [(a, b) for p, a in decks for q, b in decks if p == q and a < b and round(1 - sum(w * vector[b].get(c, 0) for c, w in vector[a].items()), 12) <= most and vector[a].keys() & vector[b].keys()]
+    for _ in decks:
+        for a, b in near:
+            part[a] = part[b] = min(part[a], part[b])
+    assert {r["deck_id"]: r["part"] for r in found.collect()} == part
