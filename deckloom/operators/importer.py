@@ -149,12 +149,15 @@ def _tables(given: Store | dict[str, DataFrame]) -> dict[str, DataFrame]:
 def window_decks(given: Store | dict[str, DataFrame], start, end, format_name: str, game: str | None = None) -> DataFrame:
     """(deck_id, date) of a format's decks between two days, both included, also those without a card.
 
-    The date filter reaches the event scan, and events are laid out by format.
+    The date filter reaches the event scan, and events are laid out by format. Raises ValueError if
+    several games have a format of this name and none of them is named.
     """
     tables = _tables(given)
     chosen = tables["formats"].where(F.col("name") == format_name)
     if game is not None:
         chosen = chosen.join(F.broadcast(tables["games"].where(F.col("name") == game).select(F.col("id").alias("game_id"))), "game_id", "left_semi")
+    elif chosen.select("game_id").distinct().limit(2).count() > 1:
+        raise ValueError(f"several games have a format {format_name!r}; name one of them")
     # The format table has a row for each format.
     events = tables["events"].where(F.col("date").between(F.lit(start), F.lit(end))).join(
         F.broadcast(chosen.select(F.col("id").alias("format_id"))), "format_id", "left_semi"

@@ -69,3 +69,13 @@ def test_another_session_declares_the_same_files(layout):
     assert "again" not in layout.spark.table("test_windows_decks").columns
     again.drop()
     assert rows(layout.window_decks(start, end, [1]))
+
+
+def test_one_name_in_several_games(spark, tables):
+    formats = spark.createDataFrame([(1, 1, "modern"), (2, 2, "modern")], "id int, game_id int, name string")
+    games = spark.createDataFrame([(1, "g"), (2, "h")], "id int, name string")
+    both = tables | {"formats": formats, "games": games}
+    start, end = WINDOWS[0]
+    with pytest.raises(ValueError, match="several games"):
+        window_decks(both, start, end, "modern")
+    assert rows(window_decks(both, start, end, "modern", "h")) == rows(window_decks(tables, start, end, "legacy"))
