@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schemas import TABLES
 from ..sources.definitions import Format
 from ..sources.events import read_events, select_events
@@ -114,10 +115,11 @@ def run_import(
     ids = {r["name"]: r["id"] for r in store.read("formats").where(F.col("game_id") == game_id).collect()}
 
     given = cut(read_events(spark, root))
-    docs, skipped = select_events(given, {f.name: list(f.slug_tokens) for f in own}, wanted)
+    tokens = {f.name: list(f.slug_tokens) for f in own}
+    docs, skipped = select_events(given, tokens, wanted)
     counts = skipped.first().asDict()
     if counts["broken"] and not skip_broken:
-        some = [r["raw_ref"] for r in given.where("broken").select("raw_ref").orderBy("raw_ref").limit(5).collect()]
+        some = [r["raw_ref"] for r in given.where("broken").where(text.detect_format(F.col("slug"), tokens).isin(sorted(wanted))).select("raw_ref").orderBy("raw_ref").limit(5).collect()]
         raise ValueError(f"{counts['broken']} documents could not be parsed: {', '.join(some)}")
     made = normalized(docs, cards, game_id, ids)
     beside = {}

@@ -75,6 +75,37 @@ def smoothed(shares: DataFrame, alpha: float = 0.5, beta: float = 0.1, ahead: in
     return series.select("label", F.aggregate(rest, start, step, lambda a: a["level"] + ahead * a["trend"]).alias("forecast"))
 
 
+def weekly_share(labelled: DataFrame, first: str = "1970-01-03") -> DataFrame:
+    """(date, label, n, share) of weeks from the weekday of ``first`` on; date is a week's first day. labelled: date, label."""
+    day = F.lit(first).cast("date")
+    start = F.date_add(day, (F.floor(F.datediff("date", day) / 7) * 7).cast("int"))
+    return daily_share(labelled.where("date is not null").withColumn("date", start))
+
+
+def forecast_errors(shares: DataFrame, alpha: float = 0.5, beta: float = 0.1) -> DataFrame:
+    """(label, weeks, smoothed_mae, persistence_mae): a walk through each label's series in order, forecasting every share from those before it.
+
+    smoothed: linear exponential smoothing as in ``smoothed``; persistence: the share before. A label of one date has no
+    forecast and is left out. Dates on which a label has no decks are no part of its series. A series holds one number a date.
+    """
+    series = shares.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("date", "share"))).alias("s"))
+    none = F.lit(0.0)
+    first = F.col("s")[0]["share"]
+    start = F.struct(first.alias("last"), first.alias("level"), none.alias("trend"), none.alias("smoothed"), none.alias("persistence"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ahead = acc["level"] + acc["trend"]
+        level = alpha * x["share"] + (1 - alpha) * ahead
+        return F.struct(
+            x["share"].alias("last"), level.alias("level"), (beta * (level - acc["level"]) + (1 - beta) * acc["trend"]).alias("trend"),
+            (acc["smoothed"] + F.abs(x["share"] - ahead)).alias("smoothed"), (acc["persistence"] + F.abs(x["share"] - acc["last"])).alias("persistence"),
+        )
+
+    n = F.size("s") - 1
+    walked = series.where(n > 0).select("label", n.cast("long").alias("weeks"), F.aggregate(F.slice("s", F.lit(2), n), start, step).alias("x"))
+    return walked.select("label", "weeks", (F.col("x.smoothed") / F.col("weeks")).alias("smoothed_mae"), (F.col("x.persistence") / F.col("weeks")).alias("persistence_mae"))
+
+
 def lagged_regression(shares: DataFrame, rates: DataFrame, days: int = 7) -> DataFrame:
     """(label, n, slope, intercept): least squares of a label's share on its win rate ``days`` days before.
 

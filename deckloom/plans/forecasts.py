@@ -120,19 +120,23 @@ def q_rate_intervals(s, d):
 
 
 #: Forecasts of weekends, every game faded by itself; what is above a forecast's middle 90 % or below it.
-BACKTEST_SQL = (
-    RECORDS_SQL + ", tests AS (SELECT game_id, label, day // 7 AS t, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses FROM rec WHERE day % 7 < 2 GROUP BY ALL HAVING sum(wins + losses) > 0), "
-    "past AS (SELECT r.game_id, t, label, sum(wins * pow(0.5, (7 * t - day) / 14.0)) AS w, sum((wins + losses) * pow(0.5, (7 * t - day) / 14.0)) AS n "
-    "FROM rec r JOIN (SELECT DISTINCT game_id, t FROM tests) USING (game_id) WHERE day < 7 * t GROUP BY ALL), "
+def backtest_sql(fade: str) -> str:
+    return (
+        RECORDS_SQL + ", tests AS (SELECT game_id, label, day // 7 AS t, CAST(sum(wins) AS BIGINT) AS wins, CAST(sum(losses) AS BIGINT) AS losses FROM rec WHERE day % 7 < 2 GROUP BY ALL HAVING sum(wins + losses) > 0), "
+        "past AS (SELECT r.game_id, t, label, sum(wins * " + fade + ") AS w, sum((wins + losses) * " + fade + ") AS n "
+        "FROM rec r JOIN (SELECT DISTINCT game_id, t FROM tests) USING (game_id) WHERE day < 7 * t GROUP BY ALL), "
     f"pri AS ({prior_sql('past', 'game_id, t')}), "
-    "fc AS (SELECT game_id, t, DATE '1970-01-03' + INTERVAL 7 DAY * t AS saturday, label, wins, losses, wins + losses AS g, coalesce(w, 0) + m * s AS a, coalesce(n, 0) - coalesce(w, 0) + (1 - m) * s AS b, m, "
-    "CASE WHEN coalesce(n, 0) > 0 THEN w / n ELSE m END AS raw FROM tests JOIN pri USING (game_id, t) LEFT JOIN past USING (game_id, t, label)), "
-    "pmf AS (SELECT *, list_transform(range(wins + 1), lambda k: exp(lgamma(g + 1) - lgamma(k + 1) - lgamma(g - k + 1) + lgamma(k + a) + lgamma(g - k + b) - lgamma(g + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b))) AS f, "
-    "a / (a + b) AS r FROM fc), "
-    "jd AS (SELECT *, list_sum(f) - f[wins + 1] / 2 BETWEEN (1 - 0.9) / 2 AND (1 + 0.9) / 2 AS covered, -(wins * ln(least(greatest(r, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(r, 1e-9), 1 - 1e-9))) AS l1, "
-    "-(wins * ln(least(greatest(m, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(m, 1e-9), 1 - 1e-9))) AS l2, "
-    "-(wins * ln(least(greatest(raw, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(raw, 1e-9), 1 - 1e-9))) AS l3 FROM pmf)"
-)
+        "fc AS (SELECT game_id, t, DATE '1970-01-03' + INTERVAL 7 DAY * t AS saturday, label, wins, losses, wins + losses AS g, coalesce(w, 0) + m * s AS a, coalesce(n, 0) - coalesce(w, 0) + (1 - m) * s AS b, m, "
+        "CASE WHEN coalesce(n, 0) > 0 THEN w / n ELSE m END AS raw FROM tests JOIN pri USING (game_id, t) LEFT JOIN past USING (game_id, t, label)), "
+        "pmf AS (SELECT *, list_transform(range(wins + 1), lambda k: exp(lgamma(g + 1) - lgamma(k + 1) - lgamma(g - k + 1) + lgamma(k + a) + lgamma(g - k + b) - lgamma(g + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b))) AS f, "
+        "a / (a + b) AS r FROM fc), "
+        "jd AS (SELECT *, list_sum(f) - f[wins + 1] / 2 BETWEEN (1 - 0.9) / 2 AND (1 + 0.9) / 2 AS covered, -(wins * ln(least(greatest(r, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(r, 1e-9), 1 - 1e-9))) AS l1, "
+        "-(wins * ln(least(greatest(m, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(m, 1e-9), 1 - 1e-9))) AS l2, "
+        "-(wins * ln(least(greatest(raw, 1e-9), 1 - 1e-9)) + losses * ln(1 - least(greatest(raw, 1e-9), 1 - 1e-9))) AS l3 FROM pmf)"
+    )
+
+
+BACKTEST_SQL = backtest_sql("pow(0.5, (7 * t - day) / 14.0)")
 _SUMS = (
     "CAST(sum(g) AS BIGINT) AS games, sum(l1) / sum(g) AS rate_loss, sum(l2) / sum(g) AS pooled_loss, sum(l3) / sum(g) AS raw_loss, "
     "CASE WHEN sum(g * r * r) - sum(g * r) * sum(g * r) / sum(g) > 1e-8 * sum(g) THEN (sum(r * wins) - sum(g * r) * sum(wins) / sum(g)) / (sum(g * r * r) - sum(g * r) * sum(g * r) / sum(g)) END AS slope, "
@@ -159,6 +163,23 @@ def q_backtest_verdict(s, d):
     return found.select(*[F.round(c, 3 if c == "slope" else 7).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
 
 
+def _verdict_sql(fade: str, name: str) -> str:
+    """The losses of a whole backtest, as a query in parentheses."""
+    return f"SELECT '{name}' AS fading, game_id, sum(l1) / sum(g) AS shrunk, sum(l3) / sum(g) AS raw, sum(l2) / sum(g) AS pooled FROM ({backtest_sql(fade).partition(', tests')[2].join(['WITH tests', ' SELECT * FROM jd'])}) GROUP BY game_id"
+
+
+@query(
+    RECORDS_SQL + f" SELECT fading, game_id, round(shrunk, 7) AS shrunk, round(raw, 7) AS raw, round(pooled, 7) AS pooled FROM ({_verdict_sql('pow(0.5, (7 * t - day) / 14.0)', '14 days')} UNION ALL {_verdict_sql('1.0', 'none')})"
+)
+def q_backtest_ablation(s, d):
+    """Mean log-losses with and without shrinking, with and without fading."""
+    found = []
+    for name, half_life in (("14 days", 14.0), ("none", None)):
+        rows = winrates.verdict(winrates.walk_forward(_records(s, d), BY, half_life), BY)
+        found.append(rows.select(F.lit(name).alias("fading"), "game_id", *[F.round(c, 7).alias(new) for c, new in (("rate_loss", "shrunk"), ("raw_loss", "raw"), ("pooled_loss", "pooled"))]))
+    return found[0].unionByName(found[1])
+
+
 SHARES_SQL = ", sh AS (SELECT d.date, source AS label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY d.date) AS share FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2)"
 
 
@@ -178,6 +199,22 @@ def q_first_appearances(s, d):
     return alerts.first_appearances(trends.daily_share(star.decks(s, d).select("date", F.col("player").alias("label"))), 30)
 
 
+_HOLT = "{'p': x.s, 'l': 0.5 * x.s + 0.5 * (a.l + a.t), 't': 0.1 * (0.5 * x.s + 0.5 * (a.l + a.t) - a.l) + 0.9 * a.t, 'n': a.n + 1, 'e': a.e + abs(x.s - a.l - a.t), 'q': a.q + abs(x.s - a.p)}"
+_HOLT_START = "{'p': s, 'l': s, 't': CAST(0 AS DOUBLE), 'n': CAST(0 AS BIGINT), 'e': CAST(0 AS DOUBLE), 'q': CAST(0 AS DOUBLE)}"
+
+
+@query(
+    ", wk AS (SELECT (date_diff('day', DATE '1970-01-03', d.date) // 7) AS week, source AS label, count(*) AS n FROM decks d JOIN ev e ON e.id = d.event_id GROUP BY 1, 2), "
+    "sh AS (SELECT week, label, CAST(n / sum(n) OVER (PARTITION BY week) AS DOUBLE) AS s FROM wk), "
+    f"f AS (SELECT label, list_reduce(list({_HOLT_START} ORDER BY week), lambda a, x: {_HOLT.replace('x.s', 'x.p')}) AS f FROM sh GROUP BY 1) "
+    "SELECT label, f.n AS weeks, round(f.e / f.n, 9) AS smoothed_mae, round(f.q / f.n, 9) AS persistence_mae FROM f WHERE f.n > 0"
+)
+def q_share_forecasts(s, d):
+    """How far forecasts of next week's share are off, against those by this week's share."""
+    found = trends.forecast_errors(trends.weekly_share(labelled(s, d)))
+    return found.select("label", "weeks", *[F.round(c, 9).alias(c) for c in ("smoothed_mae", "persistence_mae")])
+
+
 def _cusum_sql(series: str, key: str, value: str, slack: float, limit: float, warm: int) -> str:
     """The sums by recursion from day to day."""
     step = lambda sign: f"greatest(0, {{}} {sign} z - {slack})"

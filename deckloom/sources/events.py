@@ -49,13 +49,13 @@ def with_path(docs: DataFrame, file_col: str = "_file") -> DataFrame:
 def select_events(docs: DataFrame, tokens: dict[str, list[str]], wanted: set[str]) -> tuple[DataFrame, DataFrame]:
     """The documents to import, and one row of counts of those that are not.
 
-    A document counts as broken if a column of that name says so, as unknown without just
-    one format, as other if that is not wanted; of the rest the first path of each source and slug stays.
+    A document counts as unknown without just one format, as other if that is not wanted, as
+    broken if a column of that name says so; of the rest the first path of each source and slug stays.
     """
     marked = docs.withColumn("format", text.detect_format(F.col("slug"), tokens))
     broken = F.coalesce(F.col("broken"), F.lit(False)) if "broken" in docs.columns else F.lit(False)
     kind = (
-        F.when(broken, "broken").when(F.col("format").isNull(), "unknown").when(~F.col("format").isin(sorted(wanted) or [""]), "other").otherwise("wanted")
+        F.when(F.col("format").isNull(), "unknown").when(~F.col("format").isin(sorted(wanted) or [""]), "other").when(broken, "broken").otherwise("wanted")
     )
     marked = marked.withColumn("_kind", kind)
     copy = F.row_number().over(W.partitionBy("source", "slug", "_kind").orderBy("path"))

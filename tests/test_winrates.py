@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deckloom.operators import alerts, winrates
+from deckloom.operators import alerts, trends, winrates
 
 RECORD = "format string, label string, date date, wins int, losses int"
 
@@ -228,3 +228,23 @@ def test_share_thresholds_and_first_days(spark):
     assert sorted((r["label"], r["date"].day) for r in alerts.share_alerts(shares, 0.3).collect()) == [("x", 2), ("x", 5), ("y", 4)]
     assert sorted((r["label"], r["date"].day) for r in alerts.first_appearances(shares).collect()) == [("x", 1), ("y", 4)]
     assert sorted((r["label"], r["date"].day) for r in alerts.first_appearances(shares, 10).collect()) == [("x", 1), ("x", 20), ("y", 4)]
+
+
+def test_forecasts_of_shares_walk_forward(spark):
+    rng = random.Random(9)
+    rows = [(date(2024, 1, 1) + timedelta(rng.randint(0, 200)), rng.choice("abc")) for _ in range(500)] + [(None, "a"), (date(2023, 1, 1), "once")]
+    found = {r["label"]: r for r in trends.forecast_errors(trends.weekly_share(spark.createDataFrame(rows, "date date, label string"))).collect()}
+    weeks = {}
+    for d, label in rows:
+        if d is not None:
+            weeks.setdefault((d - date(1970, 1, 3)).days // 7, []).append(label)
+    assert set(found) == {"a", "b", "c"}
+    for label, r in found.items():
+        series = [x.count(label) / len(x) for _, x in sorted(weeks.items()) if label in x]
+        level, trend, smoothed, persistence = series[0], 0.0, 0.0, 0.0
+        for before, x in zip(series, series[1:]):
+            smoothed, persistence = smoothed + abs(x - level - trend), persistence + abs(x - before)
+            last, level = level, 0.5 * x + 0.5 * (level + trend)
+            trend = 0.1 * (level - last) + 0.9 * trend
+        n = len(series) - 1
+        assert r["weeks"] == n and math.isclose(r["smoothed_mae"], smoothed / n) and math.isclose(r["persistence_mae"], persistence / n)
