@@ -35,7 +35,7 @@ MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches that a worker remembers, and the characters of those; stretches encoded in one string, and its characters.
-MEMO, MEMO_CHARS, TOGETHER, TOGETHER_CHARS = 200_000, 4_000_000, 256, 8192
+MEMO, MEMO_CHARS, TOGETHER, TOGETHER_CHARS = 500_000, 16_000_000, 256, 8192
 #: Ids are below 2^20, so that a pair of them is one number.
 BITS = 20
 #: Pairs of ids whose counts are sent to all tasks, at most; 17 bytes each.
