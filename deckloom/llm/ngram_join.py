@@ -15,10 +15,11 @@ compared exactly. A pair counts in the first leaf that it shares. A leaf returns
 and a spanning forest for its members, never its pairs.
 
 Jaccard distance is a metric, so sets within half the threshold's distance of one
-set are linked with each other for certain. Where a leaf is too large for one cell,
-its most usual n-grams are taken for such a set; those in that ball are counted as
-a group and need not meet anywhere, so a large group of close copies is never
-compared pair by pair.
+set are linked with each other for certain. The most usual n-grams of a large node
+of the first level are taken for such a set; those in that ball are counted as a
+group and need not meet anywhere. A node is split further only while more than
+``SMALL`` of its sets are outside its largest ball, and a ball's members meet only
+those outside, so rows and comparisons of close copies grow with their number.
 """
 
 from __future__ import annotations
@@ -211,31 +212,56 @@ def _children(parent: Column, tok: Column) -> Column:
     return F.array_distinct(F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0))))
 
 
-def leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(k, node, m): the leaves of more than one set, and their sizes."""
+def leaves(sets: DataFrame, runs: int, texts: Callable[[DataFrame], DataFrame], threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """(k, node, m): the leaves of more than one set, and their sizes; and the balls, which are looked for in the first level's large nodes.
+
+    A node is a leaf as soon as no more than ``small`` of its sets are outside its
+    largest ball, so a group of close copies is not carried down however large it is.
+    """
     roots_ = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit("run"), r))
     level = sets.select("node", F.explode(F.array_distinct(F.flatten(F.transform(roots_, lambda r: _children(r, F.col("tok")))))).alias("k"))
-    out = None
+    out = ball = None
     for depth in range(1, DEPTH + 1):
         # Written before the join, so that both its sides are plain shuffles and Spark can split a large key.
         sizes = cut(level.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
-        sized = cut(level.join(sizes, "k"))
-        leaf = sized if depth == DEPTH else sized.where(F.col("m") <= SMALL)
-        out = leaf.select("k", "node", "m") if out is None else out.unionByName(leaf.select("k", "node", "m"))
-        if depth == DEPTH:
-            break
-        large = sized.where(F.col("m") > SMALL)
+        sized = cut(level.join(sizes, "k")).select("k", "node", "m")
+        large = sized.where(F.col("m") > small)
         if large.isEmpty():
-            break
-        level = large.join(sets.select("node", "tok"), "node").select("node", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
-    return out
+            return sized if out is None else out.unionByName(sized), ball
+        if depth == 1:
+            ball = balls(sized, sets, texts, threshold, small)
+        if ball is not None:
+            top = _dominant(large, ball).select("k", "c")
+            sized = cut(sized.join(cut(top), "k", "left"))
+        else:
+            sized = sized.withColumn("c", F.lit(None).cast("long"))
+        done = F.lit(True) if depth == DEPTH else F.col("m") - F.coalesce("c", F.lit(0)) <= small
+        leaf = sized.where(done).select("k", "node", "m")
+        out = leaf if out is None else out.unionByName(leaf)
+        further = sized.where(~done)
+        level = further.join(sets.select("node", "tok"), "node").select("node", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
+    return out, ball
+
+
+def _dominant(members: DataFrame, ball: DataFrame) -> DataFrame:
+    """(k, ball, c): of each node the ball that most of its sets are in, and how many. Counted in two steps."""
+    counts = members.join(ball.select("node", "ball"), "node").groupBy("k", "ball").agg(F.count("*").alias("c"))
+    return counts.groupBy("k").agg(F.max(F.struct("c", "ball")).alias("t")).select("k", "t.ball", "t.c")
+
+
+def _usual(pdf: pd.DataFrame) -> pd.DataFrame:
+    """At each place the token that most of some sets have."""
+    tok = np.sort(np.stack(pdf["tok"].to_list()), axis=0)
+    half = tok[len(tok) // 2]  # a token of more than half of them is in the middle of the order
+    return pd.DataFrame({"home": pdf["home"].iloc[:1], "usual": [half]})
 
 
 def _middle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The n-grams that more than half of some sets have: a set that is near all of them if any is."""
+    """The n-grams that more than half of some sets have: a set that is near all of them if any is. Also its tokens."""
     found, counts = np.unique(np.concatenate([np.frombuffer(s, dtype=np.uint64) for s in pdf["s"]]), return_counts=True)
-    s = found[counts > len(pdf) / 2].tobytes()
-    return pd.DataFrame({"home": pdf["home"].iloc[:1], "ball": [hashlib.blake2b(s, digest_size=16).digest()], "middle": [s]})
+    whole = found[counts > len(pdf) / 2]
+    s = whole.tobytes()
+    return pd.DataFrame({"home": pdf["home"].iloc[:1], "ball": [hashlib.blake2b(s, digest_size=16).digest()], "middle": [s], "usual": [tokens(whole)]})
 
 
 def _inside(threshold: float):
@@ -254,23 +280,46 @@ def _inside(threshold: float):
     return run
 
 
-def balls(found_in: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, block: int) -> DataFrame | None:
-    """(node, ball) of sets that are all linked with those of the same ball; None if no leaf is large.
+def balls(found_in: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, small: int) -> DataFrame | None:
+    """(node, ball, copies, id) of sets that are all linked with those of the same ball; None if no node is large.
 
-    Each set is tried with the middle of its largest leaf; leaves with equal middles
-    have one ball. ``texts`` fetches (node, s) of some nodes.
+    Each set is tried with the middles of the largest and of the smallest of its
+    large nodes: the one holds most of its group, the other fewest of other sets. Then
+    with the balls that most sets of any of its nodes are in. Nodes with equal
+    middles have one ball; of several balls a set takes the largest. Sets are fetched
+    (by ``texts``: (node, s) of some nodes) only where tokens agree with the middle's.
     """
-    large = found_in.where(F.col("m") > block)
+    large = found_in.where(F.col("m") > small)
     if large.isEmpty():
         return None
-    home = cut(large.groupBy("node").agg(F.max(F.struct("m", "k")).alias("h")).select("node", F.col("h.k").alias("home")))
-    sizes = cut(home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE))
-    tried = home.join(sizes, "home")
+    tok = sets.select("node", "tok")
+    agree = F.size(F.filter(F.zip_with("tok", "usual", lambda x, y: x == y), lambda same: same)) >= math.floor(SIZE * threshold)
+    ends = large.groupBy("node").agg(F.max(F.struct("m", "k")).alias("most"), F.min(F.struct("m", "k")).alias("least"))
+    homes = cut(ends.select("node", F.explode(F.array_distinct(F.array("most.k", "least.k"))).alias("home")))
+    sizes = cut(homes.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") >= min(SAMPLE, small)))
     some = F.pmod(F.xxhash64(F.lit(11), "node"), F.ceil(F.col("n") / F.lit(SAMPLE))) == 0
-    fetched = cut(tried.join(texts(tried.select("node")), "node").dropDuplicates(["node"]))
-    middles = cut(fetched.where(some).select("home", "s").groupBy("home").applyInPandas(_middle, "home long, ball binary, middle binary"))
-    near = fetched.join(middles, "home").select("node", "ball", "middle", "s")
-    return cut(near.mapInArrow(_inside(threshold), "node long, ball binary").join(sets.select("node", "copies", "id"), "node"))
+    usual = cut(homes.join(sizes, "home").where(some).join(tok, "node").select("home", "tok").groupBy("home").applyInPandas(_usual, "home long, usual array<int>"))
+    tried = cut(homes.join(sizes, "home").join(usual, "home").join(tok, "node").where(agree).select("node", "home", some.alias("some")))
+    fetched = cut(texts(tried.select("node")).dropDuplicates(["node"]))
+    middles = cut(
+        tried.where("some").join(fetched, "node").select("home", "s").groupBy("home")
+        .applyInPandas(_middle, "home long, ball binary, middle binary, usual array<int>")
+    )
+    kinds = cut(middles.select("ball", "middle", "usual").dropDuplicates(["ball"]))
+
+    def inside(pairs: DataFrame, s: DataFrame) -> DataFrame:
+        near = pairs.join(s, "node").join(kinds, "ball").select("node", "ball", "middle", "s")
+        return cut(near.mapInArrow(_inside(threshold), "node long, ball binary"))
+
+    first = cut(tried.join(middles.select("home", "ball"), "home").select("node", "ball").distinct())
+    found = inside(first, fetched)
+    met = large.join(cut(_dominant(large, found)), "k").select("node", "ball").distinct()
+    second = cut(met.join(first, ["node", "ball"], "left_anti").join(kinds.select("ball", "usual"), "ball").join(tok, "node").where(agree).select("node", "ball"))
+    if not second.isEmpty():
+        found = found.unionByName(inside(second, texts(second.select("node")).dropDuplicates(["node"])))
+    of = cut(found.groupBy("ball").agg(F.count("*").alias("n")))
+    best = found.join(of, "ball").groupBy("node").agg(F.max(F.struct("n", "ball")).alias("t")).select("node", "t.ball")
+    return cut(best.join(sets.select("node", "copies", "id"), "node"))
 
 
 def _members(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +396,7 @@ def _may_reach(threshold: float, least: int):
                     some[e + at] |= hit.any(axis=1)
                     some[e : edges[c + 1]] |= hit.any(axis=0)
             if some.any():
-                yield from t.select(["k", "node", "n"]).take(pa.array(np.flatnonzero(some))).combine_chunks().to_batches()
+                yield from t.select(["k", "node", "n", "ball"]).take(pa.array(np.flatnonzero(some))).combine_chunks().to_batches()
 
     return run
 
@@ -454,9 +503,9 @@ def similar_documents(
         wanted = cut(sets.join(nodes.distinct(), "node").select("node", "id", "th"))
         return rows.join(sent(wanted, 64), ["id", "th"]).select("node", "text").mapInArrow(_shingle_sets, "node long, s binary")
 
-    found_in = cut(leaves(sets, runs_for(recall, threshold)))
+    found_in, ball = leaves(sets, runs_for(recall, threshold), texts, threshold, min(SMALL, block))
+    found_in = cut(found_in)
     per_set = found_in.groupBy("node").agg(F.array_sort(F.collect_set("k")).alias("leaves"))
-    ball = balls(found_in, sets, texts, threshold, block)
     if ball is None:
         about, alike = per_set.withColumn("ball", F.lit(None).cast("binary")), None
     else:
@@ -464,9 +513,9 @@ def similar_documents(
         found_in = found_in.join(ball.select("node", "ball"), "node", "left")
     placed = cells(found_in, "k", "node", block, alike=alike).select("cell", "chunk", "node")
     probes = placed.join(about, "node").join(sets.select("node", "n", "low"), "node")
-    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold, least_agreeing(recall, threshold)), "k long, node long, n int").distinct())
+    near = cut(by_cell(probes).mapInArrow(_may_reach(threshold, least_agreeing(recall, threshold)), "k long, node long, n int, ball binary").distinct())
     full = texts(near.select("node")).join(sets.select("node", "copies"), "node").join(about, "node")
-    placed = cells(near, "k", "node", judged, "n", HASHES).select("cell", "chunk", "node")
+    placed = cells(near, "k", "node", judged, "n", HASHES, alike=alike).select("cell", "chunk", "node")
     found = cut(by_cell(placed.join(full, "node")).mapInArrow(_verify(threshold), "node long, links long, root long"))
     if ball is not None:
         whole = ball.groupBy("ball").agg(F.sum("copies").alias("all"), F.min("node").alias("root"))

@@ -392,7 +392,8 @@ def test_cells_of_members_that_are_alike_stay_few(spark, n):
 
 def test_close_copies_are_one_ball(spark):
     docs = close_copies(400, 0)
-    sets = spark.createDataFrame([(k, k, 1) for k, _ in docs], "node long, id long, copies long")
+    tok = {k: ngram_join.tokens(ngram_join.shingles(t.encode())).tolist() for k, t in docs}
+    sets = spark.createDataFrame([(k, k, 1, tok[k]) for k, _ in docs], "node long, id long, copies long, tok array<int>")
     found_in = sets.select(F.lit(1).cast("long").alias("k"), "node", F.lit(len(docs)).cast("long").alias("m"))
     rows = spark.createDataFrame([(k, bytearray(ngram_join.shingles(t.encode()).tobytes())) for k, t in docs], "node long, s binary")
     found = ngram_join.balls(found_in, sets, lambda nodes: rows.join(nodes, "node"), 0.8, 100)
@@ -400,6 +401,35 @@ def test_close_copies_are_one_ball(spark):
     assert ngram_join.balls(found_in, sets, None, 0.8, 1000) is None
 
 
+def test_rows_of_tight_copies_grow_with_the_group(spark, monkeypatch):
+    rows, cell_sizes, plain = [], [], ngram_join.by_cell
+
+    def counted(df):
+        df = common.cut(df)
+        found = df.groupBy("cell").count().agg(F.sum("count"), F.max("count")).first()
+        rows.append(found[0] or 0)
+        cell_sizes.append(found[1] or 0)
+        return plain(df)
+
+    monkeypatch.setattr(ngram_join, "by_cell", counted)
+    seen = {}
+    for n in (1000, 2000):
+        rows.clear()
+        rng = random.Random(3)
+        docs = []
+        for k in range(n):
+            w = [f"b{i}" for i in range(200)]
+            for place in rng.sample(range(200), rng.choice([1, 2])):
+                w[place] = f"x{rng.randint(0, 10**9)}"
+            docs.append((k, " ".join(w)))
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        found = ngram_join.similar_documents(frame, block=128, judged=128).agg(F.sum("n_links"), F.countDistinct("component_id")).first()
+        assert n * (n - 1) * 0.9999 <= found[0] <= n * (n - 1) and found[1] == 1
+        seen[n] = sum(rows)
+    # Rows that carry tokens or sets to a cell: a few for each copy, however many; no cell holds the group.
+    assert seen[2000] <= 40 * 2000 and max(cell_sizes) <= 2 * 128 + 64
+
+
 def test_texts_are_hashed_in_parts(monkeypatch):
     rng = random.Random(6)
     text = " ".join("w" * rng.randint(1, 30) + str(rng.randint(0, 99)) for _ in range(500)).encode()
