@@ -15,11 +15,10 @@ compared exactly. A pair counts in the first leaf that it shares. A leaf returns
 and a spanning forest for its members, never its pairs.
 
 Jaccard distance is a metric, so sets within half the threshold's distance of one
-set are linked with each other for certain. The most usual n-grams of a large node
-of the first level are taken for such a set; those in that ball are counted as a
-group and need not meet anywhere. A node is split further only while more than
-``SMALL`` of its sets are outside its largest ball, and a ball's members meet only
-those outside, so rows and comparisons of close copies grow with their number.
+set are linked with each other for certain. The most usual n-grams of a large leaf
+are taken for such a set; those in that ball are counted as a group and need not
+meet anywhere. Members of a ball meet only those outside it, by tokens and by
+sets, so rows and comparisons of close copies grow with their number.
 """
 
 from __future__ import annotations
@@ -212,35 +211,24 @@ def _children(parent: Column, tok: Column) -> Column:
     return F.array_distinct(F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0))))
 
 
-def leaves(sets: DataFrame, runs: int, texts: Callable[[DataFrame], DataFrame], threshold: float, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """(k, node, m): the leaves of more than one set, and their sizes; and the balls, which are looked for in the first level's large nodes.
-
-    A node is a leaf as soon as no more than ``small`` of its sets are outside its
-    largest ball, so a group of close copies is not carried down however large it is.
-    """
+def leaves(sets: DataFrame, runs: int) -> DataFrame:
+    """(k, node, m): the leaves of more than one set, and their sizes."""
     roots_ = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit("run"), r))
     level = sets.select("node", F.explode(F.array_distinct(F.flatten(F.transform(roots_, lambda r: _children(r, F.col("tok")))))).alias("k"))
-    out = ball = None
+    out = None
     for depth in range(1, DEPTH + 1):
         # Written before the join, so that both its sides are plain shuffles and Spark can split a large key.
         sizes = cut(level.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"))
-        sized = cut(level.join(sizes, "k")).select("k", "node", "m")
-        large = sized.where(F.col("m") > small)
+        sized = cut(level.join(sizes, "k"))
+        leaf = sized if depth == DEPTH else sized.where(F.col("m") <= SMALL)
+        out = leaf.select("k", "node", "m") if out is None else out.unionByName(leaf.select("k", "node", "m"))
+        if depth == DEPTH:
+            break
+        large = sized.where(F.col("m") > SMALL)
         if large.isEmpty():
-            return sized if out is None else out.unionByName(sized), ball
-        if depth == 1:
-            ball = balls(sized, sets, texts, threshold, small)
-        if ball is not None:
-            top = _dominant(large, ball).select("k", "c")
-            sized = cut(sized.join(cut(top), "k", "left"))
-        else:
-            sized = sized.withColumn("c", F.lit(None).cast("long"))
-        done = F.lit(True) if depth == DEPTH else F.col("m") - F.coalesce("c", F.lit(0)) <= small
-        leaf = sized.where(done).select("k", "node", "m")
-        out = leaf if out is None else out.unionByName(leaf)
-        further = sized.where(~done)
-        level = further.join(sets.select("node", "tok"), "node").select("node", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
-    return out, ball
+            break
+        level = large.join(sets.select("node", "tok"), "node").select("node", F.explode(_children(F.col("k"), F.col("tok"))).alias("k")).distinct()
+    return out
 
 
 def _dominant(members: DataFrame, ball: DataFrame) -> DataFrame:
@@ -281,11 +269,11 @@ def _inside(threshold: float):
 
 
 def balls(found_in: DataFrame, sets: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, small: int) -> DataFrame | None:
-    """(node, ball, copies, id) of sets that are all linked with those of the same ball; None if no node is large.
+    """(node, ball, copies, id) of sets that are all linked with those of the same ball; None if no leaf is large.
 
     Each set is tried with the middles of the largest and of the smallest of its
-    large nodes: the one holds most of its group, the other fewest of other sets. Then
-    with the balls that most sets of any of its nodes are in. Nodes with equal
+    large leaves: the one holds most of its group, the other fewest of other sets. Then
+    with the balls that most sets of any of its leaves are in. Leaves with equal
     middles have one ball; of several balls a set takes the largest. Sets are fetched
     (by ``texts``: (node, s) of some nodes) only where tokens agree with the middle's.
     """
@@ -503,9 +491,9 @@ def similar_documents(
         wanted = cut(sets.join(nodes.distinct(), "node").select("node", "id", "th"))
         return rows.join(sent(wanted, 64), ["id", "th"]).select("node", "text").mapInArrow(_shingle_sets, "node long, s binary")
 
-    found_in, ball = leaves(sets, runs_for(recall, threshold), texts, threshold, min(SMALL, block))
-    found_in = cut(found_in)
+    found_in = cut(leaves(sets, runs_for(recall, threshold)))
     per_set = found_in.groupBy("node").agg(F.array_sort(F.collect_set("k")).alias("leaves"))
+    ball = balls(found_in, sets, texts, threshold, block)
     if ball is None:
         about, alike = per_set.withColumn("ball", F.lit(None).cast("binary")), None
     else:
