@@ -1,12 +1,14 @@
 """Density clusters of deck vectors, and the attachment of what is left to the nearest centroid.
 
 Clusters are made for each slice (a format and month, say) by itself, many slices
-at a time. The decks of a slice are dealt into chunks; each two chunks are a cell,
-whose task keeps a spanning forest of its own pairs. An edge that is the longest of
-a cycle in its cell is the longest of one in the slice, so the slice's tree is among
-the edges kept. Those are merged in buckets of bounded size until a slice has one,
-and only that list of edges, never vectors, goes to the step that condenses the
-tree. Attaching is plain joins over all slices.
+at a time. Decks that share no card are at distance 1 and never compared: decks meet
+by a join on the cards that few of a slice's decks have. Those with a more frequent
+card are dealt into chunks; each two chunks are a cell, whose task keeps a spanning
+forest of its own pairs. An edge that is the longest of a cycle in its cell is the
+longest of one in the slice, so the slice's tree is among the edges kept. Those are
+merged in buckets of bounded size until a slice has one, and only that list of edges,
+never vectors, goes to the step that condenses the tree. Attaching is plain joins over
+all slices.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .numbering import cut
@@ -180,9 +183,8 @@ def _first_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     """The spanning forest of the pairs that a cell compares: between its two chunks, or within the one."""
     pdf = pdf.sort_values("deck_id").reset_index(drop=True)
     row = np.repeat(np.arange(len(pdf)), pdf["cards"].map(len))
-    card, weight = np.concatenate(pdf["cards"].tolist()), np.concatenate(pdf["weights"].tolist()).astype(float)
-    last = np.append((row[1:] != row[:-1]) | (card[1:] != card[:-1]), True)  # a card counts once in a deck
-    d, a, b = near_pairs(len(pdf), row[last], np.unique(card[last], return_inverse=True)[1], weight[last])
+    card, weight = np.concatenate(pdf["cards"].tolist()), np.concatenate(pdf["weights"].tolist())
+    d, a, b = near_pairs(len(pdf), row, np.unique(card, return_inverse=True)[1], weight)
     if pdf["p"].iloc[0] != pdf["q"].iloc[0]:
         chunk = pdf["chunk"].to_numpy()
         across = chunk[a] != chunk[b]
@@ -204,13 +206,21 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
 def tree_edges(vectors: DataFrame, decks: DataFrame, block: int = BLOCK, edges: int = EDGES) -> DataFrame:
     """(slice, d, a, b): edges below distance 1 that hold the minimum spanning forest of each slice.
 
-    At most ``PER_DECK`` for each deck of a slice, or ``edges``.
+    At most ``PER_DECK`` for each deck of a slice, or ``edges``. A card is frequent in a slice if more decks than the
+    slice's number of chunks have it: then a deck meets no more others by a card than it would have cells.
     """
-    packed = vectors.groupBy("slice", "deck_id").agg(F.array_sort(F.collect_list(F.struct("card_id", "weight"))).alias("v"))
-    packed = packed.join(decks.select("slice", "deck_id").distinct(), ["slice", "deck_id"], "left_semi")
-    rows = cut(packed.select("slice", "deck_id", F.col("v.card_id").alias("cards"), F.col("v.weight").alias("weights")))
-    sizes = cut(rows.groupBy("slice").agg(F.count("*").alias("n")))
-    dealt = rows.join(F.broadcast(sizes.withColumn("m", F.ceil(F.col("n") / block))), "slice")
+    members = decks.select("slice", "deck_id").distinct()
+    sizes = cut(members.groupBy("slice").agg(F.count("*").alias("n")))
+    # A card counts once in a deck; one that no other deck of the slice has makes no pair.
+    lines = vectors.groupBy("slice", "deck_id", "card_id").agg(F.max("weight").cast("double").alias("weight")).join(members, ["slice", "deck_id"], "left_semi")
+    shared = lines.withColumn("having", F.count("*").over(W.partitionBy("slice", "card_id"))).where("having > 1")
+    shared = cut(shared.join(F.broadcast(sizes), "slice").withColumn("often", F.col("having") > F.ceil(F.col("n") / block)).drop("n", "having"))
+    often = cut(shared.where("often").select("slice", "deck_id").distinct())
+
+    rows = shared.join(often, ["slice", "deck_id"], "left_semi").groupBy("slice", "deck_id")
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("card_id", "weight"))).alias("v"))
+    rows = rows.select("slice", "deck_id", F.col("v.card_id").alias("cards"), F.col("v.weight").alias("weights"))
+    dealt = rows.join(F.broadcast(often.groupBy("slice").agg(F.ceil(F.count("*") / block).alias("m"))), "slice")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "deck_id"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
     celled = dealt.select(
@@ -218,7 +228,15 @@ def tree_edges(vectors: DataFrame, decks: DataFrame, block: int = BLOCK, edges:
     )
     kinds = dict(rows.dtypes)
     kind = f"slice {kinds['slice']}, d double, a {kinds['deck_id']}, b {kinds['deck_id']}"
-    found = cut(celled.groupBy("slice", "p", "q").applyInPandas(_first_edges, kind))
+    in_cells = celled.groupBy("slice", "p", "q").applyInPandas(_first_edges, kind)
+
+    # Two decks of which one is in no cell share only cards that few decks have.
+    few = shared.where("not often").drop("often").join(often.withColumn("celled", F.lit(True)), ["slice", "deck_id"], "left")
+    one, two = (few.select("slice", "card_id", F.col("deck_id").alias(k), F.col("weight").alias(f"w{k}"), F.col("celled").alias(f"c{k}")) for k in "ab")
+    met = one.join(two, ["slice", "card_id"]).where("a < b and (ca is null or cb is null)")
+    near = met.groupBy("slice", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    near = near.withColumn("d", F.rint((1.0 - F.col("sim")) * 1e12) / 1e12).where("d < 1")  # as in ``near_pairs``
+    found = cut(in_cells.unionByName(near.select("slice", F.greatest("d", F.lit(0.0)).alias("d"), "a", "b")))
     while True:
         size = found.groupBy("slice").agg(F.count("*").alias("e")).join(F.broadcast(sizes), "slice")
         size = size.select("slice", F.ceil(F.col("e") / F.greatest(F.lit(edges), F.col("n") * PER_DECK)).alias("m"))

@@ -295,3 +295,33 @@ def test_single_linkage_at_a_distance(spark, most):
         for a, b in near:
             part[a] = part[b] = min(part[a], part[b])
     assert {r["deck_id"]: r["part"] for r in found.collect()} == part
+
+
+def test_decks_that_share_only_rare_cards_meet_in_no_cell(spark, monkeypatch):
+    def fails(pdf):
+        raise AssertionError("a cell")
+
+    monkeypatch.setattr(clusters, "_first_edges", fails)
+    decks = spark.range(4000).select(F.lit("s").alias("slice"), F.col("id").alias("deck_id"))
+    cards = F.explode(F.array(F.col("deck_id") % 1000, 1000 + F.col("deck_id")))
+    vecs = decks.select("slice", "deck_id", cards.alias("card_id"), F.lit(0.5**0.5).alias("weight"))
+    found = clusters.tree_edges(vecs, decks, block=512)
+    assert found.count() == 6000 and {r["d"] for r in found.select("d").distinct().collect()} == {0.5}
+    assert clusters.linked_parts(vecs, decks, 0.7).where(F.col("part") != F.col("deck_id") % 1000).isEmpty()
+
+
+def test_rare_and_frequent_cards_of_either_sign(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.random((120, 80)) - 0.2) * (rng.random((120, 80)) < 0.03)
+    x[::2, 0] = rng.random(60) - 0.5  # a card of every second deck
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    rows = [("s", i, c, float(x[i, c])) for i in range(120) for c in range(80) if x[i, c]]
+    vecs = spark.createDataFrame(rows, "slice string, deck_id long, card_id long, weight double")
+    decks = spark.createDataFrame([("s", i) for i in range(120)], "slice string, deck_id long")
+    d = np.round(1 - x @ x.T, 12)
+    near = {(i, j): d[i, j] for j in range(120) for i in range(j) if d[i, j] < 1}
+    for block in (512, 16):
+        found = {(r["a"], r["b"]): r["d"] for r in clusters.tree_edges(vecs, decks, block).collect()}
+        assert all(near[k] == pytest.approx(v, abs=1e-11) for k, v in found.items()) and len(found) < len(near)
+        tree = lambda edges: sum(w for w in sorted_kruskal(np.array([[edges.get((min(i, j), max(i, j)), 1.0) for j in range(120)] for i in range(120)])))
+        assert tree(found) == pytest.approx(tree(near))
