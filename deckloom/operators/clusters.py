@@ -341,4 +341,5 @@ def attach_noise(vectors: DataFrame, clustered: DataFrame, tau: float = TAU) ->
 
 
 def cluster_and_attach(vectors: DataFrame, decks: DataFrame, least: int = LEAST_SIZE, tau: float = TAU) -> DataFrame:
-    return attach_noise(vectors, cluster_slices(vectors, decks, least), tau)
+    # Attaching reads the clusters several times; they are made once.
+    return attach_noise(vectors, cut(cluster_slices(vectors, decks, least)), tau)
