@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,10 +126,12 @@ class RollupStore:
                 chosen = rows.where(F.col("date").isin(written))
             else:
                 chosen = rows.join(F.broadcast(self.spark.createDataFrame([(d,) for d in written], "date date")), "date", "left_semi")
-            made = cut(rollup.make(chosen))
-            made.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(rollup.name))
+            # Rows of a day come together, those of a large one into several files.
+            seen = Observation(f"days-{uuid.uuid4().hex}")
+            made = rollup.make(chosen).hint("rebalance", "date").observe(seen, F.collect_set("date").alias("days"))
+            made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(rollup.name))
             # Of a day without a row in the rollup no partition was overwritten.
-            gone += set(written) - {r["date"] for r in made.select("date").distinct().collect()}
+            gone += set(written) - set(seen.get["days"])
         files, make = self._files()
         for day in gone:
             files.delete(make(f"{self.path(rollup.name)}/date={day}"), True)
@@ -144,11 +146,13 @@ class RollupStore:
 def labelled_rows(decks: DataFrame, labels: DataFrame, events: DataFrame, deck_cards: DataFrame | None = None) -> DataFrame:
     """(date, format_id, label, deck_id, wins, losses), and with ``deck_cards`` a row for each of their lines (card_id, board, count).
 
-    labels: deck_id, label. Decks without a label count as label null.
+    labels: deck_id, label. Decks without a label count as label null. The day is that of the decks' own column date if they have one, else of the event.
     """
+    own = ["date"] if "date" in decks.columns else []
+    dated = events.select(F.col("id").alias("event_id"), "format_id", *([] if own else ["date"]))
     base = (
-        decks.select(F.col("id").alias("deck_id"), "event_id", "wins", "losses")
-        .join(events.select(F.col("id").alias("event_id"), "format_id", "date"), "event_id")
+        decks.select(F.col("id").alias("deck_id"), "event_id", "wins", "losses", *own)
+        .join(dated, "event_id")
         .join(labels.select("deck_id", "label"), "deck_id", "left")
         .select("date", "format_id", "label", "deck_id", "wins", "losses")
     )

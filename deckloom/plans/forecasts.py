@@ -254,10 +254,10 @@ def q_card_spikes(s, d):
 
 def _refreshed(s, d, rollup, by_card=False):
     """A store after two runs, before the second of which some decks' labels had changed; and what that one did. Days are first days of months here."""
-    decks, events = star.decks(s, d), star.events(s, d).drop("date")
-    dated = events.join(decks.select(F.col("event_id").alias("id"), "date").distinct(), "id")  # an event a day, as decks have days of their own
-    rows = rollups.labelled_rows(decks, decks.select(F.col("id").alias("deck_id"), F.col("player").alias("label")), dated, star.deck_cards(s, d) if by_card else None)
-    rows = rows.join(decks.select(F.col("id").alias("deck_id"), F.col("date").alias("own")), "deck_id").where("date <=> own").drop("own").withColumn("date", F.trunc("date", "month"))
+    decks = star.decks(s, d)
+    labels = decks.select(F.col("id").alias("deck_id"), F.col("player").alias("label"))
+    rows = rollups.labelled_rows(decks, labels, star.undated_events(s, d), star.deck_cards(s, d) if by_card else None)
+    rows = rows.where("date is not null").withColumn("date", F.trunc("date", "month"))
     store = rollups.RollupStore(s, f"{shared_dir(s)}/rollups-{uuid.uuid4().hex}")
     store.refresh(rollup, rows)
     later = rows.withColumn("label", F.when(F.col("deck_id") < 300, "other").otherwise(F.col("label")))

@@ -37,16 +37,21 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    days = read(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.col("o_orderdate").cast("date")).alias("date"))
+def undated_events(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     kind = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("type-"), F.col("c_custkey") % 5))
-    return rows.join(days, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return rows.select(
         F.col("c_custkey").alias("id"), F.col("n_regionkey").alias("game_id"), F.col("c_mktsegment").alias("source"),
-        F.col("c_name").alias("source_event_id"), F.col("c_nationkey").alias("format_id"), "date", kind.alias("event_type"),
+        F.col("c_name").alias("source_event_id"), F.col("c_nationkey").alias("format_id"), kind.alias("event_type"),
     )
 
 
+def events(spark: SparkSession, d: str) -> DataFrame:
+    days = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(F.col("o_orderdate").cast("date")).alias("date"))
+    rows = undated_events(spark, d).join(days, "id", "left")
+    return rows.select("id", "game_id", "source", "source_event_id", "format_id", "date", "event_type")
+
+
 def decks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("event_id"),
@@ -62,7 +67,8 @@ def deck_cards(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("card_id"), board.alias("board"), F.col("l_quantity").cast("bigint").alias("count")
     )
-    return lines.groupBy("deck_id", "card_id", "board").agg(F.sum("count").alias("count"))
+    # Hardly any lines are equal, so summing them up before they are shuffled saves nothing; by deck they can be joined as they lie.
+    return lines.repartition("deck_id").groupBy("deck_id", "card_id", "board").agg(F.sum("count").alias("count"))
 
 
 def unresolved(spark: SparkSession, d: str) -> DataFrame:

@@ -110,3 +110,21 @@ def test_cards_of_labels(spark, tmp_path):
     store.refresh(rollups.CARDS, df)
     assert now(store, rollups.CARDS, df) == [(1, "x", 7, "main", 2, 6, DAYS[0]), (1, "x", 8, "side", 1, 1, DAYS[0])]
     assert store.read(rollups.SHARES, rollups.labelled_rows(decks, labels, events)).where(F.col("label").isNull()).count() == 0
+
+
+def test_decks_with_days_of_their_own(spark):
+    """Each deck is one row, whatever other days its event's decks have."""
+    decks = spark.createDataFrame([(k, 5, k, 0, DAYS[k % 3]) for k in range(9)] + [(9, 5, 1, 1, None)], "id long, event_id long, wins int, losses int, date date")
+    labels = decks.select(F.col("id").alias("deck_id"), F.lit("x").alias("label"))
+    events = spark.createDataFrame([(5, 1)], "id long, format_id int")
+    found = rollups.labelled_rows(decks, labels, events)
+    assert sorted((r["deck_id"], r["date"]) for r in found.collect()) == [(k, DAYS[k % 3] if k < 9 else None) for k in range(10)]
+
+
+def test_a_rollup_goes_straight_to_its_files(spark, tmp_path, monkeypatch):
+    """Only contents of days, never the rows of the rollup, are put down before."""
+    kept, plain = [], rollups.cut
+    monkeypatch.setattr(rollups, "cut", lambda df: kept.append(df.columns) or plain(df))
+    store, first = rollups.RollupStore(spark, str(tmp_path)), table(spark, rows())
+    store.refresh(rollups.SHARES, first)
+    assert kept == [["date", "n", "low", "high"]] and now(store, rollups.SHARES, first) == made(rollups.SHARES, first)
