@@ -128,3 +128,20 @@ def test_a_rollup_goes_straight_to_its_files(spark, tmp_path, monkeypatch):
     store, first = rollups.RollupStore(spark, str(tmp_path)), table(spark, rows())
     store.refresh(rollups.SHARES, first)
     assert kept == [["date", "n", "low", "high"]] and now(store, rollups.SHARES, first) == made(rollups.SHARES, first)
+
+
+def test_sums_at_the_limit_are_those_of_the_sql(spark):
+    """Deviations of just three, less the slack, are the limit: the last digit decides, and is that of sums from day to day."""
+    import duckdb
+
+    from deckloom.operators import alerts
+    from deckloom.plans.forecasts import _cusum_sql
+
+    series = [[43, 44, 40, 43, 47, 12, 30], [45, 29, 47, 39, 19, 36, 10, 49], [23, 39, 35, 35, 15], [5, 5, 5, 5, 9]]
+    data = [(k, date(2024, 1, 1 + i), float(x)) for k, xs in enumerate(series) for i, x in enumerate(xs)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE a (label INTEGER, date DATE, copies DOUBLE)")
+    con.executemany("INSERT INTO a VALUES (?, ?, ?)", data)
+    sql = "WITH x AS (SELECT 1)" + _cusum_sql("a", "label", "copies", 0.5, 2.5, 3) + " SELECT label, date, copies, up, down, alarm FROM al"
+    found = alerts.cusum(spark.createDataFrame(data, "label int, date date, copies double"), ["label"], "copies", 0.5, 2.5, 3)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(con.execute(sql).fetchall(), key=str)
