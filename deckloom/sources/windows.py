@@ -45,8 +45,8 @@ class WindowLayout:
         for part, rows in (("decks", own), ("deck_cards", lines)):
             fields = [x.split() for x in COLUMNS[part].split(", ")]
             typed = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields])
-            # Rows of a bucket come from one task, so that a bucket of a month is one file.
-            dealt = typed.repartition(self.buckets, "deck_id")
+            # Rows of a format's month and bucket come from one task, so that they are one file; a task has no whole bucket.
+            dealt = typed.repartition("format_id", "month", F.pmod(F.hash("deck_id"), F.lit(self.buckets)))
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table(part)}")
             writer = dealt.write.format("parquet").mode("overwrite").partitionBy("format_id", "month").bucketBy(self.buckets, "deck_id").sortBy("deck_id")
             writer.option("path", f"{self.root}/{part}").saveAsTable(self._table(part))

@@ -79,3 +79,21 @@ def test_one_name_in_several_games(spark, tables):
     with pytest.raises(ValueError, match="several games"):
         window_decks(both, start, end, "modern")
     assert rows(window_decks(both, start, end, "modern", "h")) == rows(window_decks(tables, start, end, "legacy"))
+
+
+def test_a_bucket_of_a_month_is_a_file_and_no_task_has_a_whole_bucket(spark, tables, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    layout = WindowLayout(spark, f"file://{tmp_path}", "spread_windows", 2)
+    try:
+        layout.write(tables["events"], tables["decks"], tables["deck_cards"])
+        for part in ("decks", "deck_cards"):
+            files = [x.rsplit("/", 3)[1:] for x in spark.table(f"spread_windows_{part}").inputFiles()]
+            placed = [(folder, month, name.rsplit("_", 1)[1][:5]) for folder, month, name in files]
+            assert len(set(placed)) == len(placed)
+            tasks = {(bucket, name.split("-")[1]) for (*_, bucket), (*_, name) in zip(placed, files)}
+            assert len({task for _, task in tasks}) > 2 and len(tasks) > 2
+        start, end = WINDOWS[0]
+        assert rows(layout.load_window(start, end, [1])) == rows(load_window(tables, start, end, "modern").select("deck_id", "date", "card_id", "count", "board"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        layout.drop()
