@@ -169,6 +169,13 @@ def window_decks(given: Store | dict[str, DataFrame], start, end, format_name: s
 
 
 def load_window(given: Store | dict[str, DataFrame], start, end, format_name: str, game: str | None = None) -> DataFrame:
-    """(deck_id, date, card_id, count, board) of the cards of ``window_decks``."""
-    decks = window_decks(given, start, end, format_name, game)
-    return _tables(given)["deck_cards"].join(decks, "deck_id").select("deck_id", "date", "card_id", "count", "board")
+    """(deck_id, date, card_id, count, board) of the cards of ``window_decks``.
+
+    A given ``deck_cards`` may be a function that makes the cards of some decks (deck_id), where those of all would be much more.
+    """
+    tables = _tables(given)
+    decks, cards = window_decks(tables, start, end, format_name, game), tables["deck_cards"]
+    if callable(cards):
+        decks = cut(decks)
+        cards = cards(decks)
+    return cards.join(decks, "deck_id").select("deck_id", "date", "card_id", "count", "board")

@@ -62,12 +62,23 @@ def decks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def deck_cards(spark: SparkSession, d: str) -> DataFrame:
+def card_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of cards; those equal in ``LINE`` sum up to one of ``deck_cards``."""
     board = F.when(F.col("l_linestatus") == "F", "main").otherwise("side")
-    lines = read(spark, d, "lineitem").select(
+    return read(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("deck_id"), F.col("l_partkey").alias("card_id"), board.alias("board"), F.col("l_quantity").cast("bigint").alias("count")
     )
-    return lines.groupBy("deck_id", "card_id", "board").agg(F.sum("count").alias("count"))
+
+
+LINE = ["deck_id", "card_id", "board"]
+
+
+def deck_cards(spark: SparkSession, d: str, decks: DataFrame | None = None) -> DataFrame:
+    """The cards of all decks, or of some (deck_id): then lines of others go before any are summed, in a join that holds only the decks in memory."""
+    lines = card_lines(spark, d)
+    if decks is not None:
+        lines = lines.join(decks.select("deck_id").hint("shuffle_hash"), "deck_id", "left_semi")
+    return lines.groupBy(*LINE).agg(F.sum("count").alias("count"))
 
 
 def unresolved(spark: SparkSession, d: str) -> DataFrame:
