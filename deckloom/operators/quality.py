@@ -47,14 +47,23 @@ def top_unresolved(unresolved: DataFrame, k: int = 50) -> DataFrame:
     return unresolved.select("card_name", "occurrences", "decks_affected").orderBy(F.desc("occurrences"), "card_name").limit(k)
 
 
-def _orphans(name: str, child: DataFrame, key: str, parent: DataFrame) -> DataFrame:
-    """Rows of a child table whose key is missing or has no parent. Child keys are counted before the join."""
+def _orphans(name: str, child: DataFrame, key: str, parent: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """Rows of a child table whose key is missing or has no parent. Child keys are counted before the join.
+
+    of: the child has lines, and those equal in these columns are one row. Summing all of them would hold nearly every line in
+    memory, so those with a parent go first, in a join that holds the parents' keys only.
+    """
+    if of is not None:
+        lost = child.select(*of).join(parent.select(F.col("id").alias(key)).hint("shuffle_hash"), key, "left_anti").distinct()
+        return lost.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
     keys = child.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
     lost = keys.join(parent.select(F.col("id").alias("k")), "k", "left_anti")
     return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(name).alias("check_name"), "n")
 
 
-def orphans(tables: Tables) -> DataFrame:
+def orphans(tables: Tables, lines: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """(check_name, n) of each reference. lines: tables that have lines, and the columns in which those of one row are equal."""
+    lines = lines or {}
     pairs = [
         ("decks -> events", "decks", "event_id", "events"),
         ("deck_cards -> decks", "deck_cards", "deck_id", "decks"),
@@ -62,7 +71,7 @@ def orphans(tables: Tables) -> DataFrame:
         ("events -> formats", "events", "format_id", "formats"),
         ("events -> games", "events", "game_id", "games"),
     ]
-    return reduce(DataFrame.unionByName, [_orphans(n, tables[c], k, tables[p]) for n, c, k, p in pairs])
+    return reduce(DataFrame.unionByName, [_orphans(n, tables[c], k, tables[p], lines.get(c)) for n, c, k, p in pairs])
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from deckloom.operators import importer
+from deckloom.operators import importer, quality
 from deckloom.plans import catalog, star
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,22 @@ def test_a_window_sums_the_lines_of_its_own_decks_only(spark):
     assert rows(asked[0]) == rows(importer.window_decks(tables, *args))
     for df in (found, catalog.QUERIES["q_window_load"](spark, SF)):
         assert not summed_whole(df) and re.search(r"ShuffledHashJoin \[deck_id#\w+\], \[deck_id#\w+\], LeftSemi", plan(df))
+
+
+def test_orphans_of_lines(spark):
+    lines = [(1, 1, "main"), (1, 1, "main"), (1, 1, "side"), (2, 1, "main"), (2, 3, "main"), (2, 3, "main"), (None, 1, "main"), (None, 1, "main"), (3, None, "side")]
+    frame = spark.createDataFrame
+    ids = lambda *k: frame([(x,) for x in k], "id long")
+    cards = frame(lines, "deck_id long, card_id long, board string")
+    tables = {
+        "games": ids(1), "formats": ids(1), "cards": ids(1, 2), "decks": frame([(1, 1), (3, 9)], "id long, event_id long"),
+        "events": frame([(1, 1, 1)], "id long, format_id long, game_id long"), "deck_cards": cards,
+    }
+    found = dict(rows(quality.orphans(tables, {"deck_cards": star.LINE})))
+    assert found == dict(rows(quality.orphans(tables | {"deck_cards": cards.distinct()})))
+    # Decks 2 and null; card 3 and null.
+    assert found == {"decks -> events": 1, "deck_cards -> decks": 3, "deck_cards -> cards": 2, "events -> formats": 0, "events -> games": 0}
+
+
+def test_orphans_are_found_before_lines_are_summed(spark):
+    assert not summed_whole(catalog.QUERIES["q_orphans"](spark, SF))
