@@ -11,7 +11,7 @@ from ..operators import alerts, rollups, trends, winrates
 from ..operators.numbering import shared_dir
 from ..sources.windows import WindowLayout
 from . import star
-from .catalog import labelled, query
+from .catalog import labelled, labelled_lines, query
 
 DAY = "2001-08-01"
 BY = ["game_id"]
@@ -244,8 +244,8 @@ def q_share_cusum(s, d):
     + _cusum_sql("a", "label, card_id", "copies", 0.5, 2.5, 3) + " SELECT label, card_id, date, round(copies, 7) AS copies, alarm FROM al WHERE alarm IS NOT NULL"
 )
 def q_card_spikes(s, d):
-    entries = star.deck_cards(s, d).join(labelled(s, d).withColumnRenamed("id", "deck_id"), "deck_id").where("date is not null")
-    found = alerts.card_spikes(trends.card_drift(entries), 2.5, 0.5, 3)
+    entries = labelled_lines(s, d).where("date is not null")
+    found = alerts.card_spikes(trends.card_drift(entries, star.LINE), 2.5, 0.5, 3)
     return found.select("label", "card_id", "date", F.round("copies", 7).alias("copies"), "alarm")
 
 

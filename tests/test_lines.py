@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 
-from deckloom.operators import importer, quality
+from pyspark.sql import functions as F
+
+from deckloom.operators import importer, quality, trends
 from deckloom.plans import catalog, star
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +60,26 @@ def test_orphans_of_lines(spark):
 
 def test_orphans_are_found_before_lines_are_summed(spark):
     assert not summed_whole(catalog.QUERIES["q_orphans"](spark, SF))
+
+
+def test_drift_of_lines(spark):
+    day = [date(2024, 1, k) for k in range(1, 4)]
+    lines = [
+        ("a", 1, day[0], 1, "main", 2), ("a", 1, day[0], 1, "main", 3), ("a", 1, day[0], 1, "side", 4), ("a", 1, day[0], 2, "main", 3),
+        ("a", 1, day[2], 1, "main", 1), ("a", 1, None, 4, "main", None), ("a", 2, day[1], 1, "main", 7), ("b", 1, day[1], 9, "side", 1), (None, 1, day[1], 9, "side", 5),
+    ]
+    frame = spark.createDataFrame(lines, "label string, card_id long, date date, deck_id long, board string, count long")
+    found = trends.card_drift(frame, star.LINE)
+    summed = frame.groupBy("label", "date", *star.LINE).agg(F.sum("count").alias("count"))
+    assert rows(found) == rows(trends.card_drift(summed))
+    assert [(r["copies"], r["change"]) for r in found.where("label = 'a' and card_id = 1 and date is not null").orderBy("date").collect()][0][0] == 4.0
+    assert found.count() == 6
+
+
+def test_drift_shuffles_and_sorts_lines_once(spark):
+    for name in ("q_card_drift", "q_card_spikes"):
+        text = plan(catalog.QUERIES[name](spark, SF))
+        assert not summed_whole(catalog.QUERIES[name](spark, SF))
+        assert len(re.findall(r"hashpartitioning\(label#\w+, card_id#", text)) == 1
+    text = plan(catalog.QUERIES["q_card_drift"](spark, SF))
+    assert len(re.findall(r"Sort \[label#", text)) == 1 and "HashAggregate" not in text
